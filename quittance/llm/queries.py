@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from public_tokenizers import path as tokenizer
 
 from . import decontaminate as decontamination
-from . import packing, quality, secret_scan, token_counts, token_files, url_filter
-from .common import table
+from . import packing, quality, secret_scan, token_counts, token_files, toxicity, url_filter
+from .common import crc_mod, table
 
 #: host, path and verdict of the url rules that op7 is to apply (fixed values)
 URL_RULES = (
@@ -20,6 +20,17 @@ URL_RULES = (
 TOKEN_LIMIT = 512
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), learn)
+    return scored.select(
+        "row.doc_id",
+        (crc_mod(F.col("row.doc_id"), 5) == 0).alias("held_out"),
+        "out.score",
+        (F.col("out.score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -35,7 +46,8 @@ def op4_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rank"] < 3)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(secret_scan.KINDS)]
+    of_rank = [F.filter("spans", lambda s: s["kind"] == kind) for kind in secret_scan.KINDS]
+    counts = [F.size(spans).cast("bigint").alias(f"n_{kind}") for spans, kind in zip(of_rank, secret_scan.KINDS)]
     return found.select(
         "row.doc_id",
         *counts,
@@ -68,7 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_benchmark_hits, op5_secret_scan, op6_token_counts, op7_url_filter, op8_token_files, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_toxicity, op4_benchmark_hits, op5_secret_scan, op6_token_counts, op7_url_filter, op8_token_files, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -87,52 +87,99 @@ def base_spans(text: Column) -> list[Column]:
     return out
 
 
-def _upper_normal(z: Column) -> Column:
-    """P(Z > z), to about 1e-7 (rational approximation of Abramowitz and Stegun, 26.2.17)."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-a * a / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
-
-
-def battery(run: Column) -> Column:
-    """struct<encoding, length, p> of a run; p is its chance under uniform randomness."""
-    body = F.regexp_replace(run, "=+$", "")
-    encoding = F.lit(None).cast("string")
-    for name, fits, _ in reversed(ENCODINGS):
-        encoding = F.when(run.rlike(fits), F.lit(name)).otherwise(encoding)
-
-    def tests(body, alphabet):
-        size, n = float(len(alphabet)), F.length(body).cast("double")
-        symbols = F.split(body, "")
-        counts = F.transform(F.array_distinct(symbols), lambda c: (F.length(body) - F.length(F.replace(body, c))).cast("double"))
-        chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c) * size / n - n
-        free = size - 1
-        # Wilson and Hilferty's cube root turns chi-squared into a normal deviate
-        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / free, 1 / 3) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5
-        half = len(alphabet) // 2
-        sides = F.translate(body, alphabet, "L" * half + "H" * (len(alphabet) - half))
-        high = (F.length(sides) - F.length(F.replace(sides, F.lit("H")))).cast("double")
-        low = n - high
-        runs = F.length(F.regexp_replace(F.regexp_replace(sides, "H+", "H"), "L+", "L")).cast("double")
-        mean = 2 * high * low / n + 1
+def battery(runs: Column) -> Column:
+    """Runs with `run` replaced by encoding, length and p (its chance under uniform randomness).
+
+    Each step is a transform of its own, so that what a later step uses twice is computed once.
+    """
+    place = ("start", "rank", "end")
+
+    def step(rows, made, keep=()):
+        """made(r): columns added; keep: earlier ones that go on."""
+        return F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in (*place, *keep)], *[x.alias(n) for n, x in made(r).items()]))
+
+    def inferred(r):
+        encoding = F.lit(None).cast("string")
+        for name, fits, _ in reversed(ENCODINGS):
+            encoding = F.when(r["run"].rlike(fits), F.lit(name)).otherwise(encoding)
+        return {"encoding": encoding, "body": F.regexp_replace(r["run"], "=+$", "")}
+
+    def spelled(r):
+        alphabet = F.lit(None).cast("string")
+        for name, _, symbols in ENCODINGS:
+            alphabet = F.when(r["encoding"] == name, F.lit(symbols)).otherwise(alphabet)
+        return {"alphabet": alphabet, "body": F.when(r["encoding"] == "hex", F.lower(r["body"])).otherwise(r["body"])}
+
+    def numbered(r):
+        symbols = F.split(r["body"], "")
+        squares = F.transform(F.array_distinct(symbols), lambda c: F.pow(F.length(r["body"]) - F.length(F.replace(r["body"], c)), F.lit(2.0)))
+        return {
+            "size": F.length(r["alphabet"]).cast("double"),
+            "length": F.length(r["body"]),
+            "squares": F.aggregate(squares, F.lit(0.0), lambda s, x: s + x),
+            "values": F.transform(symbols, lambda c: F.instr(r["alphabet"], c).cast("double") - (F.length(r["alphabet"]) + 1) / 2),
+        }
+
+    def counted(r):
+        before, after = F.slice(r["values"], F.lit(1), r["length"] - 1), F.slice(r["values"], F.lit(2), r["length"] - 1)
+        pairs = F.zip_with(before, after, lambda a, b: F.struct((a * b).alias("product"), ((a > 0) != (b > 0)).cast("double").alias("turn")))
+        sums = F.aggregate(
+            pairs,
+            F.struct(F.lit(0.0).alias("product"), F.lit(1.0).alias("turn")),
+            lambda s, p: F.struct((s["product"] + p["product"]).alias("product"), (s["turn"] + p["turn"]).alias("turn")),
+        )
+        n = r["length"].cast("double")
+        free = r["size"] - 1
+        return {
+            "n": n,
+            "free": free,
+            "chi": F.greatest(r["squares"] * r["size"] / n - n, F.lit(0.0)) / free,
+            "high": F.size(F.filter(r["values"], lambda v: v > 0)).cast("double"),
+            "sums": sums,
+        }
+
+    def deviates(r):
+        n, mean = r["n"], 2 * r["high"] * (r["n"] - r["high"]) / r["n"] + 1
         spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-        z_runs = (runs - mean) / spread
-        values = F.transform(symbols, lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-        middle, variance = (size + 1) / 2, (size * size - 1) / 12
-        lagged = F.zip_with(F.slice(values, F.lit(1), F.length(body) - 1), F.slice(values, F.lit(2), F.length(body) - 1), lambda a, b: (a - middle) * (b - middle))
-        z_serial = F.aggregate(lagged, F.lit(0.0), lambda s, x: s + x) / (variance * F.sqrt(n - 1))
-        ps = [_upper_normal(z_chi), 2 * _upper_normal(F.abs(z_runs)), 2 * _upper_normal(F.abs(z_serial))]
-        half_sum = -sum((F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) for p in ps), F.lit(0.0))
+        variance = (r["size"] * r["size"] - 1) / 12
+        part = 2 / (9 * r["free"])
+        return {
+            # Wilson and Hilferty's cube root turns chi-squared into a normal deviate
+            "chi": (F.pow(r["chi"], F.lit(1 / 3)) - (1 - part)) / F.sqrt(part),
+            "runs": (r["sums"]["turn"] - mean) / spread,
+            "serial": r["sums"]["product"] / (variance * F.sqrt(n - 1)),
+        }
+
+    def tails(r):
+        a = F.transform(F.array(r["chi"], r["runs"], r["serial"]), lambda z: F.struct(z.alias("z"), (1 / (1 + 0.2316419 * F.abs(z))).alias("t")))
+
+        def upper(x):
+            # P(Z > |z|), Abramowitz and Stegun 26.2.17
+            t = x["t"]
+            poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+            return F.struct(x["z"].alias("z"), (F.exp(-x["z"] * x["z"] / 2) * 0.3989422804014327 * poly).alias("tail"))
+
+        return {"tails": F.transform(a, upper)}
+
+    def combined(r):
+        chi = F.element_at(r["tails"], 1)
+        ps = [
+            F.when(chi["z"] >= 0, chi["tail"]).otherwise(1 - chi["tail"]),
+            2 * F.element_at(r["tails"], 2)["tail"],
+            2 * F.element_at(r["tails"], 3)["tail"],
+        ]
+        return {"half": -sum((F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) for p in ps), F.lit(0.0))}
+
+    def fisher(r):
         # upper tail of chi-squared with six degrees of freedom
-        return F.exp(-half_sum) * (1 + half_sum + half_sum * half_sum / 2)
+        return {"p": F.exp(-r["half"]) * (1 + r["half"] + r["half"] * r["half"] / 2)}
 
-    p = F.lit(None).cast("double")
-    for name, _, alphabet in ENCODINGS:
-        text = F.lower(body) if name == "hex" else body
-        p = F.when(encoding == name, let(text, lambda b, a=alphabet: tests(b, a))).otherwise(p)
-    return F.struct(encoding.alias("encoding"), F.length(body).alias("length"), p.alias("p"))
+    rows = step(step(runs, inferred), spelled, ("encoding",))
+    rows = step(rows, numbered, ("encoding",))
+    rows = step(rows, counted, ("encoding", "length", "size"))
+    rows = step(rows, deviates, ("encoding", "length"))
+    rows = step(step(rows, tails, ("encoding", "length")), combined, ("encoding", "length"))
+    return step(rows, fisher, ("encoding", "length"))
 
 
 def band(length: Column) -> Column:
@@ -170,18 +217,18 @@ def scan(docs: DataFrame, carry: Sequence[str] = ("doc_id",), fdr: float = 0.1,
     found = found.select("row", "t", *[s.alias(f"b{k}") for k, s in enumerate(base_spans(F.col("t")))], spans_of(F.col("t"), RUN, _mixed, 3).alias("runs"))
     base = F.transform(F.concat("b0", "b1", "b2"), lambda s: s.dropFields("run"))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    found = found.select("row", base.alias("base"), "runs").select("row", "base", F.transform(free, lambda r: r.withField("test", battery(r["run"])).dropFields("run")).alias("runs"))
+    found = found.select("row", base.alias("base"), "runs").select("row", "base", battery(free).alias("runs"))
     found = materialise(found)
-    tested = found.select(F.explode("runs").alias("r")).select("r.test.*").where("p is not null")
+    tested = found.select(F.explode("runs").alias("r")).select("r.*").where("p is not null")
     chosen = cutoffs(tested, fdr, least)
 
     def flagged(r):
         case = F.lit(False)
         for (encoding, b), t in sorted(chosen.items()):
-            case = case | ((r["test"]["encoding"] == encoding) & (band(r["test"]["length"]) == b) & (r["test"]["p"] >= t))
+            case = case | ((r["encoding"] == encoding) & (band(r["length"]) == b) & (r["p"] >= t))
         return F.coalesce(case, F.lit(False))
 
-    added = F.transform(F.filter("runs", flagged), lambda r: r.dropFields("test"))
+    added = F.transform(F.filter("runs", flagged), lambda r: r.dropFields("encoding", "length", "p"))
     return found.select("row", F.array_sort(F.concat("base", added)).alias("spans")).withColumn(
         "spans", F.transform("spans", lambda s: s.withField("kind", F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1)))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from public_tokenizers import path as tokenizer
 
 from . import decontaminate as decontamination
-from . import ngram_join, packing, quality, secret_scan, token_counts, token_files, toxicity, url_filter
+from . import lm_score, ngram_join, packing, quality, secret_scan, token_counts, token_files, toxicity, url_filter
 from .common import crc_mod, table
 
 #: host, path and verdict of the url rules that op7 is to apply (fixed values)
@@ -24,6 +24,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_texts(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), learn)
@@ -84,7 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op3_toxicity, op4_benchmark_hits, op5_secret_scan, op6_token_counts, op7_url_filter, op8_token_files, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_lm_score, op3_toxicity, op4_benchmark_hits, op5_secret_scan, op6_token_counts, op7_url_filter, op8_token_files, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

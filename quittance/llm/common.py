@@ -53,6 +53,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows_where(df: DataFrame, condition: Column) -> DataFrame:
+    """The columns of the struct `row` of the rows where the condition holds.
+
+    As a generator of no or one row: a filter would be pushed below the projections
+    and would there compute what the condition reads anew for each use.
+    """
+    return df.select(F.explode(F.when(condition, F.array("row"))).alias("row")).select("row.*")
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, over all rows (0 for an empty table)."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -192,16 +192,34 @@ def verdicts(scored: DataFrame, cutoffs: list) -> Column:
     return ~failing
 
 
-def judge(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("doc_id",), total_risk: float = 0.02, delta: float = 0.05, max_strata: int = 256) -> DataFrame:
-    """row (struct of `carry`), BASE, the scores, stratum, base_failed, kept.
-
-    The texts are read once: their scores are written to the shared folder, the
-    cutoffs learned from those, and both joined in a projection.
-    """
+def _scored(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     inner = list(dict.fromkeys([*carry, "doc_id", "lang"]))
-    scored = materialise(features(docs, inner).withColumn("stratum", F.coalesce(F.col("row.lang").cast("string"), F.lit(""))))
-    rows = certify(scored.select(F.col("row.doc_id").alias("doc_id"), "stratum", *RULES), labels, total_risk, delta, max_strata).collect()
+    return features(docs, inner).withColumn("stratum", F.coalesce(F.col("row.lang").cast("string"), F.lit("")))
+
+
+def _learn(scored: DataFrame, labels: DataFrame, **options) -> list:
+    return certify(scored.select(F.col("row.doc_id").alias("doc_id"), "stratum", *RULES), labels, **options).collect()
+
+
+def _apply(scored: DataFrame, cutoffs: list, carry: Sequence[str]) -> DataFrame:
     row = F.struct(*[F.col("row")[c].alias(c) for c in carry]).alias("row")
-    return scored.withColumns({"base_failed": base_failed(), "passes": verdicts(scored, rows)}).select(
+    return scored.withColumns({"base_failed": base_failed(), "passes": verdicts(scored, cutoffs)}).select(
         row, *BASE, *RULES, "stratum", "base_failed", (~F.col("base_failed") & F.col("passes")).alias("kept")
     )
+
+
+def learn_cutoffs(docs: DataFrame, labels: DataFrame, **options) -> list:
+    """Certified cutoffs (see certify) as rows: max_strata times the rules at most."""
+    return _learn(_scored(docs, ()), labels, **options)
+
+
+def apply_rules(docs: DataFrame, cutoffs: list, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """row (struct of `carry`), BASE, the scores, stratum, base_failed, kept; no shuffle."""
+    return _apply(_scored(docs, carry), cutoffs, carry)
+
+
+def judge(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("doc_id",), **options) -> DataFrame:
+    """learn_cutoffs and apply_rules in one reading of the texts, whose scores (with the
+    columns `carry`, so leave out the texts) go through the shared folder."""
+    scored = materialise(_scored(docs, carry))
+    return _apply(scored, _learn(scored, labels, **options), carry)

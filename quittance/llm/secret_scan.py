@@ -210,18 +210,21 @@ def cutoffs(tested: DataFrame, fdr: float, least: int) -> dict[tuple[str, int],
     return out
 
 
-def scan(docs: DataFrame, carry: Sequence[str] = ("doc_id",), fdr: float = 0.1, least: int = 4) -> DataFrame:
-    """row (struct of `carry`), spans array<struct<start,rank,end,kind>> in order; rank is the place in KINDS."""
+def _found(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """row, base (spans), runs (tested runs that overlap no base span)."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, OTHER)
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), text.alias("t"))
-    found = found.select("row", "t", *[s.alias(f"b{k}") for k, s in enumerate(base_spans(F.col("t")))], spans_of(F.col("t"), RUN, _mixed, 3).alias("runs"))
+    found = found.select("row", *[s.alias(f"b{k}") for k, s in enumerate(base_spans(F.col("t")))], spans_of(F.col("t"), RUN, _mixed, 3).alias("runs"))
     base = F.transform(F.concat("b0", "b1", "b2"), lambda s: s.dropFields("run"))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    found = found.select("row", base.alias("base"), "runs").select("row", "base", battery(free).alias("runs"))
-    found = materialise(found)
-    tested = found.select(F.explode("runs").alias("r")).select("r.*").where("p is not null")
-    chosen = cutoffs(tested, fdr, least)
+    return found.select("row", base.alias("base"), "runs").select("row", "base", battery(free).alias("runs"))
+
+
+def _learn(found: DataFrame, fdr: float, least: int) -> dict[tuple[str, int], float]:
+    return cutoffs(found.select(F.explode("runs").alias("r")).select("r.*").where("p is not null"), fdr, least)
+
 
+def _flagged(found: DataFrame, chosen: dict[tuple[str, int], float]) -> DataFrame:
     def flagged(r):
         case = F.lit(False)
         for (encoding, b), t in sorted(chosen.items()):
@@ -234,6 +237,35 @@ def scan(docs: DataFrame, carry: Sequence[str] = ("doc_id",), fdr: float = 0.1,
     )
 
 
+def learn_cutoffs(docs: DataFrame, fdr: float = 0.1, least: int = 4) -> dict[tuple[str, int], float]:
+    return _learn(_found(docs, ()), fdr, least)
+
+
+def find_spans(docs: DataFrame, chosen: dict[tuple[str, int], float], carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """row (struct of `carry`), spans array<struct<start,rank,end,kind>> in order; no shuffle."""
+    return _flagged(_found(docs, carry), chosen)
+
+
+def scan(docs: DataFrame, carry: Sequence[str] = ("doc_id",), fdr: float = 0.1, least: int = 4) -> DataFrame:
+    """learn_cutoffs and find_spans in one reading of the texts, whose spans and runs (with the
+    columns `carry`, so leave out the texts) go through the shared folder."""
+    found = materialise(_found(docs, carry))
+    return _flagged(found, _learn(found, fdr, least))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each stretch of overlapping spans replaced by its first span's kind in brackets."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+
+    def step(s, x):
+        between = F.substring(text, s["at"] + 1, x["start"] - s["at"])
+        apart = F.struct(F.concat(s["text"], between, F.lit("["), x["kind"], F.lit("]")).alias("text"), x["end"].alias("at"))
+        return F.when(x["start"] >= s["at"], apart).otherwise(F.struct(s["text"].alias("text"), F.greatest(s["at"], x["end"]).alias("at")))
+
+    done = F.aggregate(spans, start, step, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def span_text(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import queries_recon
+
+MODULES = (queries_recon,)
+
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for m in MODULES for q in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}

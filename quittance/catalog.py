@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_recon
+from .plans import queries_documents, queries_recon
 
-MODULES = (queries_recon,)
+MODULES = (queries_recon, queries_documents)
 
 
 def queries() -> dict:

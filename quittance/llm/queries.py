@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from public_tokenizers import path as tokenizer
 
 from . import decontaminate as decontamination
-from . import lm_score, ngram_join, packing, quality, secret_scan, token_counts, token_files, toxicity, url_filter
+from . import lm_score, ngram_join, packing, quality, secret_scan, sql, token_counts, token_files, toxicity, url_filter
 from .common import crc_mod, table
 
 #: host, path and verdict of the url rules that op7 is to apply (fixed values)
@@ -93,4 +93,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_join": sql.OP1, "op4_benchmark_hits": sql.OP4, "op7_url_filter": sql.OP7}

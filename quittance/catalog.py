@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_documents, queries_recon
+from .plans import queries_documents, queries_recon, queries_streams
 
-MODULES = (queries_recon, queries_documents)
+MODULES = (queries_recon, queries_documents, queries_streams)
 
 
 def queries() -> dict:

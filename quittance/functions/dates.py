@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .scope import let
+
 NUMERIC = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2}|\d{4})$"
 TRAILING_TIME = r"[ T]\d{1,2}:\d{2}(:\d{2})?(\.\d+)?\s*([AaPp][Mm])?$"
+SHORT = r"^(\d{1,2}[ -][A-Za-z]{3,})[ -](\d{2})$"
 #: tried in order after numeric day-first dates (fixed values): pattern of the text, format
 FORMATS = (
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
@@ -41,22 +44,27 @@ def parse_date(text: Column, month_first: Column | None = None) -> Column:
     from 20000 to 80000 are spreadsheet serials counted from 1899-12-30.
     """
     month_first = F.coalesce(month_first, F.lit(False)) if month_first is not None else F.lit(False)
-    s = without_time(text)
-    part = [F.regexp_extract(s, NUMERIC, k).try_cast("int") for k in (1, 2, 3)]
-    century = F.when(part[2] >= 100, 0).otherwise(F.when(month_first | (part[2] <= 68), 2000).otherwise(1900))
-    year = part[2] + century
-    day_first_date = _made(year, part[1], part[0])
-    swapped = _made(year, part[0], part[1])
-    # a four-digit month-first date is the last resort of day-first reading, with slashes only
-    resort = F.when(s.contains("/") & (part[2] >= 100), swapped)
-    numeric = F.when(month_first, swapped).otherwise(F.coalesce(day_first_date, resort))
-    # 09 Jun 26 and 09-Jun-26
-    short = F.regexp_replace(s, r"^(\d{1,2})([ -])([A-Za-z]{3,})[ -](\d{2})$", "$1 $3 $4")
-    short_year = F.regexp_extract(short, r"^\d{1,2} [A-Za-z]{3,} (\d{2})$", 1).try_cast("int")
-    full = F.concat(F.regexp_extract(short, r"^(\d{1,2} [A-Za-z]{3,}) \d{2}$", 1), F.lit(" "), (short_year + F.when(short_year <= 68, 2000).otherwise(1900)).cast("string"))
-    named = F.coalesce(*[F.when(s.rlike(p), F.try_to_date(s, f)) for p, f in FORMATS], *[F.when(short_year.isNotNull(), F.try_to_date(full, f)) for f in ("d MMM yyyy", "d MMMM yyyy")])
+
+    def numeric(x):
+        part = [F.regexp_extract(x["s"], NUMERIC, k).try_cast("int") for k in (1, 2, 3)]
+        return let(F.struct(*[p.alias(f"p{k}") for k, p in enumerate(part)], x["s"].alias("s"), x["mf"].alias("mf")), dated)
+
+    def dated(x):
+        century = F.when(x["p2"] >= 100, 0).otherwise(F.when(x["mf"] | (x["p2"] <= 68), 2000).otherwise(1900))
+        swapped = _made(x["p2"] + century, x["p0"], x["p1"])
+        # a four-digit month-first date is the last resort of day-first reading, with slashes only
+        resort = F.when(x["s"].contains("/") & (x["p2"] >= 100), swapped)
+        return F.when(x["mf"], swapped).otherwise(F.coalesce(_made(x["p2"] + century, x["p1"], x["p0"]), resort))
+
+    def named(s):
+        # 09 Jun 26 and 09-Jun-26
+        day, year = F.regexp_extract(s, SHORT, 1), F.regexp_extract(s, SHORT, 2).try_cast("int")
+        full = F.when(s.rlike(SHORT), F.concat(F.regexp_replace(day, "-", " "), F.lit(" "), (year + F.when(year <= 68, 2000).otherwise(1900)).cast("string")))
+        return F.coalesce(*[F.when(s.rlike(p), F.try_to_date(s, f)) for p, f in FORMATS], let(full, lambda t: F.coalesce(F.try_to_date(t, "d MMM yyyy"), F.try_to_date(t, "d MMMM yyyy"))))
+
     iso = F.when(F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}([ T].*)?$"), F.try_to_date(F.substring(F.trim(text), 1, 10), "yyyy-MM-dd"))
-    return F.coalesce(iso, F.when(s.rlike(NUMERIC), numeric).otherwise(named))
+    other = let(F.struct(without_time(text).alias("s"), month_first.alias("mf")), lambda x: F.when(x["s"].rlike(NUMERIC), numeric(x)).otherwise(named(x["s"])))
+    return F.coalesce(iso, other)
 
 
 def serial_date(value: Column) -> Column:

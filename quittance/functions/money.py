@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .scope import let
+
 MONEY = "decimal(28,3)"
 #: currencies whose minor units differ from 2 (fixed values, ISO 4217)
 NO_DECIMALS = "BIF CLP DJF GNF ISK JPY KMF KRW PYG RWF UGX VND VUV XAF XOF XPF".split()
@@ -39,8 +41,7 @@ def money_text(value: Column, currency: Column | None = None) -> Column:
 
 def _last(text: Column, char: str) -> Column:
     """Place of a character's last occurrence, 0 for none."""
-    back = F.instr(F.reverse(text), char)
-    return F.when(back > 0, F.length(text) - back + 1).otherwise(0)
+    return let(F.instr(F.reverse(text), char), lambda back: F.when(back > 0, F.length(text) - back + 1).otherwise(0))
 
 
 def plain_number(number: Column, decimal_comma: Column) -> Column:
@@ -48,20 +49,20 @@ def plain_number(number: Column, decimal_comma: Column) -> Column:
 
     decimal_comma: true, false, or null for no evidence in the document.
     """
-    dot, comma = _last(number, "."), _last(number, ",")
-    dots = F.length(number) - F.length(F.replace(number, F.lit(".")))
-    commas = F.length(number) - F.length(F.replace(number, F.lit(",")))
-    no_commas, no_dots = F.replace(number, F.lit(",")), F.replace(number, F.lit("."))
-    after_comma, after_dot = F.length(number) - comma, F.length(number) - dot
-    by_shape = (commas == 1) & after_comma.isin(1, 2)
-    as_decimal = F.coalesce(decimal_comma, by_shape)
-    last_comma_as_point = F.concat(
-        F.replace(F.substring(number, F.lit(1), comma - 1), F.lit(",")), F.lit("."), F.substring(number, comma + 1, F.length(number))
-    )
-    both = F.when(comma > dot, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas)
-    only_commas = F.when(F.coalesce(decimal_comma, F.lit(False)) & (commas > 1), F.lit(None).cast("string")).when(as_decimal, last_comma_as_point).otherwise(no_commas)
-    only_dots = F.when((dots > 1) | (F.coalesce(decimal_comma, F.lit(False)) & (after_dot == 3)), no_dots).otherwise(number)
-    return F.when((dots > 0) & (commas > 0), both).when(commas > 0, only_commas).when(dots > 0, only_dots).otherwise(number)
+
+    def read(x):
+        n, comma, dot, forced = x["n"], x["comma"], x["dot"], F.coalesce(x["forced"], F.lit(False))
+        no_commas, no_dots = F.replace(n, F.lit(",")), F.replace(n, F.lit("."))
+        commas, dots = F.length(n) - F.length(no_commas), F.length(n) - F.length(no_dots)
+        as_decimal = F.coalesce(x["forced"], (commas == 1) & (F.length(n) - comma).isin(1, 2))
+        pointed = F.concat(F.replace(F.substring(n, F.lit(1), comma - 1), F.lit(",")), F.lit("."), F.substring(n, comma + 1, F.length(n)))
+        both = F.when(comma > dot, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas)
+        only_commas = F.when(forced & (commas > 1), F.lit(None).cast("string")).when(as_decimal, pointed).otherwise(no_commas)
+        only_dots = F.when((dots > 1) | (forced & (F.length(n) - dot == 3)), no_dots).otherwise(n)
+        return F.when((dot > 0) & (comma > 0), both).when(comma > 0, only_commas).when(dot > 0, only_dots).otherwise(n)
+
+    parts = F.struct(number.alias("n"), _last(number, ".").alias("dot"), _last(number, ",").alias("comma"), decimal_comma.alias("forced"))
+    return let(parts, read)
 
 
 def amount_marker(text: Column) -> Column:
@@ -73,19 +74,26 @@ def amount_marker(text: Column) -> Column:
 def parse_amount(text: Column, decimal_comma: Column | None = None, currency: Column | None = None) -> Column:
     """The amount of a printed number, with currency words, signs, brackets and group marks; else null."""
     decimal_comma = F.lit(None).cast("boolean") if decimal_comma is None else decimal_comma
-    s = F.trim(F.regexp_replace(F.trim(text), _MARKER, ""))
-    s = F.replace(s, F.lit("−"), F.lit("-"))
-    s = F.regexp_replace(s, r"(?U)[^\W\d_]+\.?", "")
-    s = F.regexp_replace(s, r"[^0-9.,\-()]", "")
-    negative = s.contains("(") & s.endswith(")")
-    s = F.regexp_replace(s, r"[()]", "")
-    s = F.when(s.endswith("-") & ~s.startswith("-"), F.concat(F.lit("-"), F.substring(s, F.lit(1), F.length(s) - 1))).otherwise(s)
-    inner_minus = F.regexp_replace(s, "^-", "").contains("-")
-    number = plain_number(s, decimal_comma)
-    value = F.when(number.rlike(r"^-?(?:\d+\.?\d*|\.\d+)$"), number).try_cast("decimal(38,9)")
-    value = F.when(negative, -F.abs(value)).otherwise(value)
-    fits = F.abs(value) < F.lit("1" + "0" * 25).cast("decimal(38,9)")
-    return F.when(inner_minus | ~fits, F.lit(None)).otherwise(quantized(value, currency))
+    core = F.trim(F.regexp_replace(F.trim(text), _MARKER, ""))
+    core = F.regexp_replace(F.replace(core, F.lit("−"), F.lit("-")), r"(?U)[^\W\d_]+\.?", "")
+    core = F.regexp_replace(core, r"[^0-9.,\-()]", "")
+
+    def unsigned(s):
+        return F.struct((s.contains("(") & s.endswith(")")).alias("negative"), F.regexp_replace(s, r"[()]", "").alias("s"))
+
+    def led(x):
+        trailing = x["s"].endswith("-") & ~x["s"].startswith("-")
+        moved = F.concat(F.lit("-"), F.substring(x["s"], F.lit(1), F.length(x["s"]) - 1))
+        return F.struct(x["negative"].alias("negative"), F.when(trailing, moved).otherwise(x["s"]).alias("s"))
+
+    def valued(x):
+        number = F.when(F.regexp_replace(x["s"], "^-", "").contains("-"), F.lit(None).cast("string")).otherwise(plain_number(x["s"], decimal_comma))
+        value = let(number, lambda n: F.when(n.rlike(r"^-?(?:\d+\.?\d*|\.\d+)$"), n).try_cast("decimal(38,9)"))
+        return let(value, lambda v: F.when(x["negative"], -F.abs(v)).otherwise(v))
+
+    limit = F.lit("1" + "0" * 25).cast("decimal(38,9)")
+    value = let(let(let(core, unsigned), led), valued)
+    return let(value, lambda v: F.when(F.abs(v) < limit, quantized(v, currency)))
 
 
 def comma_evidence(text: Column) -> Column:

@@ -109,9 +109,9 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 150, "high").when(score >= 120, "medium").otherwise("low")
 
 
-def matched(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descriptions: bool = True) -> DataFrame:
-    """The pairs of the chosen convention."""
-    pairs = exact_matches(bank, ledger, tolerance, descriptions)
+def matched(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descriptions: bool = True, pairs: DataFrame | None = None) -> DataFrame:
+    """The pairs of the chosen convention. pairs: exact_matches() if at hand."""
+    pairs = exact_matches(bank, ledger, tolerance, descriptions) if pairs is None else pairs
     used = chosen_convention(bank, ledger, pairs).select("rec_id", "convention")
     return pairs.join(used, ["rec_id", "convention"]).withColumn("confidence", confidence(F.col("score")))
 

@@ -42,8 +42,9 @@ def recon_convention(spark: SparkSession, sf: str) -> DataFrame:
 
 def _mismatch_edges(spark, sf):
     b, l = _sides(spark, sf)
-    pairs = matching.matched(b, l, TOLERANCE)
-    convention = matching.chosen_convention(b, l, matching.exact_matches(b, l, TOLERANCE))
+    both = matching.exact_matches(b, l, TOLERANCE)
+    pairs = matching.matched(b, l, TOLERANCE, pairs=both)
+    convention = matching.chosen_convention(b, l, both)
     return matching.mismatch_edges(matching.unmatched(b, pairs, "b"), matching.unmatched(l, pairs, "l"), convention, TOLERANCE)
 
 

@@ -93,4 +93,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": sql.OP1, "op4_benchmark_hits": sql.OP4, "op7_url_filter": sql.OP7}
+    return {"op1_ngram_join": sql.OP1, "op4_benchmark_hits": sql.OP4, "op7_url_filter": sql.OP7, "op10_quality_rules": sql.OP10}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality import GRID, RULES
 from .url_filter import DEFAULT_PATTERNS
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -39,3 +40,26 @@ rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'
 m AS (SELECT page_id, arg_max((h || p, v), length(h || p)) AS best FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT u.page_id, host, path, best[1] AS rule, CASE WHEN best IS NOT NULL THEN best[2] WHEN coalesce({_BLOCKED}, FALSE) THEN 'block' ELSE 'allow' END AS verdict
 FROM u LEFT JOIN m ON m.page_id = u.page_id"""
+
+_GRID = ", ".join(f"({i}, {c})" for i, c in enumerate(GRID))
+_RISK = 0.02 / len(RULES)
+OP10 = f"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPACED}')) AS ln FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+h AS (SELECT g.doc_id, count(DISTINCT g.i + s.k) AS n FROM g JOIN (SELECT doc_id, win FROM g GROUP BY ALL HAVING count(*) > 1) d ON d.doc_id = g.doc_id AND d.win = g.win, (SELECT unnest(range(5)) AS k) s GROUP BY g.doc_id),
+b AS (SELECT w.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ln) - len(list_distinct(ln)) AS n_dup_lines,
+        coalesce(h.n, 0) AS n_repeat_words, len(ln) AS n_lines, len(regexp_extract_all(t, '\\p{{Lu}}')) AS caps, len(regexp_extract_all(t, '[!?]{{2,}}')) AS shouts,
+        len(list_filter(string_split(replace(t, chr(10), ' '), ' '), lambda x: x = '|')) AS bars FROM w LEFT JOIN h ON h.doc_id = w.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+r AS (SELECT doc_id, lang, unnest(['symbols', 'capitals', 'shouts', 'bars', 'dup_lines']) AS rule, unnest([n_symbols / greatest(word_chars, 1), caps / greatest(word_chars, 1), shouts / greatest(n_words, 1),
+        bars / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1)]) AS score FROM f),
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+c AS (SELECT lang, rule, g, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality <> 1) AS bad, count(*) FILTER (quality = 1 AND score > cutoff) AS k, count(*) FILTER (quality <> 1 AND score > cutoff) AS caught
+        FROM r JOIN q ON q.doc_id = r.doc_id, (VALUES {_GRID}) v(g, cutoff) GROUP BY lang, rule, g, cutoff),
+p AS (SELECT *, CASE WHEN k >= n * {_RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RISK}) + (n - i) * ln(1 - {_RISK})))) END AS p,
+        count(*) OVER (PARTITION BY g) AS tests FROM c),
+o AS (SELECT *, min(CASE WHEN p <= 0.05 / tests THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY g) AS ok, caught / greatest(bad, 1) - 10 * k / n AS gain FROM p),
+z AS (SELECT lang, rule, arg_max(cutoff, (gain, -g)) AS cutoff FROM o WHERE ok = 1 AND gain > 0 GROUP BY lang, rule),
+x AS (SELECT DISTINCT r.doc_id FROM r JOIN z ON z.lang = r.lang AND z.rule = r.rule AND r.score > z.cutoff)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept FROM f LEFT JOIN x ON x.doc_id = f.doc_id"""

@@ -72,12 +72,14 @@ def greedy(edges: DataFrame, key: list[str]) -> DataFrame:
     Edges never cross keys, so keys are assigned apart; within one the choice is sequential by nature.
     """
     def choose(edges: pd.DataFrame) -> pd.DataFrame:
-        ordered = edges.assign(days=edges["dd"].fillna(999), down=-edges["score"]).sort_values(["down", "days", "b_row_no", "l_row_no"], kind="stable")
+        edges = edges.drop(columns="deal")
+        whole = edges.groupby(key, sort=False, dropna=False).ngroup()
+        ordered = edges.assign(key_no=whole, days=edges["dd"].fillna(999), down=-edges["score"]).sort_values(["key_no", "down", "days", "b_row_no", "l_row_no"], kind="stable")
         used_b, used_l, keep = set(), set(), []
-        for at, b, l in zip(ordered.index, ordered["b_row_no"], ordered["l_row_no"]):
-            if b not in used_b and l not in used_l:
-                used_b.add(b)
-                used_l.add(l)
+        for at, k, b, l in zip(ordered.index, ordered["key_no"], ordered["b_row_no"], ordered["l_row_no"]):
+            if (k, b) not in used_b and (k, l) not in used_l:
+                used_b.add((k, b))
+                used_l.add((k, l))
                 keep.append(at)
         return edges.loc[keep]
 
@@ -88,7 +90,10 @@ def greedy(edges: DataFrame, key: list[str]) -> DataFrame:
     })
     alone = sides.where("of_b = 1 and of_l = 1").drop("of_b", "of_l")
     contested = sides.where("of_b > 1 or of_l > 1").drop("of_b", "of_l")
-    return alone.unionByName(contested.groupBy(*key).applyInPandas(choose, edges.schema))
+    # many small keys go to Python together: as many deals as a few times the shuffle's partitions
+    deals = 4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = contested.withColumn("deal", F.pmod(F.xxhash64(*key), F.lit(deals)))
+    return alone.unionByName(dealt.groupBy("deal").applyInPandas(choose, edges.schema))
 
 
 def exact_matches(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descriptions: bool = True) -> DataFrame:

@@ -5,7 +5,6 @@ Inputs: rec_id, row_no, id, date, amount, direction, reference, tokens (see plan
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
@@ -26,62 +25,59 @@ def signed(amount: Column, flow_: Column) -> Column:
     return F.when(flow_ == "in", amount).otherwise(-amount)
 
 
-def _side(df: DataFrame, letter: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    names = ("row_no", "id", "date", "reference", "tokens", *extra)
-    return df.select("rec_id", "convention", "amount", "flow", *[F.col(c).alias(f"{letter}_{c}") for c in names])
-
-
-def with_flows(bank: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides once for each convention."""
-    both = F.explode(F.array(*map(F.lit, CONVENTIONS))).alias("convention")
-    return (
-        bank.select("*", both).withColumn("flow", flow(F.col("direction"))),
-        ledger.select("*", both).withColumn("flow", flow(F.col("direction"), F.col("convention"))),
-    )
-
-
 def exact_edges(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descriptions: bool = True) -> DataFrame:
     """Scored pairs of equal amount and flow within `tolerance` days, or of unknown date.
 
-    The day band is an equi-join on date buckets of tolerance + 1 days, the bank side dealt to
-    three neighbours, so one hot amount is spread over its dates. Rows without date join in branches of their own.
+    A pair of equal amounts has one flow under the bank convention where the directions agree, else under
+    the book convention, so one join serves both. The day band is an equi-join on slots: date buckets of
+    tolerance + 1 days, the bank side dealt to three neighbours, so one hot amount is spread over its dates;
+    ledger rows without date stand in a slot that all dated bank rows visit, and bank rows without date in
+    one that all ledger rows visit.
     """
-    b, l = (_side(x, k) for x, k in zip(with_flows(bank, ledger), "bl"))
-    key = ["rec_id", "convention", "amount", "flow"]
-    bucket = lambda d: F.floor(F.unix_date(F.col(d)) / (tolerance + 1))
-    near = b.where("b_date is not null").withColumn("bucket", F.explode(F.array(*[bucket("b_date") + k for k in (-1, 0, 1)])))
-    dated = near.join(l.where("l_date is not null").withColumn("bucket", bucket("l_date")), [*key, "bucket"]).drop("bucket")
-    dated = dated.where(day_difference(F.col("b_date"), F.col("l_date")) <= tolerance)
-    undated = b.where("b_date is null").join(l, key).unionByName(b.where("b_date is not null").join(l.where("l_date is null"), key))
+    def side(df, letter, slots):
+        names = ("row_no", "id", "date", "direction", "reference", "tokens")
+        return df.select("rec_id", "amount", *[F.col(c).alias(f"{letter}_{c}") for c in names], F.explode(slots).alias("slot"))
+
+    bucket = lambda k=0: (F.floor(F.unix_date("date") / (tolerance + 1)) + k).cast("string")
+    dateless, every, dated = F.lit("dateless"), F.lit("every"), F.col("date").isNotNull()
+    b = side(bank, "b", F.when(dated, F.array(bucket(-1), bucket(), bucket(1), dateless)).otherwise(F.array(every)))
+    l = side(ledger, "l", F.array(F.when(dated, bucket()).otherwise(dateless), every))
     dd = day_difference(F.col("b_date"), F.col("l_date"))
     linked = text.references_match(F.col("b_reference"), F.col("l_reference"))
     sim = text.similarity(F.col("b_tokens"), F.col("l_tokens")) if descriptions else F.lit(0.0)
-    pairs = dated.unionByName(undated).withColumns({"dd": dd, "linked": linked, "sim": sim})
+    pairs = b.join(l, ["rec_id", "amount", "slot"]).withColumn("dd", dd).where(F.col("dd").isNull() | (F.col("dd") <= tolerance))
+    pairs = pairs.withColumns({"linked": linked, "sim": sim})
     dated_score = F.when(F.col("dd").isNull(), 80).otherwise(100 + F.greatest(F.lit(0), 30 - 5 * F.col("dd")))
     score = dated_score + F.when(F.col("linked"), 50).otherwise(0) + F.floor(F.col("sim") * 40).cast("int")
     when = F.when(F.col("dd").isNull(), "date_unavailable").when(F.col("dd") == 0, "same_date").otherwise(
         F.concat(F.lit("date_within_"), F.col("dd").cast("string"), F.when(F.col("dd") > 1, "_days").otherwise("_day"))
     )
     basis = F.concat_ws(",", F.lit("amount"), when, F.when(F.col("linked"), "reference"), F.when(F.col("sim") >= 0.5, "description"))
-    return pairs.select(*key, "b_row_no", "b_id", "l_row_no", "l_id", "dd", score.alias("score"), basis.alias("basis"))
+    convention = F.when(F.col("b_direction") == F.col("l_direction"), "bank").otherwise("book")
+    return pairs.select(
+        "rec_id", convention.alias("convention"), "amount", flow(F.col("b_direction")).alias("flow"), "b_row_no", "b_id", "l_row_no", "l_id", "dd", score.alias("score"), basis.alias("basis")
+    )
 
 
 def greedy(edges: DataFrame, key: list[str]) -> DataFrame:
     """One-to-one choice among edges of a key: highest score first, then fewer days, bank row, ledger row.
 
-    Edges never cross keys, so keys are assigned apart; within one the choice is sequential by nature.
+    Edges never cross keys, so keys are assigned apart; within one the choice is sequential by nature. Edges
+    stream to Python sorted by key and rank (the sort spills); what is held is one key's used rows.
     """
-    def choose(edges: pd.DataFrame) -> pd.DataFrame:
-        edges = edges.drop(columns="deal")
-        whole = edges.groupby(key, sort=False, dropna=False).ngroup()
-        ordered = edges.assign(key_no=whole, days=edges["dd"].fillna(999), down=-edges["score"]).sort_values(["key_no", "down", "days", "b_row_no", "l_row_no"], kind="stable")
-        used_b, used_l, keep = set(), set(), []
-        for at, k, b, l in zip(ordered.index, ordered["key_no"], ordered["b_row_no"], ordered["l_row_no"]):
-            if (k, b) not in used_b and (k, l) not in used_l:
-                used_b.add((k, b))
-                used_l.add((k, l))
-                keep.append(at)
-        return edges.loc[keep]
+    def choose(batches):
+        last, used_b, used_l = None, set(), set()
+        for edges in batches:
+            keep = []
+            for k, b, l in zip(zip(*[edges[c] for c in key]), edges["b_row_no"], edges["l_row_no"]):
+                if k != last:
+                    last, used_b, used_l = k, set(), set()
+                free = b not in used_b and l not in used_l
+                keep.append(free)
+                if free:
+                    used_b.add(b)
+                    used_l.add(l)
+            yield edges[keep]
 
     # edges that stand alone on both sides need no choice and no Python
     sides = edges.withColumns({
@@ -90,15 +86,16 @@ def greedy(edges: DataFrame, key: list[str]) -> DataFrame:
     })
     alone = sides.where("of_b = 1 and of_l = 1").drop("of_b", "of_l")
     contested = sides.where("of_b > 1 or of_l > 1").drop("of_b", "of_l")
-    # many small keys go to Python together: as many deals as a few times the shuffle's partitions
-    deals = 4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = contested.withColumn("deal", F.pmod(F.xxhash64(*key), F.lit(deals)))
-    return alone.unionByName(dealt.groupBy("deal").applyInPandas(choose, edges.schema))
+    ranked = contested.repartition(*key).sortWithinPartitions(*key, F.desc("score"), F.coalesce("dd", F.lit(999)), "b_row_no", "l_row_no")
+    return alone.unionByName(ranked.mapInPandas(choose, edges.schema))
 
 
 def exact_matches(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descriptions: bool = True) -> DataFrame:
-    """Chosen pairs under both conventions."""
-    return greedy(exact_edges(bank, ledger, tolerance, descriptions), ["rec_id", "convention", "amount", "flow"])
+    """Chosen pairs under both conventions, kept in the session's store, for what follows reads them more than once.
+
+    The store spills to disk and lost parts are computed anew; release it by unpersist() or clearCache().
+    """
+    return greedy(exact_edges(bank, ledger, tolerance, descriptions), ["rec_id", "convention", "amount", "flow"]).persist()
 
 
 def chosen_convention(bank: DataFrame, ledger: DataFrame, matches: DataFrame) -> DataFrame:
@@ -137,12 +134,15 @@ def mismatch_edges(bank: DataFrame, ledger: DataFrame, convention: DataFrame, to
         return df.select("rec_id", *[F.col(c).alias(f"{letter}_{c}") for c in names])
 
     b, l = side(bank, "b", False), side(ledger, "l", True)
-    offsets = F.explode(F.sequence(F.date_sub("b_date", tolerance), F.date_add("b_date", tolerance)))
-    by_date = b.where("b_date is not null").withColumn("day", offsets).join(l.withColumn("day", F.col("l_date")), ["rec_id", "day"]).drop("day")
-    by_reference = b.where("b_reference != ''").withColumn("ref", F.col("b_reference")).join(l.withColumn("ref", F.col("l_reference")), ["rec_id", "ref"]).drop("ref")
-    by_reference = by_reference.where(~F.coalesce(day_difference(F.col("b_date"), F.col("l_date")) <= tolerance, F.lit(False)))
+    # one join on keys of both kinds; within the tolerance by day, so by reference only where a date lacks
+    day = lambda d: F.concat(F.lit("d"), d.cast("string"))
+    known = lambda d, days: F.when(F.col(d).isNotNull(), days).otherwise(F.array().cast("array<string>"))
+    ref = lambda r: F.when(F.col(r) != "", F.array(F.concat(F.lit("r"), F.col(r)))).otherwise(F.array().cast("array<string>"))
+    b_days = F.transform(F.sequence(F.date_sub("b_date", tolerance), F.date_add("b_date", tolerance)), day)
+    b = b.withColumn("link", F.explode(F.concat(known("b_date", b_days), ref("b_reference"))))
+    l = l.withColumn("link", F.explode(F.concat(known("l_date", F.array(day(F.col("l_date")))), ref("l_reference"))))
     dd = day_difference(F.col("b_date"), F.col("l_date"))
-    pairs = by_date.unionByName(by_reference).where(dd.isNull() | (dd <= tolerance))
+    pairs = b.join(l, ["rec_id", "link"]).where(dd.isNull() | ((dd <= tolerance) & F.col("link").startswith("d"))).drop("link")
     linked = text.references_match(F.col("b_reference"), F.col("l_reference"))
     sim = text.similarity(F.col("b_tokens"), F.col("l_tokens")) if descriptions else F.lit(0.0)
     pairs = pairs.withColumns({"dd": dd, "linked": linked, "sim": sim})

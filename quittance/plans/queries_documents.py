@@ -145,8 +145,8 @@ def user_quota(spark: SparkSession, sf: str) -> DataFrame:
 def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import analytics
 
-    rows = _statements(spark, sf).where("doc_id < 40")
-    docs = data.load(spark, sf, "customer").where("c_custkey < 60").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 6 == 5, "failed").otherwise("success").alias("status"), F.lit("12.50").cast("decimal(28,3)").alias("total"))
+    rows = _statements(spark, sf)
+    docs = data.load(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 6 == 5, "failed").otherwise("success").alias("status"), F.lit("12.50").cast("decimal(28,3)").alias("total"))
     out = analytics.batch_summary(docs, rows)
     return out.select("success", "failed", F.col("inflow").cast("double").alias("inflow"), F.col("outflow").cast("double").alias("outflow"))
 
@@ -324,7 +324,7 @@ SQL = {
     "report_page": f"{_JOBS} SELECT (list_position([" + ", ".join(f"'{s}'" for s in jobs.STATUSES) + "], status) - 1)::INT AS section, job_id AS row_no, filename AS item FROM j ORDER BY section, row_no LIMIT 60 OFFSET 150",
     "stale_jobs": f"{_JOBS} SELECT job_id, retries, CASE WHEN retries < 3 THEN 'requeue' ELSE 'fail' END AS action FROM j WHERE status = 'processing' AND updated_at < (SELECT max(updated_at) FROM j) - INTERVAL 600 SECOND",
     "user_quota": f"{_JOBS} SELECT owner AS email, sum(pages - 3)::BIGINT AS pages FROM j WHERE job_id % 9 <> 0 AND pages > 3 GROUP BY owner",
-    "batch_summary": f"{_STATEMENTS}, d AS (SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 6 = 5 THEN 'failed' ELSE 'success' END AS status FROM customer WHERE c_custkey < 60), r AS (SELECT doc_id, sum(coalesce(credit, 0)) AS i, sum(coalesce(debit, 0)) AS o FROM s WHERE doc_id < 40 GROUP BY doc_id) SELECT count(*) FILTER (status = 'success') AS success, count(*) FILTER (status <> 'success') AS failed, sum(coalesce(i, 0))::DOUBLE AS inflow, sum(coalesce(o, 12.5))::DOUBLE AS outflow FROM d LEFT JOIN r USING (doc_id)",
+    "batch_summary": f"{_STATEMENTS}, d AS (SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 6 = 5 THEN 'failed' ELSE 'success' END AS status FROM customer), r AS (SELECT doc_id, sum(coalesce(credit, 0)) AS i, sum(coalesce(debit, 0)) AS o FROM s GROUP BY doc_id) SELECT count(*) FILTER (status = 'success') AS success, count(*) FILTER (status <> 'success') AS failed, sum(coalesce(i, 0))::DOUBLE AS inflow, sum(coalesce(o, 12.5))::DOUBLE AS outflow FROM d LEFT JOIN r USING (doc_id)",
     "doc_classify": "WITH d AS (" + _LABELLED + "), s AS (SELECT doc_id, " + ", ".join(" + ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INT)" for p in ps) + f" AS {t}" for t, ps in documents.TYPES.items()) + " FROM d) SELECT *, CASE WHEN greatest(bank_statement, receipt, invoice) < 2 THEN NULL WHEN bank_statement >= greatest(receipt, invoice) THEN 'bank_statement' WHEN receipt >= invoice THEN 'receipt' ELSE 'invoice' END AS document_type FROM s",
     "doc_extract_lines": f"WITH {data.BANK_SQL} SELECT row_no AS doc_id, 1 AS line_no, strftime(date, '%Y-%m-%d') AS date, description || ' ' || upper(direction) AS description, amount::DOUBLE AS debit, CASE WHEN amount = 0 THEN 0.0 END AS credit, 1.0 AS balance FROM bank",
     "llm_context": "SELECT doc_id, md5(CASE WHEN length(text) > 10000 THEN left(text, 7000) || chr(10) || '...' || chr(10) || right(text, 3000) ELSE text END) AS context, left(text, 200) AS snippet FROM documents",

@@ -85,7 +85,7 @@ def ledger_with_total(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ofx_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return exports.ofx_lines(_rows(spark, sf).where("doc_id < 5"))
+    return exports.ofx_lines(_rows(spark, sf))
 
 
 def qif_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,7 @@ Inputs: rec_id, row_no, id, date, amount, direction, reference, tokens (see plan
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
@@ -66,18 +67,31 @@ def greedy(edges: DataFrame, key: list[str]) -> DataFrame:
     stream to Python sorted by key and rank (the sort spills); what is held is one key's used rows.
     """
     def choose(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         last, used_b, used_l = None, set(), set()
         for edges in batches:
+            n = edges.num_rows
+            if not n:
+                continue
+            # where the key differs from the row before; only row numbers become Python objects
+            fresh = np.zeros(n, bool)
+            for c in key:
+                column = edges.column(c)
+                fresh[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            fresh[0] = [edges.column(c)[0].as_py() for c in key] != last
+            last = [edges.column(c)[n - 1].as_py() for c in key]
             keep = []
-            for k, b, l in zip(zip(*[edges[c] for c in key]), edges["b_row_no"], edges["l_row_no"]):
-                if k != last:
-                    last, used_b, used_l = k, set(), set()
+            for is_fresh, b, l in zip(fresh.tolist(), edges.column("b_row_no").to_pylist(), edges.column("l_row_no").to_pylist()):
+                if is_fresh:
+                    used_b, used_l = set(), set()
                 free = b not in used_b and l not in used_l
                 keep.append(free)
                 if free:
                     used_b.add(b)
                     used_l.add(l)
-            yield edges[keep]
+            yield edges.filter(pa.array(keep))
 
     # edges that stand alone on both sides need no choice and no Python
     sides = edges.withColumns({
@@ -87,7 +101,7 @@ def greedy(edges: DataFrame, key: list[str]) -> DataFrame:
     alone = sides.where("of_b = 1 and of_l = 1").drop("of_b", "of_l")
     contested = sides.where("of_b > 1 or of_l > 1").drop("of_b", "of_l")
     ranked = contested.repartition(*key).sortWithinPartitions(*key, F.desc("score"), F.coalesce("dd", F.lit(999)), "b_row_no", "l_row_no")
-    return alone.unionByName(ranked.mapInPandas(choose, edges.schema))
+    return alone.unionByName(ranked.mapInArrow(choose, edges.schema))
 
 
 def exact_matches(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descriptions: bool = True) -> DataFrame:

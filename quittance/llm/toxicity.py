@@ -1,15 +1,16 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF over all their terms.
 
 Fitting. At most `max_examples` labelled documents of each class (a documented bound; those with
 the smallest hashes of their ids) are the examples. Terms are words (A-Z lower-cased;
-runs of a-z, 0-9 and non-ASCII) and the first five characters of longer words; the at most
-`max_terms` terms whose presence differs most between the classes (chi-squared over a Bonferroni
-limit) are the vector space. Document frequencies of those terms are counted over all documents.
+runs of a-z, 0-9 and non-ASCII) and the first five characters of longer words. All terms of the
+examples are the vector space, and every example is in the index. Document frequencies of
+those terms are counted over all documents. A term whose presence differs between the
+classes beyond a Bonferroni limit weighs the square root of its chi-squared value more; no term is left out.
 
-Index. The examples' unit vectors ((1 + ln tf) * idf) are dealt into blocks; each
-term has its greatest weight in each block and its postings by block. A query's bound on a
-block is the sum of its weights times those maxima; blocks are scored exactly in falling
-order of bounds until no bound exceeds the k-th best similarity, so the k nearest are exact.
+Index. The examples' unit vectors ((1 + ln tf) * idf * class weight of the term). Terms in many examples are rows of a
+dense matrix, multiplied for many queries together in single precision; the others are postings.
+Every example that these sums put within their rounding error of the k-th best is scored
+again in double precision, so the k nearest are exact.
 
 Score. Neighbours vote with weight similarity / (1 + 0.05 - similarity), times their class's
 share of all labelled rows over its share of examples, with a prior vote of one such neighbour; a logistic
@@ -23,6 +24,7 @@ without labels of both classes every score is the share of toxic labels (0 witho
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Sequence
@@ -30,15 +32,18 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .common import map_texts, materialise
 from .decontaminate import NORMAL
 
 OUT = "score double, neighbours array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 PREFIX = 5
-BLOCK = 64
+#: terms in at least one of so many examples are rows of the dense matrix
+HEAD = 32
+#: queries that are multiplied together
+QUERIES = 64
+#: above the error of single-precision sums of similarities
+MARGIN = 2e-5
 
 
 def terms_of(text: bytes | None) -> Counter:
@@ -51,59 +56,101 @@ def terms_of(text: bytes | None) -> Counter:
     return words
 
 
+class Terms(dict):
+    """Numbers of a word and of its first characters (0: unknown), in one integer; learns words as they come."""
+
+    def __init__(self, terms: Sequence[str], held: int = 300_000):
+        self.number, self.held = {t: i + 1 for i, t in enumerate(terms)}, held
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= self.held:
+            self.clear()
+        stem = self.number.get(w[:PREFIX] + "*", 0) if len(w) > PREFIX else 0
+        self[w] = made = self.number.get(w, 0) << 31 | stem
+        return made
+
+    def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers in order, and their counts."""
+        words = Counter((text or b"").translate(NORMAL).decode().split(" "))
+        del words[""]
+        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        counts = np.fromiter(words.values(), np.int64, len(words))
+        found = np.concatenate([both >> 31, both & (1 << 31) - 1])
+        terms, place = np.unique(found, return_inverse=True)
+        sums = np.bincount(place, np.concatenate([counts, counts]), len(terms))
+        known = terms > 0
+        return terms[known] - 1, sums[known]
+
+
+def runs(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start[0], start[0] + 1, ... (sizes[0] of them), start[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + sizes, sizes)
+
+
 class Index:
-    """Unit vectors of examples. vectors: (term numbers, term counts) of each example."""
-
-    def __init__(self, vectors: list, doc_ids: Sequence[int], toxic: Sequence[int], idf: np.ndarray, class_weight: Sequence[float], k: int = 15):
-        self.idf, self.k, self.class_weight = idf, k, class_weight
-        order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (tuple(vectors[i][0]), doc_ids[i]))
-        self.doc_ids = np.array([doc_ids[i] for i in order], np.int64)
-        self.toxic = np.array([toxic[i] for i in order], np.int64)
-        self.blocks = -(-len(order) // BLOCK)
-        rows: dict[int, list] = {}
-        for at, i in enumerate(order):
-            for t, w in zip(*self.unit(*vectors[i])):
-                rows.setdefault(int(t), []).append((at, w))
-        self.maxima, self.postings = {}, {}
-        for t, found in rows.items():
-            at = np.array([a for a, _ in found])
-            w = np.array([x for _, x in found])
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, at // BLOCK, w)
-            cuts = np.searchsorted(at, np.arange(0, (self.blocks + 1) * BLOCK, BLOCK))
-            self.maxima[t], self.postings[t] = top, (at, w, cuts)
+    """Unit vectors of examples. vectors: (term numbers, term counts) of each example; weight: of each term."""
+
+    def __init__(self, vectors: list, doc_ids: Sequence[int], toxic: Sequence[int], weight: np.ndarray, class_weight: Sequence[float], k: int = 15):
+        self.weight, self.k, self.class_weight = weight, k, class_weight
+        self.doc_ids, self.toxic = np.array(doc_ids, np.int64), np.array(toxic, np.int64)
+        units = [self.unit(*v) for v in vectors]
+        self.sizes = np.array([len(t) for t, _ in units], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.terms = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in units]])
+        self.weights = np.concatenate([np.zeros(0), *[w for _, w in units]])
+        rows, n = np.repeat(np.arange(len(units)), self.sizes), len(units)
+        held = np.bincount(self.terms, minlength=len(weight))
+        heads = np.flatnonzero((held > 1) & (held * HEAD >= n))
+        self.head = np.full(len(weight), -1, np.int64)
+        self.head[heads] = np.arange(len(heads))
+        self.dense = np.zeros((len(heads), n), np.float32)
+        at = self.head[self.terms]
+        self.dense[at[at >= 0], rows[at >= 0]] = self.weights[at >= 0]
+        rest = np.flatnonzero(at < 0)
+        rest = rest[np.argsort(self.terms[rest], kind="stable")]
+        self.rows, self.row_weights = rows[rest], self.weights[rest]
+        self.first = np.searchsorted(self.terms[rest], np.arange(len(weight) + 1))
+        self.query = np.zeros(len(weight))
 
     def unit(self, terms, counts):
         terms = np.asarray(terms, np.int64)
-        w = (1 + np.log(np.asarray(counts, float))) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
+        w = (1 + np.log(np.asarray(counts, float))) * self.weight[terms]
+        return terms, w / np.sqrt((w * w).sum()) if len(terms) else w
 
     def nearest(self, terms, counts, without: int | None = None) -> list[tuple[float, int]]:
         """The k nearest as (similarity, place in the index); `without` leaves one doc_id out."""
-        terms, w = self.unit(terms, counts)
-        known = [(int(t), x) for t, x in zip(terms, w) if int(t) in self.maxima]
-        if not known:
+        return self.nearest_of([(terms, counts)], [without])[0]
+
+    def nearest_of(self, vectors: list, without: Sequence[int | None] | None = None) -> list[list[tuple[float, int]]]:
+        out = []
+        for i in range(0, len(vectors), QUERIES):
+            units = [self.unit(*v) for v in vectors[i : i + QUERIES]]
+            asked = np.zeros((len(units), len(self.dense)), np.float32)
+            for row, (t, w) in zip(asked, units):
+                at = self.head[t]
+                row[at[at >= 0]] = w[at >= 0]
+            for near, unit, one in zip(asked @ self.dense, units, (without or [None] * len(vectors))[i:]):
+                out.append(self._exact(near, *unit, one))
+        return out
+
+    def _exact(self, near: np.ndarray, terms: np.ndarray, w: np.ndarray, without: int | None) -> list[tuple[float, int]]:
+        rare = self.head[terms] < 0
+        first, sizes = self.first[terms[rare]], self.first[terms[rare] + 1] - self.first[terms[rare]]
+        if sizes.sum():
+            at = runs(first, sizes)
+            near = near + np.bincount(self.rows[at], self.row_weights[at] * np.repeat(w[rare], sizes), len(near))
+        if without is not None:
+            near = np.where(self.doc_ids == without, 0.0, near)
+        least = np.partition(near, -self.k)[-self.k] - MARGIN if len(near) > self.k else 0.0
+        found = np.flatnonzero((near >= least) & (near > 0))
+        if not len(found):
             return []
-        bound = sum(x * self.maxima[t] for t, x in known)
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == self.k and bound[b] < best[-1][0] - 1e-9:
-                break
-            sims = np.zeros(BLOCK)
-            for t, x in known:
-                at, weights, cuts = self.postings[t]
-                a, z = cuts[b], cuts[b + 1]
-                if a < z:
-                    sims[at[a:z] - b * BLOCK] += x * weights[a:z]
-            hits = np.flatnonzero(sims > 0)
-            if len(best) == self.k:
-                hits = hits[sims[hits] >= best[-1][0] - 1e-9]
-            for i in hits.tolist():
-                place = int(b) * BLOCK + i
-                if without is None or self.doc_ids[place] != without:
-                    best.append((round(float(sims[i]), 9), -int(self.doc_ids[place]), place))
-            best = sorted(best, reverse=True)[: self.k]
-        return [(s, p) for s, _, p in best]
+        self.query[terms] = w
+        at, sizes = runs(self.starts[found], self.sizes[found]), self.sizes[found]
+        sims = np.add.reduceat(self.query[self.terms[at]] * self.weights[at], np.cumsum(sizes) - sizes).round(9)
+        self.query[terms] = 0
+        return [(float(sims[j]), int(found[j])) for j in np.lexsort((self.doc_ids[found], -sims))[: self.k]]
 
     def vote(self, near: list, prior: float) -> float:
         """Weighted share of toxic neighbours, with one prior vote at similarity 0.5."""
@@ -146,105 +193,105 @@ def examples_of(docs: DataFrame, labels: DataFrame, max_examples: int):
     return texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")), totals
 
 
-def choose_terms(examples: DataFrame, max_terms: int, level: float = 0.01) -> list[str]:
-    def make():
-        return lambda texts: [[list(terms_of(t)) for t in texts]]
-
-    seen = map_texts(examples, ["toxic"], make, "terms array<string>").select("row.toxic", F.explode("out.terms").alias("term"))
-    counted = seen.groupBy("term").agg(F.sum(F.col("toxic")).alias("a"), F.count(F.lit(1)).alias("n"))
-    sizes = examples.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("all"), F.lit(0).alias("x")).first()
-    t, c = float(sizes["t"] or 0), float((sizes["all"] or 0) - (sizes["t"] or 0))
-    if not t or not c:
-        return []
-    a, n = F.col("a").cast("double"), F.col("n").cast("double")
-    b, total = n - a, t + c
-    chi = total * F.pow(a * (c - b) - b * (t - a), F.lit(2.0)) / (t * c * n * (total - n + 1e-9))
-    counted = materialise(counted.where("n >= 3").select("term", chi.alias("chi")))
-    tests = max(1, counted.count())
-    # z of a two-sided normal test at level / tests: sqrt(2 ln(2 tests / level)) bounds it
-    limit = 2 * math.log(2 * tests / level)
-    rows = counted.where(F.col("chi") >= limit).orderBy(F.desc("chi"), "term").limit(max_terms).collect()
-    return [r["term"] for r in rows]
-
-
-def vectors_of(docs: DataFrame, terms: list[str], carry: Sequence[str]) -> DataFrame:
-    """row (struct of `carry`), out (terms, counts): the texts in the chosen vector space."""
+def vectors_of(examples: DataFrame) -> tuple[list[int], list[int], list, pa.Array]:
+    """doc_ids, classes, vectors (term numbers, counts) of the examples by doc_id, and all their terms in order."""
 
     def make():
-        number = {t: i for i, t in enumerate(terms)}
-        words = {t for t in terms if t[-1] != "*"}
-        stems = {t[:-1] for t in terms if t[-1] == "*"}
-
         def one(text):
-            split = (text or b"").translate(NORMAL).decode().split(" ")
-            seen = set(split)
-            wanted = seen & words
-            stemmed = [w for w in seen if len(w) > PREFIX and w[:PREFIX] in stems] if stems else []
-            if not wanted and not stemmed:
-                return [], []
-            counts = Counter(split)
-            out = Counter({number[w]: counts[w] for w in wanted})
-            for w in stemmed:
-                out[number[w[:PREFIX] + "*"]] += counts[w]
-            pairs = sorted(out.items())
-            return [i for i, _ in pairs], [n for _, n in pairs]
+            found = terms_of(text)
+            return list(found), list(found.values())
 
         return lambda texts: list(zip(*map(one, texts))) or [[], []]
 
-    return map_texts(docs, carry, make, "terms array<int>, counts array<int>")
+    drawn = map_texts(examples, ["doc_id", "toxic"], make, "terms array<string>, counts array<int>")
+    got = drawn.select("row.doc_id", "row.toxic", "out.terms", "out.counts").orderBy("doc_id").toArrow()
+    lists = pa.concat_arrays([pa.array([], got.schema.field("terms").type), *got["terms"].chunks])
+    coded = lists.flatten().dictionary_encode()
+    order = pa.compute.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    numbers, counts = place[coded.indices.to_numpy()], pa.compute.list_flatten(got["counts"]).to_numpy()
+    cuts = np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))[:-1]
+    vectors = [(t[o := np.argsort(t)], c[o]) for t, c in zip(np.split(numbers, cuts), np.split(counts, cuts))] if got.num_rows else []
+    return got["doc_id"].to_pylist(), got["toxic"].to_pylist(), vectors, coded.dictionary.take(pa.array(order))
+
+
+def class_weights(vectors: list, toxic: Sequence[int], n_terms: int, level: float = 0.01) -> np.ndarray:
+    """The square root of chi-squared of the terms that differ between the classes, else 1."""
+    n, a = np.zeros(n_terms), np.zeros(n_terms)
+    for (t, _), y in zip(vectors, toxic):
+        n[t] += 1
+        a[t] += y
+    total, t = float(len(toxic)), float(sum(toxic))
+    c, b = total - t, n - a
+    chi = total * (a * (c - b) - b * (t - a)) ** 2 / (t * c * n * (total - n + 1e-9))
+    tested = n >= 3  # the normal approximation holds for no rarer term
+    # z of a two-sided normal test at level / tests: sqrt(2 ln(2 tests / level)) bounds it
+    limit = 2 * math.log(2 * max(1, tested.sum()) / level)
+    return np.where(tested & (chi >= limit), np.sqrt(chi), 1.0)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("doc_id",), max_examples: int = 4096, max_terms: int = 1024, k: int = 15) -> DataFrame:
+def document_frequencies(docs: DataFrame, terms) -> tuple[int, np.ndarray]:
+    """The number of documents, and of documents with each term (terms: broadcast array)."""
+
+    def run(batches):
+        known, seen, rows = Terms(terms.value.to_pylist()), np.zeros(len(terms.value) + 1, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                seen[known.vector(text)[0] + 1] += 1
+                rows += 1
+        seen[0] = rows
+        found = np.flatnonzero(seen)
+        for i in range(0, len(found), 1 << 16):
+            part = found[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part - 1, pa.int32()), pa.array(seen[part])], names=["term", "n"])
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms.value) + 1, np.int64)
+    out[counted["term"].to_numpy() + 1] = counted["n"].to_numpy()
+    return int(out[0]), out[1:]
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("doc_id",), max_examples: int = 4096, k: int = 15) -> DataFrame:
     """row (struct of `carry`), out (score, neighbours: evidence, nearest first).
 
     labels: doc_id and toxic of the rows to learn from, and of no others.
     """
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     examples, totals = examples_of(docs, labels, max_examples)
-    examples = materialise(examples)
-    terms = choose_terms(examples, max_terms)
+    ids, ys, vectors, terms = vectors_of(examples)
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    drawn = materialise(vectors_of(examples, terms, ["doc_id", "toxic"])).collect()
-    everything = materialise(vectors_of(docs, terms, carry))
-    frequency = np.ones(len(terms))
-    for r in everything.select(F.explode("out.terms").alias("t")).groupBy("t").count().collect():
-        frequency[r["t"]] += r["count"]
-    n_docs = everything.count()
-    idf = np.log((1 + n_docs) / frequency) + 1
-    drawn.sort(key=lambda r: r["row"]["doc_id"])
-    ids, ys = [r["row"]["doc_id"] for r in drawn], [r["row"]["toxic"] for r in drawn]
-    vectors = [(r["out"]["terms"], r["out"]["counts"]) for r in drawn]
-    weight = [totals.get(y, 0) / max(1, ys.count(y)) / max(1.0, sum(totals.values()) / max(1, len(ys))) for y in (0, 1)]
-    model = spark.sparkContext.broadcast((vectors, ids, ys, idf, weight, k))  # max_examples short vectors a class
-    if terms:
-        index = Index(vectors, ids, ys, idf, weight, k)
-        near = [index.nearest(*v, without=i) if len(v[0]) else [] for v, i in zip(vectors, ids)]
-        x = np.array([_logit(index.vote(m, prior)) for m in near])
+    fitted = 0 < sum(ys) < len(ys)
+    model = None
+    if fitted:
+        words = sc.broadcast(terms)
+        n_docs, frequency = document_frequencies(docs, words)
+        scale = (np.log((1 + n_docs) / (1 + frequency)) + 1) * class_weights(vectors, ys, len(terms))
+        weight = [totals.get(y, 0) / max(1, ys.count(y)) / max(1.0, sum(totals.values()) / max(1, len(ys))) for y in (0, 1)]
+        index = Index(vectors, ids, ys, scale, weight, k)
+        x = np.array([_logit(index.vote(m, prior)) for m in index.nearest_of(vectors, ids)])
         slope, intercept = logistic(x, np.array(ys, float), np.array([weight[y] for y in ys]))
-    else:
-        slope, intercept = 1.0, 0.0
-
-    outs = _parse_datatype_string(OUT)
-    kind = to_arrow_type(outs)
+        model = sc.broadcast(([(t.astype(np.int32), c) for t, c in vectors], ids, ys, scale, weight, k))  # max_examples vectors a class
 
-    def run(batches):
-        index, known = Index(*model.value), {}
-        for batch in batches:
-            rows, vector = batch.column(0), batch.column(1)
-            out = []
-            for t, c in zip(vector.field("terms").to_pylist(), vector.field("counts").to_pylist()):
-                key = (tuple(t), tuple(c))
-                if (made := known.get(key)) is None:
-                    near = index.nearest(t, c) if t else []
-                    if terms:
-                        score = 1 / (1 + math.exp(-(slope * _logit(index.vote(near, prior)) + intercept)))
-                    else:
-                        score = prior
-                    evidence = [{"doc_id": int(index.doc_ids[p]), "similarity": s, "toxic": int(index.toxic[p])} for s, p in near]
-                    made = {"score": score, "neighbours": evidence}
-                    if len(known) < 20_000:
-                        known[key] = made
-                out.append(made)
-            yield pa.RecordBatch.from_arrays([rows, pa.array(out, kind)], names=["row", "out"])
-
-    return everything.mapInArrow(run, StructType([StructField("row", everything.schema["row"].dataType), StructField("out", outs)]))
+    def make():
+        if not fitted:
+            return lambda texts: [[prior] * len(texts), [[]] * len(texts)]
+        index, known, held = Index(*model.value), Terms(words.value.to_pylist()), {}
+
+        def scored(texts):
+            keys = [hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts]
+            new = {key: t for key, t in zip(keys, texts) if key not in held}
+            made = dict(zip(new, index.nearest_of([known.vector(t) for t in new.values()])))
+            made = {key: (1 / (1 + math.exp(-(slope * _logit(index.vote(near, prior)) + intercept))), near) for key, near in made.items()}
+            found = [made.get(key) or held[key] for key in keys]
+            held.update(list(made.items())[: max(0, 20_000 - len(held))])
+            near = [x for _, m in found for x in m]
+            at = np.array([p for _, p in near], np.int64)
+            columns = [pa.array(index.doc_ids[at]), pa.array([s for s, _ in near], pa.float64()), pa.array(index.toxic[at].astype(np.int32))]
+            cuts = pa.array(np.cumsum([0, *[len(m) for _, m in found]]), pa.int32())
+            inner = [pa.field("doc_id", pa.int64()), pa.field("similarity", pa.float64()), pa.field("toxic", pa.int32())]
+            return [[s for s, _ in found], pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(columns, fields=inner))]
+
+        return scored
+
+    return map_texts(docs, carry, make, OUT)

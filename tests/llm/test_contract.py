@@ -187,6 +187,20 @@ def test_toxicity_learns(spark, docs, empty):
     assert toxicity.score_toxicity(empty, marks).count() == 0
 
 
+def test_toxicity_keeps_every_example(spark):
+    """A copy of a toxic example finds it though no term of the text tells the classes apart."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(40))) for i in range(400)]
+    labels = [(i, int(i % 10 == 0)) for i in range(400)]
+    for i in range(0, 400, 20):
+        rows[i + 10] = (i + 10, " ".join(rows[i][1].split(" ")[:38]))
+    rows += [(1000, rows[20][1]), (1001, rows[21][1]), (1002, "nothing known")]
+    got = {x["row"]["doc_id"]: x["out"] for x in toxicity.score_toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for i, of in ((1000, 20), (1001, 21)):
+        assert got[i]["neighbours"][0] == (of, 1.0, labels[of][1]) and len(got[i]["neighbours"]) == 15
+    assert got[1000]["score"] >= 0.5 > got[1001]["score"] and got[1002]["neighbours"] == []
+
+
 # --- 4 ---------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import checks
+
 AMOUNT = "decimal(19,2)"
 #: VAT category: prefix in rule ids (fixed values)
 PREFIXES = {"S": "S", "Z": "Z", "E": "E", "AE": "AE", "K": "IC", "G": "G", "O": "O", "L": "AF", "M": "AG"}
@@ -120,13 +122,24 @@ def _missing(c: str) -> Column:
     return F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
 
 
+def _none_of(*columns: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & _missing(c)
+    return out
+
+
 def header_issues(headers: DataFrame) -> DataFrame:
     """Party, payment, address and German rules. headers: one row per invoice with
-    categories array<string>, seller_* and buyer_* columns, payment and date columns, is_xrechnung."""
+    categories array<string>, seller_*, buyer_* and delivery_* columns, payment and date columns, is_xrechnung.
+    A contact, delivery address or payment is given where any of its columns is."""
     has = lambda c: F.array_contains("categories", c)
     unregistered = _missing("seller_vat_id") & _missing("seller_tax_number")
     x = F.col("is_xrechnung")
     rules = [(has(c) & unregistered, r, "seller.vat_id", F.lit("error")) for c, r in (("S", "BR-S-02"), ("Z", "BR-Z-02"), ("E", "BR-E-02"), ("L", "BR-AF-02"), ("M", "BR-AG-02"), ("AE", "BR-AE-02"))]
+    uncontacted, unaddressed = _none_of("seller_contact_name", "seller_contact_phone", "seller_contact_email"), _none_of("delivery_street", "delivery_postcode", "delivery_city", "delivery_country")
+    unpaid = _none_of("means_code", "iban", "terms", "mandate_reference", "creditor_id", "debtor_iban") & F.col("due_date").isNull()
+    debit, leitweg = F.col("means_code").isin("49", "59"), checks.leitweg_ok(F.col("buyer_reference"))
     undelivered = F.col("delivery_date").isNull() & F.col("billing_period_start").isNull()
     error, warning = F.lit("error"), F.lit("warning")
     rules += [
@@ -134,6 +147,7 @@ def header_issues(headers: DataFrame) -> DataFrame:
         (has("K") & _missing("seller_vat_id"), "BR-IC-02", "seller.vat_id", error),
         (has("K") & _missing("buyer_vat_id"), "BR-IC-02", "buyer.vat_id", error),
         (has("K") & undelivered, "BR-IC-11", "delivery_date", error),
+        (has("K") & unaddressed, "BR-IC-12", "delivery_address", error),
         (has("G") & _missing("seller_vat_id"), "BR-G-02", "seller.vat_id", error),
         (has("O") & ~(_missing("seller_vat_id") & _missing("buyer_vat_id")), "BR-O-02", "seller.vat_id", error),
         (has("O") & (F.size(F.array_distinct("categories")) > 1), "BR-O-11", "lines", error),
@@ -145,9 +159,22 @@ def header_issues(headers: DataFrame) -> DataFrame:
         (F.col("type_code").isin("381", "384") & _missing("preceding_invoice"), "DE-PRECEDING-INVOICE", "preceding_invoice_number", warning),
         (x & ~F.col("type_code").isin("326", "380", "381", "384", "389", "875", "876", "877"), "BR-DE-17", "type_code", error),
         (x & _missing("buyer_reference"), "BR-DE-15", "buyer.buyer_reference", error),
-        (x & _missing("seller_contact_name"), "BR-DE-5", "seller.contact.name", error),
+        (x & ~leitweg, "LEITWEG-ID", "buyer.buyer_reference", error),
+        (x & ~_missing("buyer_reference") & leitweg.isNull(), "LEITWEG-ID", "buyer.buyer_reference", warning),
+        (x & uncontacted, "BR-DE-2", "seller.contact", error),
+        (x & ~uncontacted & _missing("seller_contact_name"), "BR-DE-5", "seller.contact.name", error),
+        (x & ~uncontacted & _missing("seller_contact_phone"), "BR-DE-6", "seller.contact.phone", error),
+        (x & ~uncontacted & _missing("seller_contact_email"), "BR-DE-7", "seller.contact.email", error),
+        (x & _missing("seller_electronic_address"), "PEPPOL-EN16931-R020", "seller.electronic_address", error),
+        (x & _missing("buyer_electronic_address"), "PEPPOL-EN16931-R010", "buyer.electronic_address", error),
+        (x & ~unaddressed & _missing("delivery_city"), "BR-DE-10", "delivery_address.city", error),
+        (x & ~unaddressed & _missing("delivery_postcode"), "BR-DE-11", "delivery_address.postcode", error),
         (x & unregistered, "BR-DE-16", "seller.vat_id", error),
-        (x & F.col("means_code").isin("49", "59") & _missing("mandate_reference"), "SEPA-MANDATE", "payment.mandate_reference", error),
+        (x & unpaid, "BR-DE-1", "payment", error),
+        (x & debit & _missing("mandate_reference"), "SEPA-MANDATE", "payment.mandate_reference", error),
+        (x & debit & _missing("creditor_id"), "BR-DE-30", "payment.creditor_id", error),
+        (x & debit & _missing("debtor_iban"), "BR-DE-31", "payment.debtor_iban", error),
+        (x & F.col("means_code").isin("48", "54", "55"), "BR-DE-24-a", "payment.means_code", error),
     ]
     strict = {("seller", "city"): "BR-DE-3", ("seller", "postcode"): "BR-DE-4", ("buyer", "city"): "BR-DE-8", ("buyer", "postcode"): "BR-DE-9"}
     for role in ("seller", "buyer"):
@@ -163,6 +190,18 @@ def header_issues(headers: DataFrame) -> DataFrame:
     return headers.select("inv_id", F.explode(F.filter(F.array(*made), lambda i: i.isNotNull())).alias("x")).select("inv_id", "x.*")
 
 
+def percent_issues(entries: DataFrame, headers: DataFrame) -> DataFrame:
+    """Allowances and charges that are not base amount * percent / 100, where both are given.
+
+    entries: inv_id, path (allowances[i], charges[i], lines[n].allowances[i] or lines[n].charges[i]), amount, base_amount, percent."""
+    expected = cents(F.col("base_amount").cast("decimal(19,4)") * F.col("percent").cast("decimal(12,4)") / 100)
+    wrong = entries.withColumn("said", expected).where("said != amount").join(headers.select("inv_id", "is_xrechnung"), "inv_id")
+    return wrong.select(
+        "inv_id", F.lit("PEPPOL-EN16931-R040").alias("rule_id"), F.concat("path", F.lit(".amount")).alias("field"), F.when(F.col("is_xrechnung"), "error").otherwise("warning").alias("severity"),
+        F.col("said").cast("string").alias("expected"), F.col("amount").cast(AMOUNT).cast("string").alias("actual"),
+    )
+
+
 def report(issues: DataFrame, invoices: DataFrame) -> DataFrame:
     """Valid where no error was found: inv_id, valid, errors, warnings."""
     g = issues.groupBy("inv_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))

@@ -82,3 +82,10 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalised(transactions: DataFrame) -> DataFrame:
     """Transactions with normal references and description tokens."""
     return transactions.withColumns({"reference": text.normal_reference(F.col("reference")), "tokens": text.tokens(F.col("description"))})
+
+
+#: what is the same in all e-invoice headers and breaks no rule
+HEADER = {
+    "seller_contact_phone": "030 1", "seller_contact_email": "a@example.com", "seller_electronic_address": "a@example.com", "buyer_electronic_address": "b@example.com",
+    "delivery_street": "Street 3", "delivery_postcode": "1010", "delivery_city": "Wien", "delivery_country": "AT", "creditor_id": "DE98ZZZ09999999999", "debtor_iban": "DE89370400440532013000",
+}

@@ -81,8 +81,24 @@ def totals_check(spark: SparkSession, sf: str) -> DataFrame:
     return einvoice.total_issues(_totals(spark, sf), _said(spark, sf))
 
 
+def _headers(spark, sf):
+    """Headers of the invoices, which break no rule, with the categories and the amount due of each."""
+    groups = _breakdown(spark, sf).groupBy("inv_id").agg(F.collect_set("vat_category").alias("categories"))
+    day, same = F.lit("2026-01-10").cast("date"), {
+        "seller_id": "1", "seller_vat_id": "DE123456789", "seller_tax_number": "12/345", "buyer_vat_id": "DE999999999", "buyer_legal_id": "HRB 1", "means_code": "58", "iban": "DE89370400440532013000", "terms": "30 days",
+        "type_code": "380", "preceding_invoice": "", "buyer_reference": "04011000-1234512345-06", "seller_contact_name": "Name", "mandate_reference": "M1", "seller_country": "DE", "seller_street": "Street 1",
+        "seller_postcode": "10115", "seller_city": "Berlin", "buyer_country": "AT", "buyer_street": "Street 2", "buyer_postcode": "1010", "buyer_city": "Wien",
+    }
+    fixed = [F.lit(v).alias(c) for c, v in (same | data.HEADER).items()]
+    return groups.join(_totals(spark, sf).select("inv_id", "payable_amount"), "inv_id").select("*", *[day.alias(c) for c in ("issue_date", "due_date", "delivery_date", "billing_period_start")], F.lit(True).alias("is_xrechnung"), *fixed)
+
+
 def invoice_report(spark: SparkSession, sf: str) -> DataFrame:
+    headers = _headers(spark, sf)
+    none = F.lit(None).cast("decimal(19,2)")
+    entries = _adjustments(spark, sf).select("inv_id", F.when(F.col("is_charge"), "charges[0]").otherwise("allowances[0]").alias("path"), "amount", none.alias("base_amount"), none.alias("percent"))
     issues = line_net_check(spark, sf).unionByName(rule_issues(spark, sf)).unionByName(totals_check(spark, sf))
+    issues = issues.unionByName(einvoice.header_issues(headers)).unionByName(einvoice.percent_issues(entries, headers))
     return einvoice.report(issues, _lines(spark, sf))
 
 

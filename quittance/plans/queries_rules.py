@@ -27,6 +27,7 @@ def header_rules(spark: SparkSession, sf: str) -> DataFrame:
         gap(9, "04011000-1234512345-06").alias("buyer_reference"), gap(8, "Name").alias("seller_contact_name"), F.lit(None).cast("string").alias("mandate_reference"),
         F.when(k % 10 == 0, "FR").otherwise("DE").alias("seller_country"), F.lit("AT").alias("buyer_country"), gap(11, "Street 1").alias("seller_street"), gap(12, "10115").alias("seller_postcode"), gap(13, "Berlin").alias("seller_city"),
         gap(14, "Street 2").alias("buyer_street"), gap(15, "1010").alias("buyer_postcode"), gap(16, " ").alias("buyer_city"),
+        *[F.lit(v).alias(c) for c, v in data.HEADER.items()],
     )
     return einvoice.header_issues(h).select("inv_id", "rule_id", "field", "severity")
 

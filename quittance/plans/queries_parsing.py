@@ -59,7 +59,7 @@ def misread_amounts(spark: SparkSession, sf: str) -> DataFrame:
     printed = F.concat(whole.cast("string"), F.lit("."), F.replace(rest, F.lit("."), F.lit(",")))
     texts = b.groupBy("rec_id").agg(F.array_join(F.sort_array(F.collect_list(printed)), " und ").alias("raw_text")).withColumn("source", F.lit("bank"))
     wrong = F.replace(F.replace(printed, F.lit(",")), F.lit(".")).try_cast("decimal(28,3)")
-    values = b.where("row_no % 2 = 0").select("rec_id", F.lit("bank").alias("source"), "row_no", F.lit("amount").alias("field"), wrong.alias("value"))
+    values = b.select("rec_id", F.lit("bank").alias("source"), "row_no", F.lit("amount").alias("field"), wrong.alias("value"))
     return normalise.corrections(values, texts).select("rec_id", "row_no", F.col("corrected").cast("double").alias("corrected"))
 
 

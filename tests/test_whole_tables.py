@@ -5,7 +5,7 @@ from pyspark.sql.types import StructField, StructType
 
 from quittance import catalog
 from quittance.operators import einvoice
-from quittance.plans import queries_documents, queries_parsing
+from quittance.plans import driver_data, queries_documents, queries_parsing
 
 from .oracle import differences
 
@@ -17,6 +17,11 @@ def test_all_orders_go_through_xml(spark):
     assert "WHERE" not in sql and differences(spark, SF, catalog.queries()["einvoice_xml_all_orders"], sql) == ([], [])
 
 
+def test_all_misread_amounts_are_mended(spark):
+    want = {(r["rec_id"], r["row_no"], float(r["amount"])) for r in driver_data.bank(spark, SF).where("amount >= 1000").collect()}
+    assert want and {tuple(r) for r in catalog.queries()["misread_amounts"](spark, SF).collect()} == want
+
+
 def test_header_rules_of_xrechnung(spark):
     base = queries_documents._headers(spark, SF).limit(1).withColumn("categories", F.array(F.lit("S")))
     row = base.first().asDict()

@@ -12,8 +12,9 @@ Random strings have uniform p-values; ordinary text piles up near 0. So within e
 the p-values over one half, and a cutoff t is the smallest of a grid for which the
 estimated share of ordinary text among the runs with p >= t is at most `fdr`.
 The bands make the control length-aware: where short runs of ordinary text look random, the
-cutoff rises, or nothing is flagged. The cutoffs (at most encodings x bands numbers)
-come to the driver.
+cutoff rises, or nothing is flagged. A cell with too few random runs for an estimate has the
+fixed cutoff of its band in `STRICT`, without control of the share. The cutoffs (at most
+encodings x bands numbers) come to the driver.
 
 Spans are code points, ends exclusive: a pattern's whole match (for assignments with
 the name and quotes), not only its secret part. Base spans always stay; a battery
@@ -50,6 +51,8 @@ ENCODINGS = (
 )
 #: first lengths of the bands
 BANDS = (20, 24, 32, 48, 64, 128, 512)
+#: cutoffs of the bands where no share can be estimated: joined words of up to 31 characters may pass 0.05
+STRICT = (0.5, 0.5, 0.05, 0.05, 0.05, 0.05, 0.05)
 STEPS = 100
 MARK, OTHER = "\x01", "\x02"
 
@@ -199,8 +202,11 @@ def cutoffs(tested: DataFrame, fdr: float, least: int) -> dict[tuple[str, int],
         counts.setdefault((c["encoding"], c["band"]), [0] * STEPS)[c["step"]] += c["count"]
     out = {}
     for key, bins in counts.items():
+        if key[0] is None:
+            continue  # of no encoding
         random = min(sum(bins), 2 * sum(bins[STEPS // 2 :]))
         if random < least:
+            out[key] = STRICT[key[1] - 1]
             continue
         for t in range(1, STEPS):
             flagged = sum(bins[t:])

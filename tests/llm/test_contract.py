@@ -245,6 +245,17 @@ def test_secret_battery_finds_random_runs(spark):
     assert not any(s["kind"] == "random" for i in range(100, 160) for s in got[i])
 
 
+def test_secret_battery_finds_a_single_run(spark):
+    """One random run in a cell of its own is flagged and redacted; joined words are not."""
+    r = random.Random(11)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(150))
+    df = frame(spark, [(1, f"say {key} now"), (2, "say thewhitherthatbleandthewordsthatfollowitinarowasonelongline1 now")])
+    spans = secret_scan.find_spans(df, secret_scan.learn_cutoffs(df), ["doc_id", "text"])
+    got = dict(spans.select("row.doc_id", secret_scan.redacted(F.col("row.text"), F.col("spans"))).collect())
+    assert got == {1: "say [random] now", 2: "say thewhitherthatbleandthewordsthatfollowitinarowasonelongline1 now"}
+    assert [[s["kind"] for s in r["spans"]] for r in secret_scan.scan(df).orderBy("row.doc_id").collect()] == [["random"], []]
+
+
 def test_redaction(spark):
     df = frame(spark, [(1, "a token=abcdefghijkl0 b"), (2, "clean")])
     spans = secret_scan.find_spans(df, {}, ["doc_id", "text"])

@@ -69,7 +69,7 @@ def count_tokens(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFra
     def answer(table):
         sent, keys, totals = summed(table)
         bucket = table.column("bucket")[0].as_py()
-        totals = np.minimum(totals, 2**32 - 1).astype(np.uint32)
+        totals = narrowed(totals)
         rows = [(b, bucket, pack(totals[np.searchsorted(keys, k)]), 0) for b, k in zip(table.column("block").to_pylist(), sent)]
         rows.append((-1, bucket, b"", int(((keys & ODD == 0) & (totals > 0)).sum())))
         return table_of(rows, told_as)
@@ -95,6 +95,13 @@ def count_tokens(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFra
     return source.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tell, BLOCK)
 
 
+def narrowed(totals: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits; an error, not a wrong count, where one does not fit."""
+    if len(totals) and totals.max() >= 2**32:
+        raise OverflowError(f"a key occurs {totals.max()} times; counts have 32 bits")
+    return totals.astype(np.uint32)
+
+
 def _block_table(*columns) -> pa.Table:
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in BLOCK.split(", ")])

@@ -135,6 +135,14 @@ def test_lm_base_counts(spark, docs, empty, sample):
     assert lm_score.score_texts(empty, F.lit(False)).count() == 0
 
 
+def test_lm_counts_beyond_32_bits_are_an_error():
+    import numpy as np
+
+    assert lm_score.narrowed(np.array([0, 2**32 - 1])).tolist() == [0, 2**32 - 1] and len(lm_score.narrowed(np.zeros(0, np.int64))) == 0
+    with pytest.raises(OverflowError):
+        lm_score.narrowed(np.array([1, 2**32]))
+
+
 def test_lm_beats_base_on_held_out(spark, sample):
     got = lm_score.score_texts(frame(spark, sample), queries.crc_mod(F.col("doc_id"), 7) == 2).where("held_out").collect()
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)

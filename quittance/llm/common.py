@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence, Sized
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -67,11 +67,11 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def slices(batch: pa.RecordBatch, sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch that hold about SLICE_BYTES each, one row at least."""
+def slices(batch: Sized, sizes: Sequence[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch that hold about `most` bytes each, one row at least."""
     start = held = 0
     for i, n in enumerate(sizes):
-        if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+        if i > start and (held + n > most or i - start >= SLICE_ROWS):
             yield start, i
             start, held = i, 0
         held += n
@@ -79,16 +79,17 @@ def slices(batch: pa.RecordBatch, sizes: Sequence[int]) -> Iterator[tuple[int, i
         yield start, len(sizes)
 
 
-def map_texts(docs: DataFrame, carry: Sequence[str], make: Callable, out: str, text: str = "text") -> DataFrame:
+def map_texts(docs: DataFrame, carry: Sequence[str], make: Callable, out: str, text: str = "text", beside: Column | None = None) -> DataFrame:
     """Adds the columns `out` (DDL) to the columns `carry`, by a function of whole texts.
 
     `make()` runs once in each task and returns a function from a list of UTF-8
     byte strings (None for null) to a list of Python lists or Arrow arrays, one
-    for each column of `out`. The carried columns travel as one struct, so
-    that no name of theirs can clash with an output's.
+    for each column of `out`; with `beside`, it also gets that column's values. The carried columns travel
+    as one struct, so that no name of theirs can clash with an output's.
     """
     kind = _parse_datatype_string(out)
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text).cast("string").alias("text"))
+    more = [] if beside is None else [beside.alias("beside")]
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text).cast("string").alias("text"), *more)
     schema = StructType([StructField("row", source.schema["row"].dataType), StructField("out", kind)])
 
     def run(batches):
@@ -100,10 +101,8 @@ def map_texts(docs: DataFrame, carry: Sequence[str], make: Callable, out: str, t
             rows, texts = batch.column(0), batch.column(1).cast(pa.binary())
             sizes = pa.compute.binary_length(texts).fill_null(0).to_pylist() if len(batch) else []
             for a, b in slices(batch, sizes):
-                columns = [
-                    x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(i).type)
-                    for i, x in enumerate(apply(texts.slice(a, b - a).to_pylist()))
-                ]
+                got = apply(*[c.slice(a, b - a).to_pylist() for c in (texts, *batch.columns[2:])])
+                columns = [x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(i).type) for i, x in enumerate(got)]
                 made = pa.StructArray.from_arrays(columns, fields=[arrow.field(i) for i in range(arrow.num_fields)])
                 yield pa.RecordBatch.from_arrays([rows.slice(a, b - a), made], names=["row", "out"])
 

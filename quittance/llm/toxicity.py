@@ -5,21 +5,27 @@ the smallest hashes of their ids) are the examples. Terms are words (A-Z lower-c
 runs of a-z, 0-9 and non-ASCII) and the first five characters of longer words. All terms of the
 examples are the vector space, and every example is in the index. Document frequencies of
 those terms are counted over all documents. A term whose presence differs between the
-classes beyond a Bonferroni limit weighs the square root of its chi-squared value more; no term is left out.
-
-Index. The examples' unit vectors ((1 + ln tf) * idf * class weight of the term). Terms in many examples are rows of a
-dense matrix, multiplied for many queries together in single precision; the others are postings.
-Every example that these sums put within their rounding error of the k-th best is scored
-again in double precision, so the k nearest are exact.
-
-Score. Neighbours vote with weight similarity / (1 + 0.05 - similarity), times their class's
+classes (equal texts of a class count once) beyond a Bonferroni limit weighs the square root of
+its chi-squared value more; no term is left out.
+
+Index. The examples' unit vectors ((1 + ln tf) * idf * class weight of the term), in an order that sets
+like ones together, are cut into blocks. Each block holds the weights of the terms in many examples (heads)
+that occur in it, and the greatest weight of each: a query's bound for a block is the sum over its
+terms of those maxima (rarer terms have postings, whose sums are exact). The blocks of the highest bounds
+are scored first, then those whose bound reaches the k-th best score so far; all others are passed
+over. Single precision serves for that; every example within its rounding error of the k-th best is
+scored again in double precision, so the k nearest are exact.
+
+Score. An example that has the scored row's doc_id takes no part in its score. Neighbours vote with
+weight similarity / (1 + 0.05 - similarity), times their class's
 share of all labelled rows over its share of examples, with a prior vote of one such neighbour; a logistic
 curve fitted to leave-one-out votes of the examples calibrates the vote.
 
 Cases: null, empty and all-unknown texts have no neighbours and get the calibrated
 prior; very long texts are read whole; ties go to the smaller doc_id; repeated
-documents are scored row by row; a doc_id labelled twice counts once (toxic wins);
-without labels of both classes every score is the share of toxic labels (0 without labels).
+documents are scored row by row; a doc_id labelled twice counts once (toxic wins); of the texts of a repeated
+example id one counts; without labels of both classes every score is the share of toxic labels (0 without
+labels); null doc_ids are scored; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,20 +34,27 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_texts, materialise
+from .common import map_texts, materialise, slices
 from .decontaminate import NORMAL
 
 OUT = "score double, neighbours array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 PREFIX = 5
-#: terms in at least one of so many examples are rows of the dense matrix
+#: terms in at least one of so many examples are heads
 HEAD = 32
-#: queries that are multiplied together
-QUERIES = 64
+#: examples of a block
+BLOCK = 64
+#: queries whose bounds are computed together, that are scored together, and postings that are added up at once
+QUERIES, TOGETHER, POSTINGS = 256, 32, 1 << 17
+#: bytes of text that are split into words at once
+SLICE = 1 << 20
+#: texts of which a task keeps the neighbours, for their copies
+HELD = 5_000
 #: above the error of single-precision sums of similarities
 MARGIN = 2e-5
 
@@ -56,30 +69,63 @@ def terms_of(text: bytes | None) -> Counter:
     return words
 
 
-class Terms(dict):
-    """Numbers of a word and of its first characters (0: unknown), in one integer; learns words as they come."""
-
-    def __init__(self, terms: Sequence[str], held: int = 300_000):
-        self.number, self.held = {t: i + 1 for i, t in enumerate(terms)}, held
+class Lookup:
+    """Numbers of strings by their 64-bit hashes, for many at once: sorted hashes behind a table of their upper bits."""
+
+    def __init__(self, strings: Sequence[str], numbers: np.ndarray):
+        hashes = hashes_of(strings)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = np.append(hashes[order], np.uint64(2**64 - 1)), np.append(numbers[order], -1)
+        self.shift = np.uint64(64 - max(1, len(hashes).bit_length() + 1))
+        self.first = np.searchsorted(hashes[order] >> self.shift, np.arange(2 ** (64 - int(self.shift)) + 1, dtype=np.uint64))
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each, -1 for unknown ones."""
+        out, at = np.full(len(hashes), -1, np.int64), self.first[hashes >> self.shift]
+        for _ in range(self.most):
+            hit = self.hashes[at] == hashes
+            out[hit] = self.numbers[at[hit]]
+            at = np.minimum(at + 1, len(self.hashes) - 1)
+        return out
 
-    def __missing__(self, w: str) -> int:
-        if len(self) >= self.held:
-            self.clear()
-        stem = self.number.get(w[:PREFIX] + "*", 0) if len(w) > PREFIX else 0
-        self[w] = made = self.number.get(w, 0) << 31 | stem
-        return made
 
-    def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers in order, and their counts."""
-        words = Counter((text or b"").translate(NORMAL).decode().split(" "))
-        del words[""]
-        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        counts = np.fromiter(words.values(), np.int64, len(words))
-        found = np.concatenate([both >> 31, both & (1 << 31) - 1])
-        terms, place = np.unique(found, return_inverse=True)
-        sums = np.bincount(place, np.concatenate([counts, counts]), len(terms))
-        known = terms > 0
-        return terms[known] - 1, sums[known]
+def hashes_of(strings: Sequence[str]) -> np.ndarray:
+    """This process's own hashes."""
+    return np.fromiter(map(hash, strings), np.int64, len(strings)).view(np.uint64)
+
+
+class Terms:
+    """Numbers of the terms of texts; words and first characters that no example has are passed over."""
+
+    def __init__(self, terms: Sequence[str]):
+        stem = np.array([t[-1] == "*" for t in terms], bool)  # no word holds one
+        self.words = Lookup([t for t in terms if t[-1] != "*"], np.flatnonzero(~stem))
+        self.stems = Lookup([t[:-1] for t in terms if t[-1] == "*"], np.flatnonzero(stem))
+        self.stem_of = np.full(len(terms), -1, np.int64)
+        long = np.array([i for i, t in enumerate(terms) if len(t) > PREFIX and t[-1] != "*"], np.int64)
+        self.stem_of[long] = self.stems(hashes_of([terms[i][:PREFIX] for i in long.tolist()]))
+
+    def vectors(self, texts: Sequence[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Term numbers in order, and their counts, of each text."""
+        words, ends = [], []
+        for t in texts:
+            if t:
+                words += filter(None, t.translate(NORMAL).decode().split(" "))
+            ends.append(len(words))
+        lengths = np.diff(np.array(ends, np.int64), prepend=0)
+        whole = self.words(hashes_of(words))
+        known = whole >= 0
+        new = [i for i in np.flatnonzero(~known).tolist() if len(words[i]) > PREFIX]
+        stems = np.full(len(words), -1, np.int64)
+        stems[known] = self.stem_of[whole[known]]
+        stems[new] = self.stems(hashes_of([words[i][:PREFIX] for i in new]))
+        cell = np.repeat(np.arange(len(texts)) << 32, lengths)
+        cells = np.concatenate([(cell + whole)[known], (cell + stems)[stems >= 0]])
+        found, counts = np.unique(cells, return_counts=True)
+        cuts = np.searchsorted(found >> 32, np.arange(len(texts) + 1)).tolist()
+        found &= 0xFFFFFFFF
+        return [(found[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def runs(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -88,25 +134,68 @@ def runs(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + sizes, sizes)
 
 
+def arranged(vectors: list, weight: np.ndarray, groups: int = 64, rounds: int = 4) -> np.ndarray:
+    """An order of vectors that sets like ones together: spherical k-means over their frequent terms, alike groups in a row."""
+    n = len(vectors)
+    held = np.bincount(np.concatenate([np.zeros(0, np.int64), *[t for t, _ in vectors]]), minlength=len(weight))
+    heads = np.flatnonzero((held > 1) & (held * HEAD >= n))
+    at = np.full(len(weight), -1, np.int64)
+    at[heads] = np.arange(len(heads))
+    points = np.zeros((n, len(heads)), np.float32)
+    for row, (t, c) in zip(points, vectors):
+        seen = at[t] >= 0
+        row[at[t][seen]] = (1 + np.log(c[seen])) * weight[t[seen]]
+    scale = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    points = scale(points)
+    centres = points[np.linspace(0, n - 1, min(groups, n)).astype(int)]
+    for _ in range(rounds):
+        near = (points @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, points)
+        centres = scale(sums)
+    likeness, chain, left = centres @ centres.T, [0], set(range(1, len(centres)))
+    while left:
+        chain.append(max(sorted(left), key=lambda j: likeness[chain[-1], j]))
+        left.remove(chain[-1])
+    place = np.empty(len(centres), np.int64)
+    place[chain] = np.arange(len(centres))
+    return np.argsort(place[near], kind="stable")
+
+
 class Index:
-    """Unit vectors of examples. vectors: (term numbers, term counts) of each example; weight: of each term."""
+    """Unit vectors of examples in blocks. vectors: (term numbers, term counts) of each example; weight: of each term."""
 
     def __init__(self, vectors: list, doc_ids: Sequence[int], toxic: Sequence[int], weight: np.ndarray, class_weight: Sequence[float], k: int = 15):
         self.weight, self.k, self.class_weight = weight, k, class_weight
         self.doc_ids, self.toxic = np.array(doc_ids, np.int64), np.array(toxic, np.int64)
+        self.places: dict[int, list[int]] = {}
+        for i, d in enumerate(doc_ids):
+            self.places.setdefault(d, []).append(i)
         units = [self.unit(*v) for v in vectors]
+        n = self.n = len(units)
         self.sizes = np.array([len(t) for t, _ in units], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.terms = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in units]])
         self.weights = np.concatenate([np.zeros(0), *[w for _, w in units]])
-        rows, n = np.repeat(np.arange(len(units)), self.sizes), len(units)
+        rows = np.repeat(np.arange(n), self.sizes)
         held = np.bincount(self.terms, minlength=len(weight))
         heads = np.flatnonzero((held > 1) & (held * HEAD >= n))
         self.head = np.full(len(weight), -1, np.int64)
         self.head[heads] = np.arange(len(heads))
-        self.dense = np.zeros((len(heads), n), np.float32)
         at = self.head[self.terms]
-        self.dense[at[at >= 0], rows[at >= 0]] = self.weights[at >= 0]
+        self.firsts = np.arange(0, n, BLOCK)
+        #: of each block the heads in it and their weights (heads x examples); the greatest ones (heads x blocks)
+        self.blocks, self.most = [], np.zeros((len(heads), len(self.firsts)), np.float32)
+        for b, first in enumerate(self.firsts):
+            last = min(n, first + BLOCK)
+            own = slice(self.starts[first], self.starts[last - 1] + self.sizes[last - 1])
+            seen = at[own] >= 0
+            present, place = np.unique(at[own][seen], return_inverse=True)
+            inner = np.zeros((len(present), last - first), np.float32)
+            inner[place, rows[own][seen] - first] = self.weights[own][seen]
+            self.blocks.append((present, inner))
+            if len(present):
+                self.most[present, b] = inner.max(1)
         rest = np.flatnonzero(at < 0)
         rest = rest[np.argsort(self.terms[rest], kind="stable")]
         self.rows, self.row_weights = rows[rest], self.weights[rest]
@@ -123,32 +212,74 @@ class Index:
         return self.nearest_of([(terms, counts)], [without])[0]
 
     def nearest_of(self, vectors: list, without: Sequence[int | None] | None = None) -> list[list[tuple[float, int]]]:
-        out = []
+        out: list = [None] * len(vectors)
         for i in range(0, len(vectors), QUERIES):
             units = [self.unit(*v) for v in vectors[i : i + QUERIES]]
-            asked = np.zeros((len(units), len(self.dense)), np.float32)
-            for row, (t, w) in zip(asked, units):
-                at = self.head[t]
-                row[at[at >= 0]] = w[at >= 0]
-            for near, unit, one in zip(asked @ self.dense, units, (without or [None] * len(vectors))[i:]):
-                out.append(self._exact(near, *unit, one))
+            asked = np.zeros((len(units), len(self.most)), np.float32)
+            rare = np.zeros((len(units), self.n), np.float32)
+            sizes = np.array([len(t) for t, _ in units])
+            owner, terms, w = np.repeat(np.arange(len(units)), sizes), *map(np.concatenate, zip(*units))
+            at = self.head[terms]
+            hit = at >= 0
+            asked[owner[hit], at[hit]] = w[hit]
+            self._postings(rare, owner[~hit], terms[~hit], w[~hit])
+            for j, own in enumerate(without[i : i + QUERIES] if without else ()):
+                rare[j, self.places.get(own, [])] = -2.0
+            bounds = asked @ self.most + np.maximum.reduceat(rare, self.firsts, axis=1)
+            order = np.argsort(bounds.argmax(1), kind="stable")  # queries that need the same blocks go together
+            for a in range(0, len(order), TOGETHER):
+                some = order[a : a + TOGETHER]
+                found = self._scored(asked[some], rare[some], bounds[some])
+                for j, near in zip(some.tolist(), found):
+                    out[i + j] = self._exact(near, *units[j])
         return out
 
-    def _exact(self, near: np.ndarray, terms: np.ndarray, w: np.ndarray, without: int | None) -> list[tuple[float, int]]:
-        rare = self.head[terms] < 0
-        first, sizes = self.first[terms[rare]], self.first[terms[rare] + 1] - self.first[terms[rare]]
-        if sizes.sum():
-            at = runs(first, sizes)
-            near = near + np.bincount(self.rows[at], self.row_weights[at] * np.repeat(w[rare], sizes), len(near))
-        if without is not None:
-            near = np.where(self.doc_ids == without, 0.0, near)
+    def _postings(self, sums: np.ndarray, owner: np.ndarray, terms: np.ndarray, w: np.ndarray) -> None:
+        """The products with the terms that are no heads, of so many queries at a time as have about POSTINGS."""
+        first, lengths = self.first[terms], self.first[terms + 1] - self.first[terms]
+        ends = np.searchsorted(owner, np.arange(len(sums) + 1))
+        total = np.concatenate([[0], np.cumsum(lengths)])[ends]
+        a = 0
+        while a < len(sums):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + POSTINGS, "right")) - 1)
+            own = slice(ends[a], ends[b])
+            at = runs(first[own], lengths[own])
+            cell = self.rows[at] + np.repeat((owner[own] - a) * self.n, lengths[own])
+            added = np.bincount(cell, self.row_weights[at] * np.repeat(w[own], lengths[own]), (b - a) * self.n)
+            sums[a:b] = added.reshape(b - a, self.n)
+            a = b
+
+    def _scored(self, asked: np.ndarray, rare: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Similarities of all examples in blocks that any of these queries needs; -1 in the others."""
+        n_blocks, columns = len(self.blocks), np.ascontiguousarray(asked.T)
+        near = np.full(rare.shape, -1, np.float32)
+        done = np.zeros(n_blocks, bool)
+
+        def score(wanted):
+            for b in np.flatnonzero(wanted & ~done):
+                present, inner = self.blocks[b]
+                span = slice(self.firsts[b], self.firsts[b] + inner.shape[1])
+                near[:, span] = rare[:, span] + columns[present].T @ inner
+            done[wanted] = True
+
+        first = min(n_blocks, 1 + -(-self.k // BLOCK))
+        wanted = np.zeros(n_blocks, bool)
+        wanted[np.argpartition(-bounds, first - 1, axis=1)[:, :first]] = True
+        score(wanted)
+        if not done.all():
+            held = near[:, np.repeat(done, BLOCK)[: self.n]]
+            least = np.partition(held, -self.k, axis=1)[:, -self.k]
+            score((bounds >= (least - MARGIN)[:, None]).any(0))
+        return near
+
+    def _exact(self, near: np.ndarray, terms: np.ndarray, w: np.ndarray) -> list[tuple[float, int]]:
         least = np.partition(near, -self.k)[-self.k] - MARGIN if len(near) > self.k else 0.0
         found = np.flatnonzero((near >= least) & (near > 0))
         if not len(found):
             return []
         self.query[terms] = w
-        at, sizes = runs(self.starts[found], self.sizes[found]), self.sizes[found]
-        sims = np.add.reduceat(self.query[self.terms[at]] * self.weights[at], np.cumsum(sizes) - sizes).round(9)
+        spans = [slice(a, a + n) for a, n in zip(self.starts[found].tolist(), self.sizes[found].tolist())]
+        sims = np.array([self.query[self.terms[s]] @ self.weights[s] for s in spans]).round(9)
         self.query[terms] = 0
         return [(float(sims[j]), int(found[j])) for j in np.lexsort((self.doc_ids[found], -sims))[: self.k]]
 
@@ -217,14 +348,15 @@ def vectors_of(examples: DataFrame) -> tuple[list[int], list[int], list, pa.Arra
 
 
 def class_weights(vectors: list, toxic: Sequence[int], n_terms: int, level: float = 0.01) -> np.ndarray:
-    """The square root of chi-squared of the terms that differ between the classes, else 1."""
+    """The square root of chi-squared of the terms that differ between the classes, else 1. Equal vectors of a class count once."""
     n, a = np.zeros(n_terms), np.zeros(n_terms)
-    for (t, _), y in zip(vectors, toxic):
+    distinct = {(t.tobytes(), c.tobytes(), y): t for (t, c), y in zip(vectors, toxic)}
+    for (_, _, y), t in distinct.items():
         n[t] += 1
         a[t] += y
-    total, t = float(len(toxic)), float(sum(toxic))
+    total, t = float(len(distinct)), float(sum(y for _, _, y in distinct))
     c, b = total - t, n - a
-    chi = total * (a * (c - b) - b * (t - a)) ** 2 / (t * c * n * (total - n + 1e-9))
+    chi = total * (a * (c - b) - b * (t - a)) ** 2 / (t * c * n * (total - n + 1e-9) + 1e-300)
     tested = n >= 3  # the normal approximation holds for no rarer term
     # z of a two-sided normal test at level / tests: sqrt(2 ln(2 tests / level)) bounds it
     limit = 2 * math.log(2 * max(1, tested.sum()) / level)
@@ -237,9 +369,11 @@ def document_frequencies(docs: DataFrame, terms) -> tuple[int, np.ndarray]:
     def run(batches):
         known, seen, rows = Terms(terms.value.to_pylist()), np.zeros(len(terms.value) + 1, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                seen[known.vector(text)[0] + 1] += 1
-                rows += 1
+            texts = batch.column(0).cast(pa.binary())
+            for a, b in slices(batch, pa.compute.binary_length(texts).fill_null(0).to_pylist(), SLICE):
+                for found, _ in known.vectors(texts.slice(a, b - a).to_pylist()):
+                    seen[found + 1] += 1
+            rows += len(batch)
         seen[0] = rows
         found = np.flatnonzero(seen)
         for i in range(0, len(found), 1 << 16):
@@ -268,6 +402,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("
         n_docs, frequency = document_frequencies(docs, words)
         scale = (np.log((1 + n_docs) / (1 + frequency)) + 1) * class_weights(vectors, ys, len(terms))
         weight = [totals.get(y, 0) / max(1, ys.count(y)) / max(1.0, sum(totals.values()) / max(1, len(ys))) for y in (0, 1)]
+        order = arranged(vectors, scale).tolist()
+        vectors, ids, ys = ([x[i] for i in order] for x in (vectors, ids, ys))
         index = Index(vectors, ids, ys, scale, weight, k)
         x = np.array([_logit(index.vote(m, prior)) for m in index.nearest_of(vectors, ids)])
         slope, intercept = logistic(x, np.array(ys, float), np.array([weight[y] for y in ys]))
@@ -275,16 +411,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("
 
     def make():
         if not fitted:
-            return lambda texts: [[prior] * len(texts), [[]] * len(texts)]
+            return lambda texts, _: [[prior] * len(texts), [[]] * len(texts)]
         index, known, held = Index(*model.value), Terms(words.value.to_pylist()), {}
 
-        def scored(texts):
-            keys = [hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts]
+        def vectors(texts):
+            sizes = [len(t or b"") for t in texts]
+            return [v for a, b in slices(texts, sizes, SLICE) for v in known.vectors(texts[a:b])]
+
+        def scored(texts, doc_ids):
+            own = [d if d in index.places else None for d in doc_ids]
+            keys = [(hashlib.blake2b(t or b"", digest_size=16).digest(), d) for t, d in zip(texts, own)]
             new = {key: t for key, t in zip(keys, texts) if key not in held}
-            made = dict(zip(new, index.nearest_of([known.vector(t) for t in new.values()])))
+            made = dict(zip(new, index.nearest_of(vectors(list(new.values())), [d for _, d in new])))
             made = {key: (1 / (1 + math.exp(-(slope * _logit(index.vote(near, prior)) + intercept))), near) for key, near in made.items()}
             found = [made.get(key) or held[key] for key in keys]
-            held.update(list(made.items())[: max(0, 20_000 - len(held))])
+            held.update(list(made.items())[: max(0, HELD - len(held))])
             near = [x for _, m in found for x in m]
             at = np.array([p for _, p in near], np.int64)
             columns = [pa.array(index.doc_ids[at]), pa.array([s for s, _ in near], pa.float64()), pa.array(index.toxic[at].astype(np.int32))]
@@ -294,4 +435,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("
 
         return scored
 
-    return map_texts(docs, carry, make, OUT)
+    return map_texts(docs, carry, make, OUT, beside=F.col("doc_id").cast("bigint"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence, Sized
@@ -18,6 +19,28 @@ SLICE_BYTES = 8 << 20
 SLICE_ROWS = 4096
 
 
+_kept: dict[tuple[str, object], object] = {}
+
+
+def kept(operator: str, key, make: Callable):
+    """An object that a worker process keeps between the tasks of one operator; what other operators kept goes."""
+    if any(o != operator for o, _ in _kept):
+        let_go()
+    if (operator, key) not in _kept:
+        _kept[operator, key] = make()
+    return _kept[operator, key]
+
+
+def let_go() -> None:
+    """Empties what this worker process kept, and hands free memory back to the system."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case and nothing else (no locale, no Unicode folding)."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -29,10 +52,12 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one where unset."""
+    """The folder all executors share, from spark.checkpoint.dir; on one machine a temporary one where unset."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -62,9 +87,27 @@ def rows_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.select(F.explode(F.when(condition, F.array("row"))).alias("row")).select("row.*")
 
 
-def text_bytes(df: DataFrame, column: str = "text") -> int:
-    """UTF-8 bytes of a text column, over all rows (0 for an empty table)."""
-    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+def text_size(df: DataFrame, column: str = "text") -> tuple[int, int]:
+    """UTF-8 bytes of a text column, over all rows (0 for an empty table), and the number of rows."""
+    size, rows = df.agg(F.sum(F.octet_length(column)), F.count(F.lit(1))).first()
+    return size or 0, rows
+
+
+def spread_join(rows: DataFrame, key: str, stats: DataFrame, values: Sequence[str], heavy: Column, spare: Column) -> DataFrame:
+    """rows with the columns `values` of their key's row in `stats` (one per key at most), null where there is none.
+
+    No task gets all rows of a hot key: the rows of stats for which `heavy` holds (the caller sees to it that they are
+    few, e.g. keys with over 1 / 2048 of all rows) are broadcast, and rows of their keys are dealt by `spare`
+    (of the key's type) in the join with the others.
+    """
+    held = [F.col(c) for c in rows.columns]
+    hot = F.broadcast(stats.where(heavy).select(F.col(key).alias("__hot"), F.struct(*values).alias("__of_hot")))
+    cold = stats.where(~F.coalesce(heavy, F.lit(False))).select(F.col(key).alias("__cold"), F.struct(*values).alias("__of_cold"))
+    out = rows.join(hot, F.col(key) == F.col("__hot"), "left")
+    out = out.withColumn("__at", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spare))
+    out = out.join(cold, F.col("__at") == F.col("__cold"), "left")
+    of = F.when(F.col("__hot").isNotNull(), F.col("__of_hot")).when(F.col(key) == F.col("__cold"), F.col("__of_cold"))
+    return out.select(*held, of.alias("__of")).select(*rows.columns, *[F.col("__of")[v].alias(v) for v in values])
 
 
 def slices(batch: Sized, sizes: Sequence[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

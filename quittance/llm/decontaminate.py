@@ -13,7 +13,8 @@ its own automaton and pass, and the passes' hits are united per row.
 Cases: null or empty text has no words and no hit; an item without words has
 no window, one with fewer than `width` words is a single window; repeated items
 count once for each distinct item_id (null ids are ignored); repeated documents are
-judged row by row; empty tables give no rows or no hits; other columns are not read.
+judged row by row; very long texts are scanned whole; windows shared by items count for each of them (no ties);
+empty tables give no rows or no hits; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ascii_lower, map_texts, materialise
+from .common import ascii_lower, kept, map_texts, materialise
 
 #: a-z, 0-9 and bytes from 0x80 stay, A-Z are lower-cased, the rest separates words
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -34,8 +35,6 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OUT = "n_words bigint, n_hit bigint, item_ids array<string>, hits array<struct<first:bigint,last:bigint>>, spans array<struct<start:bigint,end:bigint>>"
 
-_automata: dict[str, ahocorasick.Automaton] = {}
-
 
 def windows(items: DataFrame, width: int = 10) -> DataFrame:
     """Distinct windows with the ids of the items that hold them: window string, item_ids array<string>."""
@@ -50,16 +49,13 @@ def windows(items: DataFrame, width: int = 10) -> DataFrame:
     )
 
 
-def _automaton(key: str, patterns) -> ahocorasick.Automaton:
-    if key not in _automata:
-        _automata.clear()
-        built = ahocorasick.Automaton()
-        for k, (window, _) in enumerate(patterns):
-            chars = f" {window} ".encode().decode("latin-1")
-            built.add_word(chars, (len(chars), window.count(" ") + 1, k))
-        built.make_automaton()
-        _automata[key] = built
-    return _automata[key]
+def _automaton(patterns) -> ahocorasick.Automaton:
+    built = ahocorasick.Automaton()
+    for k, (window, _) in enumerate(patterns):
+        chars = f" {window} ".encode().decode("latin-1")
+        built.add_word(chars, (len(chars), window.count(" ") + 1, k))
+    built.make_automaton()
+    return built
 
 
 def _hits(found: list, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -77,7 +73,7 @@ def _hits(found: list, ends: np.ndarray) -> list[tuple[int, int]]:
 def _scan(docs: DataFrame, carry: Sequence[str], key: str, shared) -> DataFrame:
     def make():
         patterns = shared.value
-        scan = _automaton(key, patterns)
+        scan = kept(f"decontamination {key}", None, lambda: _automaton(patterns))
 
         def apply(texts):
             out = [[], [], [], [], []]
@@ -103,7 +99,8 @@ def _scan(docs: DataFrame, carry: Sequence[str], key: str, shared) -> DataFrame:
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:
-    """One row for each id of `row.__row`: ranges of all passes merged, ids united."""
+    """One row for each `row.number`: ranges of all passes merged, ids united."""
+
     def merge(ranges, lo, hi):
         ordered = F.array_sort(F.transform(ranges, lambda r: F.struct(r[lo].alias(lo), r[hi].alias(hi))))
         return F.aggregate(
@@ -121,8 +118,8 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    grouped = union.groupBy(F.col("row.__row").alias("key")).agg(
-        F.first("row").alias("row"),
+    grouped = union.groupBy(F.col("row.number").alias("number")).agg(
+        F.first("row.row").alias("row"),
         F.max("out.n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("out.item_ids")))).alias("item_ids"),
         F.flatten(F.collect_list("out.hits")).alias("hits"),
@@ -145,8 +142,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, carry: Sequence[str] = ("do
     blocks = max(1, math.ceil(total / block_bytes))
     if blocks > 1:
         cut = materialise(cut)
-        docs = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-        carry = [*carry, "__row"]
+        row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+        docs = materialise(docs.select(row, "text", F.monotonically_increasing_id().alias("number")))
+        carry = ["row", "number"]
     parts = []
     for b in range(blocks):
         rows = cut.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).orderBy("window").collect()
@@ -154,6 +152,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, carry: Sequence[str] = ("do
         parts.append(_scan(docs, carry, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", shared))
     if blocks == 1:
         return parts[0]
-    united = _united(parts)
-    names = [c for c in carry if c != "__row"]
-    return united.select(F.struct(*[F.col("row")[c].alias(c) for c in names]).alias("row"), "out")
+    return _united(parts)

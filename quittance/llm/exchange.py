@@ -23,9 +23,9 @@ ANSWER = "block bigint, bucket bigint, counts binary"
 
 
 class WordHashes(dict):
-    """xxh3 hashes of words; emptied when it holds `limit` of them."""
+    """xxh3 hashes of the words of a block of texts; emptied when it holds `limit` of them."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -39,9 +39,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-WORDS = WordHashes()
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     """A-Z lower-cased; runs of anything but space and \\x09-\\x0D."""
     return text.translate(LOWER_BYTES).split() if text else []
@@ -133,12 +130,12 @@ def summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return sent, held[first], np.add.reduceat(added[order].astype(np.int64), first)
 
 
-def answers(requests: DataFrame, cap: int = 2**32 - 1) -> DataFrame:
-    """Counts over all blocks for each message, in the order of its keys, cut off at `cap`."""
+def answers(requests: DataFrame) -> DataFrame:
+    """Counts (64 bits) over all blocks for each message, in the order of its keys."""
 
     def answer(table: pa.Table) -> pa.Table:
         sent, keys, totals = summed(table)
-        totals = np.minimum(totals, cap).astype(np.uint32)
+        totals = totals.astype(np.uint64)
         bucket = table.column("bucket")[0].as_py()
         rows = [(b, bucket, pack(totals[np.searchsorted(keys, k)])) for b, k in zip(table.column("block").to_pylist(), sent)]
         return table_of(rows, ANSWER)
@@ -150,4 +147,4 @@ def answered(table: pa.Table) -> np.ndarray:
     """A block's counts, aligned to its sorted distinct keys. table: the block's answers."""
     order = np.argsort(table.column("bucket").to_numpy())
     raw = table.column("counts")
-    return np.concatenate([unpack(raw[int(i)].as_py(), np.uint32) for i in order]) if len(order) else np.zeros(0, np.uint32)
+    return np.concatenate([unpack(raw[int(i)].as_py()) for i in order]) if len(order) else np.zeros(0, np.uint64)

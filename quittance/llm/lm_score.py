@@ -6,7 +6,7 @@ expectation-maximisation on held-out counts made by deletion: each training toke
 all other training tokens. For that the corpus is summed up as a histogram over (bucket,
 log-ratio bins of the three estimates), a table of bounded size, on which the rounds run.
 
-All counts are exact sums over the whole corpus for 63-bit hashes of words and word
+All counts are exact sums in 64 bits over the whole corpus for 63-bit hashes of words and word
 pairs, by the messages of exchange.py: blocks of documents send their distinct keys once and get totals back. The
 counts of each token are then written to the shared folder, by blocks; learning and scoring read those.
 
@@ -15,7 +15,7 @@ end. The first token's context is a begin mark, whose count is the number of tra
 
 Cases: null and empty texts hold the end alone; texts of any length are scored whole; repeated rows
 are training data and scored row by row; null doc_ids count as the empty id for the
-split; without training rows N and V are 0 and scores come from the uniform part; an
+split; tied estimates and weights need no order; other columns are not read; without training rows N and V are 0 and scores come from the uniform part; an
 empty table gives no rows.
 """
 
@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise, text_bytes
-from .exchange import MESSAGE, WORDS, answered, block_of, blocks_for, combined, messages, mixed, pack, summed, table_of, unpack, words_of
+from .common import let_go, materialise, text_size
+from .exchange import MESSAGE, WordHashes, answered, block_of, blocks_for, combined, messages, mixed, pack, summed, table_of, unpack, words_of
 
 END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567696E)
 BUCKETS = 24
@@ -37,15 +37,17 @@ BLOCK = "block bigint, doc_ids array<bigint>, held_out array<boolean>, n_tokens
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def keys_of(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(text: bytes | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Word keys (even) and word-pair keys (odd) of a text's tokens, the pairs ending at them."""
-    tokens = np.append(WORDS.of(words_of(text)), END)
+    tokens = np.append(hashes.of(words_of(text)), END)
     pairs = combined(np.concatenate([[BEGIN], tokens]), 2)
     return mixed(tokens) & ~ODD, pairs | ODD
 
 
 def _block_keys(table: pa.Table):
-    parts = [keys_of(t.as_py()) for t in table.column("text").cast(pa.binary())]
+    let_go()
+    hashes = WordHashes()
+    parts = [keys_of(t.as_py(), hashes) for t in table.column("text").cast(pa.binary())]
     lengths = np.array([len(u) for u, _ in parts], np.int64)
     return lengths, np.concatenate([u for u, _ in parts]), np.concatenate([b for _, b in parts])
 
@@ -53,7 +55,7 @@ def _block_keys(table: pa.Table):
 def count_tokens(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFrame:
     """A row per block (see BLOCK): its documents and, for every token, the training counts of word
     and pair. Row -1 has the number of distinct training words in `types`."""
-    blocks = blocks_for(text_bytes(docs), block_bytes)
+    blocks = blocks_for(text_size(docs)[0], block_bytes)
     source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), held_out.alias("held_out"))
     source = source.withColumn("block", block_of([F.col("doc_id"), F.col("text")], blocks))
 
@@ -69,7 +71,7 @@ def count_tokens(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFra
     def answer(table):
         sent, keys, totals = summed(table)
         bucket = table.column("bucket")[0].as_py()
-        totals = narrowed(totals)
+        totals = totals.astype(np.uint64)
         rows = [(b, bucket, pack(totals[np.searchsorted(keys, k)]), 0) for b, k in zip(table.column("block").to_pylist(), sent)]
         rows.append((-1, bucket, b"", int(((keys & ODD == 0) & (totals > 0)).sum())))
         return table_of(rows, told_as)
@@ -95,13 +97,6 @@ def count_tokens(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFra
     return source.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tell, BLOCK)
 
 
-def narrowed(totals: np.ndarray) -> np.ndarray:
-    """Counts in 32 bits; an error, not a wrong count, where one does not fit."""
-    if len(totals) and totals.max() >= 2**32:
-        raise OverflowError(f"a key occurs {totals.max()} times; counts have 32 bits")
-    return totals.astype(np.uint32)
-
-
 def _block_table(*columns) -> pa.Table:
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in BLOCK.split(", ")])
@@ -110,7 +105,7 @@ def _block_table(*columns) -> pa.Table:
 def _tokens(row: dict, contexts: int):
     """For each token: document number, counts of word, pair and context."""
     lengths = np.array(row["n_tokens"], np.int64)
-    uni, bi = unpack(row["uni"], np.uint32).astype(np.int64), unpack(row["bi"], np.uint32).astype(np.int64)
+    uni, bi = unpack(row["uni"]).astype(np.int64), unpack(row["bi"]).astype(np.int64)
     context = np.empty(len(uni), np.int64)
     context[1:] = uni[:-1]
     context[np.cumsum(lengths) - lengths] = contexts

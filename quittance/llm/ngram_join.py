@@ -16,10 +16,14 @@ collapse to one node (its 128-bit signature), so copies cost one row each.
 
 No pair is written, and no link is lost: all filters are exact bounds.
 
+No step deals all rows of a key to one task where that key may be hot: a token's sets are linked in parts of
+about `PART`, stars of edges, clusters, components and copies go through spread_join().
+
 Cases: texts without words have the empty set and link with nothing; with fewer words than
 `n` the whole sequence is the one n-gram; rows of equal sets link with each other; null
 doc_ids take part, but are never a component's id (null where it has no other);
-repeated rows are nodes of the same set; an empty table gives no rows.
+repeated rows are nodes of the same set; sets tied in frequency are ordered by hash, components by their least
+signature; very long texts are read whole; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,24 +33,26 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise, text_bytes
+from .common import let_go, materialise, spread_join, text_size
 from .components import components
-from .exchange import MESSAGE, WORDS, answered, answers, block_of, blocks_for, combined, messages, pack_sorted, table_of, unpack_sorted, words_of
+from .exchange import MESSAGE, WordHashes, answered, answers, block_of, blocks_for, combined, messages, pack_sorted, table_of, unpack_sorted, words_of
 
 SHINGLES = 5
 PERCENT = 80
+#: sets that share a token are linked in parts of about so many
+PART = 1024
 
 
-def shingle_set(text: bytes | None, n: int = SHINGLES) -> np.ndarray:
+def shingle_set(text: bytes | None, hashes: WordHashes, n: int = SHINGLES) -> np.ndarray:
     """Sorted distinct hashes of a text's n-grams."""
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < n:
         return np.array([xxhash.xxh3_64_intdigest(b"\x00".join(words), seed=n)], np.uint64)
-    return np.unique(combined(WORDS.of(words), n))
+    return np.unique(combined(hashes.of(words), n))
 
 
 def needed(n, percent: int = PERCENT):
@@ -69,10 +75,11 @@ def signature(tokens: np.ndarray) -> bytes:
 
 def _sets(table: pa.Table) -> tuple[list, list, dict[bytes, np.ndarray]]:
     """doc_ids, signatures and the distinct non-empty sets of a block of texts."""
+    let_go()
     distinct: dict[bytes, np.ndarray] = {}
-    sigs = []
+    sigs, hashes = [], WordHashes()
     for text in table.column("text").cast(pa.binary()):
-        tokens = shingle_set(text.as_py())
+        tokens = shingle_set(text.as_py(), hashes)
         sig = signature(tokens) if len(tokens) else b""
         sigs.append((sig, len(tokens)))
         if sig:
@@ -89,7 +96,7 @@ def _request(parts: list[np.ndarray], block: int, buckets: int) -> pa.Table:
     return table_of(messages(keys, counts, block, buckets), MESSAGE)
 
 
-SETS = "sig binary, doc_id bigint, n bigint, tokens binary"
+SETS = "sig binary, doc_id bigint, key binary, n bigint, tokens binary"
 
 
 def _survivors(docs: DataFrame, blocks: int, percent: int) -> DataFrame:
@@ -103,27 +110,28 @@ def _survivors(docs: DataFrame, blocks: int, percent: int) -> DataFrame:
         if not len(table):
             return table_of([], SETS)
         ids, sigs, distinct = _sets(table)
+        marks = table.column("key").to_pylist()
         heads = {s: t[: first_tokens(len(t), percent)] for s, t in distinct.items()}
         keys, counts = np.unique(_joined(list(heads.values())), return_counts=False), answered(told)
-        rows = [(s, i, n, None) for i, (s, n) in zip(ids, sigs)]
+        rows = [(s, i, m, n, None) for i, m, (s, n) in zip(ids, marks, sigs)]
         for s, t in distinct.items():
             shared = int((counts[np.searchsorted(keys, heads[s])] > 1).sum())
             if shared >= ell(needed(len(t), percent), percent):
-                rows.append((s, None, len(t), pack_sorted(t)))
+                rows.append((s, None, None, len(t), pack_sorted(t)))
         return table_of(rows, SETS)
 
     asked = docs.groupBy("block").applyInArrow(ask, MESSAGE)
-    told = answers(asked, cap=2)
+    told = answers(asked)
     return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, SETS)
 
 
 def _candidates(sets: DataFrame, blocks: int, percent: int) -> DataFrame:
-    """sig, n, token: the prefix tokens that occur in other sets too."""
+    """sig, token, part, parts: the prefix tokens that occur in other sets too, and the set's part of the token's sets."""
 
     def ask(table):
         return _request([unpack_sorted(x) for x in table.column("tokens").to_pylist()], table.column("block")[0].as_py(), blocks)
 
-    schema = "sig binary, n bigint, token bigint"
+    schema = "sig binary, token bigint, part bigint, parts bigint"
 
     def prefixes(table, told):
         rows = []
@@ -135,7 +143,9 @@ def _candidates(sets: DataFrame, blocks: int, percent: int) -> DataFrame:
                 if int((seen > 1).sum()) < needed(len(t), percent):
                     continue
                 order = np.lexsort((t, seen))[: len(t) - needed(len(t), percent) + 1]
-                rows += [(sig, len(t), x) for x in t[order[seen[order] > 1]].view(np.int64).tolist()]
+                order = order[seen[order] > 1]
+                own, parts_of = int.from_bytes(sig[:7], "little"), -(-seen[order].astype(np.int64) // PART)
+                rows += [(sig, x, own % p, p) for x, p in zip(t[order].view(np.int64).tolist(), parts_of.tolist())]
         return table_of(rows, schema)
 
     asked = sets.groupBy("block").applyInArrow(ask, MESSAGE)
@@ -143,24 +153,26 @@ def _candidates(sets: DataFrame, blocks: int, percent: int) -> DataFrame:
 
 
 def tree_join(sets: list[np.ndarray], percent: int = PERCENT, queries: np.ndarray | None = None):
-    """Links among sets (arrays of distinct tokens): for each set, the array of linked others.
+    """Links among sets (arrays of distinct tokens): (set, array of linked others) for each set, in the tree's order.
 
+    One array at a time, as all links of a group of copies would fill the memory.
     queries: the sets (a mask) whose links with the others are wanted; all if None.
     """
     count = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     frequency = np.bincount(inverse)
-    rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, -frequency))] = np.arange(len(values))  # frequent first: paths are shared near the root
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    rank = np.empty(len(values), np.int32)
+    rank[np.lexsort((values, -frequency))] = np.arange(len(values), dtype=np.int32)  # frequent first: paths are shared near the root
+    del values
     tokens = rank[inverse]
+    del inverse
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
     paths = [np.sort(tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
-    owner = np.repeat(np.arange(count), sizes)
-    by_token = np.argsort(tokens, kind="stable")
-    posted = owner[by_token]
-    at = np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=len(values)))])
-    order = sorted(range(count), key=lambda i: paths[i].astype(">i8").tobytes())
+    posted = np.repeat(np.arange(count, dtype=np.int32), sizes)[np.argsort(tokens, kind="stable")]
+    del tokens
+    at = np.concatenate([[0], np.cumsum(np.sort(frequency)[::-1])])  # ranks go by frequency
+    order = sorted(range(count), key=lambda i: paths[i].astype(">i4").tobytes())
 
     def common(a: np.ndarray, b: np.ndarray) -> int:
         n = min(len(a), len(b))
@@ -180,12 +192,10 @@ def tree_join(sets: list[np.ndarray], percent: int = PERCENT, queries: np.ndarra
         return overlap + np.bincount(hit[hit >= 0], minlength=len(overlap))
 
     everyone = np.arange(count) if queries is None else np.flatnonzero(queries)
-    start = np.full(count, -1, np.int64)
+    start = np.full(count, -1, np.int32)
     start[everyone] = np.arange(len(everyone))
     # nodes on the current path: depth, live queries, their places, overlaps
     stack = [(0, everyone, start, np.zeros(len(everyone), np.int64))]
-    # shortest and longest set below the node at depth branch[k], for bounds
-    links: list[np.ndarray] = [None] * count
     for k, i in enumerate(order):
         path, b = paths[i], branch[k]
         before = branch[k - 1] if k else 0
@@ -195,6 +205,7 @@ def tree_join(sets: list[np.ndarray], percent: int = PERCENT, queries: np.ndarra
         if b > depth:
             overlap = extend(overlap, place, path[depth:b])
             last = k + 1
+            # shortest and longest set below this node, for bounds
             low, high = sizes[i], sizes[i]
             while last < count and branch[last - 1] >= b:  # the sets below this node stand next to each other
                 low, high = min(low, sizes[order[last]]), max(high, sizes[order[last]])
@@ -206,15 +217,14 @@ def tree_join(sets: list[np.ndarray], percent: int = PERCENT, queries: np.ndarra
             keep = reach * (100 + percent) >= percent * (sizes[live] + low)
             if not keep.all():
                 live, overlap = live[keep], overlap[keep]
-                place = np.full(count, -1, np.int64)
+                place = np.full(count, -1, np.int32)
                 place[live] = np.arange(len(live))
             stack.append((b, live, place, overlap))
             depth = b
         final = extend(overlap, place, path[depth:])
         good = 100 * final >= percent * (sizes[i] + sizes[live] - final)
         found = live[good]
-        links[i] = found[found != i]
-    return links
+        yield i, found[found != i]
 
 
 JOINED = "sig binary, root binary, n_links bigint"
@@ -227,10 +237,9 @@ def _join_cluster(percent: int):
         left = table.column("side").to_numpy()
         sets = [unpack_sorted(x) for x in table.column("tokens").to_pylist()]
         one_chunk = bool((left == 0).all())
-        links = tree_join(sets, percent, None if one_chunk else left == 1)
         least = np.arange(len(sets))
         counts = np.zeros(len(sets), np.int64)
-        for i, found in enumerate(links):
+        for i, found in tree_join(sets, percent, None if one_chunk else left == 1):
             if not one_chunk:  # queries stand on side 1; only their links with side 2 are new
                 found = found[left[found] == 1] if left[i] == 2 else found[:0]
                 np.add.at(counts, found, rows_of[i])
@@ -243,25 +252,38 @@ def _join_cluster(percent: int):
     return join
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT, block_bytes: int = 16 << 20, chunk_sets: int = 4096, chunk_bytes: int = 32 << 20) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, n_links (documents it links to)."""
-    blocks = blocks_for(text_bytes(docs), block_bytes)
-    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    source = source.select("doc_id", "text", block_of([F.col("doc_id"), F.col("text")], blocks).alias("block"))
+def _token_links(prefix: DataFrame) -> DataFrame:
+    """a, b: every set with the least one of its part of a token's sets, and those with the least of all."""
+    hubs = prefix.groupBy("token", "part").agg(F.min("sig").alias("hub"), F.first("parts").alias("parts"))
+    near = prefix.join(hubs.select("token", "part", "hub"), ["token", "part"]).select(F.col("sig").alias("a"), F.col("hub").alias("b"))
+    split = hubs.where("parts > 1")
+    tops = split.groupBy("token").agg(F.min("hub").alias("top"))
+    return near.unionByName(split.join(tops, "token").select(F.col("hub").alias("a"), F.col("top").alias("b")))
+
+
+def jaccard_join(
+    docs: DataFrame, percent: int = PERCENT, block_bytes: int = 16 << 20, chunk_sets: int = 4096, chunk_bytes: int = 8 << 20, key: Column | None = None
+) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id, n_links (documents it links to), component (the least
+    signature of its component; null for empty sets), and `key` (binary) if given."""
+    size, n_docs = text_size(docs)
+    blocks = blocks_for(size, block_bytes)
+    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), (F.lit(None).cast("binary") if key is None else key).alias("key"))
+    source = source.select("*", block_of([F.col("doc_id"), F.col("text")], blocks).alias("block"))
     found = materialise(_survivors(source, blocks, percent))
-    members = found.where("tokens is null").select("sig", "doc_id", "n")
+    members = found.where("tokens is null").select(F.when(F.col("n") > 0, F.col("sig")).alias("sig"), "doc_id", "key", "n")
     nodes = members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     sets = found.where("tokens is not null").groupBy("sig").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"))
-    total = found.where("tokens is not null").agg(F.sum("n")).first()[0] or 0
-    few = blocks_for(8 * total, block_bytes)
+    total, n_sets = found.where("tokens is not null").agg(F.sum("n"), F.count(F.lit(1))).first()
+    few = blocks_for(8 * (total or 0), block_bytes)
     sets = materialise(sets.withColumn("block", block_of([F.col("sig")], few)))
     prefix = materialise(_candidates(sets, few, percent))
-    hubs = prefix.groupBy("token").agg(F.min("sig").alias("hub"))
-    near = components(prefix.join(hubs, "token").select(F.col("sig").alias("a"), F.col("hub").alias("b")))
-    near = near.select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
+    near = components(_token_links(prefix)).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
     weights = near.join(sets.select("sig", "n"), "sig").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("bytes"))
     chunks = F.greatest(F.ceil(F.col("size") / chunk_sets), F.ceil(8 * F.col("bytes") / chunk_bytes)).cast("bigint")
-    placed = near.join(weights.select("cluster", chunks.alias("chunks")), "cluster").join(sets.select("sig", "tokens"), "sig").join(nodes.select("sig", "copies"), "sig")
+    # at most 2048 clusters, components or sets are over the limits
+    placed = spread_join(near, "cluster", weights.select("cluster", "size", chunks.alias("chunks")), ["chunks"], F.col("size") > max(64, n_sets // 2048), F.col("sig"))
+    placed = placed.join(sets.select("sig", "tokens"), "sig").join(nodes.select("sig", "copies"), "sig")
     own = F.pmod(F.xxhash64("sig"), F.col("chunks"))
     # chunk pairs: side 0 within a chunk, sides 1 and 2 of a pair of chunks
     pairs = F.transform(
@@ -277,12 +299,19 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, block_bytes: int = 16
     linked = components(joined.select(F.col("sig").alias("a"), F.col("root").alias("b")))
     links = joined.groupBy("sig").agg(F.sum("n_links").alias("outside"))
     of_node = nodes.join(linked.withColumnRenamed("node", "sig"), "sig", "left").join(links, "sig", "left")
-    of_node = of_node.select("sig", "first_id", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "sig").alias("component"))
-    least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_node = of_node.join(least, "component").select("sig", "component_id", "n_links")
-    return members.join(of_node, "sig", "left").select(
+    of_node = of_node.select(
+        "sig", "first_id", "copies", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "sig").alias("component")
+    )
+    least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    hot = max(64, n_docs // 2048)
+    of_node = materialise(spread_join(of_node, "component", least, ["component_id"], F.col("size") > hot, F.col("sig")))
+    spare = F.unhex(F.md5(F.concat_ws(":", "doc_id", "key")))
+    whole = spread_join(members, "sig", of_node, ["component_id", "n_links", "component"], F.col("copies") > hot, spare)
+    return whole.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "component",
+        *([] if key is None else ["key"]),
     )

@@ -21,7 +21,7 @@ TOKEN_LIMIT = 512
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).drop("component")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,14 +21,13 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import kept, map_texts
 
 OUT = "n_bytes bigint, n_tokens bigint"
 #: the published pre-tokenisation pattern of byte-level BPE (fixed value)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = np.int32(2**31 - 1)
 _WHOLE = -(1 << 60)  # a chunk that cannot be counted on its own
-_loaded: dict[str, "BytePairs"] = {}
 
 
 def byte_symbols() -> list[str]:
@@ -147,9 +146,7 @@ class BytePairs:
 
 
 def byte_pairs(path: str) -> BytePairs:
-    if path not in _loaded:
-        _loaded[path] = BytePairs(path)
-    return _loaded[path]
+    return kept("token counts", path, lambda: BytePairs(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, carry: Sequence[str] = ("doc_id",)) -> DataFrame:

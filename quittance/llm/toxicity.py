@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_texts, materialise, slices
+from .common import let_go, map_texts, materialise, slices
 from .decontaminate import NORMAL
 
 OUT = "score double, neighbours array<struct<doc_id:bigint,similarity:double,toxic:int>>"
@@ -412,6 +412,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("
     def make():
         if not fitted:
             return lambda texts, _: [[prior] * len(texts), [[]] * len(texts)]
+        let_go()
         index, known, held = Index(*model.value), Terms(words.value.to_pylist()), {}
 
         def vectors(texts):

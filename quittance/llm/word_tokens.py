@@ -14,10 +14,9 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-from .common import LOWER_BYTES
+from .common import LOWER_BYTES, kept
 
 _PLAIN = re.compile(rb"[a-z]+")
-_loaded: dict[tuple[str, int], WordTokenizer] = {}
 
 
 class _Words(dict):
@@ -44,7 +43,7 @@ class _Words(dict):
 
 
 class WordTokenizer:
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_truncation()
         self.encoder.no_padding()
@@ -60,8 +59,6 @@ class WordTokenizer:
         return b"".join([words[w] for w in text.translate(LOWER_BYTES).replace(b"\n", b" ").split(b" ") if w])
 
 
-def word_tokenizer(path: str, limit: int = 300_000) -> WordTokenizer:
+def word_tokenizer(path: str, limit: int = 200_000) -> WordTokenizer:
     """The process's tokenizer for a file, loaded once."""
-    if (path, limit) not in _loaded:
-        _loaded[path, limit] = WordTokenizer(path, limit)
-    return _loaded[path, limit]
+    return kept("word tokens", (path, limit), lambda: WordTokenizer(path, limit))

@@ -7,19 +7,24 @@ learned per stratum (language) from labelled documents: for each cutoff of
 a fixed grid, lenient to strict, the false rejections k among the n good labelled
 documents give the exact binomial p-value P(Bin(n, risk) <= k) of "this
 cutoff rejects more than `risk` of the good documents". Cutoffs are tested in that fixed
-order up to the first that fails (fixed-sequence testing), at level delta / (strata x
-rules) (Bonferroni): with probability 1 - delta no certified cutoff
-exceeds its risk. Each rule gets total_risk / rules, so all rules together reject at most
-total_risk of a stratum's good documents. Of the certified cutoffs the one
-that best separates the labels is used; strata too small to certify any have none.
+order up to the first that fails (fixed-sequence testing).
 
-Strata: the `max_strata` languages with most labels (a documented bound; they come to
-the driver as a few numbers each). Documents of other languages meet base rules alone.
+Two families are tested in each stratum, each with half of its share of delta. In the first every rule has
+its own sequence, at level delta / (2 x strata x rules) and risk total_risk / rules, so that all of them
+together keep to total_risk. The second ("joint") tightens all rules in step, each down to its entry in `FLOORS`, as one
+sequence, at level delta / (2 x strata) and the whole total_risk; it certifies on a fifth of the labels. Of the certified cutoffs of a
+sequence the one that best separates the labels is used, and of the families the one with the greater gain. With
+probability 1 - delta no family that is certified anywhere rejects more than total_risk of the good documents.
+
+Strata: all languages that have labels, and one of all labelled documents together ("pooled"), which counts as a stratum
+in the levels. Documents of a language for which nothing is certified meet the pooled cutoffs, whose guarantee
+holds over all labelled languages together.
 
 Cases: null and empty texts have no words and are rejected by the base rules; null
 languages count as the stratum of the empty name; repeated documents are judged row by row, repeated labels of an
-id count once (quality 0 wins); without labels no cutoff is certified; an empty
-table gives no rows.
+id count once (quality 0 wins), and of documents of one labelled id each counts; without labels no cutoff is
+certified and base rules act alone; very long texts are read whole; ties of gain go to the more lenient cutoff;
+other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +32,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, spread_join
 
 SPACES = r"[ \t\n\x0B\f\r]+"
 #: lenient to strict; a text is rejected where its score exceeds the cutoff
 GRID = (0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.16, 0.13, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01)
 RULES = ("symbols", "capitals", "shouts", "bars", "dup_lines")
+#: least cutoffs of the joint sequence, well over what ordinary texts show
+FLOORS = {"symbols": 0.1, "capitals": 0.4, "shouts": 0.1, "bars": 0.1, "dup_lines": 0.4}
+JOINT = "joint"
+#: strata whose cutoffs are broadcast at most
+FEW = 10_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 5
 
@@ -143,53 +153,54 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(top) * F.coalesce(tail, F.lit(1.0)))
 
 
-def certify(scored: DataFrame, labels: DataFrame, total_risk: float = 0.02, delta: float = 0.05, max_strata: int = 256) -> DataFrame:
-    """The cutoff used for each stratum and rule: stratum, rule, cutoff, n, k, p_value.
+def joint_grid(rule: str) -> list[float]:
+    return [max(c, FLOORS[rule]) for c in GRID]
+
+
+def certify(scored: DataFrame, labels: DataFrame, total_risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The cutoffs of each stratum that has any: stratum (null: pooled), family, a column for each of RULES (null: no cutoff).
 
     scored: doc_id, stratum and a column for each of RULES.
     """
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    steps = [F.col("score") > c for c in GRID]
-    passed = sum((s.cast("int") for s in steps), F.lit(0))  # cutoffs exceeded; the grid falls, so these are its last ones
-    stacked = scored.join(marked, "doc_id").select(
-        "stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES])).alias("x")
-    ).select("stratum", "quality", "x.rule", "x.score")
-    bins = stacked.groupBy("stratum", "rule", passed.alias("exceeded")).agg(
-        F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")
-    )
-    sizes = bins.groupBy("stratum").agg((F.sum(F.col("good") + F.col("bad")) / len(RULES)).alias("size"))
-    largest = sizes.orderBy(F.desc("size"), "stratum").limit(max_strata)
-    bins = bins.join(F.broadcast(largest.select("stratum")), "stratum", "left_semi")
-    tested = bins.groupBy("stratum", "rule").agg(
+    # cutoffs exceeded; grids fall, so these are their last ones. The joint sequence rejects where any rule does
+    passed = lambda rule, grid: sum((F.col(rule) > c).cast("int") for c in grid)
+    exceeded = [F.struct(F.lit(r).alias("rule"), passed(r, GRID).alias("exceeded")) for r in RULES]
+    exceeded.append(F.struct(F.lit(JOINT).alias("rule"), F.greatest(*[passed(r, joint_grid(r)) for r in RULES]).alias("exceeded")))
+    stacked = scored.join(marked, "doc_id").select("stratum", "quality", F.explode(F.array(*exceeded)).alias("x"))
+    own = stacked.groupBy("stratum", "x.rule", "x.exceeded").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
+    pooled = own.groupBy("rule", "exceeded").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("stratum", F.lit(None).cast("string"))
+    tested = own.unionByName(pooled).groupBy("stratum", "rule").agg(
         F.sum("good").alias("n"), F.sum("bad").alias("n_bad"), F.collect_list(F.struct("exceeded", "good", "bad")).alias("bins")
     )
-    over = lambda part: F.aggregate(
-        F.filter("bins", lambda b: b["exceeded"] >= len(GRID) - F.col("g")), F.lit(0).cast("bigint"), lambda s, b: s + b[part]
+    over = lambda part, g: F.aggregate(
+        F.filter("bins", lambda b: b["exceeded"] >= len(GRID) - g), F.lit(0).cast("bigint"), lambda s, b: s + b[part]
     )
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.lit(c).alias("cutoff")) for i, c in enumerate(GRID)]))
-    tested = tested.withColumn("step", grid).select("*", "step.g", "step.cutoff").withColumns({"k": over("good"), "caught": over("bad")})
-    # every stratum meets every rule: the tests are as many as rows per cutoff
-    level = F.lit(delta) / F.count(F.lit(1)).over(Window.partitionBy("g"))
-    tested = tested.withColumn("p_value", binomial_cdf(F.col("k"), F.col("n"), total_risk / len(RULES)))
-    order = Window.partitionBy("stratum", "rule").orderBy("g")
-    certified = tested.withColumn("ok", F.min((F.col("p_value") <= level).cast("int")).over(order) == 1).where("ok")
-    gain = F.col("caught") / F.greatest(F.col("n_bad"), F.lit(1)) - 10 * F.col("k") / F.col("n")
-    best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), "g")
-    return certified.withColumn("gain", gain).where("gain > 0").withColumn("rank", F.row_number().over(best)).where("rank = 1").select("stratum", "rule", "cutoff", "n", "k", "p_value")
-
-
-def verdicts(scored: DataFrame, cutoffs: list) -> Column:
-    """True where no certified cutoff is exceeded. cutoffs: collected rows of certify()."""
-    failing = F.lit(False)
-    for rule in RULES:
-        case = None
-        for c in cutoffs:
-            if c["rule"] == rule:
-                at = F.col("stratum") == F.lit(c["stratum"])
-                case = F.when(at, F.col(rule) > c["cutoff"]) if case is None else case.when(at, F.col(rule) > c["cutoff"])
-        if case is not None:
-            failing = failing | case.otherwise(F.lit(False))
-    return ~failing
+    joint = F.col("rule") == JOINT
+    # every stratum has one joint sequence; their number is one row
+    strata = tested.where(joint).agg(F.count(F.lit(1)).alias("strata"))
+    tested = tested.crossJoin(F.broadcast(strata)).withColumn("level", F.lit(delta / 2) / (F.col("strata") * F.when(joint, 1).otherwise(len(RULES))))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("g")
+    tested = tested.select("stratum", "rule", "n", "n_bad", "bins", "level", steps).withColumns({"k": over("good", F.col("g")), "caught": over("bad", F.col("g"))})
+    p = F.when(joint, binomial_cdf(F.col("k"), F.col("n"), total_risk)).otherwise(binomial_cdf(F.col("k"), F.col("n"), total_risk / len(RULES)))
+    gain = F.when(F.col("n") > 0, F.col("caught") / F.greatest(F.col("n_bad"), F.lit(1)) - 10 * F.col("k") / F.col("n")).otherwise(0.0)
+    step = F.struct("g", (p <= F.col("level")).alias("ok"), gain.alias("gain"))
+    walked = tested.groupBy("stratum", "rule").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    stop = F.coalesce(F.array_min(F.transform(F.filter("steps", lambda x: ~x["ok"]), lambda x: x["g"])), F.lit(len(GRID)))
+    good = F.filter("steps", lambda x: (x["g"] < F.col("stop")) & (x["gain"] > 0))
+    best = F.array_max(F.transform(good, lambda x: F.struct(x["gain"].alias("gain"), (-x["g"]).alias("back"))))
+    chosen = walked.withColumn("stop", stop).select("stratum", "rule", best.alias("best")).where("best is not null")
+    per = chosen.groupBy("stratum").agg(
+        F.sum(F.when(~joint, F.col("best.gain"))).alias("apart"), F.max(F.when(joint, F.col("best.gain"))).alias("together"),
+        *[F.max(F.when(F.col("rule") == r, -F.col("best.back"))).alias(r) for r in (*RULES, JOINT)],
+    )
+    # rounded: the order of the sum is open
+    use = F.round(F.coalesce("together", F.lit(0.0)), 9) > F.round(F.coalesce("apart", F.lit(0.0)), 9)
+    at = lambda grid, g: F.element_at(F.array(*map(F.lit, grid)), F.col(g) + 1)
+    return per.select(
+        "stratum", F.when(use, JOINT).otherwise("apart").alias("family"),
+        *[F.when(use, at(joint_grid(r), JOINT)).otherwise(at(GRID, r)).alias(r) for r in RULES],
+    )
 
 
 def _scored(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
@@ -197,24 +208,41 @@ def _scored(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     return features(docs, inner).withColumn("stratum", F.coalesce(F.col("row.lang").cast("string"), F.lit("")))
 
 
-def _learn(scored: DataFrame, labels: DataFrame, **options) -> list:
-    return certify(scored.select(F.col("row.doc_id").alias("doc_id"), "stratum", *RULES), labels, **options).collect()
+def _learn(scored: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    return materialise(certify(scored.select(F.col("row.doc_id").alias("doc_id"), "stratum", *RULES), labels, **options))
 
 
-def _apply(scored: DataFrame, cutoffs: list, carry: Sequence[str]) -> DataFrame:
+def _with_cutoffs(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """scored with `cut`: the cutoffs of its stratum, else null."""
+    own = cutoffs.where("stratum is not null").select("stratum", F.struct(*RULES).alias("cut"))
+    if cutoffs.count() <= FEW:
+        return scored.join(F.broadcast(own), "stratum", "left")
+    sizes = scored.groupBy("stratum").agg(F.count(F.lit(1)).alias("rows"))
+    # more languages than can be broadcast: only the largest are, at most 2048
+    least = max(1, scored.count() // 2048)
+    known = sizes.join(own, "stratum", "left").select("stratum", "rows", "cut")
+    return spread_join(scored, "stratum", known, ["cut"], F.col("rows") > least, F.xxhash64("row").cast("string"))
+
+
+def _apply(scored: DataFrame, cutoffs: DataFrame, carry: Sequence[str]) -> DataFrame:
     row = F.struct(*[F.col("row")[c].alias(c) for c in carry]).alias("row")
-    return scored.withColumns({"base_failed": base_failed(), "passes": verdicts(scored, cutoffs)}).select(
-        row, *BASE, *RULES, "stratum", "base_failed", (~F.col("base_failed") & F.col("passes")).alias("kept")
-    )
+    pooled = cutoffs.where("stratum is null").first()
+    failing = F.lit(False)
+    for rule in RULES:
+        rest = F.lit(pooled[rule] if pooled else None).cast("double")
+        cutoff = F.when(F.col("cut").isNotNull(), F.col("cut")[rule]).otherwise(rest)
+        failing = failing | F.coalesce(F.col(rule) > cutoff, F.lit(False))
+    joined = _with_cutoffs(scored, cutoffs).withColumns({"base_failed": base_failed(), "passes": ~failing})
+    return joined.select(row, *BASE, *RULES, "stratum", "base_failed", (~F.col("base_failed") & F.col("passes")).alias("kept"))
 
 
-def learn_cutoffs(docs: DataFrame, labels: DataFrame, **options) -> list:
-    """Certified cutoffs (see certify) as rows: max_strata times the rules at most."""
+def learn_cutoffs(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """Certified cutoffs, see certify()."""
     return _learn(_scored(docs, ()), labels, **options)
 
 
-def apply_rules(docs: DataFrame, cutoffs: list, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """row (struct of `carry`), BASE, the scores, stratum, base_failed, kept; no shuffle."""
+def apply_rules(docs: DataFrame, cutoffs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """row (struct of `carry`), BASE, the scores, stratum, base_failed, kept; no shuffle up to FEW strata."""
     return _apply(_scored(docs, carry), cutoffs, carry)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .quality import GRID, RULES
-from .url_filter import DEFAULT_PATTERNS
+from .quality import FLOORS, GRID, RULES
+from .url_filter import DEFAULT_LIST, filter_rules
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -32,7 +32,7 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
-_BLOCKED = " OR ".join(f"regexp_matches(lower(url), '{p.pattern}')" for p in DEFAULT_PATTERNS)
+_BLOCKED = " OR ".join(f"regexp_matches(lower(url), '{p.pattern}')" for p in filter_rules(DEFAULT_LIST.splitlines()))
 OP7 = f"""
 WITH s AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, url, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
@@ -41,8 +41,9 @@ m AS (SELECT page_id, arg_max((h || p, v), length(h || p)) AS best FROM u JOIN r
 SELECT u.page_id, host, path, best[1] AS rule, CASE WHEN best IS NOT NULL THEN best[2] WHEN coalesce({_BLOCKED}, FALSE) THEN 'block' ELSE 'allow' END AS verdict
 FROM u LEFT JOIN m ON m.page_id = u.page_id"""
 
-_GRID = ", ".join(f"({i}, {c})" for i, c in enumerate(GRID))
-_RISK = 0.02 / len(RULES)
+_GRID = ", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(GRID))
+_FLOORS = ", ".join(f"('{r}', {c}::DOUBLE)" for r, c in FLOORS.items())
+_RISK = f"{0.02 / len(RULES)!r}::DOUBLE"
 OP10 = f"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w,
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPACED}')) AS ln FROM documents),
@@ -55,11 +56,20 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 r AS (SELECT doc_id, lang, unnest(['symbols', 'capitals', 'shouts', 'bars', 'dup_lines']) AS rule, unnest([n_symbols / greatest(word_chars, 1), caps / greatest(word_chars, 1), shouts / greatest(n_words, 1),
         bars / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1)]) AS score FROM f),
 q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-c AS (SELECT lang, rule, g, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality <> 1) AS bad, count(*) FILTER (quality = 1 AND score > cutoff) AS k, count(*) FILTER (quality <> 1 AND score > cutoff) AS caught
-        FROM r JOIN q ON q.doc_id = r.doc_id, (VALUES {_GRID}) v(g, cutoff) GROUP BY lang, rule, g, cutoff),
-p AS (SELECT *, CASE WHEN k >= n * {_RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RISK}) + (n - i) * ln(1 - {_RISK})))) END AS p,
-        count(*) OVER (PARTITION BY g) AS tests FROM c),
-o AS (SELECT *, min(CASE WHEN p <= 0.05 / tests THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY g) AS ok, caught / greatest(bad, 1) - 10 * k / n AS gain FROM p),
-z AS (SELECT lang, rule, arg_max(cutoff, (gain, -g)) AS cutoff FROM o WHERE ok = 1 AND gain > 0 GROUP BY lang, rule),
-x AS (SELECT DISTINCT r.doc_id FROM r JOIN z ON z.lang = r.lang AND z.rule = r.rule AND r.score > z.cutoff)
+lr AS (SELECT r.*, q.quality FROM r JOIN q ON q.doc_id = r.doc_id),
+fl(rule, least) AS (VALUES {_FLOORS}),
+gr(g, cutoff) AS (VALUES {_GRID}),
+hh AS (SELECT doc_id, lang, quality, rule, g, score > cutoff AS hit FROM lr, gr
+      UNION ALL SELECT doc_id, lang, quality, 'joint', g, bool_or(score > greatest(cutoff, least)) FROM lr JOIN fl ON fl.rule = lr.rule, gr GROUP BY doc_id, lang, quality, g),
+c AS (SELECT lang, rule, g, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality <> 1) AS bad, count(*) FILTER (quality = 1 AND hit) AS k, count(*) FILTER (quality <> 1 AND hit) AS caught
+        FROM (SELECT lang, quality, rule, g, hit FROM hh UNION ALL SELECT NULL, quality, rule, g, hit FROM hh) GROUP BY lang, rule, g),
+e AS (SELECT *, CASE WHEN rule = 'joint' THEN 0.02::DOUBLE ELSE {_RISK} END AS risk, 0.025::DOUBLE / (count(*) FILTER (rule = 'joint') OVER (PARTITION BY g) * CASE WHEN rule = 'joint' THEN 1 ELSE {len(RULES)} END) AS level FROM c),
+p AS (SELECT *, CASE WHEN k >= n * risk THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(risk) + (n - i) * ln(1 - risk)))) END AS p FROM e),
+o AS (SELECT *, min(CASE WHEN p <= level THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY g) AS ok, CASE WHEN n > 0 THEN caught / greatest(bad, 1) - 10 * k / n ELSE 0 END AS gain FROM p),
+z AS (SELECT lang, rule, arg_max(g, (gain, -g)) AS g, max(gain) AS gain FROM o WHERE ok = 1 AND gain > 0 GROUP BY lang, rule),
+u AS (SELECT lang, round(coalesce(max(gain) FILTER (rule = 'joint'), 0), 9) > round(coalesce(sum(gain) FILTER (rule <> 'joint'), 0), 9) AS joint FROM z GROUP BY lang),
+t AS (SELECT u.lang, z.rule, gr.cutoff FROM u JOIN z ON z.lang IS NOT DISTINCT FROM u.lang AND NOT joint AND z.rule <> 'joint' JOIN gr ON gr.g = z.g
+      UNION ALL SELECT u.lang, fl.rule, greatest(gr.cutoff, fl.least) FROM u JOIN z ON z.lang IS NOT DISTINCT FROM u.lang AND joint AND z.rule = 'joint' JOIN gr ON gr.g = z.g, fl),
+s AS (SELECT r.*, CASE WHEN r.lang IN (SELECT lang FROM u WHERE lang IS NOT NULL) THEN r.lang END AS source FROM r),
+x AS (SELECT DISTINCT s.doc_id FROM s JOIN t ON t.lang IS NOT DISTINCT FROM s.source AND t.rule = s.rule AND s.score > t.cutoff)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept FROM f LEFT JOIN x ON x.doc_id = f.doc_id"""

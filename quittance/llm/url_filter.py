@@ -3,29 +3,31 @@
 A rule is a pattern over `host + path` (or the whole url), with the literal tokens
 (runs of a-z and 0-9 between other characters, lower-cased) that any match must hold
 whole. Over all urls, the occurrences of the rules' tokens are counted, and each
-rule is filed under its rarest one; rules without such a token are tried on every url. A url
-then runs the regular expressions of the rules its own tokens fetch, and of no others.
+rule is filed under its rarest one (ties: the first in order); rules without such a token are tried on every url. A url
+then runs the regular expressions of the rules its own tokens fetch, and of no others; they are compiled when first tried.
 
 Host rules (allow or block by host suffix and path prefix) decide first, the longest
-that fits; other urls are blocked if any block pattern fits, else allowed.
+that fits; other urls are judged by filter rules in the common list syntax (see filter_rules): a url that any
+blocking rule fits is blocked unless an exception (@@) fits it too.
 
-The rule list is a parameter held by the driver; its index travels with the
-task, and the size of both is bounded by the list's, which is checked (`max_rules`).
+The rule list is a parameter held by the driver and broadcast; its number of rules is checked (`max_rules`), and with it
+the size of what a worker holds.
 
-Cases: null urls and urls without :// have empty host and path, no rule and
-verdict allow unless a pattern on whole urls fits; repeated urls are judged row by row;
-an empty table gives no rows; other columns are not read.
+Cases: null urls and urls without :// have empty host and path, no host rule and
+verdict allow unless a filter on whole urls fits; very long urls are read whole; of host rules tied in length the later
+name and verdict in order wins; repeated urls are judged row by row; an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import UPPER, map_texts
+from .common import UPPER, kept, map_texts
 
 OUT = "host string, path string, rule string, verdict string, tried bigint"
 TOKEN = re.compile(r"[a-z0-9]+")
@@ -56,41 +58,87 @@ class HostRule:
 
 
 @dataclass(frozen=True)
-class BlockPattern:
+class Filter:
     """A regular expression over the lower-cased url, with the tokens any match must hold whole."""
 
     pattern: str
     tokens: tuple[str, ...]
-
-
-#: Blocked wherever no host rule decides: tokens of spam, gambling, adult and tracker hosts and of ad paths.
-DEFAULT_PATTERNS = (
-    BlockPattern(r"[/.]cheap-pills\.", ("cheap", "pills")),
-    BlockPattern(r"[/.]spam-farm\.", ("spam", "farm")),
-    BlockPattern(r"[/.]online-casino\.", ("online", "casino")),
-    BlockPattern(r"[/.-]casino[.-]", ("casino",)),
-    BlockPattern(r"[/.-]porn[.-]", ("porn",)),
-    BlockPattern(r"[/.-]xxx[.-]", ("xxx",)),
-    BlockPattern(r"[/.](?:ads|adserver|doubleclick)\.", ()),
-    BlockPattern(r"/wp-login\.php", ("wp", "login", "php")),
-)
+    verdict: str = "block"
+
+
+#: what stands for ^ (a separator or the end) and || (the start of the host or of a label of it)
+SEPARATOR, LABEL = r"(?:[^a-z0-9_.%-]|$)", r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*[.@])?"
+
+
+def filter_rule(line: str) -> Filter | None:
+    """One line of a filter list; None for comments, empty lines and element-hiding rules.
+
+    || label of the host, | start or end, * anything, ^ separator, /.../ regular expression, @@ exception; what follows a
+    $ after the pattern (options of a browser) is left out.
+    """
+    text = line.strip().lower()
+    if not text or text[0] in "![" or re.search(r"#[@?]?#", text):
+        return None
+    verdict, text = ("allow", text[2:]) if text.startswith("@@") else ("block", text)
+    if m := re.fullmatch(r"/(.+)/(?:\$[a-z0-9~=|,._-]*)?", text):
+        return Filter(m[1], (), verdict)
+    text = re.sub(r"\$[a-z0-9~=|,._-]*$", "", text)
+    head, tail = LABEL if text.startswith("||") else "^" if text.startswith("|") else "", "$" if text.endswith("|") else ""
+    body = text.lstrip("|").rstrip("|") if tail else text.lstrip("|")
+    regex = "".join({"*": ".*", "^": SEPARATOR}.get(c, re.escape(c)) for c in body)
+    # a run at an open end, or beside *, may go on in the url
+    whole = [
+        m[0] for m in TOKEN.finditer(body)
+        if (m.start() > 0 or head) and (m.end() < len(body) or tail) and body[m.start() - 1 : m.start()] != "*" and body[m.end() : m.end() + 1] != "*"
+    ]
+    return Filter(head + regex + tail, tuple(whole), verdict) if body else None
+
+
+def filter_rules(lines: Iterable[str]) -> tuple[Filter, ...]:
+    """The rules of a list, in order."""
+    return tuple(r for r in map(filter_rule, lines) if r)
+
+
+#: The list where none is given (invented): hosts of spam and of what is unfit for training, and pages of machinery.
+DEFAULT_LIST = """
+! spam
+||cheap-pills.
+||spam-farm.
+||free-bets.
+||online-casino.
+||casino.
+||casino-
+-casino.
+-casino-
+! adult
+||porn.
+||xxx.
+-porn.
+-xxx.
+! advertising and log-in pages
+||ads.
+||adserver.
+||doubleclick.
+/wp-login.php^
+"""
 
 
 def token_counts(urls: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
     """Occurrences over all urls of the given tokens (as many rows as tokens at most)."""
     if not tokens:
         return {}
-    found = urls.select(F.explode(F.split(F.lower("url"), SPLIT)).alias("token")).where(F.col("token").isin(sorted(tokens)))
+    wanted = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string"))  # a rule list's tokens
+    found = urls.select(F.explode(F.split(F.lower("url"), SPLIT)).alias("token")).join(wanted, "token", "left_semi")
     return {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}
 
 
 class RuleIndex:
-    def __init__(self, hosts: Sequence[HostRule], patterns: Sequence[BlockPattern], counts: dict[str, int]):
+    def __init__(self, hosts: Sequence[HostRule], filters: Sequence[Filter], counts: dict[str, int]):
         self.by_token: dict[str, list] = {}
         self.always: list = []
-        for kind, rules in (("host", hosts), ("block", patterns)):
+        for kind, rules in (("host", hosts), ("filter", filters)):
             for r in rules:
-                entry = (kind, re.compile(r.pattern), r)
+                entry = [kind, None, r]
                 if tokens := set(r.tokens):
                     self.by_token.setdefault(min(tokens, key=lambda t: (counts.get(t, 0), t)), []).append(entry)
                 else:
@@ -100,17 +148,22 @@ class RuleIndex:
         """host, path, rule, verdict, regular expressions run."""
         host, path = split_url(url)
         lowered, site = (url or "").lower(), host + path
-        best, blocked, tried = None, False, 0
+        best, fits, tried = None, set(), 0
         fetched = [e for t in set(TOKEN.findall(lowered)) if t in self.by_token for e in self.by_token[t]]
-        for kind, regex, rule in [*fetched, *self.always]:
+        for entry in [*fetched, *self.always]:
+            kind, regex, rule = entry
+            if kind == "filter" and rule.verdict in fits:
+                continue  # one that fits is enough
             tried += 1
+            if regex is None:
+                regex = entry[1] = re.compile(rule.pattern)
             if not regex.search(site if kind == "host" else lowered):
                 continue
-            if kind == "block":
-                blocked = True
+            if kind == "filter":
+                fits.add(rule.verdict)
             elif best is None or (len(rule.name), rule.name, rule.verdict) > (len(best.name), best.name, best.verdict):
                 best = rule
-        verdict = best.verdict if best else "block" if blocked else "allow"
+        verdict = best.verdict if best else "block" if fits == {"block"} else "allow"
         return host, path, best.name if best else None, verdict, tried
 
 
@@ -125,15 +178,18 @@ def split_url(url: str | None) -> tuple[str, str]:
     return m[1].translate(_LOWER), m[2]
 
 
-def filter_urls(pages: DataFrame, hosts: Sequence[HostRule], patterns: Sequence[BlockPattern] = DEFAULT_PATTERNS, carry: Sequence[str] = ("page_id",), max_rules: int = 100_000) -> DataFrame:
-    """row (struct of `carry`), out (host, path, rule, verdict, tried: regular expressions run)."""
-    if len(hosts) + len(patterns) > max_rules:
-        raise ValueError(f"{len(hosts) + len(patterns)} rules; at most {max_rules} are held by a task")
-    wanted = {t for r in [*hosts, *patterns] for t in r.tokens}
-    counts = token_counts(pages, sorted(wanted))
+def filter_urls(pages: DataFrame, hosts: Sequence[HostRule], filters: Sequence[Filter] | None = None, carry: Sequence[str] = ("page_id",), max_rules: int = 100_000) -> DataFrame:
+    """row (struct of `carry`), out (host, path, rule, verdict, tried: regular expressions run). filters: DEFAULT_LIST if None."""
+    filters = filter_rules(DEFAULT_LIST.splitlines()) if filters is None else filters
+    if len(hosts) + len(filters) > max_rules:
+        raise ValueError(f"{len(hosts) + len(filters)} rules; at most {max_rules} are held by a worker")
+    counts = token_counts(pages, sorted({t for r in [*hosts, *filters] for t in r.tokens}))
+    sc = pages.sparkSession.sparkContext
+    shared = sc.broadcast((list(hosts), list(filters), counts))
+    name = f"url filter {sc.applicationId}-{shared._jbroadcast.id()}"
 
     def make():
-        index = RuleIndex(hosts, patterns, counts)
+        index = kept(name, None, lambda: RuleIndex(*shared.value))
 
         def apply(urls):
             return list(zip(*[index.judge(None if u is None else u.decode()) for u in urls])) or [[]] * 5

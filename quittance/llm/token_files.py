@@ -18,8 +18,9 @@ names that hold the task attempt; only files that the manifest lists are read,
 so lost or repeated attempts do no harm. Readers fetch single blocks by the index.
 
 Cases: null and empty texts hold the end id alone; a document's ids may span blocks,
-never files; rows of one doc_id stand next to each other; null ids come first; an
-empty table gives an empty manifest and no rows.
+never files; rows of one doc_id stand next to each other, ordered by text, and may span files; null ids come first;
+very long texts are written whole; other columns are not read; an empty table gives an empty manifest and no rows.
+A file whose checksum does not hold is an error.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from .word_tokens import word_tokenizer
 
 MAGIC = b"QIDP0001"
 FOOTER = struct.Struct("<QIIQIIBI8s")
+#: tasks that read files at most; more files than that share tasks
+MOST_READERS = 20_000
 MANIFEST = "part bigint, number bigint, path string, documents bigint, ids bigint, bytes bigint"
 
 
@@ -85,7 +88,7 @@ class TokenFile:
     """Random access over an open file-like object of a known size."""
 
     def __init__(self, source, size: int):
-        self.source = source
+        self.source, self.size = source, size
         at, length, self.n_docs, self.n_ids, self.block_ids, blocks, self.bits, self.crc, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token-id file")
@@ -103,6 +106,18 @@ class TokenFile:
         self.source.seek(at)
         return self.source.read(n)
 
+    def verify(self) -> None:
+        """An error unless the checksum of all before the footer holds; reads the file a piece at a time."""
+        found, left = 0, self.size - FOOTER.size
+        self.source.seek(0)
+        while left:
+            piece = self.source.read(min(left, 1 << 20))
+            if not piece:
+                raise ValueError("a token-id file is cut off")
+            found, left = zlib.crc32(piece, found), left - len(piece)
+        if found != self.crc:
+            raise ValueError("the checksum of a token-id file does not hold")
+
     def block(self, k: int) -> np.ndarray:
         n = min(self.block_ids, self.n_ids - k * self.block_ids)
         unpack = zstandard.ZstdDecompressor().decompress
@@ -162,7 +177,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         if doc_ids:
             yield close()
 
-    sorted_docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    sorted_docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
+    # the text's hash spreads rows of one id, or of none, over the ranges
+    sorted_docs = sorted_docs.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
     return materialise(sorted_docs.mapInArrow(run, MANIFEST))
 
 
@@ -182,8 +199,10 @@ def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = True) ->
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
                 with store.open_input_file(path) as source:
+                    token_file = TokenFile(source, size)
+                    token_file.verify()
                     rows, held = [], 0
-                    for doc_id, ids in TokenFile(source, size).documents():
+                    for doc_id, ids in token_file.documents():
                         raw = ids.astype("<u4").tobytes()
                         rows.append((doc_id, start, len(ids), zlib.crc32(raw), raw)[: 4 + with_ids])
                         start, held = start + len(ids), held + len(raw) * with_ids
@@ -193,8 +212,8 @@ def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = True) ->
                     if rows:
                         yield batch_of(rows)
 
-    # one hash partition for each few files: reading is spread over the cluster
-    return files.repartition("path").mapInArrow(run, schema)
+    # a number of partitions that is given is not coalesced: reading is spread over the cluster
+    return files.repartition(max(1, min(manifest.count(), MOST_READERS)), "path").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, **options) -> DataFrame:

@@ -1,7 +1,8 @@
 """A training corpus from `documents`, stage by stage; each stage's Parquet output is the next one's input.
 
-Rows with null doc_id pass the near-duplicate stage unchanged; otherwise see the operators'
-docstrings for nulls, ties, empty and very long texts, repeated rows and empty tables.
+All stages return the columns of `documents` (the last: pieces) and read no others, whatever their names; null
+languages, sources and counts are kept; empty tables give no rows at every stage; very long texts are worked on whole.
+Each stage's docstring has the rest; see also the operators'.
 """
 
 from __future__ import annotations
@@ -16,35 +17,45 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what base rules or certified cutoffs reject."""
+    """Drops what base rules or certified cutoffs reject: null and empty texts among it. Repeated rows are judged row
+    by row, null ids too; no order or tie matters."""
     cutoffs = quality.learn_cutoffs(docs, table(spark, sf_dir, "labels"))
     return rows_where(quality.apply_rules(docs, cutoffs, COLUMNS), F.col("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component."""
-    joined = ngram_join.jaccard_join(docs)
-    others = joined.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")) if repeats else kept
+    """Keeps one document of each component: of the smallest doc_id (null ones come last), then the smallest hash of id and text.
+
+    Documents are told apart by id and text: rows equal in both are one document, of which one row stays (empty texts
+    too); rows of one id with different texts are different documents. Texts without words link with nothing.
+    """
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.when(F.col("text").isNull(), "null").otherwise("text"), F.col("text"))
+    key = F.unhex(F.md5(name.cast("binary")))
+    joined = ngram_join.jaccard_join(docs, key=key)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    firsts = joined.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first")).select("first.key")
+    kept = firsts.unionByName(joined.where("n_shingles = 0").select("key").distinct())
+    return docs.select(*COLUMNS, key.alias("__key")).join(kept.withColumnRenamed("key", "__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with any benchmark window."""
+    """Drops documents with any benchmark window; null and empty texts have none. Repeated rows and ids, null ones too,
+    are judged row by row; no order or tie matters."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
     return found.where("out.n_hit = 0").select("row.*")
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by their kind in brackets and counts the characters anew."""
+    """Replaces secrets by their kind in brackets and counts the characters anew; null texts stay with their count.
+    Repeated rows and ids, null ones too, are redacted row by row; of overlapping spans the first names the kind."""
     found = secret_scan.find_spans(docs, secret_scan.learn_cutoffs(docs), COLUMNS)
     cleaned = found.select("row.*", secret_scan.redacted(F.col("row.text"), F.col("spans")).alias("clean"))
     return cleaned.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.coalesce(F.length("clean").cast("bigint"), F.col("n_chars")).alias("n_chars"))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 token ids, a row per piece with its ids."""
+    """Sequences of at most 4096 token ids, a row per piece with its ids. Null and empty texts hold the end id; repeated
+    rows and ids, null ones too, are packed row by row; ties of fill levels go to the fullest."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 

@@ -104,7 +104,9 @@ def _survivors(docs: DataFrame, blocks: int, percent: int) -> DataFrame:
 
     def ask(table):
         _, _, distinct = _sets(table)
-        return _request([t[: first_tokens(len(t), percent)] for t in distinct.values()], table.column("block")[0].as_py(), blocks)
+        made = _request([t[: first_tokens(len(t), percent)] for t in distinct.values()], table.column("block")[0].as_py(), blocks)
+        let_go()
+        return made
 
     def judge(table, told):
         if not len(table):
@@ -118,6 +120,8 @@ def _survivors(docs: DataFrame, blocks: int, percent: int) -> DataFrame:
             shared = int((counts[np.searchsorted(keys, heads[s])] > 1).sum())
             if shared >= ell(needed(len(t), percent), percent):
                 rows.append((s, None, None, len(t), pack_sorted(t)))
+        del distinct, heads
+        let_go()
         return table_of(rows, SETS)
 
     asked = docs.groupBy("block").applyInArrow(ask, MESSAGE)
@@ -247,7 +251,10 @@ def _join_cluster(percent: int):
             labels = np.unique(np.append(least[found], least[i]))
             if len(labels) > 1:
                 least[np.isin(least, labels[1:])] = labels[0]
-        return table_of([(s, sigs[least[i]], int(counts[i])) for i, s in enumerate(sigs)], JOINED)
+        made = table_of([(s, sigs[least[i]], int(counts[i])) for i, s in enumerate(sigs)], JOINED)
+        if sum(map(len, sets)) > 100_000:
+            let_go()
+        return made
 
     return join
 

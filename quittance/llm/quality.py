@@ -168,18 +168,19 @@ def certify(scored: DataFrame, labels: DataFrame, total_risk: float = 0.02, delt
     exceeded = [F.struct(F.lit(r).alias("rule"), passed(r, GRID).alias("exceeded")) for r in RULES]
     exceeded.append(F.struct(F.lit(JOINT).alias("rule"), F.greatest(*[passed(r, joint_grid(r)) for r in RULES]).alias("exceeded")))
     stacked = scored.join(marked, "doc_id").select("stratum", "quality", F.explode(F.array(*exceeded)).alias("x"))
-    own = stacked.groupBy("stratum", "x.rule", "x.exceeded").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
+    # aggregated once: what follows reads it twice
+    own = materialise(stacked.groupBy("stratum", "x.rule", "x.exceeded").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")))
     pooled = own.groupBy("rule", "exceeded").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("stratum", F.lit(None).cast("string"))
     tested = own.unionByName(pooled).groupBy("stratum", "rule").agg(
         F.sum("good").alias("n"), F.sum("bad").alias("n_bad"), F.collect_list(F.struct("exceeded", "good", "bad")).alias("bins")
     )
+    tested = materialise(tested)  # a few numbers per stratum
     over = lambda part, g: F.aggregate(
         F.filter("bins", lambda b: b["exceeded"] >= len(GRID) - g), F.lit(0).cast("bigint"), lambda s, b: s + b[part]
     )
     joint = F.col("rule") == JOINT
-    # every stratum has one joint sequence; their number is one row
-    strata = tested.where(joint).agg(F.count(F.lit(1)).alias("strata"))
-    tested = tested.crossJoin(F.broadcast(strata)).withColumn("level", F.lit(delta / 2) / (F.col("strata") * F.when(joint, 1).otherwise(len(RULES))))
+    strata = tested.where(joint).count()
+    tested = tested.withColumn("level", F.lit(delta / 2) / (F.lit(float(strata)) * F.when(joint, 1).otherwise(len(RULES))))
     steps = F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("g")
     tested = tested.select("stratum", "rule", "n", "n_bad", "bins", "level", steps).withColumns({"k": over("good", F.col("g")), "caught": over("bad", F.col("g"))})
     p = F.when(joint, binomial_cdf(F.col("k"), F.col("n"), total_risk)).otherwise(binomial_cdf(F.col("k"), F.col("n"), total_risk / len(RULES)))

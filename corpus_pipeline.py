@@ -7,7 +7,7 @@ Each stage's docstring has the rest; see also the operators'.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from public_tokenizers import path as tokenizer
 
 from quittance.llm import decontaminate, ngram_join, packing, quality, secret_scan
@@ -35,7 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     firsts = joined.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first")).select("first.key")
     kept = firsts.unionByName(joined.where("n_shingles = 0").select("key").distinct())
-    return docs.select(*COLUMNS, key.alias("__key")).join(kept.withColumnRenamed("key", "__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    kept = docs.select(*COLUMNS, key.alias("__key")).join(kept.withColumnRenamed("key", "__key"), "__key", "left_semi")
+    # the join has dealt and sorted the rows by their key already
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return kept.withColumn("__place", place).where("__place = 1").select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,13 +10,17 @@ Texts with "<|", where special tokens may stand, are encoded whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from .common import LOWER_BYTES, kept
+from .token_counts import byte_symbols
 
-_PLAIN = re.compile(rb"[a-z]+")
+#: words of Latin letters alone, then perhaps of signs alone: the library cuts between the two
+_LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!\"#$%&()*+,./:;=>?@\\^_`{}~\[\]-]*)")
+_SYMBOLS = dict(enumerate(byte_symbols()))
 
 
 class _Words(dict):
@@ -25,13 +29,17 @@ class _Words(dict):
     def __init__(self, encoder: Tokenizer, limit: int):
         super().__init__()
         self.encoder, self.limit, self.old = encoder, limit, {}
+        self.tokenize = encoder.model.tokenize
 
     def __missing__(self, word: bytes) -> bytes:
         if (ids := self.old.get(word)) is None:
-            if _PLAIN.fullmatch(word):
-                ids = np.array([t.id for t in self.encoder.model.tokenize(word.decode())], "<u4").tobytes()
-            elif len(word) > 1 and word[-1:] in b".,;:!?" and _PLAIN.fullmatch(word, 0, len(word) - 1):
-                ids = self[word[:-1]] + self[word[-1:]]
+            if word.isalpha():  # ASCII letters only
+                ids = array("I", [t.id for t in self.tokenize(word.decode())]).tobytes()
+            elif (cut := _LETTERS.fullmatch(word)) and cut[2]:
+                ids = self[cut[1]] + self[cut[2]]
+            elif cut:
+                letters = word.decode().lower().encode().decode("latin-1").translate(_SYMBOLS)
+                ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
             else:
                 ids = np.array(self.encoder.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= self.limit:
@@ -43,7 +51,7 @@ class _Words(dict):
 
 
 class WordTokenizer:
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_truncation()
         self.encoder.no_padding()
@@ -59,6 +67,6 @@ class WordTokenizer:
         return b"".join([words[w] for w in text.translate(LOWER_BYTES).replace(b"\n", b" ").split(b" ") if w])
 
 
-def word_tokenizer(path: str, limit: int = 200_000) -> WordTokenizer:
+def word_tokenizer(path: str, limit: int = 300_000) -> WordTokenizer:
     """The process's tokenizer for a file, loaded once."""
     return kept("word tokens", (path, limit), lambda: WordTokenizer(path, limit))

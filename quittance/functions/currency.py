@@ -43,3 +43,13 @@ def currency_in(text: Column) -> Column:
         quoted = "".join("\\" + c if c in "$." else c for c in symbol)
         found = F.when(upper.rlike(f"(?<![A-Z]){quoted}(?![A-Z])"), F.lit(SYMBOLS[symbol])).otherwise(found)
     return F.coalesce(F.try_element_at(codes, F.lit(1)), found)
+
+
+#: signs of currencies, those of several among them (fixed values)
+SIGNS = "$£€₹₨₩₺₽₱₦฿₫₪₴₸¥"
+
+
+def shared_in(text: Column) -> Column:
+    """Whether a text names no one currency but has a symbol that several share, or another sign."""
+    left = F.upper(F.regexp_replace(text, "[0-9\\s.,'()+\u2212-]", ""))
+    return F.coalesce(currency_in(text).isNull() & (left.isin(*SHARED) | left.rlike(f"[{SIGNS}]")), F.lit(False))

@@ -50,20 +50,98 @@ def subscription_totals(rows: DataFrame) -> DataFrame:
     return subscriptions(rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("debit").alias("total"))
 
 
+#: what is said where nothing else is (fixed values)
+NO_SUBSCRIPTIONS = "✅ Zero recurring subscription charges detected."
+STORE_TIP = "💡 Tip: Store this validated digital extract for easy tax filing and expense reimbursement."
+NOTHING_ODD = "✅ Document processed successfully with zero critical anomalies detected."
+
+
+def _said(df: DataFrame, topics: list[tuple[str, Column]]) -> DataFrame:
+    """doc_id, place, topic, insight of the sentences that are not null."""
+    made = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(t).alias("topic"), c.alias("insight")) for k, (t, c) in enumerate(topics, 1)])
+    return df.select("doc_id", F.explode(F.filter(made, lambda x: x["insight"].isNotNull())).alias("x")).select("doc_id", "x.*")
+
+
+def _money(c: Column) -> Column:
+    return F.format_number(F.round(c, 2), 2)
+
+
 def insights(rows: DataFrame) -> DataFrame:
-    """One sentence per statement and topic: doc_id, topic, insight."""
+    """The sentences on each statement: doc_id, place, topic, insight. Merchants of the first four subscriptions are named, each once."""
     kpis, top, large = statement_kpis(rows), category_breakdown(rows).where("rank = 1"), largest_expense(rows)
-    subs = subscription_totals(rows)
-    money = lambda c: F.format_number(F.round(c, 2), 2)
-    joined = kpis.join(top.select("doc_id", "category", "amount", "share"), "doc_id", "left").join(large.select("doc_id", "description", F.col("debit").alias("peak")), "doc_id", "left")
-    joined = joined.join(subs.select("doc_id", F.col("n").alias("subs"), F.col("total").alias("sub_total")), "doc_id", "left")
-    flowing = F.when(F.col("net") > 0, F.concat(F.lit("Positive net savings of "), money(F.col("net")))).when(F.col("net") < 0, F.concat(F.lit("Outflow exceeded inflow by "), money(-F.col("net"))))
-    recurring = F.when(F.col("subs") > 0, F.concat(F.col("subs").cast("string"), F.lit(" recurring charges of "), money(F.col("sub_total")))).otherwise("No recurring charges")
-    spending = F.when(F.col("share") > 35, F.concat(F.lit("Concentrated: "), "category")).otherwise(F.concat(F.lit("Balanced: "), "category"))
-    peak = F.concat(F.lit("Largest outflow "), money(F.col("peak")), F.lit(" on "), "description")
-    topics = [("cash_flow", flowing), ("subscriptions", recurring), ("spending", spending), ("peak", peak)]
-    made = F.explode(F.array(*[F.struct(F.lit(t).alias("topic"), c.alias("insight")) for t, c in topics])).alias("x")
-    return joined.select("doc_id", made).select("doc_id", "x.*").where("insight is not null")
+    subs = subscriptions(rows).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("subs"), F.sum("debit").alias("sub_total"), F.transform(F.slice(F.sort_array(F.collect_list(F.struct("row_no", "merchant"))), 1, 4), lambda x: x["merchant"]).alias("merchants")
+    )
+    joined = kpis.join(top.select("doc_id", "category", "amount", "share"), "doc_id", "left").join(large.select("doc_id", "description", F.col("debit").alias("peak")), "doc_id", "left").join(subs, "doc_id", "left")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    flowing = F.when(F.col("net") > 0, text("💡 Strong Cash Flow: Positive net savings of ", _money(F.col("net")), " (", F.col("savings_rate").cast("string"), "% savings rate)."))
+    flowing = flowing.when(F.col("net") < 0, text("⚠️ Negative Cashflow: Total outflow exceeded inflow by ", _money(-F.col("net")), ". Consider curbing non-essential expenses."))
+    share = F.round(F.col("sub_total").cast("double") / F.col("outflow").cast("double") * 100, 1).cast("string")
+    names = F.array_join(F.array_distinct("merchants"), ", ")
+    recurring = F.when(F.col("subs") > 0, text("🔁 Active Subscriptions: ", F.col("subs").cast("string"), " recurring services detected (", names, ") totaling ", _money(F.col("sub_total")), " (", share, "% of spend).")).otherwise(NO_SUBSCRIPTIONS)
+    part, amount = F.col("share").cast("string"), _money(F.col("amount"))
+    spending = F.when(F.col("share") > 35, text("📊 Budget Concentration: ", F.col("category"), " is your highest spend area at ", part, "% (", amount, ") of total expenses."))
+    spending = spending.when(F.col("share").isNotNull(), text("📊 Balanced Spending: Highest category is ", F.col("category"), " at ", part, "% (", amount, ")."))
+    peak = text("🏷️ Peak Expense: Largest single outflow was ", _money(F.col("peak")), " on '", F.coalesce("description", F.lit("Unknown Transaction")), "'.")
+    return _said(joined, [("cash_flow", flowing), ("subscriptions", recurring), ("spending", spending), ("peak", peak)])
+
+
+def document_totals(documents: DataFrame) -> DataFrame:
+    """Figures of single documents by type: doc_id, document_type, outflow, n, category, top_category.
+
+    documents: doc_id, document_type, merchant, total, subtotal, n_items. Receipts and invoices pay their total, else their
+    subtotal, and are of the merchant's category; other documents count as one of general expense.
+    """
+    paid = F.col("document_type").isin("receipt", "invoice")
+    some = lambda c: F.nullif(F.col(c), F.lit(0))
+    outflow = F.when(paid, F.round(F.coalesce(some("total"), some("subtotal"), F.lit(0)), 2)).otherwise(F.lit(0))
+    of = F.when(paid, text.category(F.coalesce(F.nullif("merchant", F.lit("")), F.lit("Merchant")))).otherwise("General Expense")
+    n = F.when(paid & (F.coalesce("n_items", F.lit(0)) > 0), F.col("n_items")).otherwise(1)
+    return documents.select("doc_id", "document_type", outflow.cast("decimal(28,2)").alias("outflow"), n.cast("bigint").alias("n"), of.alias("category"))
+
+
+def document_insights(totals: DataFrame) -> DataFrame:
+    """The sentences on receipts, invoices and other documents. totals: document_totals()."""
+    paid = F.col("document_type").isin("receipt", "invoice")
+    verified = F.concat(F.lit("🧾 Verified "), F.initcap("document_type"), F.lit(": Total amount recorded as "), _money(F.col("outflow")), F.lit("."))
+    return _said(totals, [("verified", F.when(paid, verified)), ("tip", F.when(paid, STORE_TIP)), ("plain", F.when(~F.coalesce(paid, F.lit(False)), NOTHING_ODD))])
+
+
+def cards(documents: DataFrame) -> DataFrame:
+    """Four figures of a document for a report's head: doc_id, place, label, value.
+
+    documents: doc_id, document_type and, as its type has them, inflow, outflow, net, subscriptions, subscription_total;
+    subtotal, tax, total, merchant; n_fields.
+    """
+    zero_ = lambda c: F.coalesce(F.col(c), F.lit(0))
+    total = F.coalesce(F.nullif("total", F.lit(0)), zero_("subtotal") + zero_("tax"))
+    number = lambda c: c.cast("decimal(28,2)").cast("string")
+    subs = F.concat(zero_("subscriptions").cast("string"), F.lit(" ("), _money(zero_("subscription_total")), F.lit(")"))
+    of = {
+        "bank_statement": [("TOTAL INFLOW / CREDITS", number(zero_("inflow"))), ("TOTAL OUTFLOW / DEBITS", number(zero_("outflow"))), ("NET CASHFLOW / SAVINGS", number(zero_("net"))), ("ACTIVE SUBSCRIPTIONS", subs)],
+        "invoice": [("SUBTOTAL (EXCL. TAX)", number(zero_("subtotal"))), ("TOTAL TAX / VAT", number(zero_("tax"))), ("INVOICE TOTAL DUE", number(total)), ("EXTRACTION STATUS", F.lit("VERIFIED"))],
+        "receipt": [("TOTAL PAID", number(total)), ("SUBTOTAL", number(zero_("subtotal"))), ("TAX / DUTY", number(zero_("tax"))), ("EXPENSE CATEGORY", text.category(F.coalesce(F.nullif("merchant", F.lit("")), F.lit("Merchant"))))],
+        "other": [("PROCESSING STATUS", F.lit("SUCCESS")), ("EXTRACTED ATTRIBUTES", zero_("n_fields").cast("string")), ("AI VERIFICATION", F.lit("PASSED")), ("EXPORT FORMAT", F.lit("MULTI-SHEET"))],
+    }
+    made = {t: F.array(*[F.struct(F.lit(k).alias("place"), F.lit(label).alias("label"), v.alias("value")) for k, (label, v) in enumerate(c, 1)]) for t, c in of.items()}
+    chosen = made["other"]
+    for t in ("bank_statement", "invoice", "receipt"):
+        chosen = F.when(F.col("document_type") == t, made[t]).otherwise(chosen)
+    return documents.select("doc_id", F.explode(chosen).alias("x")).select("doc_id", "x.*")
+
+
+def item_rows(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """Items of invoices and receipts as statement rows, to be united with those of statements for consolidation.
+
+    items: doc_id, row_no, description, amount, total; documents: doc_id, date, number.
+    """
+    worth = F.coalesce(F.nullif("amount", F.lit(0)), F.nullif("total", F.lit(0)), F.lit(0))
+    none = F.lit(None).cast("decimal(28,3)")
+    joined = items.join(documents.select("doc_id", "date", F.col("number").alias("reference")), "doc_id", "left")
+    return joined.select(
+        "doc_id", "row_no", F.coalesce("date", F.lit("2026-01-01").cast("date")).alias("date"), F.coalesce(F.nullif("description", F.lit("")), F.lit("Item")).alias("description"), "reference",
+        worth.cast("decimal(28,3)").alias("debit"), none.alias("credit"),
+    )
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:

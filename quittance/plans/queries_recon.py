@@ -215,6 +215,13 @@ def _case(choices, other: str) -> str:
     return f"CASE {whens} ELSE {other} END"
 
 
+def _cash(x: str) -> str:
+    """An amount with two decimals and commas between groups."""
+    text = f"(({x})::DECIMAL(28,2)::VARCHAR)"
+    whole = f"split_part({text}, '.', 1)"
+    return f"(reverse(rtrim(regexp_replace(reverse({whole}), '([0-9]{{{{3}}}})', '\\1,', 'g'), ',')) || '.' || split_part({text}, '.', 2))".replace("{{3}}", "{3}")
+
+
 _CATEGORY = _case(text.CATEGORIES, f"'{text.OTHER_CATEGORY}'")
 _MERCHANT = _case([(m.title(), (m,)) for m in text.SUBSCRIPTIONS], "NULL")
 _BREAKDOWN = f"""{_STATEMENTS},
@@ -262,6 +269,20 @@ SELECT v.rec_id, id, side AS direction, CASE WHEN side = 'credit' THEN 'debit' E
     "top_category": f"{_BREAKDOWN} SELECT doc_id, category, share FROM breakdown WHERE rank = 1",
     "largest_expense": f"{_STATEMENTS} SELECT doc_id, row_no, description, debit::DOUBLE AS debit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY debit DESC, row_no) AS r FROM s WHERE debit > 0) WHERE r = 1",
     "subscriptions": f"{_STATEMENTS} SELECT doc_id, count(*) AS n, sum(debit)::DOUBLE AS total FROM (SELECT *, {_MERCHANT} AS merchant FROM s WHERE debit > 0) WHERE merchant IS NOT NULL GROUP BY doc_id",
+    "insights": f"""{_BREAKDOWN},
+k AS (SELECT doc_id, sum(coalesce(credit, 0)) AS i, sum(coalesce(debit, 0)) AS o FROM s GROUP BY doc_id),
+m AS (SELECT doc_id, row_no, {_MERCHANT} AS merchant, debit FROM s WHERE debit > 0),
+f AS (SELECT doc_id, count(*) AS n, sum(debit) AS total, array_agg(merchant ORDER BY row_no)[1:4] AS names FROM m WHERE merchant IS NOT NULL GROUP BY doc_id),
+u AS (SELECT doc_id, n, total, list_reduce(list_filter(names, lambda x, j: list_position(names, x) = j), lambda a, b: a || ', ' || b) AS names FROM f),
+l AS (SELECT doc_id, description, debit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY debit DESC, row_no) AS r FROM s WHERE debit > 0) WHERE r = 1),
+x AS (SELECT k.doc_id, i - o AS net, o, CASE WHEN i > 0 THEN greatest(0.0, round((i - o)::DOUBLE / i::DOUBLE * 100, 1)) ELSE 0.0 END::DOUBLE AS rate, u.n, u.total, u.names, b.category, b.amount, b.share, l.description, l.debit
+  FROM k LEFT JOIN u ON u.doc_id = k.doc_id LEFT JOIN breakdown b ON b.doc_id = k.doc_id AND b.rank = 1 LEFT JOIN l ON l.doc_id = k.doc_id),
+y AS (SELECT doc_id, unnest([1, 2, 3, 4]) AS place, unnest(['cash_flow', 'subscriptions', 'spending', 'peak']) AS topic, unnest([
+  CASE WHEN net > 0 THEN '💡 Strong Cash Flow: Positive net savings of ' || {_cash('net')} || ' (' || rate || '% savings rate).' WHEN net < 0 THEN '⚠️ Negative Cashflow: Total outflow exceeded inflow by ' || {_cash('-net')} || '. Consider curbing non-essential expenses.' END,
+  CASE WHEN n > 0 THEN '🔁 Active Subscriptions: ' || n || ' recurring services detected (' || names || ') totaling ' || {_cash('total')} || ' (' || round(total::DOUBLE / o::DOUBLE * 100, 1) || '% of spend).' ELSE '{analytics.NO_SUBSCRIPTIONS}' END,
+  CASE WHEN share > 35 THEN '📊 Budget Concentration: ' || category || ' is your highest spend area at ' || share || '% (' || {_cash('amount')} || ') of total expenses.' WHEN share IS NOT NULL THEN '📊 Balanced Spending: Highest category is ' || category || ' at ' || share || '% (' || {_cash('amount')} || ').' END,
+  '🏷️ Peak Expense: Largest single outflow was ' || {_cash('debit')} || ' on ' || chr(39) || description || chr(39) || '.']) AS insight FROM x)
+SELECT doc_id, place::INT AS place, topic, insight FROM y WHERE insight IS NOT NULL""",
     "dedup_ledger": f"""WITH {data.LEDGER_SQL}, s AS (SELECT rec_id AS doc_id, row_no, date, description, reference, CASE WHEN direction = 'debit' THEN amount END AS debit, CASE WHEN direction = 'credit' THEN amount END AS credit FROM ledger),
 k AS (SELECT *, row_number() OVER (PARTITION BY date, coalesce(debit, 0), coalesce(credit, 0), left(description, 20), reference ORDER BY doc_id, row_no) AS r FROM s)
 SELECT doc_id, row_no, date, reference, debit::DOUBLE AS debit, credit::DOUBLE AS credit FROM k WHERE r = 1""",

@@ -84,18 +84,36 @@ def ledger_with_total(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "row_no", "date", "description", F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"))
 
 
+def _entries(spark, sf):
+    """Entries of all statements, every third without a reference."""
+    rows = _rows(spark, sf).withColumn("reference", F.when(F.col("row_no") % 3 == 0, "").otherwise(F.col("reference")))
+    return exports.signed_rows(rows)
+
+
+NOW = "20260301101500"
+
+
 def ofx_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return exports.ofx_lines(_rows(spark, sf))
+    entries = _entries(spark, sf)
+    documents = entries.groupBy("doc_id").agg(F.sum("amount").alias("closing")).select("doc_id", "closing", F.lit("eur").alias("currency"), F.lit("First & Savings").alias("bank_name"), F.lit("XX-12 34").alias("account"))
+    return exports.ofx_lines(entries, documents, NOW, qbo=True)
 
 
 def qif_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return exports.qif_lines(_rows(spark, sf))
+    return exports.qif_lines(_entries(spark, sf))
 
 
 QUERIES = (stream_job_latest, stream_completion, stream_quota, stream_rate_limit, buffer_latest, export_ledger_rows, ledger_with_total, ofx_rows, qif_rows)
 
 _TERMINAL = "('completed', 'failed', 'cancelled')"
 _AMOUNT = "(CASE WHEN coalesce(credit, 0) > 0 THEN credit ELSE -coalesce(debit, 0) END)::DECIMAL(28,2)"
+_REFERENCE = "CASE WHEN row_no % 3 = 0 THEN '' ELSE reference END"
+_FLOAT = "regexp_replace(regexp_replace(amount::DECIMAL(28,6)::VARCHAR, '0+$', ''), '\\.$', '.0')"
+_QUOTED = lambda lines: "[" + ", ".join(x if x.startswith("'<") is False and "||" in x else f"'{x}'" for x in lines) + "]"
+_OFX_HEAD = _QUOTED([*exports.OFX_HEAD, "  <SIGNONMSGSRSV1>", "    <SONRS>", *exports._STATUS, f"      <DTSERVER>{NOW}", "      <LANGUAGE>ENG", "        <INTU.BID>3000", "    </SONRS>", "  </SIGNONMSGSRSV1>", "  <BANKMSGSRSV1>", "    <STMTTRNRS>",
+    "'      <TRNUID>' || doc_id", *exports._STATUS, "      <STMTRS>", "        <CURDEF>EUR", "        <BANKACCTFROM>", "          <BANKID>FIRSTSAV", "          <ACCTID>XX1234", "          <ACCTTYPE>CHECKING",
+    "        </BANKACCTFROM>", "        <BANKTRANLIST>", "'          <DTSTART>' || first_day", "'          <DTEND>' || last_day"])
+_OFX_FOOT = _QUOTED(["        </BANKTRANLIST>", "        <LEDGERBAL>", "'          <BALAMT>' || closing::DECIMAL(28,2)::VARCHAR", "'          <DTASOF>' || last_day", "        </LEDGERBAL>", "      </STMTRS>", "    </STMTTRNRS>", "  </BANKMSGSRSV1>", "</OFX>"])
 SQL = {
     "stream_job_latest": f"SELECT job_id, status, progress FROM (SELECT user_id % 50 AS job_id, {_CASE_STATUS} AS status, event_id AS progress, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "stream_completion": f"WITH e AS (SELECT user_id % 20 AS rec_id, {_CASE_STATUS} AS status, event_id % 2 = 0 AS bank FROM events), g AS (SELECT rec_id, bool_or(status = 'completed') FILTER (bank AND status IN {_TERMINAL}) AS b, bool_or(status = 'completed') FILTER (NOT bank AND status IN {_TERMINAL}) AS l FROM e GROUP BY rec_id) SELECT rec_id, b AND l AS ok FROM g WHERE b IS NOT NULL AND l IS NOT NULL",
@@ -103,6 +121,13 @@ SQL = {
     "buffer_latest": "SELECT subscriber, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (SELECT user_id % 7 AS subscriber, event_id, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 100 GROUP BY subscriber",
     "export_ledger_rows": f"{_STATEMENTS} SELECT doc_id, row_no, strftime(date, '%Y-%m-%d') AS date, description, reference, coalesce(debit, 0)::DECIMAL(28,2)::VARCHAR AS debit, coalesce(credit, 0)::DECIMAL(28,2)::VARCHAR AS credit, {_CATEGORY} AS category FROM s",
     "ledger_with_total": f"{_STATEMENTS} SELECT doc_id, row_no, strftime(date, '%Y-%m-%d') AS date, description, debit::DOUBLE AS debit, credit::DOUBLE AS credit FROM s UNION ALL SELECT doc_id, max(row_no) + 1, NULL, 'TOTAL', sum(debit)::DOUBLE, sum(credit)::DOUBLE FROM s GROUP BY doc_id",
-    "qif_rows": f"""{_STATEMENTS}, b AS (SELECT doc_id, row_no, unnest([1, 2, 3, 4, 5, 6]) AS k, unnest(['D' || strftime(date, '%m/%d/%Y'), 'T' || {_AMOUNT}::VARCHAR, 'P' || description, 'N' || reference, 'L' || {_CATEGORY}, '^']) AS line FROM s
-UNION ALL SELECT DISTINCT doc_id, -1, 0, '!Type:Bank' FROM s) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY row_no, k)::INT AS line_no, line FROM b""",
+    "qif_rows": f"""{_STATEMENTS}, b AS (SELECT doc_id, row_no, unnest([1, 2, 3, 4, 5, 6]) AS k, unnest(['D' || strftime(date, '%m/%d/%Y'), 'T' || {_AMOUNT}::VARCHAR, 'P' || description, nullif('N' || {_REFERENCE}, 'N'), 'L' || {_CATEGORY}, '^']) AS line FROM s
+UNION ALL SELECT DISTINCT doc_id, -1, 0, '!Type:Bank' FROM s) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY row_no, k)::INT AS line_no, line FROM b WHERE line IS NOT NULL""",
+    "ofx_rows": f"""{_STATEMENTS}, e AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) AS n, strftime(date, '%Y%m%d') || '120000' AS day, {_AMOUNT} AS amount, replace(left(description, 32), '&', '&amp;') AS name,
+  replace(left(coalesce(nullif({_REFERENCE}, ''), {_CATEGORY}), 32), '&', '&amp;') AS memo FROM s),
+d AS (SELECT doc_id, arg_min(day, n) AS first_day, arg_max(day, n) AS last_day, sum(amount) AS closing FROM e GROUP BY doc_id),
+b AS (SELECT doc_id, n, unnest(range(8)) AS k, unnest(['          <STMTTRN>', '            <TRNTYPE>' || CASE WHEN amount >= 0 THEN 'CREDIT' ELSE 'DEBIT' END, '            <DTPOSTED>' || day, '            <TRNAMT>' || amount::DECIMAL(28,2)::VARCHAR,
+  '            <FITID>' || upper(left(md5(doc_id || '_' || n || '_' || day || '_' || {_FLOAT} || '_' || name), 16)), '            <NAME>' || name, '            <MEMO>' || memo, '          </STMTTRN>']) AS line FROM e
+UNION ALL SELECT doc_id, -1, unnest(range({len(exports.OFX_HEAD) + 30})), unnest({_OFX_HEAD}) FROM d UNION ALL SELECT doc_id, 4611686018427387904, unnest(range(9)), unnest({_OFX_FOOT}) FROM d)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k)::INT AS line_no, line FROM b WHERE line IS NOT NULL""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 #: leading bytes in hexadecimal (fixed values)
 SIGNATURES = {"xlsx": "504B0304", "xls": "D0CF11E0A1B11AE1"}
-MEDIA = {"pdf": "25504446", "png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "tiff": "49492A00", "bmp": "424D"}
+MEDIA = {"pdf": "25504446", "png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "tiff": "49492A00", "tiff_big_endian": "4D4D002A", "bmp": "424D"}
 
 
 def _head(content: Column, n: int) -> Column:
@@ -24,7 +24,7 @@ def media_of(content: Column) -> Column:
     """pdf, png, jpeg, tiff, bmp, webp or null."""
     found = F.when(_head(content, 4).eqNullSafe("52494646") & (F.hex(F.substring(content, 9, 4)) == "57454250"), "webp")
     for kind, signature in MEDIA.items():
-        found = found.when(_head(content, len(signature) // 2) == signature, kind)
+        found = found.when(_head(content, len(signature) // 2) == signature, kind.split("_")[0])
     return found
 
 

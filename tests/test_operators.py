@@ -125,13 +125,44 @@ def test_spreadsheets(spark):
     assert spreadsheet.edge_balances(read).where("path = 'a.csv'").first()["opening"] == "1.000,00"
 
 
+def sheet(spark, path, content):
+    return spreadsheet.read_rows(spark.createDataFrame([(path, bytearray(content))], "path string, content binary"))
+
+
+def test_spreadsheet_edges(spark):
+    """Opening and closing rows, page totals, repeated headers, the order of stated values."""
+    text = "Date,Débit-,CREDIT,Particulars,Amount\n,5,6,* Brought forward:,7\n1/2/2026,3,,Shop,\n,,,- Page total,9\n Date ,débit,Credit,particulars,AMOUNT\n2/2/2026,,4,More,\n,,,Carried Forward,8\n"
+    rows = sheet(spark, "a", text.encode())
+    assert [(r["row_no"], r["description"], r["debit"], r["credit"]) for r in spreadsheet.transactions(rows).orderBy("row_no").collect()] == [(3, "Shop", "3", None), (6, "More", None, "4")]
+    edges = spreadsheet.edge_balances(rows).first()
+    assert (edges["opening"], edges["closing"]) == ("5", "8")
+
+
+def test_broken_files_end_no_job(spark):
+    nested = b"<table><tr><td>Date</td><td>Amount</td></tr><tr><td>1/2/2026<table><tr><td>in</td></tr></table></td><td>5</td></tr></table><table><tr><td>z</td></tr></table>"
+    files = [("a.xlsx", xlsx_bytes()[:200]), ("b.xml", b'<?xml version="1.0"?><Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet"><Row>'), ("d.html", nested)]
+    rows = spreadsheet.read_rows(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"))
+    assert {r["sheet"] for r in rows.collect()} == {"table 1", "table 2", "table 3"} and [r["amount"] for r in spreadsheet.transactions(rows).collect()] == ["5"]
+    names = [s for of in spreadsheet.SYNONYMS.values() for s in of]
+    assert len(names) == len(set(names))
+
+
 def test_exports(spark):
     data = [(1, 1, "2026-01-05", "Netflix <a>", "R", Decimal("9.99"), None), (1, 2, "2026-01-06", "Pay", None, None, Decimal("50.00"))]
     df = spark.createDataFrame(data, "doc_id long, row_no long, date string, description string, reference string, debit decimal(10,2), credit decimal(10,2)")
-    qif = [r["line"] for r in exports.qif_lines(df).orderBy("line_no").collect()]
-    assert qif[:3] == ["!Type:Bank", "D01/05/2026", "T-9.99"] and qif.count("^") == 2
-    ofx = [r["line"] for r in exports.ofx_lines(df, qbo=True).orderBy("line_no").collect()]
-    assert "<INTU.BID>3000" in ofx and "<DTPOSTED>20260105120000" in ofx and "<TRNTYPE>DEBIT" in ofx and ofx[-1] == "</OFX>"
+    entries = exports.signed_rows(df)
+    qif = [r["line"] for r in exports.qif_lines(entries).orderBy("line_no").collect()]
+    assert qif == ["!Type:Bank", "D01/05/2026", "T-9.99", "PNetflix <a>", "NR", "LEntertainment & Subscriptions", "^", "D01/06/2026", "T50.00", "PPay", "LMiscellaneous", "^"]
+    heads = spark.createDataFrame([(1, "usd", "A & B bank", "12-34", Decimal("7.5"))], "doc_id long, currency string, bank_name string, account string, closing decimal(10,2)")
+    ofx = [r["line"].strip() for r in exports.ofx_lines(entries, heads, "20260301000000", qbo=True).orderBy("line_no").collect()]
+    wanted = ("<INTU.BID>3000", "<DTPOSTED>20260105120000", "<TRNTYPE>DEBIT", "<CURDEF>USD", "<BANKID>ABBANK", "<ACCTID>1234", "<DTSTART>20260105120000", "<DTEND>20260106120000", "<BALAMT>7.50", "<MEMO>Miscellaneous", "<TRNUID>1")
+    assert all(x in ofx for x in wanted) and ofx[-1] == "</OFX>" and ofx.count("<STMTTRN>") == 2
+    import hashlib
+
+    assert f"<FITID>{hashlib.md5(b'1_2_20260106120000_50.0_Pay').hexdigest()[:16].upper()}" in ofx
+    items = spark.createDataFrame([(5, 1, "", 2.0, 3.0, None, None), (5, 2, "Pen", None, None, 4.0, 9.0)], "doc_id long, row_no long, description string, quantity double, unit_price double, amount double, total double")
+    docs = spark.createDataFrame([(5, "2026/1/9", "N1")], "doc_id long, date string, number string")
+    assert [r["line"] for r in exports.qif_lines(exports.signed_items(items, docs)).orderBy("line_no").collect()][1:5] == ["D01/09/2026", "T-6.00", "PLine Item", "NN1"]
     grid = spark.createDataFrame([([["a", "b"], ["1"], ["a", "b"], ["x|y", "2"]],)], "g array<array<string>>")
     assert grid.select(exports.markdown(F.col("g"))).first()[0] == "| a | b |\n| --- | --- |\n| 1 |  |\n| x\\|y | 2 |"
 

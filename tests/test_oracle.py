@@ -19,6 +19,9 @@ def test_same_rows(spark, con, name):
     assert differences(spark, SF, catalog.queries()[name], catalog.oracle_sql()[name], con) == ([], [])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+#: queries without SQL, each held against brute force in test_brute_force.py
+ELSEWHERE = {"recon_mismatches", "whitespace_norm", "text_parts", "stream_rate_limit", "misread_amounts", "einvoice_xml_all_orders"}
+
+
+def test_queries_without_sql_are_known():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == ELSEWHERE

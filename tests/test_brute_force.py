@@ -81,7 +81,7 @@ def test_xml_round_trip_of_all(spark):
     lines = defaultdict(list)
     for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect():
         lines[r["l_orderkey"]].append((r["l_linenumber"], r["l_partkey"], Decimal(str(r["l_extendedprice"])).quantize(Decimal("0.01"))))
-    got = run(spark, "einvoice_xml_all_orders")
+    got = run(spark, "einvoice_xml_round_trip")
     assert len(got) == len(lines) and STOPWORDS
     for r in got:
         of = lines[r["doc_id"]]

@@ -179,32 +179,38 @@ def mismatches(edges: DataFrame) -> DataFrame:
 
 
 def nearest_same_amount(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """For dated rows: the other side's entry of the same amount and flow nearest in days.
+    """The other side's entry of the same amount and flow nearest in days, with near_date and near_days; null for none.
 
     Of the entries before a row's date only the last in (date, row) order counts, of those at or after it
     only the first; the fewer days win, then the lower row. One sorted pass over the union of both sides.
+    A row without date has the earliest entry, and where none has a date the first in row order is taken.
     rows, others: rec_id, row_no, id, date, amount, flow.
     """
     key = ["rec_id", "amount", "flow"]
     entry = F.struct("date", "row_no", "id")
     # at one date, rows that ask come before entries, which thus count as at or after
-    asked = rows.where("date is not null").select(*key, "date", F.lit(0).alias("kind"), "row_no", "id", F.lit(None).cast(others.select(entry.alias("e")).schema["e"].dataType).alias("entry"))
+    asked = rows.select(*key, "date", F.lit(0).alias("kind"), "row_no", "id", F.lit(None).cast(others.select(entry.alias("e")).schema["e"].dataType).alias("entry"))
     given = others.where("date is not null").select(*key, "date", F.lit(1).alias("kind"), "row_no", "id", entry.alias("entry"))
     order = Window.partitionBy(*key).orderBy("date", "kind", "row_no")
     both = asked.unionByName(given).withColumns({
         "before": F.last("entry", True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
         "after": F.first("entry", True).over(order.rowsBetween(1, Window.unboundedFollowing)),
     }).where("kind = 0")
+    undated = others.where("date is null").groupBy(*key).agg(F.min_by(entry, "row_no").alias("undated"))
     gap = lambda e: F.abs(F.datediff(F.col(f"{e}.date"), F.col("date")))
     first = F.col("after").isNull() | (F.col("before").isNotNull() & ((gap("before") < gap("after")) | ((gap("before") == gap("after")) & (F.col("before.row_no") < F.col("after.row_no")))))
-    chosen = both.withColumn("near", F.when(first, F.col("before")).otherwise(F.col("after")))
-    return chosen.select("rec_id", "row_no", "id", F.col("near.id").alias("near_id"), F.abs(F.datediff("near.date", "date")).alias("near_days"))
+    # rows without date sort first, so the entry after them is the earliest
+    chosen = both.join(undated, key, "left").withColumn("near", F.coalesce(F.when(first, F.col("before")).otherwise(F.col("after")), F.col("undated")))
+    return chosen.select("rec_id", "row_no", "id", F.col("near.id").alias("near_id"), F.col("near.date").alias("near_date"), F.abs(F.datediff("near.date", "date")).alias("near_days"))
 
 
-def unmatched_reason(days: Column, near_id: Column, tolerance: int, other: str) -> Column:
+def unmatched_reason(days: Column, near_id: Column, near_date: Column, tolerance: int, other: str) -> Column:
+    far = F.concat(
+        F.lit(f"Closest {other} entry with the same amount ("), near_id, F.lit(", "), near_date.cast("string"), F.lit(") is "), days.cast("string"), F.lit(f" days apart, outside the ±{tolerance}-day tolerance.")
+    )
     return (
         F.when(near_id.isNull(), F.lit(f"No {other} entry with the same amount and direction was found."))
-        .when(days > tolerance, F.concat(F.lit(f"Closest {other} entry with the same amount ("), near_id, F.lit(") is "), days.cast("string"), F.lit(f" days apart, outside the ±{tolerance}-day tolerance.")))
+        .when(days > tolerance, far)
         .otherwise(F.lit(f"The {other} entries with the same amount and direction were already matched to other transactions."))
     )
 
@@ -214,6 +220,6 @@ def duplicates(rows: DataFrame) -> DataFrame:
     return (
         rows.where("date is not null")
         .groupBy("rec_id", "date", "amount", "direction", F.array_join("tokens", " ").alias("desc_key"), "reference")
-        .agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "id"))), lambda x: x["id"]), ",").alias("ids"))
+        .agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "id"))), lambda x: x["id"]), ",").alias("ids"), F.min("row_no").alias("first_row"))
         .where("n >= 2")
     )

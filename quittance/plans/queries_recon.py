@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
-from ..operators import analytics, balances, matching
+from ..operators import analytics, balances, matching, reports
 from . import driver_data as data
 
 TOLERANCE = 2
@@ -59,7 +59,7 @@ def recon_mismatches(spark: SparkSession, sf: str) -> DataFrame:
 def recon_nearest_reason(spark: SparkSession, sf: str) -> DataFrame:
     b, l = (x.withColumn("flow", matching.flow(F.col("direction"))) for x in _sides(spark, sf))
     near = matching.nearest_same_amount(b, l)
-    return near.select("rec_id", "id", "near_id", "near_days", matching.unmatched_reason(F.col("near_days"), F.col("near_id"), TOLERANCE, "ledger").alias("reason"))
+    return near.select("rec_id", "id", "near_id", "near_days", matching.unmatched_reason(F.col("near_days"), F.col("near_id"), F.col("near_date"), TOLERANCE, "ledger").alias("reason"))
 
 
 def recon_duplicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,6 +69,18 @@ def recon_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source", "rec_id", "date", F.col("amount").cast(MONEY).alias("amount"), "direction", "n", "ids")
 
 
+def recon_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of every reconciliation as lines of CSV."""
+    b, l = _sides(spark, sf)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    k = F.col("rec_id").cast("string")
+    records = b.select("rec_id").distinct().select(
+        "rec_id", text("REC", k).alias("reconciliation_id"), text("bank, ", k, ".csv").alias("bank_file"), text("=ledger", k, ".csv").alias("ledger_file"),
+        F.lit("2026-01-05 00:00:00+00:00").alias("created_at"), F.lit(None).cast("string").alias("completed_at"), F.when(F.col("rec_id") % 2 == 0, "EUR").otherwise("KWD").alias("currency"),
+    )
+    return reports.csv_lines(reports.report(records, b, l, reports.reconciled(b, l, TOLERANCE)))
+
+
 def recon_summary(spark: SparkSession, sf: str) -> DataFrame:
     b, l = _sides(spark, sf)
     pairs = matching.matched(b, l, TOLERANCE)
@@ -167,7 +179,7 @@ def profit_and_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = (
     recon_exact_match, recon_unmatched_bank, recon_unmatched_ledger, recon_convention, recon_mismatch_candidates, recon_mismatches, recon_nearest_reason,
-    recon_duplicates, recon_summary, running_balance_breaks, balance_check, direction_repair, statement_kpis, category_breakdown, top_category,
+    recon_duplicates, recon_report, recon_summary, running_balance_breaks, balance_check, direction_repair, statement_kpis, category_breakdown, top_category,
     largest_expense, subscriptions, insights, dedup_ledger, consolidated_monthly, consolidated_totals, peak_month, profit_and_loss,
 )
 
@@ -246,10 +258,10 @@ SQL = {
     "recon_nearest_reason": f"""{_BASE}, bb AS (SELECT *, direction AS flow FROM b), ll AS (SELECT *, direction AS flow FROM l),
 before AS (SELECT bb.rec_id, bb.row_no, arg_max(ll.id, (ll.date, ll.row_no)) AS id, max((ll.date, ll.row_no)) AS k FROM bb JOIN ll USING (rec_id, amount, flow) WHERE ll.date < bb.date GROUP BY ALL),
 aft AS (SELECT bb.rec_id, bb.row_no, arg_min(ll.id, (ll.date, ll.row_no)) AS id, min((ll.date, ll.row_no)) AS k FROM bb JOIN ll USING (rec_id, amount, flow) WHERE ll.date >= bb.date GROUP BY ALL),
-j AS (SELECT bb.rec_id, bb.id, bb.date, p.id AS pid, bb.date - p.k[1] AS pd, p.k[2] AS pr, a.id AS aid, a.k[1] - bb.date AS ad, a.k[2] AS ar FROM bb LEFT JOIN before p ON p.rec_id = bb.rec_id AND p.row_no = bb.row_no LEFT JOIN aft a ON a.rec_id = bb.rec_id AND a.row_no = bb.row_no),
+j AS (SELECT bb.rec_id, bb.id, bb.date, p.id AS pid, p.k[1] AS pdate, bb.date - p.k[1] AS pd, p.k[2] AS pr, a.id AS aid, a.k[1] AS adate, a.k[1] - bb.date AS ad, a.k[2] AS ar FROM bb LEFT JOIN before p ON p.rec_id = bb.rec_id AND p.row_no = bb.row_no LEFT JOIN aft a ON a.rec_id = bb.rec_id AND a.row_no = bb.row_no),
 k AS (SELECT *, aid IS NULL OR (pid IS NOT NULL AND (pd < ad OR (pd = ad AND pr < ar))) AS first FROM j),
-z AS (SELECT rec_id, id, CASE WHEN first THEN pid ELSE aid END AS near_id, (CASE WHEN first THEN pd ELSE ad END)::INT AS near_days FROM k)
-SELECT rec_id, id, near_id, near_days, CASE WHEN near_id IS NULL THEN 'No ledger entry with the same amount and direction was found.' WHEN near_days > {TOLERANCE} THEN 'Closest ledger entry with the same amount (' || near_id || ') is ' || near_days || ' days apart, outside the ±{TOLERANCE}-day tolerance.' ELSE 'The ledger entries with the same amount and direction were already matched to other transactions.' END AS reason FROM z""",
+z AS (SELECT rec_id, id, CASE WHEN first THEN pid ELSE aid END AS near_id, CASE WHEN first THEN pdate ELSE adate END AS near_date, (CASE WHEN first THEN pd ELSE ad END)::INT AS near_days FROM k)
+SELECT rec_id, id, near_id, near_days, CASE WHEN near_id IS NULL THEN 'No ledger entry with the same amount and direction was found.' WHEN near_days > {TOLERANCE} THEN 'Closest ledger entry with the same amount (' || near_id || ', ' || strftime(near_date, '%Y-%m-%d') || ') is ' || near_days || ' days apart, outside the ±{TOLERANCE}-day tolerance.' ELSE 'The ledger entries with the same amount and direction were already matched to other transactions.' END AS reason FROM z""",
     "recon_duplicates": f"""{_BASE}, u AS (SELECT 'ledger' AS source, * FROM l UNION ALL SELECT 'bank', * FROM b)
 SELECT source, rec_id, date, amount::DOUBLE AS amount, direction, count(*) AS n, string_agg(id, ',' ORDER BY row_no) AS ids FROM u GROUP BY source, rec_id, date, amount, direction, tokens, reference HAVING count(*) >= 2""",
     "recon_summary": f"""{_PAIRS}, d AS (SELECT rec_id, count(*) AS n FROM (SELECT rec_id FROM l GROUP BY rec_id, date, amount, direction, tokens, reference HAVING count(*) >= 2) GROUP BY rec_id)

@@ -20,7 +20,7 @@ def test_same_rows(spark, con, name):
 
 
 #: queries without SQL, each held against brute force in test_brute_force.py
-ELSEWHERE = {"recon_mismatches", "whitespace_norm", "text_parts", "stream_rate_limit", "misread_amounts"}
+ELSEWHERE = {"recon_mismatches", "recon_report", "whitespace_norm", "text_parts", "stream_rate_limit", "misread_amounts"}
 
 
 def test_queries_without_sql_are_known():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from public_tokenizers import path as tokenizer
 
 from . import decontaminate as decontamination
-from . import lm_score, ngram_join, packing, quality, secret_scan, sql, token_counts, token_files, toxicity, url_filter
+from . import divergence, lm_score, ngram_join, packing, quality, secret_scan, sql, token_counts, token_files, toxicity, url_filter
 from .common import crc_mod, table
 
 #: host, path and verdict of the url rules that op7 is to apply (fixed values)
@@ -88,9 +88,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_lm_score, op3_toxicity, op4_benchmark_hits, op5_secret_scan, op6_token_counts, op7_url_filter, op8_token_files, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_lm_score, op3_toxicity, op4_benchmark_hits, op5_secret_scan, op6_token_counts, op7_url_filter, op8_token_files, op9_packing, op10_quality_rules, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": sql.OP1, "op4_benchmark_hits": sql.OP4, "op7_url_filter": sql.OP7, "op10_quality_rules": sql.OP10}
+    return {"op1_ngram_join": sql.OP1, "op4_benchmark_hits": sql.OP4, "op7_url_filter": sql.OP7, "op10_quality_rules": sql.OP10, "op13_source_divergence": sql.OP13}

@@ -73,3 +73,21 @@ t AS (SELECT u.lang, z.rule, gr.cutoff FROM u JOIN z ON z.lang IS NOT DISTINCT F
 s AS (SELECT r.*, CASE WHEN r.lang IN (SELECT lang FROM u WHERE lang IS NOT NULL) THEN r.lang END AS source FROM r),
 x AS (SELECT DISTINCT s.doc_id FROM s JOIN t ON t.lang IS NOT DISTINCT FROM s.source AND t.rule = s.rule AND s.score > t.cutoff)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept FROM f LEFT JOIN x ON x.doc_id = f.doc_id"""
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_SHARE = "(1 + 1000000000::HUGEINT * ({} + 1) // ({} + {}))"
+_GAP = "((p - q) * (p - q) // q)::BIGINT"
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '{_TERM}')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::BIGINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*)::BIGINT AS v, sum(n)::BIGINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*)::BIGINT AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::BIGINT AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c, {_SHARE.format("coalesce(c.n, 0)", "n.n", "v.v")} AS p, {_SHARE.format("k.n", "v.n", "v.v")} AS q
+      FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT lang, source, item, sum({_GAP}) AS f FROM (SELECT a.lang, a.source, b.source AS item, a.p, b.p AS q FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source) GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.f, 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, {_GAP} FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM o) WHERE part = 'pair' OR rank <= 200"""

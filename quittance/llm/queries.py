@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from public_tokenizers import path as tokenizer
 
 from . import decontaminate as decontamination
-from . import divergence, lm_score, ngram_join, packing, quality, secret_scan, sql, token_counts, token_files, toxicity, url_filter
+from . import chat_format, divergence, hard_negatives, lm_score, ngram_join, packing, quality, secret_scan, sql, token_counts, token_files, toxicity, url_filter
 from .common import crc_mod, table
 
 #: host, path and verdict of the url rules that op7 is to apply (fixed values)
@@ -88,13 +88,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    read = chat_format.read_back(chat_format.format_conversations(rows.unionByName(more)))
+    turns = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
+    loss = F.array_join("learned", "")
+    return read.select(
+        "conv_id",
+        F.size("roles").cast("bigint").alias("n_turns"),
+        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.col("chars").alias("formatted_chars"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_lm_score, op3_toxicity, op4_benchmark_hits, op5_secret_scan, op6_token_counts, op7_url_filter, op8_token_files, op9_packing, op10_quality_rules, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_lm_score, op3_toxicity, op4_benchmark_hits, op5_secret_scan, op6_token_counts, op7_url_filter, op8_token_files, op9_packing, op10_quality_rules, op11_chat_format, op12_hard_negatives, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": sql.OP1, "op4_benchmark_hits": sql.OP4, "op7_url_filter": sql.OP7, "op10_quality_rules": sql.OP10, "op13_source_divergence": sql.OP13}
+    return {"op1_ngram_join": sql.OP1, "op4_benchmark_hits": sql.OP4, "op7_url_filter": sql.OP7, "op10_quality_rules": sql.OP10, "op11_chat_format": sql.OP11, "op12_hard_negatives": sql.OP12, "op13_source_divergence": sql.OP13}

@@ -13,6 +13,9 @@ blocking rule fits is blocked unless an exception (@@) fits it too.
 The rule list is a parameter held by the driver and broadcast; its number of rules is checked (`max_rules`), and with it
 the size of what a worker holds.
 
+Rules that say something else than "block this page" by an option after a $ (a type of request, a list of domains, hiding of elements)
+are left out, and skipped_rules lists them.
+
 Cases: null urls and urls without :// have empty host and path, no host rule and
 verdict allow unless a filter on whole urls fits; very long urls are read whole; of host rules tied in length the later
 name and verdict in order wins; repeated urls are judged row by row; an empty table gives no rows; other columns are not
@@ -70,19 +73,40 @@ class Filter:
 SEPARATOR, LABEL = r"(?:[^a-z0-9_.%-]|$)", r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*[.@])?"
 
 
+#: options after $ under which a rule still speaks of whole pages; any other narrows a rule or changes what it does
+PAGE_OPTIONS = frozenset({"document", "doc", "all", "important"})
+_OPTIONS = re.compile(r"\$([A-Za-z0-9~=|,._*-]+)$")
+_REGEX = re.compile(r"/(.+)/")
+
+
+def _options(text: str) -> tuple[str, list[str]]:
+    """A rule without its exception mark, and its options."""
+    m = _OPTIONS.search(text)
+    # a $ inside /.../ belongs to the regular expression
+    return (text[: m.start()], m[1].lower().split(",")) if m and not _REGEX.fullmatch(text) else (text, [])
+
+
+def is_rule(line: str) -> bool:
+    """Whether a line speaks of urls: no comment, empty line or element-hiding rule."""
+    text = line.strip()
+    return bool(text) and text[0] not in "![" and not re.search(r"#[@?]?#", text)
+
+
 def filter_rule(line: str) -> Filter | None:
-    """One line of a filter list; None for comments, empty lines and element-hiding rules.
+    """One line of a filter list; None for lines that are no rules, and for rules with options other than PAGE_OPTIONS.
 
-    || label of the host, | start or end, * anything, ^ separator, /.../ regular expression, @@ exception; what follows a
-    $ after the pattern (options of a browser) is left out.
+    || label of the host, | start or end, * anything, ^ separator, /.../ regular expression (upper and lower case alike), @@ exception.
     """
-    text = line.strip().lower()
-    if not text or text[0] in "![" or re.search(r"#[@?]?#", text):
+    if not is_rule(line):
         return None
+    text = line.strip()
     verdict, text = ("allow", text[2:]) if text.startswith("@@") else ("block", text)
-    if m := re.fullmatch(r"/(.+)/(?:\$[a-z0-9~=|,._-]*)?", text):
-        return Filter(m[1], (), verdict)
-    text = re.sub(r"\$[a-z0-9~=|,._-]*$", "", text)
+    text, options = _options(text)
+    if not PAGE_OPTIONS.issuperset(options):
+        return None
+    if m := _REGEX.fullmatch(text):
+        return Filter(f"(?i:{m[1]})", (), verdict)
+    text = text.lower()
     head, tail = LABEL if text.startswith("||") else "^" if text.startswith("|") else "", "$" if text.endswith("|") else ""
     body = text.lstrip("|").rstrip("|") if tail else text.lstrip("|")
     regex = "".join({"*": ".*", "^": SEPARATOR}.get(c, re.escape(c)) for c in body)
@@ -99,6 +123,11 @@ def filter_rules(lines: Iterable[str]) -> tuple[Filter, ...]:
     return tuple(r for r in map(filter_rule, lines) if r)
 
 
+def skipped_rules(lines: Iterable[str]) -> list[str]:
+    """The lines of a list that are rules, but are left out for their options."""
+    return [x for x in lines if is_rule(x) and filter_rule(x) is None]
+
+
 #: The list where none is given (invented): hosts of spam and of what is unfit for training, and pages of machinery.
 DEFAULT_LIST = """
 ! spam

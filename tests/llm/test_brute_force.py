@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -222,6 +223,34 @@ def test_secret_spans_whole(spark, docs, sample):  # noqa: F811
 # --- 7 ---------------------------------------------------------------------------------------
 
 
+def test_many_matches_in_one_text(spark):
+    """The work is near linear in the matches; spans and redaction are those of a plain loop."""
+    seconds = {}
+    for n in (1000, 16_000):
+        text = "😀" + " ".join(f'é password = "abcdefgh{i:06d}" deadbeef{i:016x}' for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        found = secret_scan.find_spans(df, {}, ("text",))
+        began = time.time()
+        spans, clean = found.select("spans", secret_scan.redacted(F.col("row.text"), F.col("spans"))).collect()[0]
+        seconds[n] = time.time() - began
+        assert len(spans) == 2 * n and clean == "😀" + " ".join(['é [assign]" [hex]'] * n)
+        assert all(text[s["start"] : s["end"]].startswith(("password", "deadbeef")) for s in spans)
+    assert seconds[16_000] < 2 * 16 * seconds[1000]
+
+
+def test_spans_beside_each_other(spark):
+    r = random.Random(9)
+    for _ in range(4):
+        base = sorted((a, r.randrange(3), a + r.randrange(1, 30)) for a in (r.randrange(900) for _ in range(r.randrange(1, 40))))
+        at, runs = 0, []
+        while at < 900:
+            runs.append((at, 3, at + r.randrange(1, 12), f"r{at}"))
+            at = runs[-1][2] + r.randrange(4)
+        df = spark.createDataFrame([(base, runs)], "base array<struct<start:int,rank:int,end:int>>, runs array<struct<start:int,rank:int,end:int,run:string>>")
+        got = df.select(secret_scan.outside(F.col("runs"), F.col("base"))).collect()[0][0]
+        assert [tuple(x) for x in got] == [x for x in runs if not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+
+
 def test_url_filter_lists(spark):
     """The index against running every rule; awkward tables."""
     r, parts = random.Random(3), ["ads", "casino", "x", "foo", "bar1", "wp", "a", "track", "img"]
@@ -256,9 +285,14 @@ def test_filter_syntax():
     fits = lambda line, url: bool(re.search(url_filter.filter_rule(line).pattern, url))
     assert fits("||ads.example^", "https://a.ads.example/x") and not fits("||ads.example^", "https://bads.example/x") and not fits("||ads.example^", "https://ads.examples/")
     assert fits("|http://x", "http://xy") and not fits("|http://x", "see http://x") and fits("/ad*.js|", "http://h/ad-1.js") and not fits("/ad*.js|", "http://h/ad.js?1")
-    assert url_filter.filter_rule("@@||x.com^").verdict == "allow" and url_filter.filter_rule("/a[0-9]/").pattern == "a[0-9]"
+    assert url_filter.filter_rule("@@||x.com^").verdict == "allow" and url_filter.filter_rule("/a[0-9]/").pattern == "(?i:a[0-9])"
     assert [url_filter.filter_rule(x) for x in ("! no", "", "[Adblock]", "x.com##.ad")] == [None] * 4
     assert url_filter.filter_rule("||x.ads*foo/bar").tokens == ("x", "foo")[:1]
+    # classes of regular expressions keep their case; options that narrow a rule leave it out
+    assert fits(r"/ads\D+x/", "http://h.net/adsabcx/") and not fits(r"/ads\D+x/", "http://h.net/ads123x/") and fits("/ADS[A-C]/", "http://h/adsb")
+    lines = ["@@*$elemhide", "||ads.com^$domain=a.com", "||ads.com^$third-party", "||all.com^$all,important", "/a$b/", "||x.com^$~script", "! $x", "x$document"]
+    assert [bool(url_filter.filter_rule(x)) for x in lines] == [False, False, False, True, True, False, False, True]
+    assert url_filter.skipped_rules(lines) == [lines[0], lines[1], lines[2], lines[5]] and url_filter.skipped_rules(url_filter.DEFAULT_LIST.splitlines()) == []
 
 
 # --- 8 ---------------------------------------------------------------------------------------

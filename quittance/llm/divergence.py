@@ -53,24 +53,18 @@ def term_counts(docs: DataFrame, most_entries: int = 300_000, piece_bytes: int =
     """Partial counts (COUNTS) of each task; a row with a null term for each group it met."""
 
     def run(batches):
+        # by (lang, source): occurrences of each term, and documents with it
         uses: dict[tuple, Counter] = {}
-        docs_of: dict[str, Counter] = {}
-
-        def rows():
-            for (lang, source), found in uses.items():
-                terms = list(found)
-                yield [lang] * len(terms), [source] * len(terms), terms, list(found.values()), [0] * len(terms)
-                yield [lang], [source], [None], [0], [0]
-            for lang, found in docs_of.items():  # documents are counted over the language
-                terms = list(found)
-                yield [lang] * len(terms), [None] * len(terms), terms, [0] * len(terms), list(found.values())
+        docs_of: dict[tuple, Counter] = {}
 
         def flush():
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            for columns in rows():
+            for (lang, source), found in uses.items():
+                terms, having = list(found), docs_of[lang, source]
+                columns = [[None, *terms], [0, *found.values()], [0, *map(having.__getitem__, terms)]]
                 for a in range(0, len(columns[0]), 50_000):
-                    arrays = [pa.array(c[a : a + 50_000], k) for c, k in zip(columns, kinds)]
-                    arrays[2] = arrays[2].cast(pa.string())
+                    part, n, docs = (c[a : a + 50_000] for c in columns)
+                    names = [pa.array([x] * len(part), pa.string()) for x in (lang, source)]
+                    arrays = [*names, pa.array(part, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
             uses.clear()
             docs_of.clear()
@@ -83,8 +77,8 @@ def term_counts(docs: DataFrame, most_entries: int = 300_000, piece_bytes: int =
                     terms = piece.split()
                     found.update(terms)
                     seen.update(terms)
-                docs_of.setdefault(lang, Counter()).update(seen)
-                if sum(map(len, uses.values())) + sum(map(len, docs_of.values())) > most_entries:
+                docs_of.setdefault((lang, source), Counter()).update(seen)
+                if sum(map(len, uses.values())) > most_entries:
                     yield from flush()
         yield from flush()
 
@@ -109,9 +103,8 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200, scale: int = SCA
     counts = materialise(
         term_counts(docs).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     )
-    in_source = F.when(F.col("source").isNotNull(), F.struct("source", "n"))
     postings = counts.where("term is not null").groupBy("lang", "term").agg(
-        F.collect_list(in_source).alias("posting"), F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")
+        F.collect_list(F.struct("source", "n")).alias("posting"), F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")
     )
     postings = materialise(postings.where(F.col("docs") >= least_docs).select("lang", "term", "lang_n", "posting"))
     flat = postings.select("lang", "term", "lang_n", F.explode("posting").alias("p")).select("lang", "term", "lang_n", "p.*")

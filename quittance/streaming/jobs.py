@@ -21,8 +21,8 @@ def latest_status(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return events.groupBy("job_id").agg(best.alias("x")).select("job_id", "x.*")
 
 
-#: status: those it may be reached from
-TRANSITIONS = {"processing": ("queued",), "completed": ("processing",), "failed": ("queued", "processing"), "cancelled": ("queued", "processing")}
+#: status: those it may be reached from (queued again: a retry)
+TRANSITIONS = {"queued": ("processing",), "processing": ("queued",), "completed": ("processing",), "failed": ("queued", "processing"), "cancelled": ("queued", "processing")}
 
 
 def rate_limited(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:

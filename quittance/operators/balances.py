@@ -5,8 +5,9 @@ Input rows: rec_id, row_no, id, date, amount, direction, balance (may be null).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from . import prefix
 from .matching import flow, signed
 
 
@@ -19,23 +20,22 @@ def ordered(rows: DataFrame) -> DataFrame:
     return joined.withColumn("seq", F.when(F.coalesce("backwards", F.lit(False)), -F.col("row_no")).otherwise(F.col("row_no"))).drop("backwards")
 
 
-def _order():
-    return Window.partitionBy("rec_id").orderBy("seq")
-
-
 def running(rows: DataFrame, opening: DataFrame) -> DataFrame:
     """Adds `effect` and `expected`: the balance after each row, counted from the last stated one or the opening.
 
-    opening: rec_id, opening (null to derive it from the first row's balance).
+    opening: rec_id, opening (null to derive it from the first row's balance). A reconciliation's rows are worked on in
+    ranges with carried sums, so none is a task of its own.
     """
-    w = _order()
     effect = signed(F.col("amount"), flow(F.col("direction")))
-    moved = ordered(rows).withColumn("effect", effect).withColumn("total", F.sum("effect").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    anchor = F.last(F.when(F.col("balance").isNotNull(), F.struct("balance", "total")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.first(F.struct((F.col("balance") - F.col("effect")).alias("derived"))).over(w)
-    joined = moved.withColumns({"anchor": anchor, "first": first}).join(opening, "rec_id", "left")
+    key, order = ["rec_id"], ["seq"]
+    moved = prefix.sums(prefix.spread(ordered(rows).withColumn("effect", effect), key, order), key, order, {"total": F.col("effect")})
+    # the stated balance less all effects up to it: what it says of the start
+    stated = F.when(F.col("balance").isNotNull(), F.col("balance") - F.col("total"))
+    moved = prefix.done(prefix.before(moved, key, order, {"anchor": stated}, known=True))
+    first = moved.groupBy("rec_id").agg(F.min_by(F.struct((F.col("balance") - F.col("effect")).alias("derived")), "seq").alias("first"))
+    joined = moved.join(first, "rec_id", "left").join(opening, "rec_id", "left")
     start = F.coalesce("opening", "first.derived")
-    expected = F.when(F.col("anchor").isNotNull(), F.col("anchor.balance") + F.col("total") - F.col("anchor.total")).otherwise(start + F.col("total"))
+    expected = F.coalesce("anchor", start) + F.col("total")
     return joined.withColumn("start", start).withColumn("expected", expected.cast("decimal(38,3)")).drop("anchor", "first", "opening")
 
 
@@ -74,9 +74,9 @@ def repaired(rows: DataFrame, opening: DataFrame) -> DataFrame:
 
     A vote needs the balance to move by exactly the amount from the row before (from the opening for the first).
     """
-    w = _order()
-    moved = ordered(rows).join(opening, "rec_id", "left")
-    before = F.when(F.row_number().over(w) == 1, F.col("opening")).otherwise(F.lag("balance").over(w))
+    told = F.struct("balance")
+    moved = prefix.previous(ordered(rows), ["rec_id"], ["seq"], {"before": told}).join(opening, "rec_id", "left")
+    before = F.when(F.col("before").isNull(), F.col("opening")).otherwise(F.col("before.balance"))
     delta = F.col("balance") - before
     vote = F.when((delta != 0) & (F.abs(delta) == F.col("amount")), (delta > 0) == (F.col("direction") == "credit"))
     voted = moved.withColumn("vote", vote)

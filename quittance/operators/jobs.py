@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from . import prefix
 
 TERMINAL = ("completed", "failed", "cancelled")
 STATUSES = ("queued", "processing", *TERMINAL)
@@ -59,13 +61,26 @@ def page_counts(rows: DataFrame, size: int) -> DataFrame:
 def sections_page(sections: list[tuple[int, DataFrame]], first: int, size: int) -> DataFrame:
     """Rows [first, first + size) of report sections laid end to end. Sections: number, DataFrame(row_no, item).
 
-    Positions come from the sections' counts, so rows are numbered within their section only.
+    The sections' counts (a number each) say which of them the page touches; only those are sorted, in ranges, and
+    numbered, and only the page's rows come back.
     """
     union = None
     for number, df in sections:
         part = df.select(F.lit(number).alias("section"), "row_no", "item")
         union = part if union is None else union.unionByName(part)
-    return union.orderBy("section", "row_no").offset(first).limit(size)
+    counts = {r["section"]: r["n"] for r in union.groupBy("section").agg(F.count(F.lit(1)).alias("n")).collect()}
+    start, wanted = 0, F.lit(False)
+    touched = []
+    for number in sorted(counts):
+        low, high = max(first - start, 0), min(first + size - start, counts[number])
+        if low < high:
+            touched.append(number)
+            wanted = wanted | ((F.col("section") == number) & F.col("place").between(low + 1, high))
+        start += counts[number]
+    if not touched:
+        return union.limit(0)
+    placed = prefix.running(union.where(F.col("section").isin(touched)), ["section"], ["row_no", "item"], {"place": F.lit(1)})
+    return placed.where(wanted).drop("place").orderBy("section", "row_no", "item")
 
 
 def stale(jobs: DataFrame, now: Column, seconds: int = 600, max_retries: int = 3) -> DataFrame:
@@ -75,11 +90,16 @@ def stale(jobs: DataFrame, now: Column, seconds: int = 600, max_retries: int = 3
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, when: str) -> DataFrame:
-    """The latest row for each key of both tables, with the earliest time as created_at."""
-    union = old.unionByName(new)
-    w = Window.partitionBy(key)
-    ranked = union.withColumns({"rank": F.row_number().over(w.orderBy(F.desc(when))), "created_at": F.min(when).over(w)})
-    return ranked.where("rank = 1").drop("rank")
+    """The latest row for each key of both tables, with the time of the first as created_at.
+
+    Of rows with one time, one of `new` stands over those of `old`, and else the greater by all columns, so that
+    the result does not depend on how rows are dealt. A key that `old` has keeps its time there, the earliest if it has several.
+    """
+    marked = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    order = F.struct(when, "__new", *[c for c in old.columns if c not in (key, when)])
+    of_old = F.min(F.when(F.col("__new") == 0, F.col(when)))
+    best = marked.groupBy(key).agg(F.max(order).alias("__row"), F.coalesce(of_old, F.min(when)).alias("created_at"))
+    return best.select(*[F.col(c) if c == key else F.col("__row")[c].alias(c) for c in old.columns], "created_at")
 
 
 def quota(usage: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
 from ..functions.dates import day_difference
+from ..session import cut
 
 CONVENTIONS = ("bank", "book")
 
@@ -60,11 +61,37 @@ def exact_edges(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descript
     )
 
 
-def greedy(edges: DataFrame, key: list[str]) -> DataFrame:
-    """One-to-one choice among edges of a key: highest score first, then fewer days, bank row, ledger row.
+#: contested edges of one key that a single task takes
+MOST_EDGES = 5_000_000
 
-    Edges never cross keys, so keys are assigned apart; within one the choice is sequential by nature. Edges
-    stream to Python sorted by key and rank (the sort spills); what is held is one key's used rows.
+
+def _rank() -> Column:
+    """The strict total order of edges: highest score first, then fewer days, bank row, ledger row."""
+    return F.struct(F.col("score").alias("s"), (-F.coalesce("dd", F.lit(999))).alias("d"), (-F.col("b_row_no")).alias("b"), (-F.col("l_row_no")).alias("l"))
+
+
+def mutual_round(edges: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The edges that are the best of both their rows, and the edges that are left when these rows are gone.
+
+    In a strict total order the sequential choice takes each of them, whatever else it takes: nothing better touches
+    their rows. The best of a row is aggregated before the shuffle, so no task gets a key's edges.
+    """
+    best = {side: edges.groupBy(*key, side).agg(F.max(_rank()).alias("best")) for side in ("b_row_no", "l_row_no")}
+    joined = best["b_row_no"].join(best["l_row_no"], [*key, "best"])
+    chosen = joined.where((-F.col("best.b") == F.col("b_row_no")) & (-F.col("best.l") == F.col("l_row_no"))).select(*key, "b_row_no", "l_row_no")
+    rest = edges
+    for side in ("b_row_no", "l_row_no"):
+        rest = rest.join(chosen.select(*key, side), [*key, side], "left_anti")
+    return edges.join(chosen, [*key, "b_row_no", "l_row_no"], "left_semi"), rest.select(*edges.columns)
+
+
+def greedy(edges: DataFrame, key: list[str], most_edges: int = MOST_EDGES) -> DataFrame:
+    """One-to-one choice among edges of a key, by the order of `_rank`.
+
+    Edges never cross keys, so keys are assigned apart; within one the choice is sequential. Edges
+    stream to Python sorted by key and rank (the sort spills); what is held is one key's used rows. While a key has more than
+    `most_edges` contested edges, rounds of mutually best edges, which give the same choice, make it smaller; each
+    round takes at least one edge of every connected part, and many more where scores differ.
     """
     def choose(batches):
         import pyarrow as pa
@@ -93,6 +120,7 @@ def greedy(edges: DataFrame, key: list[str]) -> DataFrame:
                     used_l.add(l)
             yield edges.filter(pa.array(keep))
 
+    edges = cut(edges)
     # edges that stand alone on both sides need no choice and no Python
     sides = edges.withColumns({
         "of_b": F.count(F.lit(1)).over(Window.partitionBy(*key, "b_row_no")),
@@ -100,16 +128,24 @@ def greedy(edges: DataFrame, key: list[str]) -> DataFrame:
     })
     alone = sides.where("of_b = 1 and of_l = 1").drop("of_b", "of_l")
     contested = sides.where("of_b > 1 or of_l > 1").drop("of_b", "of_l")
+    largest = lambda df: df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    done = [alone]
+    if (split := largest(edges)) > most_edges and (split := largest(contested)) > most_edges:
+        contested = cut(contested)
+        while split > most_edges:
+            chosen, rest = mutual_round(contested, key)
+            done.append(cut(chosen))
+            contested = cut(rest)
+            split = largest(contested)
+    for part in done[1:]:
+        alone = alone.unionByName(part)
     ranked = contested.repartition(*key).sortWithinPartitions(*key, F.desc("score"), F.coalesce("dd", F.lit(999)), "b_row_no", "l_row_no")
     return alone.unionByName(ranked.mapInArrow(choose, edges.schema))
 
 
 def exact_matches(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descriptions: bool = True) -> DataFrame:
-    """Chosen pairs under both conventions, kept in the session's store, for what follows reads them more than once.
-
-    The store spills to disk and lost parts are computed anew; release it by unpersist() or clearCache().
-    """
-    return greedy(exact_edges(bank, ledger, tolerance, descriptions), ["rec_id", "convention", "amount", "flow"]).persist()
+    """Chosen pairs under both conventions, behind a checkpoint, for what follows reads them more than once."""
+    return cut(greedy(exact_edges(bank, ledger, tolerance, descriptions), ["rec_id", "convention", "amount", "flow"]))
 
 
 def chosen_convention(bank: DataFrame, ledger: DataFrame, matches: DataFrame) -> DataFrame:

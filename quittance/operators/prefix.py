@@ -16,51 +16,62 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut
 
 
-def _ranged(rows: DataFrame, keys: list[str], order: list[str], ranges: int | None) -> DataFrame:
+def spread(rows: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """rows with `__range`, dealt by ranges of keys and order; `sums` and `before` work on it, `done` takes the column off."""
     by = [*keys, *order]
     dealt = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
     return cut(dealt.withColumn("__range", F.spark_partition_id()))
 
 
+def done(rows: DataFrame) -> DataFrame:
+    return rows.drop("__range")
+
+
 def _carried(rows: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns of `ends` for their range and keys; ends has one row a range at most."""
-    on = (F.col("__range") == F.col("__of")) & _same(keys)
+    """rows with `__carry` of their range and keys; ends has one row a range at most."""
+    on = F.col("__range") == F.col("__of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
     named = ends.select(F.col("__range").alias("__of"), *[F.col(k).alias(f"__{k}") for k in keys], "__carry")
     return rows.join(F.broadcast(named), on, "left").drop("__of", *[f"__{k}" for k in keys])
 
 
-def _same(keys: list[str]) -> Column:
-    held = F.lit(True)
-    for k in keys:
-        held = held & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return held
+def _ends(rows: DataFrame, keys: list[str], last: Column, carry) -> DataFrame:
+    """What groups of several ranges bring into each: carry(window over the ranges before). last: an aggregate of a range's own rows."""
+    several = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    of_range = rows.groupBy("__range", *keys).agg(last.alias("__last")).withColumn("__ranges", several).where("__ranges > 1")
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return of_range.select("__range", *keys, carry(before).alias("__carry"))
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
-    """rows with running sums (first row to this one, by `order`) within their keys; null counts as nothing. F.lit(1) numbers rows."""
-    for name, value in sums.items():
-        rows = rows.withColumn(name, value)
-    spread = _ranged(rows, keys, order, ranges)
+def sums(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds running sums (first row of the keys to this one, by `order`); null counts as nothing. F.lit(1) numbers rows."""
+    held = rows.withColumns({f"__{n}": v for n, v in values.items()})
+    total = F.struct(*[F.sum(f"__{n}").alias(n) for n in values])
+    ends = _ends(held, keys, total, lambda w: F.struct(*[F.sum(F.col("__last")[n]).over(w).alias(n) for n in values]))
     own = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = spread.groupBy("__range", *keys).agg(*[F.sum(n).alias(n) for n in sums])
-    # a group's ranges, not its rows; groups in one range have nothing to carry
-    several = Window.partitionBy(*keys)
-    totals = totals.withColumn("__ranges", F.count(F.lit(1)).over(several)).where("__ranges > 1")
-    ends = totals.select("__range", *keys, F.struct(*[F.sum(n).over(before).alias(n) for n in sums]).alias("__carry"))
-    out = _carried(spread, ends, keys)
-    total = lambda n: F.coalesce(F.sum(n).over(own), F.lit(0)) + F.coalesce(F.col("__carry")[n], F.lit(0))
-    made = out.select(*[c for c in rows.columns if c not in sums], *[total(n).alias(f"__{n}") for n in sums])
-    return made.withColumnsRenamed({f"__{n}": n for n in sums}).select(*rows.columns)
-
-
-def previous(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, str], ranges: int | None = None) -> DataFrame:
-    """rows with columns of the row before within their keys, by `order` (new name: column); null in the first row."""
-    spread = _ranged(rows, keys, order, ranges)
+    out = _carried(held, ends, keys)
+    made = {n: F.coalesce(F.sum(f"__{n}").over(own), F.lit(0)) + F.coalesce(F.col("__carry")[n], F.lit(0)) for n in values}
+    return out.withColumns(made).drop("__carry", *[f"__{n}" for n in values])
+
+
+def before(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], known: bool = False) -> DataFrame:
+    """Adds columns of the row before within the keys, by `order`; of the last row before where the value is not null, if `known`."""
+    place = F.struct(*order)
+    last = F.struct(*[F.max_by(v, F.when(v.isNotNull(), place) if known else place).alias(n) for n, v in values.items()])
+    ends = _ends(rows, keys, last, lambda w: F.struct(*[F.last(F.col("__last")[n], known).over(w).alias(n) for n in values]))
     own = Window.partitionBy("__range", *keys).orderBy(*order)
-    last = spread.groupBy("__range", *keys).agg(F.max_by(F.struct(*values.values()), F.struct(*order)).alias("__last"))
-    last = last.withColumn("__ranges", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("__ranges > 1")
-    ends = last.select("__range", *keys, F.lag("__last").over(Window.partitionBy(*keys).orderBy("__range")).alias("__carry"))
-    out = _carried(spread, ends, keys).withColumn("__first", F.row_number().over(own) == 1)
-    found = [F.when(F.col("__first"), F.col("__carry")[c]).otherwise(F.lag(c).over(own)).alias(n) for n, c in values.items()]
-    return out.select(*rows.columns, *found)
+    out = _carried(rows, ends, keys)
+    if known:
+        held = own.rowsBetween(Window.unboundedPreceding, -1)
+        return out.withColumns({n: F.coalesce(F.last(v, True).over(held), F.col("__carry")[n]) for n, v in values.items()}).drop("__carry")
+    out = out.withColumn("__first", F.row_number().over(own) == 1)
+    return out.withColumns({n: F.when(F.col("__first"), F.col("__carry")[n]).otherwise(F.lag(v).over(own)) for n, v in values.items()}).drop("__carry", "__first")
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    return done(sums(spread(rows, keys, order, ranges), keys, order, values))
+
+
+def previous(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], ranges: int | None = None, known: bool = False) -> DataFrame:
+    return done(before(spread(rows, keys, order, ranges), keys, order, values, known))

@@ -5,11 +5,11 @@ Inputs: bank and ledger as in matching, with description and perhaps balance and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.money import guarded, minor_units, money_text
 from ..session import cut
-from . import matching
+from . import matching, prefix
 
 #: sections in order, with their headers (fixed values)
 SECTIONS = (
@@ -69,7 +69,6 @@ def reconciled(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descripti
     both = matching.exact_matches(bank, ledger, tolerance, descriptions)
     convention = cut(matching.chosen_convention(bank, ledger, both))
     pairs = cut(both.join(convention.select("rec_id", "convention"), ["rec_id", "convention"]).withColumn("confidence", matching.confidence(F.col("score"))))
-    both.unpersist()
     edges = matching.mismatch_edges(matching.unmatched(bank, pairs, "b"), matching.unmatched(ledger, pairs, "l"), convention, tolerance, descriptions)
     wrong = cut(matching.mismatches(edges))
     places = ("rec_id", "b_row_no", "l_row_no")
@@ -97,11 +96,21 @@ def reconciled(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descripti
     return parts
 
 
-def _section(rows: DataFrame, title: str, cells: list, *order) -> DataFrame:
-    """Rows of a section after its title and header, numbered in order."""
-    number = [t for t, _ in SECTIONS].index(title) + 1
-    place = F.row_number().over(Window.partitionBy("rec_id").orderBy(*order)).cast("bigint") + 1
-    return rows.select("rec_id", F.lit(number).alias("section_no"), place.alias("row_no"), F.array(*[c.cast("string") for c in cells]).alias("cells"))
+#: what rows of all sections are sorted by: a text, a number, a text
+_ORDER = ("by_text", "by_number", "by_field")
+
+
+def _section(rows: DataFrame, title: str, cells: list, number: str | Column, text: str | None = None, field: str | None = None, after: int = 1) -> DataFrame:
+    """Rows of a section with what they are sorted by; they are numbered with those of all sections, behind `after` rows."""
+    at = [t for t, _ in SECTIONS].index(title) + 1
+    by = [F.col(text) if text else F.lit(""), (F.col(number) if isinstance(number, str) else number).cast("bigint"), F.col(field) if field else F.lit("")]
+    return rows.select("rec_id", F.lit(at).alias("section_no"), F.lit(after).cast("bigint").alias("after"), *[c.alias(n) for c, n in zip(by, _ORDER)], F.array(*[c.cast("string") for c in cells]).alias("cells"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows of _section numbered in one pass over ranges, so that no section of a large reconciliation is a task of its own."""
+    placed = prefix.running(rows, ["rec_id", "section_no"], list(_ORDER), {"place": F.lit(1)})
+    return placed.select("rec_id", "section_no", (F.col("after") + F.col("place")).cast("bigint").alias("row_no"), "cells")
 
 
 def _listed(rows: DataFrame, title: str, lines: list[list]) -> DataFrame:
@@ -119,7 +128,7 @@ def report(records: DataFrame, bank: DataFrame, ledger: DataFrame, parts: dict[s
     checked, breaks; book_status, closing_difference, opening_difference, explained, unexplained (null for all where not given).
     breaks: rec_id, source (Bank, Ledger), row_no, id, date, expected, balance, difference. corrections: rec_id, source, id, row_no, field,
     extracted, corrected. warnings: rec_id, place, warning; they come before those of the reconciliation itself. Every section
-    has its title, also without rows. Rows are numbered in one sorted pass per section and reconciliation.
+    has its title, also without rows.
     """
     money = lambda c: money_text(F.col(c), F.col("currency"))
     coded = records.select("rec_id", "currency")
@@ -136,7 +145,7 @@ def report(records: DataFrame, bank: DataFrame, ledger: DataFrame, parts: dict[s
     told = F.when(F.col("description_matching"), "True").otherwise("False")
     facts = [["Reconciliation ID", F.col("reconciliation_id")], ["Bank statement", F.col("bank_file")], ["Business ledger", F.col("ledger_file")], ["Created at", F.coalesce("created_at", F.lit(""))], ["Completed at", F.coalesce("completed_at", F.lit(""))]]
     facts += [[label, told if name == "description_matching" else F.col(name)] for name, label in SUMMARY.items()]
-    sections = [_listed(summed, "Summary", facts)]
+    sections, numbered = [_listed(summed, "Summary", facts)], []
 
     fields = ("opening", "opening_source", "closing", "calculated", "difference", "status", "running_status", "checked", "breaks")
     whole = ("opening", "closing", "calculated", "difference", "closing_difference", "opening_difference", "explained", "unexplained")
@@ -149,24 +158,24 @@ def report(records: DataFrame, bank: DataFrame, ledger: DataFrame, parts: dict[s
     checks += [*[[t, have(f)] for t, f in book], [], ["Running balance breaks", "Transaction", "Date", "Expected", "Stated", "Difference"]]
     sections.append(_listed(checked, "Balance Verification", checks))
     if breaks is not None:
-        broken = _section(known(breaks), "Balance Verification", [*col("source", "id", "date"), money("expected"), money("balance"), money("difference")], "source", "row_no")
-        sections.append(broken.withColumn("row_no", F.col("row_no") + len(checks)))
+        broken = _section(known(breaks), "Balance Verification", [*col("source", "id", "date"), money("expected"), money("balance"), money("difference")], "row_no", "source", after=len(checks) + 1)
+        numbered.append(broken)
 
     m = shown(parts["matched"])
-    sections.append(_section(m, "Matched", [*col("b_id", "b_date", "b_description", "b_reference", "l_id", "l_date", "l_description", "l_reference"), money("amount"), *col("flow", "dd"), F.replace("basis", F.lit(","), F.lit(", ")), F.col("confidence")], "b_row_no"))
+    numbered.append(_section(m, "Matched", [*col("b_id", "b_date", "b_description", "b_reference", "l_id", "l_date", "l_description", "l_reference"), money("amount"), *col("flow", "dd"), F.replace("basis", F.lit(","), F.lit(", ")), F.col("confidence")], "b_row_no"))
     for name, title in (("unmatched_bank", "Unmatched Bank"), ("unmatched_ledger", "Unmatched Ledger")):
         rest = projected(known(parts[name]), F.col("currency"))
-        sections.append(_section(rest, title, col("id", "row_no", "date", "description", "reference", "debit", "credit", "balance", "flow", "reason"), "row_no"))
+        numbered.append(_section(rest, title, col("id", "row_no", "date", "description", "reference", "debit", "credit", "balance", "flow", "reason"), "row_no"))
     label = F.when(F.col("source") == "bank", "bank statement").otherwise("business ledger")
     shared = F.concat(F.col("n").cast("string"), F.lit(" "), label, F.lit(" entries share the same date ("), F.col("date").cast("string"), F.lit("), amount ("), money("amount"), F.lit("), direction, description and reference. Nothing was removed; please review."))
-    sections.append(_section(known(parts["duplicates"]), "Possible Duplicates", [F.col("source"), F.replace("ids", F.lit(","), F.lit(", ")), F.col("date"), money("amount"), F.col("n"), shared], "source", "first_row"))
+    numbered.append(_section(known(parts["duplicates"]), "Possible Duplicates", [F.col("source"), F.replace("ids", F.lit(","), F.lit(", ")), F.col("date"), money("amount"), F.col("n"), shared], "first_row", "source"))
     w = parts["mismatches"].join(b.select("rec_id", F.col("row_no").alias("b_row_no"), F.col("amount").alias("b_amount"), F.col("flow").alias("b_flow")), ["rec_id", "b_row_no"])
     w = w.join(ledger.join(parts["convention"].select("rec_id", "convention"), "rec_id").select("rec_id", F.col("row_no").alias("l_row_no"), F.col("amount").alias("l_amount"), matching.flow(F.col("direction"), F.col("convention")).alias("l_flow")), ["rec_id", "l_row_no"])
     w = shown(w).withColumns({"b_signed": matching.signed(F.col("b_amount"), F.col("b_flow")), "l_signed": matching.signed(F.col("l_amount"), F.col("l_flow"))})
     why = mismatch_reason(F.col("kind"), F.col("linked"), *col("b_amount", "l_amount", "b_flow", "l_flow"), F.col("currency"))
-    sections.append(_section(w, "Amount Mismatches", [*col("kind", "b_id", "b_date", "b_description"), money("b_signed"), *col("l_id", "l_date", "l_description"), money("l_signed"), money("difference"), why], "b_row_no"))
+    numbered.append(_section(w, "Amount Mismatches", [*col("kind", "b_id", "b_date", "b_description"), money("b_signed"), *col("l_id", "l_date", "l_description"), money("l_signed"), money("difference"), why], "b_row_no"))
     if corrections is not None:
-        sections.append(_section(corrections, "Amount Corrections", col("source", "id", "field", "extracted", "corrected"), "source", "row_no", "field"))
+        numbered.append(_section(corrections, "Amount Corrections", col("source", "id", "field", "extracted", "corrected"), "row_no", "source", "field"))
 
     some = (F.col("unmatched_bank") + F.col("unmatched_ledger") + F.col("amount_mismatches") + F.col("possible_duplicates")) > 0
     note = lambda place, when, said: F.struct(F.lit(1).alias("late"), F.lit(place).alias("place"), F.when(when, said).alias("warning"))
@@ -174,7 +183,11 @@ def report(records: DataFrame, bank: DataFrame, ledger: DataFrame, parts: dict[s
     notes = parts["summary"].select("rec_id", F.explode(own).alias("x")).select("rec_id", "x.*")
     if warnings is not None:
         notes = notes.unionByName(warnings.select("rec_id", F.lit(0).alias("late"), F.col("place").cast("int").alias("place"), "warning"))
-    sections.append(_section(notes.where("warning is not null"), "Warnings", col("warning"), "late", "place"))
+    numbered.append(_section(notes.where("warning is not null").withColumn("late", F.col("late").cast("string")), "Warnings", col("warning"), "place", "late"))
+    together = numbered[0]
+    for s in numbered[1:]:
+        together = together.unionByName(s)
+    sections.append(_numbered(together))
 
     heads = F.array(*[F.struct(F.lit(n).alias("section_no"), F.lit(r).cast("bigint").alias("row_no"), F.array(*map(F.lit, cells)).alias("cells")) for n, (title, header) in enumerate(SECTIONS, 1) for r, cells in ((0, [title]), (1, header)) if cells])
     out = parts["convention"].select("rec_id", F.explode(heads).alias("x")).select("rec_id", "x.*")

@@ -14,18 +14,22 @@ def test_running_sums_over_ranges(spark):
     rows = [(RANDOM.choice([None, "a", "b"]) if i % 3 else "hot", i, RANDOM.choice([None, 1, 5])) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, o int, v bigint")
     found = prefix.running(df, ["k"], ["o"], {"n": F.lit(1), "total": F.col("v")}, ranges=7)
+    assert found.columns == ["k", "o", "v", "n", "total"]
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     wanted = df.withColumns({"n": F.count(F.lit(1)).over(w), "total": F.coalesce(F.sum("v").over(w), F.lit(0))})
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
-    before = prefix.previous(df, ["k"], ["o"], {"was": "v"}, ranges=7)
+    before = prefix.previous(df, ["k"], ["o"], {"was": F.col("v")}, ranges=7)
     wanted = df.withColumn("was", F.lag("v").over(Window.partitionBy("k").orderBy("o")))
     assert sorted(map(tuple, before.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    known = prefix.previous(df, ["k"], ["o"], {"was": F.col("v")}, ranges=7, known=True)
+    wanted = df.withColumn("was", F.last("v", True).over(Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)))
+    assert sorted(map(tuple, known.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
     assert prefix.running(df.where("o < 0"), ["k"], ["o"], {"n": F.lit(1)}).collect() == []
 
 
 def test_no_range_holds_a_hot_group(spark):
     df = spark.range(8000).select(F.lit("hot").alias("k"), "id")
-    ranges = prefix._ranged(df, ["k"], ["id"], 8).groupBy("__range").count().collect()
+    ranges = prefix.spread(df, ["k"], ["id"], 8).groupBy("__range").count().collect()
     sizes = sorted(r["count"] for r in ranges)
     assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
 

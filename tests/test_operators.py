@@ -113,7 +113,7 @@ def xlsx_bytes():
 
 def test_spreadsheets(spark):
     html = b"<html><table><tr><th>Date</th><th>Debit</th><th>Credit</th></tr><tr><td>1/2/2026</td><td colspan=2>7<br>x</td></tr></table>"
-    xml = b'<?xml version="1.0"?><Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet" xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Row><Cell><Data>Date</Data></Cell><Cell ss:Index="3"><Data>Amount</Data></Cell></Row><Row><Cell><Data>1/2/2026</Data></Cell><Cell ss:Index="3"><Data>9</Data></Cell></Row></Workbook>'
+    xml = b'<?xml version="1.0"?><Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet" xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet><Table><Row><Cell><Data>Date</Data></Cell><Cell ss:Index="3"><Data>Amount</Data></Cell></Row><Row><Cell><Data>1/2/2026</Data></Cell><Cell ss:Index="3"><Data>9</Data></Cell></Row></Table></Worksheet></Workbook>'
     wide = "Date\tAmount\n1/2/2026\t3".encode("utf-16")
     files = spark.createDataFrame([("a.csv", bytearray(BANK_CSV.encode())), ("b.xls", bytearray(html)), ("c.xml", bytearray(xml)), ("d.csv", bytearray(xlsx_bytes())), ("e.txt", bytearray(wide)), ("f.bin", bytearray(bytes(200)))], "path string, content binary")
     kinds = {r["path"]: r["k"] for r in files.select("path", sniff.kind_of(F.col("content")).alias("k")).collect()}
@@ -142,11 +142,58 @@ def test_broken_files_end_no_job(spark):
     nested = b"<table><tr><td>Date</td><td>Amount</td></tr><tr><td>1/2/2026<table><tr><td>in</td></tr></table></td><td>5</td></tr></table><table><tr><td>z</td></tr></table>"
     files = [("a.xlsx", xlsx_bytes()[:200]), ("b.xml", b'<?xml version="1.0"?><Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet"><Row>'), ("d.html", nested)]
     rows = spreadsheet.read_rows(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"))
-    assert {r["sheet"] for r in rows.collect()} == {"table 1", "table 2", "table 3"} and [r["amount"] for r in spreadsheet.transactions(rows).collect()] == ["5"]
+    assert {r["sheet"] for r in rows.collect()} == {"table 1", "table 2", "table 3", None} and [r["amount"] for r in spreadsheet.transactions(rows).collect()] == ["5"]
+    assert {(r["path"], r["error"]) for r in spreadsheet.unreadable(rows).collect()} == {("a.xlsx", spreadsheet.UNREADABLE["xlsx"]), ("b.xml", spreadsheet.UNREADABLE["xml"])}
     names = [s for of in spreadsheet.SYNONYMS.values() for s in of]
     assert len(names) == len(set(names))
 
 
+def read(spark, files, **options):
+    return spreadsheet.read_rows(spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary"), **options)
+
+
+def test_sheets_limits_and_errors(spark):
+    """The first sheet with a header, limits per sheet, long cells, error rows."""
+    table = lambda rows: "<Worksheet><Table>" + "".join("<Row>" + "".join(f"<Cell><Data>{c}</Data></Cell>" for c in r) + "</Row>" for r in rows) + "</Table></Worksheet>"
+    book = lambda *tables: f'<?xml version="1.0"?><Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet">{"".join(map(table, tables))}</Workbook>'.encode()
+    html = "".join("<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in t) + "</table>" for t in ([["Date", "Amount"], ["1/1/2026", "1"]], [["Date", "Amount"], ["2/1/2026", "2"]]))
+    long = "Date,Amount,Note\n1/1/2026,5,%s\n" % ("n" * 200_000)
+    files = {
+        "two.html": html.encode(), "second.xml": book([["Title"]], [["Date", "Amount"], ["3/1/2026", "3"]]), "long.csv": long.encode(), "many.csv": ("Date,Amount\n" + "1/1/2026,1\n" * 12).encode(),
+        "many.xml": book([["x"]] * 5, [["Date", "Amount"]] * 14), "late.xml": book([["Date", "Amount"], ["4/1/2026", "4"]])[:-25], "old.xls": bytes.fromhex("D0CF11E0A1B11AE1") + bytes(600), "none.csv": b"a,b\nc,d\n", "noise": bytes(range(256)) * 9, "empty": b"",
+    }
+    rows = read(spark, files, max_rows=12)
+    assert sorted((r["path"], r["amount"]) for r in spreadsheet.transactions(rows).collect()) == [("long.csv", "5"), ("second.xml", "3"), ("two.html", "1")]
+    said = {r["path"]: r["error"] for r in spreadsheet.problems(rows).collect()}
+    u = spreadsheet.UNREADABLE
+    assert said == {"many.csv": "CSV exceeds the maximum of 12 rows.", "many.xml": "Spreadsheet exceeds the maximum of 12 rows.", "late.xml": u["xml"], "old.xls": u["xls"], "none.csv": spreadsheet.NO_HEADER, "noise": u[None], "empty": u[None]}
+    few = read(spark, {"two.html": html.encode()}, sheets=1, columns=1).collect()
+    assert [(r["sheet_no"], list(r["cells"])) for r in few] == [(1, ["Date"]), (1, ["1/1/2026"])]
+
+
+def test_headers_and_hints(spark):
+    split = b"Voucher,Date,Particulars,Amount,\n,,,Debit,Credit\nv,01/02/2026,Shop,3,\nVoucher,Date,Particulars,Amount,,\n"
+    dated = b"Date,Amount,x\n01/02/2026,Debit,Credit\n"
+    plain = b"When,What,How much\n01/02/2026,Shop,3\n"
+    rows = read(spark, {"split": split, "dated": dated, "plain": plain, "bare": plain})
+    hints = spark.createDataFrame([("plain", 0, 0, {"date": 0, "amount": 2}), ("bare", 0, -1, {"date": 0, "debit": 2, "credit": None}), ("split", 0, -1, {"date": 0, "amount": 0}), ("dated", 5, 0, {"date": 0, "amount": 1})], "path string, sheet int, header_row int, columns map<string,int>")
+    found = {r["path"]: (r["header_row"], r["columns"]) for r in spreadsheet.headers(rows, hints).collect()}
+    assert found == {"split": (2, {"date": 1, "description": 2, "debit": 3, "credit": 4}), "dated": (1, {"date": 0, "amount": 1}), "plain": (1, {"date": 0, "amount": 2}), "bare": (0, {"date": 0, "debit": 2})}
+    got = sorted((r["path"], r["row_no"], r["amount"], r["debit"]) for r in spreadsheet.transactions(rows, hints).collect())
+    assert got == [("bare", 1, None, "How much"), ("bare", 2, None, "3"), ("dated", 2, "Debit", None), ("plain", 2, "3", None), ("split", 3, None, "3")]
+    assert {r["path"] for r in spreadsheet.problems(rows, hints).collect()} == set() and {r["path"] for r in spreadsheet.problems(rows).collect()} == {"plain", "bare"}
+
+
+def test_active_sheet_first(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(xlsx_bytes())) as old, zipfile.ZipFile(out, "w") as z:
+        for n in old.namelist():
+            data = old.read(n).decode()
+            z.writestr(n, data.replace("<sheets>", '<bookViews><workbookView activeTab="1"/></bookViews><sheets>').replace(' state="hidden"', ""))
+    rows = read(spark, {"a": out.getvalue()}).collect()
+    assert {(r["sheet_no"], r["sheet"]) for r in rows} == {(2, "S")} and len(rows) == 2
+
+
 def test_exports(spark):
     data = [(1, 1, "2026-01-05", "Netflix <a>", "R", Decimal("9.99"), None), (1, 2, "2026-01-06", "Pay", None, None, Decimal("50.00"))]
     df = spark.createDataFrame(data, "doc_id long, row_no long, date string, description string, reference string, debit decimal(10,2), credit decimal(10,2)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import checks, dates, money, text
 from ..operators import documents, einvoice, jobs
+from ..session import cut
 from ..sources import sniff
 from . import driver_data as data
 from .queries_recon import _MERCHANT, _STATEMENTS, _statements
@@ -37,10 +38,10 @@ def _breakdown(spark, sf):
     return einvoice.vat_breakdown(_lines(spark, sf), _adjustments(spark, sf))
 
 
-def _declared(spark, sf):
+def _declared(spark, sf, breakdown):
     """Declared groups: some with a tax off by a cent or by one, some without lines."""
     off = F.when(F.col("inv_id") % 9 == 0, F.lit("0.01")).when(F.col("inv_id") % 7 == 0, F.lit("1.00")).otherwise(F.lit("0.00")).cast("decimal(19,2)")
-    b = _breakdown(spark, sf).where("inv_id % 3 = 0").select("inv_id", "vat_category", "vat_rate", F.col("basis").alias("basis_amount"), (F.col("tax") + off).cast("decimal(19,2)").alias("tax_amount"), F.lit(None).cast("string").alias("exemption_reason"))
+    b = breakdown.where("inv_id % 3 = 0").select("inv_id", "vat_category", "vat_rate", F.col("basis").alias("basis_amount"), (F.col("tax") + off).cast("decimal(19,2)").alias("tax_amount"), F.lit(None).cast("string").alias("exemption_reason"))
     o = data.load(spark, sf, "orders").where("o_orderkey % 11 = 0")
     extra = o.select(F.col("o_orderkey").alias("inv_id"), F.lit("L").alias("vat_category"), F.lit(7).cast("decimal(5,2)").alias("vat_rate"), F.lit(0).cast("decimal(19,2)").alias("basis_amount"), F.lit(0).cast("decimal(19,2)").alias("tax_amount"), F.lit(None).cast("string").alias("exemption_reason"))
     return b.unionByName(extra)
@@ -56,8 +57,13 @@ def _said(spark, sf):
     )
 
 
-def _totals(spark, sf):
-    return einvoice.document_totals(_lines(spark, sf), _adjustments(spark, sf), _breakdown(spark, sf), _declared(spark, sf), _said(spark, sf))
+def _computed(spark, sf):
+    """lines, breakdown, declared and totals, each computed once: what several rules read lies behind checkpoints."""
+    lines = cut(_lines(spark, sf))
+    breakdown = cut(einvoice.vat_breakdown(lines, _adjustments(spark, sf)))
+    declared = _declared(spark, sf, breakdown)
+    totals = cut(einvoice.document_totals(lines, _adjustments(spark, sf), breakdown, declared, _said(spark, sf)))
+    return lines, breakdown, declared, totals
 
 
 def vat_breakdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +71,7 @@ def vat_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def invoice_totals(spark: SparkSession, sf: str) -> DataFrame:
-    t = _totals(spark, sf)
+    t = _computed(spark, sf)[3]
     return t.select("inv_id", *[F.col(c).cast("double").alias(c) for c in einvoice.TOTALS])
 
 
@@ -74,32 +80,34 @@ def line_net_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return einvoice.vat_issues(_breakdown(spark, sf), _declared(spark, sf))
+    breakdown = cut(_breakdown(spark, sf))
+    return einvoice.vat_issues(breakdown, _declared(spark, sf, breakdown))
 
 
 def totals_check(spark: SparkSession, sf: str) -> DataFrame:
-    return einvoice.total_issues(_totals(spark, sf), _said(spark, sf))
+    return einvoice.total_issues(_computed(spark, sf)[3], _said(spark, sf))
 
 
-def _headers(spark, sf):
+def _headers(breakdown, totals):
     """Headers of the invoices, which break no rule, with the categories and the amount due of each."""
-    groups = _breakdown(spark, sf).groupBy("inv_id").agg(F.collect_set("vat_category").alias("categories"))
+    groups = breakdown.groupBy("inv_id").agg(F.collect_set("vat_category").alias("categories"))
     day, same = F.lit("2026-01-10").cast("date"), {
         "seller_id": "1", "seller_vat_id": "DE123456789", "seller_tax_number": "12/345", "buyer_vat_id": "DE999999999", "buyer_legal_id": "HRB 1", "means_code": "58", "iban": "DE89370400440532013000", "terms": "30 days",
         "type_code": "380", "preceding_invoice": "", "buyer_reference": "04011000-1234512345-06", "seller_contact_name": "Name", "mandate_reference": "M1", "seller_country": "DE", "seller_street": "Street 1",
         "seller_postcode": "10115", "seller_city": "Berlin", "buyer_country": "AT", "buyer_street": "Street 2", "buyer_postcode": "1010", "buyer_city": "Wien",
     }
     fixed = [F.lit(v).alias(c) for c, v in (same | data.HEADER).items()]
-    return groups.join(_totals(spark, sf).select("inv_id", "payable_amount"), "inv_id").select("*", *[day.alias(c) for c in ("issue_date", "due_date", "delivery_date", "billing_period_start")], F.lit(True).alias("is_xrechnung"), *fixed)
+    return groups.join(totals.select("inv_id", "payable_amount"), "inv_id").select("*", *[day.alias(c) for c in ("issue_date", "due_date", "delivery_date", "billing_period_start")], F.lit(True).alias("is_xrechnung"), *fixed)
 
 
 def invoice_report(spark: SparkSession, sf: str) -> DataFrame:
-    headers = _headers(spark, sf)
+    lines, breakdown, declared, totals = _computed(spark, sf)
+    headers = cut(_headers(breakdown, totals))
     none = F.lit(None).cast("decimal(19,2)")
     entries = _adjustments(spark, sf).select("inv_id", F.when(F.col("is_charge"), "charges[0]").otherwise("allowances[0]").alias("path"), "amount", none.alias("base_amount"), none.alias("percent"))
-    issues = line_net_check(spark, sf).unionByName(rule_issues(spark, sf)).unionByName(totals_check(spark, sf))
+    issues = einvoice.line_issues(lines).unionByName(einvoice.vat_issues(breakdown, declared)).unionByName(einvoice.total_issues(totals, _said(spark, sf)))
     issues = issues.unionByName(einvoice.header_issues(headers)).unionByName(einvoice.percent_issues(entries, headers))
-    return einvoice.report(issues, _lines(spark, sf))
+    return einvoice.report(issues, lines)
 
 
 # --- jobs from events --------------------------------------------------------------------------

@@ -191,7 +191,7 @@ def version_texts(spark: SparkSession, sf: str) -> DataFrame:
 def completed_invoices(spark: SparkSession, sf: str) -> DataFrame:
     """Invoices with all amounts calculated, a row for each VAT group."""
     lines, groups = _lines(spark, sf), _breakdown(spark, sf)
-    totals = einvoice.document_totals(lines, _adjustments(spark, sf), groups, _declared(spark, sf), _said(spark, sf))
+    totals = einvoice.document_totals(lines, _adjustments(spark, sf), groups, _declared(spark, sf, groups), _said(spark, sf))
     full = invoice_form.completed(einvoice.calculated_lines(lines), groups, totals)
     lines_sum = F.aggregate("lines", F.lit(0).cast("decimal(29,2)"), lambda s, x: (s + x["line_net_amount"]).cast("decimal(29,2)"))
     return full.select("inv_id", lines_sum.cast("double").alias("line_sum"), F.col("totals.line_total").cast("double").alias("line_total"), F.explode("vat_breakdown").alias("g")).select(

@@ -118,13 +118,13 @@ def ofx_lines(entries: DataFrame, documents: DataFrame, now: str, qbo: bool = Fa
         _tag(12, "TRNAMT", F.col("amount").cast("decimal(28,2)").cast("string")), _tag(12, "FITID", transaction_id(F.col("doc_id"), F.col("row_no"), F.col("day"), F.col("amount"), F.col("name"))),
         _tag(12, "NAME", F.col("name")), _tag(12, "MEMO", F.col("memo")), F.lit(" " * 10 + "</STMTTRN>"),
     )
-    span = told.groupBy("doc_id").agg(F.min_by(F.struct("known"), "row_no").alias("first"), F.max_by(F.struct("known"), "row_no").alias("last"))
+    span = told.groupBy("doc_id").agg(F.min_by(F.struct("known"), "row_no").alias("first"), F.max_by(F.struct("known"), "row_no").alias("last"), F.count(F.lit(1)).alias("n"))
     d = documents.join(span, "doc_id", "left")
     cleaned = lambda c, default: F.coalesce(F.nullif(F.regexp_replace(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default)), "[^A-Za-z0-9]", ""), F.lit("")), F.lit(""))
     bank = F.coalesce(F.nullif(F.upper(F.substring(cleaned("bank_name", "Bank Institution"), 1, 8)), F.lit("")), F.lit("BANK01"))
     account = F.coalesce(F.nullif(cleaned("account", "XXXX-1234"), F.lit("")), F.lit("12345678"))
     start, end = F.coalesce("first.known", F.lit(NO_DATE)), F.coalesce("last.known", F.lit(now))
-    head = F.array(
+    head = (
         *map(F.lit, OFX_HEAD), F.lit("  <SIGNONMSGSRSV1>"), F.lit("    <SONRS>"), *map(F.lit, _STATUS), _tag(6, "DTSERVER", now), F.lit("      <LANGUAGE>ENG"), *([_tag(8, "INTU.BID", "3000")] if qbo else []),
         F.lit("    </SONRS>"), F.lit("  </SIGNONMSGSRSV1>"), F.lit("  <BANKMSGSRSV1>"), F.lit("    <STMTTRNRS>"), _tag(6, "TRNUID", F.col("doc_id").cast("string")), *map(F.lit, _STATUS), F.lit("      <STMTRS>"),
         _tag(8, "CURDEF", F.upper(F.coalesce(F.nullif("currency", F.lit("")), F.lit("INR")))), F.lit("        <BANKACCTFROM>"), _tag(10, "BANKID", bank), _tag(10, "ACCTID", account), F.lit("          <ACCTTYPE>CHECKING"),
@@ -134,7 +134,12 @@ def ofx_lines(entries: DataFrame, documents: DataFrame, now: str, qbo: bool = Fa
         F.lit("        </BANKTRANLIST>"), F.lit("        <LEDGERBAL>"), _tag(10, "BALAMT", amount_text(F.col("closing"))), _tag(10, "DTASOF", end), F.lit("        </LEDGERBAL>"),
         *map(F.lit, ("      </STMTRS>", "    </STMTTRNRS>", "  </BANKMSGSRSV1>", "</OFX>")),
     )
-    return _lines(told, record, d.select("doc_id", head.alias("head"), foot.alias("foot")))
+    # records have one length each and are numbered, so a line's number needs no further sort
+    before = lambda entries: (entries * 8 + len(head)).cast("bigint")
+    body = told.select("doc_id", before(F.col("row_no") - 1).alias("before"), F.posexplode(record).alias("k", "line"))
+    ends = d.select("doc_id", F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("before"), F.array(*head).alias("lines")), F.struct(before(F.coalesce("n", F.lit(0))).alias("before"), foot.alias("lines")))).alias("x"))
+    ends = ends.select("doc_id", "x.before", F.posexplode("x.lines").alias("k", "line"))
+    return ends.unionByName(body).select("doc_id", (F.col("before") + F.col("k") + 1).cast("int").alias("line_no"), "line")
 
 
 def qif_lines(entries: DataFrame, today: str = "01/01/2026") -> DataFrame:

@@ -8,21 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import exports
-from ..streaming import jobs as stream, machines
+from ..streaming import events, jobs as stream, machines
 from . import driver_data as data
 from .queries_documents import _CASE_STATUS, _STATUS
 from .queries_recon import _CATEGORY, _STATEMENTS, _statements
 
 
-def _finished(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """A stream over all files at hand, run to its end into a table in memory, or for append mode into Parquet."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; on one machine in a temporary one where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _finished(df: DataFrame, mode: str, name: str) -> DataFrame:
+    """A stream over all files at hand, run to its end into a table in memory, or for append mode into Parquet."""
+    spark = df.sparkSession
+    folder = _folder(spark, name)
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
@@ -75,6 +80,19 @@ def buffer_latest(spark: SparkSession, sf: str) -> DataFrame:
     return stream.drop_oldest(e, 100).groupBy("subscriber").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of jobs and what a reader of all events has got, after both streams have run to their end."""
+    e = _statuses(spark, sf).withColumn("total_pages", F.lit(12)).withColumn("processed_pages", (F.col("progress") % 12 + 1).cast("int"))
+    e = e.select(
+        F.col("job_id").cast("string").alias("job_id"), F.col("progress").alias("event_id"), "ts", F.concat(F.lit("ocr.job."), "status").alias("event"), "status", F.lit("ocr").alias("stage"), "processed_pages", "total_pages",
+        F.floor(F.col("processed_pages") * 100 / F.col("total_pages")).cast("int").alias("progress"), F.format_string("Completed Part %d of %d", "processed_pages", "total_pages").alias("message"),
+    )
+    folder = _folder(spark, "progress")
+    e.writeStream.foreachBatch(events.publisher(folder)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    got = _finished(events.subscribe(spark, folder), "append", "reader").groupBy("job_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("event_id").alias("ids"))
+    return events.jobs(spark, folder).join(got, "job_id").select("job_id", "status", "progress", "message", "n_events", "ids")
+
+
 def stream_job_machine(spark: SparkSession, sf: str) -> DataFrame:
     """Eight events after another are a job's."""
     e = _statuses(spark, sf).withColumns({"job_id": F.floor(F.col("progress") / 8).cast("string"), "event_id": F.col("progress")})
@@ -140,7 +158,7 @@ def qif_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = (
-    stream_job_latest, stream_completion, stream_quota, stream_rate_limit, stream_job_machine, stream_claims, stream_buffers, stream_cache, buffer_latest, export_ledger_rows, ledger_with_total, ofx_rows, qif_rows,
+    stream_job_latest, stream_completion, stream_quota, stream_rate_limit, stream_progress, stream_job_machine, stream_claims, stream_buffers, stream_cache, buffer_latest, export_ledger_rows, ledger_with_total, ofx_rows, qif_rows,
 )
 
 _TERMINAL = "('completed', 'failed', 'cancelled')"
@@ -155,6 +173,8 @@ _OFX_FOOT = _QUOTED(["        </BANKTRANLIST>", "        <LEDGERBAL>", "'
 _PAIRS = " OR ".join(f"wanted = '{to}' AND status IN ({', '.join(repr(x) for x in came)})" for to, came in stream.TRANSITIONS.items())
 _WATERMARK = "(SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"
 SQL = {
+    "stream_progress": f"""WITH e AS (SELECT (user_id % 50)::VARCHAR AS job_id, event_id, ts, {_CASE_STATUS} AS status, (event_id % 12 + 1)::INT AS p FROM events)
+SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max((p * 100 // 12)::INT, (ts, event_id)) AS progress, arg_max('Completed Part ' || p || ' of 12', (ts, event_id)) AS message, count(*) AS n_events, sum(event_id)::BIGINT AS ids FROM e GROUP BY job_id""",
     "stream_job_machine": f"""WITH RECURSIVE e AS (SELECT event_id // 8 AS job, event_id, ts, {_CASE_STATUS} AS wanted, row_number() OVER (PARTITION BY event_id // 8 ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT DISTINCT job, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS status, NULL::VARCHAR AS verdict, NULL::TIMESTAMP AS opened FROM e
   UNION ALL SELECT job, n, event_id, ts, CASE WHEN verdict = 'ok' THEN wanted ELSE status END, verdict, coalesce(opened, CASE WHEN verdict = 'ok' THEN ts END) FROM (SELECT r.job, e.n, e.event_id, e.ts, e.wanted, r.status, r.opened,

@@ -6,7 +6,7 @@ from collections import OrderedDict, defaultdict
 from datetime import datetime, timedelta
 
 from quittance.plans.queries_streams import _finished
-from quittance.streaming import machines
+from quittance.streaming import events, machines
 
 RANDOM = random.Random(11)
 START = datetime(2026, 1, 1)
@@ -137,3 +137,49 @@ def test_cache(spark, tmp_path):
                 found = stored
         want.append((cache, k, found, len(held)))
     assert got == sorted(want) and sum(w[2] is not None for w in want) > 20
+
+
+def event(job, k, ts, name="progress"):
+    return (job, k, at(ts), f"ocr.job.{name}", name, "ocr", k, 9, k * 10, f"Completed Part {k} of 9")
+
+
+def test_events_are_published_once(spark, tmp_path):
+    """A batch that runs again changes nothing; one that failed half way is written anew; readers of one job and of all get each event once."""
+    folder, publish = f"file://{tmp_path}/bus", events.publisher(f"file://{tmp_path}/bus")
+    frame = lambda rows: spark.createDataFrame(rows, events.EVENTS)
+    first = frame([event("a", 1, 5), event("a", 1, 5), event("b", 2, 6), event(None, 3, 7)])
+    second = frame([event("a", 4, 9, "completed"), event("a", 3, 8), event("c", 5, 9)])
+    publish(first, 0)
+    spark.createDataFrame([], events.EVENTS).write.parquet(f"{folder}/jobs/batch=7/_temporary/x")  # an attempt that was never committed
+    publish(first, 0)
+    publish(second, 1)
+    publish(second, 1)
+    publish(frame([]), 2)
+    table = {r["job_id"]: (r["status"], r["processed_pages"]) for r in events.jobs(spark, folder).collect()}
+    assert table == {"a": ("completed", 4), "b": ("progress", 2), "c": ("progress", 5)}
+    got = [(r["job_id"], r["event_id"]) for r in _finished(events.subscribe(spark, folder), "append", "all").collect()]
+    assert sorted(got) == [("a", 1), ("a", 3), ("a", 4), ("b", 2), ("c", 5)]
+    mine = _finished(events.subscribe(spark, folder, "a").select("event_id", events.frame().alias("frame")), "append", "one").orderBy("event_id").collect()
+    assert [r["event_id"] for r in mine] == [1, 3, 4] and mine[2]["frame"].startswith('event: ocr.job.completed\ndata: {"job_id":"a","event":"ocr.job.completed"') and mine[2]["frame"].endswith("\n\n")
+
+
+def test_restart_after_lost_commit(spark, tmp_path):
+    """The last batch's commit is lost, the stream starts again: table and events are as before. The listener hears of it."""
+    heard = events.Progress()
+    spark.streams.addListener(heard)
+    batches = cut([event("ab"[k % 2], k, k) for k in range(9)], 3)
+    df = streamed(spark, tmp_path / "in", events.EVENTS, batches)
+    folder = f"{tmp_path}/bus"
+
+    def run():
+        df.writeStream.foreachBatch(events.publisher(f"file://{folder}")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    before = sorted(map(tuple, spark.read.parquet(f"file://{folder}/events").collect()))
+    for name in os.listdir(f"{folder}/state/commits"):
+        if name.strip(".").split(".")[0] == "2":
+            os.remove(f"{folder}/state/commits/{name}")
+    run()
+    assert sorted(map(tuple, spark.read.parquet(f"file://{folder}/events").collect())) == before and len(before) == 9
+    spark.streams.removeListener(heard)
+    assert sum(rows for _, _, rows, _ in heard.batches) >= 9 and None in heard.ended.values()

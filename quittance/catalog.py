@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_archive, queries_documents, queries_intake, queries_merging, queries_parsing, queries_recon, queries_records, queries_rules, queries_sheets, queries_streams
+from .plans import queries_archive, queries_documents, queries_einvoices, queries_intake, queries_merging, queries_parsing, queries_recon, queries_records, queries_rules, queries_sheets, queries_streams
 
-MODULES = (queries_recon, queries_documents, queries_streams, queries_parsing, queries_rules, queries_records, queries_intake, queries_merging, queries_sheets, queries_archive)
+MODULES = (queries_recon, queries_documents, queries_streams, queries_parsing, queries_rules, queries_records, queries_intake, queries_merging, queries_sheets, queries_archive, queries_einvoices)
 
 
 def queries() -> dict:

@@ -113,12 +113,16 @@ def outside(runs: Column, base: Column) -> Column:
     return F.when((F.size(base) == 0) | (F.size(runs) == 0), runs).otherwise(F.transform(kept, lambda e: e["run"]))
 
 
+#: patterns that find only the matches long enough, where these are whole runs: shorter ones make no pieces
+LONG_RUNS = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
+
+
 def base_spans(text: Column) -> list[Column]:
     """One array of spans for each of BASE_RULES."""
     out = []
-    for k, (_, pattern, least, group) in enumerate(BASE_RULES):
+    for k, (kind, pattern, least, group) in enumerate(BASE_RULES):
         keep = (lambda p, n=least, r=pattern: F.length(F.regexp_extract(p, r, 2)) >= n) if group else (lambda p, n=least: F.length(p) >= n)
-        out.append(spans_of(text, pattern, keep, k))
+        out.append(spans_of(text, LONG_RUNS.get(kind, pattern), keep, k))
     return out
 
 

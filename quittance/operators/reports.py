@@ -199,11 +199,11 @@ def report(records: DataFrame, bank: DataFrame, ledger: DataFrame, parts: dict[s
 def csv_lines(rows: DataFrame) -> DataFrame:
     """The report's rows as lines of CSV: rec_id, section_no, row_no, line. Titles stand after ##, cells that a sheet would run are guarded.
 
-    An empty line ends a section: a file has it before every title but the first.
+    An empty line ends a section: a file has it before every title but the first, which begins with the byte order mark.
     """
     cell = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     line = F.array_join(F.transform("cells", lambda c: cell(F.coalesce(F.when(F.col("row_no") > 1, guarded(c)).otherwise(c), F.lit("")))), ",")
-    title = F.concat(F.when(F.col("section_no") > 1, "\n").otherwise(""), F.lit("## "), F.element_at("cells", 1))
+    title = F.concat(F.when(F.col("section_no") > 1, "\n").otherwise("\ufeff"), F.lit("## "), F.element_at("cells", 1))
     return rows.select("rec_id", "section_no", "row_no", F.when(F.col("row_no") == 0, title).otherwise(line).alias("line"))
 
 

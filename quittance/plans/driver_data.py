@@ -79,6 +79,33 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: CTEs bank and ledger in SQL of sides(): few amounts and days, so that rows contend for one another; some rows without a date
+CONTESTED_SQL = f"""bank AS (
+  SELECT o_custkey // 8 AS rec_id, o_orderkey + 1 AS row_no, 'B' || (o_orderkey + 1) AS id, CASE WHEN o_orderpriority <> '5-LOW' THEN DATE '2026-01-01' + CAST(o_orderkey * 7 % 40 AS INT) END AS date,
+         CAST(10 + 10 * floor(o_totalprice / 50000) AS DECIMAL(28,3)) AS amount, CASE WHEN o_orderstatus = 'F' THEN 'debit' ELSE 'credit' END AS direction,
+         CASE WHEN o_orderpriority LIKE '4%' THEN '' ELSE 'ORD' || (o_orderkey % 97) END AS reference, list_extract({_LIST}, CAST(o_orderkey % {len(PHRASES)} AS INT) + 1) AS description FROM orders),
+ledger AS (
+  SELECT o_custkey // 8 AS rec_id, 2 * o_orderkey + 1 AS row_no, 'L' || (2 * o_orderkey + 1) AS id, CASE WHEN o_orderpriority NOT LIKE '1%' THEN DATE '2026-01-01' + CAST(o_orderkey * 11 % 40 AS INT) END AS date,
+         CAST(10 + 10 * floor((o_totalprice + 25000) / 50000) AS DECIMAL(28,3)) AS amount, CASE WHEN o_orderstatus = 'O' THEN 'debit' ELSE 'credit' END AS direction,
+         CASE WHEN o_orderpriority LIKE '3%' THEN '' ELSE 'ORD' || (o_orderkey * 3 % 97) END AS reference, list_extract({_LIST}, CAST(o_orderkey * 5 % {len(PHRASES)} AS INT) + 1) AS description FROM orders)"""
+
+
+def contested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bank and ledger rows of CONTESTED_SQL: every order on both sides."""
+    o, k = load(spark, sf_dir, "orders"), F.col("o_orderkey")
+
+    def side(letter, row_no, step, dated, shift, debit, unnamed, turn, phrase):
+        day = F.date_add(F.lit("2026-01-01").cast("date"), (k * step % 40).cast("int"))
+        reference = F.when(F.col("o_orderpriority").startswith(unnamed), "").otherwise(F.concat(F.lit("ORD"), (k * turn % 97).cast("string")))
+        return o.select(
+            F.floor(F.col("o_custkey") / 8).alias("rec_id"), row_no.alias("row_no"), F.concat(F.lit(letter), row_no.cast("string")).alias("id"), F.when(dated, day).alias("date"), (10 + 10 * F.floor((F.col("o_totalprice") + shift) / 50000)).cast("decimal(28,3)").alias("amount"),
+            F.when(F.col("o_orderstatus") == debit, "debit").otherwise("credit").alias("direction"), reference.alias("reference"), F.element_at(F.array(*map(F.lit, PHRASES)), (k * phrase % len(PHRASES) + 1).cast("int")).alias("description"),
+        )
+
+    late, urgent = F.col("o_orderpriority") != "5-LOW", ~F.col("o_orderpriority").startswith("1")
+    return side("B", k + 1, 7, late, 0, "F", "4", 1, 1), side("L", 2 * k + 1, 11, urgent, 25000, "O", "3", 3, 5)
+
+
 def normalised(transactions: DataFrame) -> DataFrame:
     """Transactions with normal references and description tokens."""
     return transactions.withColumns({"reference": text.normal_reference(F.col("reference")), "tokens": text.tokens(F.col("description"))})

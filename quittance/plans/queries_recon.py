@@ -25,6 +25,12 @@ def recon_exact_match(spark: SparkSession, sf: str) -> DataFrame:
     return _money(pairs.select("rec_id", "convention", "b_id", "l_id", F.col("amount"), "flow", "dd", "score", "basis", "confidence"), "amount")
 
 
+def recon_contested(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs where many rows of both sides contend for one another, some of them without a date."""
+    pairs = matching.matched(*map(data.normalised, data.contested(spark, sf)), TOLERANCE)
+    return _money(pairs.select("rec_id", "convention", "b_id", "l_id", F.col("amount"), "flow", "dd", "score", "basis", "confidence"), "amount")
+
+
 def recon_unmatched_bank(spark: SparkSession, sf: str) -> DataFrame:
     b, l = _sides(spark, sf)
     return _money(matching.unmatched(b, matching.matched(b, l, TOLERANCE), "b").select("rec_id", "id", "date", "amount", "direction", "reference"), "amount")
@@ -178,7 +184,7 @@ def profit_and_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = (
-    recon_exact_match, recon_unmatched_bank, recon_unmatched_ledger, recon_convention, recon_mismatch_candidates, recon_mismatches, recon_nearest_reason,
+    recon_exact_match, recon_contested, recon_unmatched_bank, recon_unmatched_ledger, recon_convention, recon_mismatch_candidates, recon_mismatches, recon_nearest_reason,
     recon_duplicates, recon_report, recon_summary, running_balance_breaks, balance_check, direction_repair, statement_kpis, category_breakdown, top_category,
     largest_expense, subscriptions, insights, dedup_ledger, consolidated_monthly, consolidated_totals, peak_month, profit_and_loss,
 )
@@ -211,6 +217,21 @@ conv AS (SELECT n.rec_id, coalesce(sum(CASE WHEN p.convention = 'bank' THEN 1 EN
 used AS (SELECT rec_id, bank_matches, book_matches, CASE WHEN book_matches - bank_matches >= margin THEN 'book' ELSE 'bank' END AS convention FROM conv),
 matched AS (SELECT p.* FROM both_ways p JOIN used u ON p.rec_id = u.rec_id AND p.convention = u.convention)"""
 _BASIS = "'amount,' || CASE WHEN dd = 0 THEN 'same_date' ELSE 'date_within_' || dd || CASE WHEN dd > 1 THEN '_days' ELSE '_day' END END || CASE WHEN linked THEN ',reference' ELSE '' END || CASE WHEN sim >= 0.5 THEN ',description' ELSE '' END"
+_DATED = _BASIS.replace("CASE WHEN dd = 0", "CASE WHEN dd IS NULL THEN 'date_unavailable' WHEN dd = 0")
+#: the sequential choice as a recursion over each key's ranked edges, with the rows used so far
+_GREEDY = f"""WITH RECURSIVE {data.CONTESTED_SQL},
+b AS (SELECT *, {_TOKENS} AS tokens FROM bank), l AS (SELECT *, {_TOKENS} AS tokens FROM ledger),
+edges AS (SELECT b.rec_id, c.convention, b.amount, {_FLOW_B} AS flow, b.row_no AS b_row, b.id AS b_id, l.row_no AS l_row, l.id AS l_id, abs(b.date - l.date) AS dd, {_links('b.reference', 'l.reference')} AS linked, {_SIM} AS sim
+  FROM b CROSS JOIN (VALUES ('bank'), ('book')) c(convention) JOIN l ON b.rec_id = l.rec_id AND b.amount = l.amount AND {_FLOW_B} = {_FLOW_L} AND (b.date IS NULL OR l.date IS NULL OR abs(b.date - l.date) <= {TOLERANCE})),
+scored AS (SELECT *, CASE WHEN dd IS NULL THEN 80 ELSE 100 + greatest(0, 30 - 5 * dd) END + CASE WHEN linked THEN 50 ELSE 0 END + CAST(floor(sim * 40) AS INT) AS score FROM edges),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rec_id, convention, amount, flow ORDER BY score DESC, coalesce(dd, 999), b_row, l_row) AS n FROM scored),
+walk AS (SELECT DISTINCT rec_id, convention, amount, flow, 0::BIGINT AS n, []::BIGINT[] AS of_b, []::BIGINT[] AS of_l, FALSE AS taken FROM ranked
+  UNION ALL SELECT rec_id, convention, amount, flow, n, CASE WHEN free THEN list_append(of_b, b_row) ELSE of_b END, CASE WHEN free THEN list_append(of_l, l_row) ELSE of_l END, free
+  FROM (SELECT e.rec_id, e.convention, e.amount, e.flow, e.n, e.b_row, e.l_row, of_b, of_l, NOT list_contains(of_b, e.b_row) AND NOT list_contains(of_l, e.l_row) AS free FROM walk w JOIN ranked e ON e.rec_id = w.rec_id AND e.convention = w.convention AND e.amount = w.amount AND e.flow = w.flow AND e.n = w.n + 1)),
+chosen AS (SELECT r.* FROM ranked r JOIN walk w ON r.rec_id = w.rec_id AND r.convention = w.convention AND r.amount = w.amount AND r.flow = w.flow AND r.n = w.n WHERE w.taken),
+sizes AS (SELECT rec_id, count(*) AS nb, (SELECT count(*) FROM l WHERE l.rec_id = b.rec_id) AS nl FROM b GROUP BY rec_id),
+used AS (SELECT s.rec_id, CASE WHEN count(*) FILTER (p.convention = 'book') - count(*) FILTER (p.convention = 'bank') >= any_value(greatest(2, least(nb, nl) // 10)) THEN 'book' ELSE 'bank' END AS convention FROM sizes s LEFT JOIN chosen p ON p.rec_id = s.rec_id GROUP BY s.rec_id)
+SELECT c.rec_id, c.convention, b_id, l_id, amount::DOUBLE AS amount, flow, dd::INT AS dd, score::INT AS score, {_DATED} AS basis, CASE WHEN score >= 150 THEN 'high' WHEN score >= 120 THEN 'medium' ELSE 'low' END AS confidence FROM chosen c JOIN used u ON u.rec_id = c.rec_id AND u.convention = c.convention"""
 _MISMATCH = f"""{_PAIRS},
 rb AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.rec_id = b.rec_id AND m.b_row = b.row_no)),
 rl AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.rec_id = l.rec_id AND m.l_row = l.row_no)),
@@ -251,6 +272,7 @@ _RATE = "CASE WHEN sum(credit) > 0 THEN round((sum(credit) - sum(debit))::DOUBLE
 
 SQL = {
     "recon_exact_match": f"{_PAIRS} SELECT rec_id, convention, b_id, l_id, amount::DOUBLE AS amount, flow, dd::INT AS dd, score::INT AS score, {_BASIS} AS basis, CASE WHEN score >= 150 THEN 'high' WHEN score >= 120 THEN 'medium' ELSE 'low' END AS confidence FROM matched",
+    "recon_contested": _GREEDY,
     "recon_unmatched_bank": f"{_PAIRS} SELECT rec_id, id, date, amount::DOUBLE AS amount, direction, reference FROM b WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.rec_id = b.rec_id AND m.b_row = b.row_no)",
     "recon_unmatched_ledger": f"{_PAIRS} SELECT rec_id, id, date, amount::DOUBLE AS amount, direction, reference FROM l WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.rec_id = l.rec_id AND m.l_row = l.row_no)",
     "recon_convention": f"{_PAIRS} SELECT rec_id, bank_matches, book_matches, convention FROM used",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import documents, einvoice, jobs, layout
+from ..operators import documents, einvoice, jobs, layout, lenient
 from ..streaming import jobs as stream
 from . import driver_data as data
 from .queries_documents import _JOBS, _jobs
@@ -71,7 +71,16 @@ def engine_routes(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy(route.alias("engine")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = (header_rules, upserted_rows, cached_results, invoice_audit, item_lines, page_chunks, engine_routes)
+def typed_props(spark: SparkSession, sf: str) -> DataFrame:
+    """The events' properties, damaged by kind: cut off, a text for the number, a name that is a number."""
+    e, props = data.load(spark, sf, "events"), F.col("props")
+    kind = lambda k: F.col("event_type") == k
+    damaged = F.when(kind("error"), F.substring(props, F.lit(1), F.length(props) - 1)).when(kind("signup"), F.regexp_replace(props, r"\d+", '"many"')).when(kind("click"), F.concat(F.substring(props, F.lit(1), F.length(props) - 1), F.lit(', "name": 5}'))).otherwise(props)
+    typed = lenient.typed(e.select("event_id", damaged.alias("json")), "k double, name string")
+    return typed.select("event_id", F.col("value.k").alias("k"), F.array_join("deviating", ",").alias("deviating"), F.col("warning.code").alias("code"), F.col("warning.line").alias("line"), F.col("warning.column").alias("place"))
+
+
+QUERIES = (typed_props, header_rules, upserted_rows, cached_results, invoice_audit, item_lines, page_chunks, engine_routes)
 
 _H = f"""WITH c AS (SELECT c_custkey AS k, c_acctbal AS pay FROM customer),
 h AS (SELECT k AS inv_id, list_extract({list(_CATEGORIES)}, CAST(k % 6 AS INT) + 1) AS cat, k % 2 = 0 AS no_vat, k % 2 = 0 AND k % 4 = 0 AS unreg, k % 3 = 0 AS no_buyer_vat, k % 5 = 0 AS undelivered, pay, k % 6 = 0 AS no_due,
@@ -89,6 +98,8 @@ for _n, _role, _part, _rule in ((11, "seller", "street", None), (12, "seller", "
     _loose = "CASE WHEN k % 10 = 0 THEN 'warning' ELSE 'error' END" if _role == "seller" else "'warning'"
     _RULES.append((_gone, f"CASE WHEN x AND {_rule is not None} THEN '{_rule}' ELSE 'DE-UStG-14-ADDRESS' END", f"{_role}.address.{_part}", f"CASE WHEN x AND {_rule is not None} THEN 'error' ELSE {_loose} END"))
 SQL = {
+    "typed_props": f"""SELECT event_id, CASE WHEN event_type NOT IN ('error', 'signup') THEN regexp_extract(props, '\\d+')::DOUBLE END AS k, CASE event_type WHEN 'signup' THEN 'k' WHEN 'click' THEN 'name' ELSE '' END AS deviating,
+CASE WHEN event_type = 'error' THEN '{lenient.BROKEN}' WHEN event_type IN ('signup', 'click') THEN '{lenient.DEVIATES}' END AS code, CASE WHEN event_type = 'error' THEN 1 END AS line, CASE WHEN event_type = 'error' THEN length(props)::INT END AS place FROM events""",
     "header_rules": f"{_H} " + " UNION ALL ".join(f"SELECT inv_id, {r} AS rule_id, '{f}' AS field, {s} AS severity FROM h WHERE {w}" for w, r, f, s in _RULES),
     "upserted_rows": f"{_JOBS} SELECT job_id % 300 AS document_id, arg_max(filename, (updated_at, job_id)) AS filename FROM j GROUP BY 1",
     "cached_results": f"{_JOBS} SELECT job_id AS key FROM j WHERE updated_at > (SELECT max(updated_at) FROM j) - INTERVAL 1 DAY ORDER BY updated_at DESC, job_id LIMIT 50",

@@ -14,7 +14,7 @@ piece, and padding does not grow with the number of tasks.
 
 Cases: null and empty texts hold the end id alone; very long texts become many
 full windows; repeated ids and texts are packed row by row; an empty table gives
-no rows. Null doc_ids stay null. sequence_id is unique over the table: the task's
+no rows; other columns are not read, whatever their names. Null doc_ids stay null. sequence_id is unique over the table: the task's
 partition in the upper bits, its own count in the lower 33.
 """
 

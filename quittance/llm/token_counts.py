@@ -9,7 +9,8 @@ Texts whose white space is more than single spaces and line feeds between words,
 that hold a special token's string, are pre-tokenised whole, without the cache.
 
 Cases: null and empty texts have 0 bytes and 0 tokens; texts of any length are
-read whole; repeated rows are counted row by row; an empty table gives no rows.
+read whole; repeated rows are counted row by row; of pairs with equal rank the leftmost merges first; other columns
+are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

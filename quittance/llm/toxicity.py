@@ -25,7 +25,8 @@ Cases: null, empty and all-unknown texts have no neighbours and get the calibrat
 prior; very long texts are read whole; ties go to the smaller doc_id; repeated
 documents are scored row by row; a doc_id labelled twice counts once (toxic wins); of the texts of a repeated
 example id one counts; without labels of both classes every score is the share of toxic labels (0 without
-labels); null doc_ids are scored; an empty table gives no rows; other columns are not read.
+labels); the example with the scored row's own doc_id is left out, so that no row's label is an input of its own score;
+null doc_ids are scored; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

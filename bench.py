@@ -14,6 +14,7 @@ QUERIES = (
     "recon_exact_match", "recon_mismatches", "recon_nearest_reason", "recon_duplicates", "recon_summary", "running_balance_breaks", "direction_repair",
     "statement_kpis", "category_breakdown", "subscriptions", "dedup_ledger", "consolidated_monthly", "profit_and_loss", "vat_breakdown", "invoice_totals",
     "invoice_report", "job_stats", "report_page", "doc_classify", "doc_extract_lines", "part_merge", "archive_chain", "parse_amounts", "parse_dates", "ofx_rows", "qif_rows",
+    "recon_contested", "merged_statements", "sheet_transactions", "archive_ledger",
 )
 
 

@@ -80,7 +80,27 @@ def typed_props(spark: SparkSession, sf: str) -> DataFrame:
     return typed.select("event_id", F.col("value.k").alias("k"), F.array_join("deviating", ",").alias("deviating"), F.col("warning.code").alias("code"), F.col("warning.line").alias("line"), F.col("warning.column").alias("place"))
 
 
-QUERIES = (typed_props, header_rules, upserted_rows, cached_results, invoice_audit, item_lines, page_chunks, engine_routes)
+def _printed(spark, sf):
+    """Orders as printed invoices, with a line for each of theirs; the customer's name stands as the merchant."""
+    li = data.load(spark, sf, "lineitem")
+    money = lambda c: F.format_number(F.col(c), 2)
+    line = F.concat(F.lit("| Part "), F.col("l_partkey").cast("string"), F.lit(" | "), F.when(F.col("l_linenumber") % 4 == 0, F.lit("some")).otherwise(F.format_string("%d pcs", F.col("l_quantity").cast("bigint"))), F.lit(" | "), money("l_extendedprice"), F.lit(" |"))
+    lines = li.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("lines"))
+    o = data.load(spark, sf, "orders").join(data.load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    head = F.concat(F.lit("Invoice No: INV-"), F.col("o_orderkey").cast("string"), F.lit("\nInvoice Date: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\nMerchant: "), F.col("c_mktsegment"), F.lit("\n| Item | Qty | Amount |\n|---|---|---|\n"))
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.concat(head, F.coalesce("lines", F.lit("")), F.when(F.col("o_orderstatus") == "P", "\nopen").otherwise(F.concat(F.lit("\nTotal: EUR "), money("o_totalprice")))).alias("text"))
+
+
+def printed_invoice_fields(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _printed(spark, sf)
+    return documents.labelled(docs, "invoice").join(documents.labelled(docs, "receipt").select("doc_id", "merchant", F.col("date").alias("receipt_date")), "doc_id")
+
+
+def printed_invoice_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.invoice_lines(_printed(spark, sf)).select("doc_id", "description", "quantity", "amount")
+
+
+QUERIES = (printed_invoice_fields, printed_invoice_lines, typed_props, header_rules, upserted_rows, cached_results, invoice_audit, item_lines, page_chunks, engine_routes)
 
 _H = f"""WITH c AS (SELECT c_custkey AS k, c_acctbal AS pay FROM customer),
 h AS (SELECT k AS inv_id, list_extract({list(_CATEGORIES)}, CAST(k % 6 AS INT) + 1) AS cat, k % 2 = 0 AS no_vat, k % 2 = 0 AND k % 4 = 0 AS unreg, k % 3 = 0 AS no_buyer_vat, k % 5 = 0 AS undelivered, pay, k % 6 = 0 AS no_due,
@@ -98,6 +118,8 @@ for _n, _role, _part, _rule in ((11, "seller", "street", None), (12, "seller", "
     _loose = "CASE WHEN k % 10 = 0 THEN 'warning' ELSE 'error' END" if _role == "seller" else "'warning'"
     _RULES.append((_gone, f"CASE WHEN x AND {_rule is not None} THEN '{_rule}' ELSE 'DE-UStG-14-ADDRESS' END", f"{_role}.address.{_part}", f"CASE WHEN x AND {_rule is not None} THEN 'error' ELSE {_loose} END"))
 SQL = {
+    "printed_invoice_fields": "SELECT o_orderkey AS doc_id, 'INV-' || o_orderkey AS invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS invoice_date, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS total, c_mktsegment AS merchant, strftime(o_orderdate, '%Y-%m-%d') AS receipt_date FROM orders JOIN customer ON c_custkey = o_custkey",
+    "printed_invoice_lines": "SELECT l_orderkey AS doc_id, 'Part ' || l_partkey AS description, CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE floor(l_quantity) END::DOUBLE AS quantity, l_extendedprice AS amount FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey",
     "typed_props": f"""SELECT event_id, CASE WHEN event_type NOT IN ('error', 'signup') THEN regexp_extract(props, '\\d+')::DOUBLE END AS k, CASE event_type WHEN 'signup' THEN 'k' WHEN 'click' THEN 'name' ELSE '' END AS deviating,
 CASE WHEN event_type = 'error' THEN '{lenient.BROKEN}' WHEN event_type IN ('signup', 'click') THEN '{lenient.DEVIATES}' END AS code, CASE WHEN event_type = 'error' THEN 1 END AS line, CASE WHEN event_type = 'error' THEN length(props)::INT END AS place FROM events""",
     "header_rules": f"{_H} " + " UNION ALL ".join(f"SELECT inv_id, {r} AS rule_id, '{f}' AS field, {s} AS severity FROM h WHERE {w}" for w, r, f, s in _RULES),

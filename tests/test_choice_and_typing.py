@@ -38,3 +38,15 @@ def test_typing(spark):
     assert [got[k]["warning"]["code"] for k in (4, 5)] == [lenient.DEVIATES] * 2 and got[4]["value"] is None
     assert [(got[k]["warning"]["code"], got[k]["warning"]["line"], got[k]["warning"]["column"]) for k in (6, 7, 8)] == [(lenient.BROKEN, 1, 8), (lenient.BROKEN, 2, 7), (lenient.BROKEN, 1, 1)]
     assert got[9]["value"] is None and got[9]["warning"] is None and got[10]["deviating"] == ["n"] and got[11]["deviating"] == ["n"]
+
+
+def test_labels_and_invoice_lines(spark):
+    from quittance.operators import documents
+
+    text = "Invoice # A-77\nInvoice date: 2026-01-05\nMerchant:  Corner Shop\n| Description | Qty | Sum |\n|---|---|---|\n| Pen | 3 x | EUR 4.50 |\n| Ink | many | 1,200.00 |\n| Short | 9.99 |\n| Free | 1 | none |\n|  | Gap | 2 | 7.00 |\nTotal: $ 1,204.50"
+    docs = spark.createDataFrame([(1, text), (2, "nothing"), (3, ""), (4, None)], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in documents.labelled(docs, "invoice").collect()}
+    assert (got[1]["invoice_number"], got[1]["invoice_date"], got[1]["total"]) == ("A-77", "2026-01-05", 1204.5) and all(got[k]["total"] is None for k in (2, 3, 4))
+    assert documents.labelled(docs, "receipt").first()["merchant"] == "Corner Shop"
+    lines = documents.invoice_lines(docs).orderBy("line_no").collect()
+    assert [(r["description"], r["quantity"], r["amount"]) for r in lines] == [("Pen", 3.0, 4.5), ("Ink", 1.0, 1200.0), ("Gap", 2.0, 7.0)]

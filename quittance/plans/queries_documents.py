@@ -59,7 +59,7 @@ def _said(spark, sf):
 
 def _computed(spark, sf):
     """lines, breakdown, declared and totals, each computed once: what several rules read lies behind checkpoints."""
-    lines = cut(_lines(spark, sf))
+    lines = cut(_lines(spark, sf).repartition("inv_id"))  # invoices stay whole in what follows
     breakdown = cut(einvoice.vat_breakdown(lines, _adjustments(spark, sf)))
     declared = _declared(spark, sf, breakdown)
     totals = cut(einvoice.document_totals(lines, _adjustments(spark, sf), breakdown, declared, _said(spark, sf)))

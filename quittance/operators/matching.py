@@ -62,7 +62,7 @@ def exact_edges(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descript
 
 
 #: contested edges of one key that a single task takes
-MOST_EDGES = 5_000_000
+MOST_EDGES = 10_000_000
 
 
 def _rank() -> Column:
@@ -85,13 +85,14 @@ def mutual_round(edges: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame
     return edges.join(chosen, [*key, "b_row_no", "l_row_no"], "left_semi"), rest.select(*edges.columns)
 
 
-def greedy(edges: DataFrame, key: list[str], most_edges: int = MOST_EDGES) -> DataFrame:
+def greedy(edges: DataFrame, key: list[str], most_edges: int = MOST_EDGES, at_most: int | None = None) -> DataFrame:
     """One-to-one choice among edges of a key, by the order of `_rank`.
 
     Edges never cross keys, so keys are assigned apart; within one the choice is sequential. Edges
     stream to Python sorted by key and rank (the sort spills); what is held is one key's used rows. While a key has more than
     `most_edges` contested edges, rounds of mutually best edges, which give the same choice, make it smaller; each
-    round takes at least one edge of every connected part, and many more where scores differ.
+    round takes at least one edge of every connected part, and many more where scores differ. at_most: a bound of the edges of
+    any key, if the caller knows one; within `most_edges` it saves the count, and the checkpoint that goes with it.
     """
     def choose(batches):
         import pyarrow as pa
@@ -120,7 +121,8 @@ def greedy(edges: DataFrame, key: list[str], most_edges: int = MOST_EDGES) -> Da
                     used_l.add(l)
             yield edges.filter(pa.array(keep))
 
-    edges = cut(edges)
+    counted = at_most is None or at_most > most_edges
+    edges = cut(edges) if counted else edges
     # edges that stand alone on both sides need no choice and no Python
     sides = edges.withColumns({
         "of_b": F.count(F.lit(1)).over(Window.partitionBy(*key, "b_row_no")),
@@ -130,7 +132,7 @@ def greedy(edges: DataFrame, key: list[str], most_edges: int = MOST_EDGES) -> Da
     contested = sides.where("of_b > 1 or of_l > 1").drop("of_b", "of_l")
     largest = lambda df: df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     done = [alone]
-    if (split := largest(edges)) > most_edges and (split := largest(contested)) > most_edges:
+    if counted and (split := largest(edges)) > most_edges and (split := largest(contested)) > most_edges:
         contested = cut(contested)
         while split > most_edges:
             chosen, rest = mutual_round(contested, key)
@@ -145,7 +147,9 @@ def greedy(edges: DataFrame, key: list[str], most_edges: int = MOST_EDGES) -> Da
 
 def exact_matches(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descriptions: bool = True) -> DataFrame:
     """Chosen pairs under both conventions, behind a checkpoint, for what follows reads them more than once."""
-    return cut(greedy(exact_edges(bank, ledger, tolerance, descriptions), ["rec_id", "convention", "amount", "flow"]))
+    counts = [df.groupBy("rec_id", "amount").agg(F.count(F.lit(1)).alias(n)) for df, n in ((bank, "n"), (ledger, "m"))]
+    at_most = counts[0].join(counts[1], ["rec_id", "amount"]).agg(F.max(F.col("n") * F.col("m"))).first()[0] or 0
+    return cut(greedy(exact_edges(bank, ledger, tolerance, descriptions), ["rec_id", "convention", "amount", "flow"], at_most=at_most))
 
 
 def chosen_convention(bank: DataFrame, ledger: DataFrame, matches: DataFrame) -> DataFrame:

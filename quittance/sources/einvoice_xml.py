@@ -1,6 +1,6 @@
 """E-invoice XML (CII and UBL) to columns and back.
 
-Prefixes are dropped, then Spark's own XML parser reads a document once with a nested schema. Documents
+Spark's own XML parser reads a document once with a nested schema, and drops prefixes. Documents
 with a DOCTYPE or ENTITY declaration are refused before parsing; malformed ones give null.
 """
 
@@ -43,22 +43,30 @@ InvoiceLine ARRAY<{_LINE}>, CreditNoteLine ARRAY<{_LINE}>,
 LegalMonetaryTotal STRUCT<LineExtensionAmount: {_MONEY}, TaxExclusiveAmount: {_MONEY}, TaxInclusiveAmount: {_MONEY}, PayableAmount: {_MONEY}>"""
 
 
+#: Spark's parser drops prefixes by itself
+OPTIONS = {"ignoreNamespace": "true"}
+
+
 def safe(xml: Column) -> Column:
     """Whether a document looks like XML and declares no types or entities."""
-    return F.ltrim(F.regexp_replace(xml, "^﻿", "")).startswith("<") & ~F.upper(xml).rlike("<!DOCTYPE|<!ENTITY")
+    start = F.ltrim(F.when(xml.startswith("\ufeff"), F.substring(xml, 2, 2**31 - 1)).otherwise(xml))
+    return start.startswith("<") & ~(xml.contains("<!") & F.upper(xml).rlike("<!DOCTYPE|<!ENTITY"))
 
 
 def _bare(xml: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(xml, r"<\?[^>]*\?>", ""), r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", "")
-    return F.when(safe(xml), F.regexp_replace(plain, r"(</?)\w+:", "$1"))
+    """A safe document without what stands before its root; later instructions are passed over by the parser."""
+    return F.when(safe(xml), F.regexp_replace(xml, r"^(\uFEFF?)\s*(?:<\?[^>]*\?>\s*)*", "$1"))
 
 
 def syntax_of(xml: Column) -> Column:
     """CII, UBL, ZUGFeRD-1.0 or UNKNOWN by the root element and its namespace."""
+    # plain searches first: a pattern that is not there would be tried at every character
+    root = lambda name: xml.contains(name) & xml.rlike(rf"<(\w+:)?{name}[\s>]")
+    urn = "urn:oasis:names:specification:ubl:schema:xsd:"
     return (
-        F.when(xml.rlike(r"<(\w+:)?CrossIndustryInvoice[\s>]"), "CII")
-        .when(xml.rlike(r"<(\w+:)?CrossIndustryDocument[\s>]"), "ZUGFeRD-1.0")
-        .when(xml.rlike(r"<(\w+:)?(Invoice|CreditNote)\s[^>]*urn:oasis:names:specification:ubl:schema:xsd:(Invoice|CreditNote)-2"), "UBL")
+        F.when(root("CrossIndustryInvoice"), "CII")
+        .when(root("CrossIndustryDocument"), "ZUGFeRD-1.0")
+        .when(xml.contains(urn) & xml.rlike(rf"<(\w+:)?(Invoice|CreditNote)\s[^>]*{urn}(Invoice|CreditNote)-2"), "UBL")
         .otherwise("UNKNOWN")
     )
 
@@ -80,7 +88,7 @@ def _field(path: str) -> Column:
 def parse(documents: DataFrame) -> DataFrame:
     """doc_id, syntax, profile, invoice fields, lines and totals. documents: doc_id, xml."""
     d = documents.select("doc_id", syntax_of(F.col("xml")).alias("syntax"), _bare(F.col("xml")).alias("x"))
-    d = d.select("doc_id", "syntax", F.when(F.col("syntax") == "CII", F.from_xml("x", CII)).alias("c"), F.when(F.col("syntax") == "UBL", F.from_xml("x", UBL)).alias("u"))
+    d = d.select("doc_id", "syntax", F.when(F.col("syntax") == "CII", F.from_xml("x", CII, OPTIONS)).alias("c"), F.when(F.col("syntax") == "UBL", F.from_xml("x", UBL, OPTIONS)).alias("u"))
     tx, doc = "c.SupplyChainTradeTransaction", "c.ExchangedDocument"
     pay, total = f"{tx}.ApplicableHeaderTradeSettlement", f"{tx}.ApplicableHeaderTradeSettlement.SpecifiedTradeSettlementHeaderMonetarySummation"
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import cut
 from ..sources import einvoice_tree
 from . import driver_data as data
 
@@ -49,9 +48,8 @@ def _invoices(spark, sf):
 
 def einvoice_tree_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """CII for even orders, UBL for odd ones."""
-    invoices = cut(_invoices(spark, sf))
-    xml = einvoice_tree.to_cii(invoices.where("doc_id % 2 = 0")).unionByName(einvoice_tree.to_ubl(invoices.where("doc_id % 2 = 1")))
-    back = einvoice_tree.parse(cut(xml))
+    xml = F.when(F.col("doc_id") % 2 == 0, einvoice_tree.cii()).when(F.col("doc_id") % 2 == 1, einvoice_tree.ubl())
+    back = einvoice_tree.parse(_invoices(spark, sf).select("doc_id", xml.alias("xml")))
     groups = F.array_join(F.transform("vat_breakdown", lambda g: F.concat_ws(":", g["category"], g["basis_amount"], g["exemption_reason"])), ";")
     off = F.aggregate(F.flatten(F.transform("lines", lambda x: x["allowances"])), F.lit(0).cast("decimal(38,2)"), lambda s, a: (s + a["amount"].cast("decimal(18,2)")).cast("decimal(38,2)"))
     return back.select(

@@ -10,9 +10,12 @@ missing units C62; lists are empty where nothing is listed; of repeated single e
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scope import let
 from . import einvoice_xml as plain
 
 FIELDS = (
@@ -109,7 +112,10 @@ def _address(e: _Element, paths: tuple[str, ...], always: bool = False) -> Colum
 
 
 def _split(entries: Column, charge: bool) -> Column:
-    kept = F.filter(entries, lambda x: F.coalesce(F.lower(x["indicator"]) == "true", F.lit(False)) == F.lit(charge))
+    said = lambda x: x["indicator"]
+    # the usual words are compared as they are
+    true = lambda x: F.coalesce((said(x) == "true") | ((said(x) != "false") & (F.lower(said(x)) == "true")), F.lit(False))
+    kept = F.filter(entries, true if charge else lambda x: ~true(x))
     return F.transform(kept, lambda x: x.dropFields("indicator"))
 
 
@@ -161,10 +167,13 @@ def _ubl_party(e: _Element, seller: bool, buyer_reference: Column | None = None)
     return F.when(e.column.isNotNull(), _struct(**fields))
 
 
-def _payment(creditor_id: Column, due: Column, terms: Column, **fields: Column) -> Column:
-    told = plain.payment_terms(F.coalesce(terms, F.lit("")))
-    made = _any(**fields, creditor_id=creditor_id, due_date=due, terms=told["terms"], discount_days=told["discount_days"], discount_percent=told["discount_percent"])
-    return F.when(made.isNotNull(), made.withField("means_code", F.coalesce(made["means_code"], F.lit("1"))))
+def _payment(creditor_id: Column, due: Column, terms: Column, means_code: Column, **fields: Column) -> Column:
+    def made(told: Column) -> Column:
+        more = {**fields, "creditor_id": creditor_id, "due_date": due, **{n: told[n] for n in ("terms", "discount_days", "discount_percent")}}
+        some = reduce(lambda x, y: x | y, [c.isNotNull() for c in (means_code, *more.values())])
+        return F.when(some, _struct(means_code=F.coalesce(means_code, F.lit("1")), **more))
+
+    return let(plain.payment_terms(F.coalesce(terms, F.lit(""))), made)
 
 
 def _read_cii(root: _Element) -> dict[str, Column]:
@@ -244,7 +253,7 @@ def parse(documents: DataFrame) -> DataFrame:
     """doc_id, syntax and FIELDS of each document. documents: doc_id, xml."""
     d = documents.select("doc_id", plain.syntax_of(F.col("xml")).alias("syntax"), plain._bare(F.col("xml")).alias("x"))
     made = {syntax: _asked(read, syntax) for syntax, read in _READERS.items()}
-    d = d.select("doc_id", "syntax", *[F.when(F.col("syntax") == s, F.from_xml("x", ddl)).alias(s) for s, (ddl, _) in made.items()])
+    d = d.select("doc_id", "syntax", *[F.when(F.col("syntax") == s, F.from_xml("x", ddl, plain.OPTIONS)).alias(s) for s, (ddl, _) in made.items()])
     pick = lambda f: F.when(F.col("syntax") == "CII", made["CII"][1][f]).when(F.col("syntax") == "UBL", made["UBL"][1][f])
     return d.select("doc_id", "syntax", *[pick(f).alias(f) for f in FIELDS])
 
@@ -252,24 +261,39 @@ def parse(documents: DataFrame) -> DataFrame:
 # --- writing ---------------------------------------------------------------------------------
 
 
-def _full(name: str, *inside: Column, **attributes: Column | str) -> Column:
-    """An element; null where all that is inside is null."""
-    some = F.coalesce(*inside)
-    told = [F.coalesce(F.concat(F.lit(f' {a}="'), plain._escape(F.lit(v) if isinstance(v, str) else v), F.lit('"')), F.lit("")) for a, v in attributes.items() if v is not None]
-    return F.when(some.isNotNull(), F.concat(F.lit(f"<{name}"), *[F.when(F.lit(True), t) for t in told], F.lit(">"), *[F.coalesce(c, F.lit("")) for c in inside], F.lit(f"</{name}>")))
+@dataclass
+class _Xml:
+    """Text of an element and whether there is any: kept apart, so that no text is made twice to learn that."""
+
+    text: Column
+    some: Column
+
+    def when(self, told: Column) -> _Xml:
+        return _Xml(F.when(told, self.text).otherwise(""), told & self.some)
+
+
+def _always(text: str) -> _Xml:
+    return _Xml(F.lit(text), F.lit(True))
+
 
+def _full(name: str, *inside: _Xml, **attributes: Column | str) -> _Xml:
+    """An element; nothing where there is nothing inside."""
+    told = [F.concat(F.lit(f' {a}="'), plain._escape(F.lit(v) if isinstance(v, str) else v), F.lit('"')) for a, v in attributes.items()]
+    some = reduce(lambda x, y: x | y, [x.some for x in inside])
+    return _Xml(F.when(some, F.concat(F.lit(f"<{name}"), *told, F.lit(">"), *[x.text for x in inside], F.lit(f"</{name}>"))).otherwise(""), some)
 
-def _leaf(name: str, value: Column, **attributes: Column | str) -> Column:
-    return _full(name, F.when(value.isNotNull(), plain._escape(value)), **attributes)
 
+def _leaf(name: str, value: Column, some: Column | None = None, **attributes: Column | str) -> _Xml:
+    """An element with a value. some: whether there is one, where that is known more cheaply."""
+    return _full(name, _Xml(plain._escape(value), value.isNotNull() if some is None else some), **attributes)
 
-def _many(values: Column, made: Callable[[Column], Column]) -> Column:
-    text = F.array_join(F.transform(values, made), "")
-    return F.when(F.size(values) > 0, text)
 
+def _many(values: Column, made: Callable[[Column], _Xml]) -> _Xml:
+    return _Xml(F.coalesce(F.array_join(F.transform(values, lambda v: made(v).text), ""), F.lit("")), F.coalesce(F.size(values) > 0, F.lit(False)))
 
-def _stamp(name: str, value: Column, kind: str = "udt") -> Column:
-    return _full(name, _leaf(f"{kind}:DateTimeString", F.replace(value, F.lit("-")), format="102"))
+
+def _stamp(name: str, value: Column, kind: str = "udt") -> _Xml:
+    return _full(name, _leaf(f"{kind}:DateTimeString", F.replace(value, F.lit("-")), value.isNotNull(), format="102"))
 
 
 def _terms(payment: Column) -> Column:
@@ -277,50 +301,59 @@ def _terms(payment: Column) -> Column:
     return F.when(skonto.isNotNull(), F.concat(F.concat_ws("\n", skonto, payment["terms"]), F.lit("\n"))).otherwise(payment["terms"])
 
 
-def _cii_address_xml(a: Column) -> Column:
+def _has_terms(payment: Column) -> Column:
+    return payment["terms"].isNotNull() | (payment["discount_days"].isNotNull() & payment["discount_percent"].isNotNull())
+
+
+def _rated(category: Column) -> Column:
+    """What is outside of VAT has no rate."""
+    return ~category.eqNullSafe("O")
+
+
+def _cii_address_xml(a: Column) -> _Xml:
     order = ("postcode", "street", "additional_street", "address_line_3", "city", "country", "country_subdivision")
     tags = dict(zip(_ADDRESS, _CII_ADDRESS))
     return _full("ram:PostalTradeAddress", *[_leaf(f"ram:{tags[n]}", a[n]) for n in order])
 
 
-def _cii_party_xml(tag: str, p: Column, seller: bool) -> Column:
-    register, trading = (p["legal"]["commercial_register"], p["trading_name"]) if seller else (p["legal_registration_id"], F.lit(None).cast("string"))
+def _cii_party_xml(tag: str, p: Column, seller: bool) -> _Xml:
+    register, trading = (p["legal"]["commercial_register"], [_leaf("ram:TradingBusinessName", p["trading_name"])]) if seller else (p["legal_registration_id"], [])
     number = lambda value, scheme: _full("ram:SpecifiedTaxRegistration", _leaf("ram:ID", value, schemeID=scheme))
     c = p["contact"]
     return _full(
         tag, _leaf("ram:ID", p["id"]), _leaf("ram:GlobalID", p["global_id"], schemeID="0088"), _leaf("ram:Name", p["name"]), *([_leaf("ram:Description", p["legal"]["additional_info"])] if seller else []),
-        _full("ram:SpecifiedLegalOrganization", _leaf("ram:ID", register), _leaf("ram:TradingBusinessName", trading)),
+        _full("ram:SpecifiedLegalOrganization", _leaf("ram:ID", register), *trading),
         _full("ram:DefinedTradeContact", _leaf("ram:PersonName", c["name"]), _full("ram:TelephoneUniversalCommunication", _leaf("ram:CompleteNumber", c["phone"])), _full("ram:EmailURIUniversalCommunication", _leaf("ram:URIID", c["email"]))),
         _cii_address_xml(p["address"]), _full("ram:URIUniversalCommunication", _leaf("ram:URIID", p["electronic_address"], schemeID=p["electronic_address_scheme"])), number(p["vat_id"], "VA"), *([number(p["tax_number"], "FC")] if seller else []),
     )
 
 
 def _cii_adjustment_xml(charge: bool, taxed: bool):
-    def made(x: Column) -> Column:
-        tax = [_full("ram:CategoryTradeTax", F.lit("<ram:TypeCode>VAT</ram:TypeCode>"), _leaf("ram:CategoryCode", x["vat_category"]), F.when(x["vat_category"].eqNullSafe("O"), F.lit(None)).otherwise(_leaf("ram:RateApplicablePercent", x["vat_rate"])))] if taxed else []
-        return _full("ram:SpecifiedTradeAllowanceCharge", F.lit(f"<ram:ChargeIndicator><udt:Indicator>{str(charge).lower()}</udt:Indicator></ram:ChargeIndicator>"), _leaf("ram:CalculationPercent", x["percent"]), _leaf("ram:BasisAmount", x["base_amount"]), _leaf("ram:ActualAmount", x["amount"]), _leaf("ram:ReasonCode", x["reason_code"]), _leaf("ram:Reason", x["reason"]), *tax)
+    def made(x: Column) -> _Xml:
+        tax = [_full("ram:CategoryTradeTax", _always("<ram:TypeCode>VAT</ram:TypeCode>"), _leaf("ram:CategoryCode", x["vat_category"]), _leaf("ram:RateApplicablePercent", x["vat_rate"]).when(_rated(x["vat_category"])))] if taxed else []
+        return _full("ram:SpecifiedTradeAllowanceCharge", _always(f"<ram:ChargeIndicator><udt:Indicator>{str(charge).lower()}</udt:Indicator></ram:ChargeIndicator>"), _leaf("ram:CalculationPercent", x["percent"]), _leaf("ram:BasisAmount", x["base_amount"]), _leaf("ram:ActualAmount", x["amount"]), _leaf("ram:ReasonCode", x["reason_code"]), _leaf("ram:Reason", x["reason"]), *tax)
 
     return made
 
 
-def to_cii(invoices: DataFrame) -> DataFrame:
-    """doc_id, xml. invoices: doc_id and FIELDS."""
+def cii() -> Column:
+    """The document of an invoice with FIELDS."""
     c = F.col
     p, t, buyer = c("payment"), c("totals"), c("buyer")
 
-    def line(i: Column) -> Column:
+    def line(i: Column) -> _Xml:
         return _full(
             "ram:IncludedSupplyChainTradeLineItem", _full("ram:AssociatedDocumentLineDocument", _leaf("ram:LineID", i["position"]), _full("ram:IncludedNote", _leaf("ram:Content", i["note"]))),
             _full("ram:SpecifiedTradeProduct", _leaf("ram:GlobalID", i["gtin"], schemeID="0160"), _leaf("ram:SellerAssignedID", i["seller_article_number"]), _leaf("ram:BuyerAssignedID", i["buyer_article_number"]), _leaf("ram:Name", i["description"]), _leaf("ram:Description", i["item_description"])),
             _full("ram:SpecifiedLineTradeAgreement", _full("ram:GrossPriceProductTradePrice", _leaf("ram:ChargeAmount", i["gross_price"])), _full("ram:NetPriceProductTradePrice", _leaf("ram:ChargeAmount", i["net_price"]), _leaf("ram:BasisQuantity", i["price_base_quantity"], unitCode=i["unit"]))),
             _full("ram:SpecifiedLineTradeDelivery", _leaf("ram:BilledQuantity", i["quantity"], unitCode=i["unit"])),
-            _full("ram:SpecifiedLineTradeSettlement", _full("ram:ApplicableTradeTax", F.lit("<ram:TypeCode>VAT</ram:TypeCode>"), _leaf("ram:CategoryCode", i["vat_category"]), F.when(i["vat_category"].eqNullSafe("O"), F.lit(None)).otherwise(_leaf("ram:RateApplicablePercent", i["vat_rate"]))),
+            _full("ram:SpecifiedLineTradeSettlement", _full("ram:ApplicableTradeTax", _always("<ram:TypeCode>VAT</ram:TypeCode>"), _leaf("ram:CategoryCode", i["vat_category"]), _leaf("ram:RateApplicablePercent", i["vat_rate"]).when(_rated(i["vat_category"]))),
                   _many(i["allowances"], _cii_adjustment_xml(False, False)), _many(i["charges"], _cii_adjustment_xml(True, False)), _full("ram:SpecifiedTradeSettlementLineMonetarySummation", _leaf("ram:LineTotalAmount", i["line_net_amount"]))),
         )
 
-    def group(g: Column) -> Column:
-        rate = F.when(g["category"].eqNullSafe("O"), F.lit(None)).otherwise(_leaf("ram:RateApplicablePercent", g["rate"]))
-        return _full("ram:ApplicableTradeTax", _leaf("ram:CalculatedAmount", g["tax_amount"]), F.lit("<ram:TypeCode>VAT</ram:TypeCode>"), _leaf("ram:ExemptionReason", g["exemption_reason"]), _leaf("ram:BasisAmount", g["basis_amount"]), _leaf("ram:CategoryCode", g["category"]), _leaf("ram:ExemptionReasonCode", g["exemption_reason_code"]), rate)
+    def group(g: Column) -> _Xml:
+        rate = _leaf("ram:RateApplicablePercent", g["rate"]).when(_rated(g["category"]))
+        return _full("ram:ApplicableTradeTax", _leaf("ram:CalculatedAmount", g["tax_amount"]), _always("<ram:TypeCode>VAT</ram:TypeCode>"), _leaf("ram:ExemptionReason", g["exemption_reason"]), _leaf("ram:BasisAmount", g["basis_amount"]), _leaf("ram:CategoryCode", g["category"]), _leaf("ram:ExemptionReasonCode", g["exemption_reason_code"]), rate)
 
     head = 'xmlns:rsm="urn:un:unece:uncefact:data:standard:CrossIndustryInvoice:100" xmlns:ram="urn:un:unece:uncefact:data:standard:ReusableAggregateBusinessInformationEntity:100" xmlns:qdt="urn:un:unece:uncefact:data:standard:QualifiedDataType:100" xmlns:udt="urn:un:unece:uncefact:data:standard:UnqualifiedDataType:100"'
     agreement = _full("ram:ApplicableHeaderTradeAgreement", _leaf("ram:BuyerReference", buyer["buyer_reference"]), _cii_party_xml("ram:SellerTradeParty", c("seller"), True), _cii_party_xml("ram:BuyerTradeParty", buyer, False), _full("ram:BuyerOrderReferencedDocument", _leaf("ram:IssuerAssignedID", c("order_reference"))), _full("ram:ContractReferencedDocument", _leaf("ram:IssuerAssignedID", c("contract_reference"))))
@@ -331,26 +364,31 @@ def to_cii(invoices: DataFrame) -> DataFrame:
     settlement = _full(
         "ram:ApplicableHeaderTradeSettlement", _leaf("ram:CreditorReferenceID", p["creditor_id"]), _leaf("ram:PaymentReference", p["payment_reference"]), _leaf("ram:InvoiceCurrencyCode", c("currency")), means, _many(c("vat_breakdown"), group),
         _full("ram:BillingSpecifiedPeriod", _stamp("ram:StartDateTime", c("billing_period_start")), _stamp("ram:EndDateTime", c("billing_period_end"))), _many(c("allowances"), _cii_adjustment_xml(False, True)), _many(c("charges"), _cii_adjustment_xml(True, True)),
-        _full("ram:SpecifiedTradePaymentTerms", _leaf("ram:Description", _terms(p)), _stamp("ram:DueDateDateTime", p["due_date"]), _leaf("ram:DirectDebitMandateID", p["mandate_reference"])), _full("ram:SpecifiedTradeSettlementHeaderMonetarySummation", *summed),
+        _full("ram:SpecifiedTradePaymentTerms", _leaf("ram:Description", _terms(p), _has_terms(p)), _stamp("ram:DueDateDateTime", p["due_date"]), _leaf("ram:DirectDebitMandateID", p["mandate_reference"])), _full("ram:SpecifiedTradeSettlementHeaderMonetarySummation", *summed),
         _full("ram:InvoiceReferencedDocument", _leaf("ram:IssuerAssignedID", c("preceding_invoice_number")), _stamp("ram:FormattedIssueDateTime", c("preceding_invoice_date"), "qdt")),
     )
-    return invoices.select("doc_id", F.concat(
+    return F.concat(
         F.lit(f'<?xml version="1.0" encoding="UTF-8"?><rsm:CrossIndustryInvoice {head}><rsm:ExchangedDocumentContext><ram:GuidelineSpecifiedDocumentContextParameter><ram:ID>{URN["CII"]}</ram:ID></ram:GuidelineSpecifiedDocumentContextParameter></rsm:ExchangedDocumentContext>'),
-        _full("rsm:ExchangedDocument", _leaf("ram:ID", c("invoice_number")), _leaf("ram:TypeCode", c("type_code")), _stamp("ram:IssueDateTime", c("issue_date")), _many(c("notes"), lambda n: _full("ram:IncludedNote", _leaf("ram:Content", n)))),
-        _full("rsm:SupplyChainTradeTransaction", _many(c("lines"), line), F.coalesce(agreement, F.lit("")), delivery, settlement), F.lit("</rsm:CrossIndustryInvoice>"),
-    ).alias("xml"))
+        _full("rsm:ExchangedDocument", _leaf("ram:ID", c("invoice_number")), _leaf("ram:TypeCode", c("type_code")), _stamp("ram:IssueDateTime", c("issue_date")), _many(c("notes"), lambda n: _full("ram:IncludedNote", _leaf("ram:Content", n)))).text,
+        _full("rsm:SupplyChainTradeTransaction", _many(c("lines"), line), agreement, delivery, settlement, _always("")).text, F.lit("</rsm:CrossIndustryInvoice>"),
+    )
+
+
+def to_cii(invoices: DataFrame) -> DataFrame:
+    """doc_id, xml. invoices: doc_id and FIELDS."""
+    return invoices.select("doc_id", cii().alias("xml"))
 
 
-def _ubl_address_xml(tag: str, a: Column) -> Column:
+def _ubl_address_xml(tag: str, a: Column) -> _Xml:
     return _full(
         tag, _leaf("cbc:StreetName", a["street"]), _leaf("cbc:AdditionalStreetName", a["additional_street"]), _leaf("cbc:CityName", a["city"]), _leaf("cbc:PostalZone", a["postcode"]), _leaf("cbc:CountrySubentity", a["country_subdivision"]),
         _full("cac:AddressLine", _leaf("cbc:Line", a["address_line_3"])), _full("cac:Country", _leaf("cbc:IdentificationCode", a["country"])),
     )
 
 
-def _ubl_party_xml(tag: str, p: Column, seller: bool, creditor_id: Column | None = None) -> Column:
+def _ubl_party_xml(tag: str, p: Column, seller: bool, creditor_id: Column | None = None) -> _Xml:
     known = lambda value, **scheme: _full("cac:PartyIdentification", _leaf("cbc:ID", value, **scheme))
-    number = lambda value, scheme: _full("cac:PartyTaxScheme", _leaf("cbc:CompanyID", value), F.when(value.isNotNull(), F.lit(f"<cac:TaxScheme><cbc:ID>{scheme}</cbc:ID></cac:TaxScheme>")))
+    number = lambda value, scheme: _full("cac:PartyTaxScheme", _leaf("cbc:CompanyID", value), _always(f"<cac:TaxScheme><cbc:ID>{scheme}</cbc:ID></cac:TaxScheme>").when(value.isNotNull()))
     register = p["legal"]["commercial_register"] if seller else p["legal_registration_id"]
     c = p["contact"]
     return _full(tag, _full(
@@ -361,51 +399,56 @@ def _ubl_party_xml(tag: str, p: Column, seller: bool, creditor_id: Column | None
     ))
 
 
-def to_ubl(invoices: DataFrame) -> DataFrame:
-    """doc_id, xml: an Invoice, or a CreditNote for type code 381. invoices: doc_id and FIELDS."""
+def ubl() -> Column:
+    """The document of an invoice with FIELDS: an Invoice, or a CreditNote for type code 381."""
     c = F.col
     p, t, buyer = c("payment"), c("totals"), c("buyer")
     money = lambda tag, value: _leaf(f"cbc:{tag}", value, currencyID=c("currency"))
-    scheme = F.lit("<cac:TaxScheme><cbc:ID>VAT</cbc:ID></cac:TaxScheme>")
+    scheme = _always("<cac:TaxScheme><cbc:ID>VAT</cbc:ID></cac:TaxScheme>")
 
     def adjustment(charge: bool, taxed: bool):
-        def made(x: Column) -> Column:
-            tax = [_full("cac:TaxCategory", _leaf("cbc:ID", x["vat_category"]), F.when(x["vat_category"].eqNullSafe("O"), F.lit(None)).otherwise(_leaf("cbc:Percent", x["vat_rate"])), scheme)] if taxed else []
-            return _full("cac:AllowanceCharge", F.lit(f"<cbc:ChargeIndicator>{str(charge).lower()}</cbc:ChargeIndicator>"), _leaf("cbc:AllowanceChargeReasonCode", x["reason_code"]), _leaf("cbc:AllowanceChargeReason", x["reason"]), _leaf("cbc:MultiplierFactorNumeric", x["percent"]), money("Amount", x["amount"]), money("BaseAmount", x["base_amount"]), *tax)
+        def made(x: Column) -> _Xml:
+            tax = [_full("cac:TaxCategory", _leaf("cbc:ID", x["vat_category"]), _leaf("cbc:Percent", x["vat_rate"]).when(_rated(x["vat_category"])), scheme)] if taxed else []
+            return _full("cac:AllowanceCharge", _always(f"<cbc:ChargeIndicator>{str(charge).lower()}</cbc:ChargeIndicator>"), _leaf("cbc:AllowanceChargeReasonCode", x["reason_code"]), _leaf("cbc:AllowanceChargeReason", x["reason"]), _leaf("cbc:MultiplierFactorNumeric", x["percent"]), money("Amount", x["amount"]), money("BaseAmount", x["base_amount"]), *tax)
 
         return made
 
     def line(tag: str, quantity: str):
-        def made(i: Column) -> Column:
+        def made(i: Column) -> _Xml:
             item = _full(
                 "cac:Item", _leaf("cbc:Description", i["item_description"]), _leaf("cbc:Name", i["description"]), _full("cac:BuyersItemIdentification", _leaf("cbc:ID", i["buyer_article_number"])), _full("cac:SellersItemIdentification", _leaf("cbc:ID", i["seller_article_number"])),
-                _full("cac:StandardItemIdentification", _leaf("cbc:ID", i["gtin"], schemeID="0160")), _full("cac:ClassifiedTaxCategory", _leaf("cbc:ID", i["vat_category"]), F.when(i["vat_category"].eqNullSafe("O"), F.lit(None)).otherwise(_leaf("cbc:Percent", i["vat_rate"])), scheme),
+                _full("cac:StandardItemIdentification", _leaf("cbc:ID", i["gtin"], schemeID="0160")), _full("cac:ClassifiedTaxCategory", _leaf("cbc:ID", i["vat_category"]), _leaf("cbc:Percent", i["vat_rate"]).when(_rated(i["vat_category"])), scheme),
             )
             price = _full("cac:Price", money("PriceAmount", i["net_price"]), _leaf("cbc:BaseQuantity", i["price_base_quantity"], unitCode=i["unit"]), _full("cac:AllowanceCharge", money("BaseAmount", i["gross_price"])))
             return _full(f"cac:{tag}", _leaf("cbc:ID", i["position"]), _leaf("cbc:Note", i["note"]), _leaf(f"cbc:{quantity}", i["quantity"], unitCode=i["unit"]), money("LineExtensionAmount", i["line_net_amount"]), _many(i["allowances"], adjustment(False, False)), _many(i["charges"], adjustment(True, False)), item, price)
 
         return made
 
-    def group(g: Column) -> Column:
-        category = _full("cac:TaxCategory", _leaf("cbc:ID", g["category"]), F.when(g["category"].eqNullSafe("O"), F.lit(None)).otherwise(_leaf("cbc:Percent", g["rate"])), _leaf("cbc:TaxExemptionReasonCode", g["exemption_reason_code"]), _leaf("cbc:TaxExemptionReason", g["exemption_reason"]), scheme)
+    def group(g: Column) -> _Xml:
+        category = _full("cac:TaxCategory", _leaf("cbc:ID", g["category"]), _leaf("cbc:Percent", g["rate"]).when(_rated(g["category"])), _leaf("cbc:TaxExemptionReasonCode", g["exemption_reason_code"]), _leaf("cbc:TaxExemptionReason", g["exemption_reason"]), scheme)
         return _full("cac:TaxSubtotal", money("TaxableAmount", g["basis_amount"]), money("TaxAmount", g["tax_amount"]), category)
 
-    credit = c("type_code") == "381"
+    credit = F.coalesce(c("type_code") == "381", F.lit(False))
     note = lambda yes, no: F.when(credit, F.lit(yes)).otherwise(F.lit(no))
     name = note("CreditNote", "Invoice")
     means = _full("cac:PaymentMeans", _leaf("cbc:PaymentMeansCode", p["means_code"]), _leaf("cbc:PaymentID", p["payment_reference"]), _full("cac:PayeeFinancialAccount", _leaf("cbc:ID", p["iban"]), _leaf("cbc:Name", p["account_name"]), _full("cac:FinancialInstitutionBranch", _leaf("cbc:ID", p["bic"]))), _full("cac:PaymentMandate", _leaf("cbc:ID", p["mandate_reference"]), _full("cac:PayerFinancialAccount", _leaf("cbc:ID", p["debtor_iban"]))))
     inside = [
-        _leaf("cbc:ID", c("invoice_number")), _leaf("cbc:IssueDate", c("issue_date")), _leaf("cbc:DueDate", p["due_date"]), F.when(credit, _leaf("cbc:CreditNoteTypeCode", c("type_code"))).otherwise(_leaf("cbc:InvoiceTypeCode", c("type_code"))), _many(c("notes"), lambda n: _leaf("cbc:Note", n)),
+        _leaf("cbc:ID", c("invoice_number")), _leaf("cbc:IssueDate", c("issue_date")), _leaf("cbc:DueDate", p["due_date"]), _leaf("cbc:CreditNoteTypeCode", c("type_code")).when(credit), _leaf("cbc:InvoiceTypeCode", c("type_code")).when(~credit), _many(c("notes"), lambda n: _leaf("cbc:Note", n)),
         _leaf("cbc:DocumentCurrencyCode", c("currency")), _leaf("cbc:BuyerReference", buyer["buyer_reference"]), _full("cac:InvoicePeriod", _leaf("cbc:StartDate", c("billing_period_start")), _leaf("cbc:EndDate", c("billing_period_end"))), _full("cac:OrderReference", _leaf("cbc:ID", c("order_reference"))),
         _full("cac:BillingReference", _full("cac:InvoiceDocumentReference", _leaf("cbc:ID", c("preceding_invoice_number")), _leaf("cbc:IssueDate", c("preceding_invoice_date")))), _full("cac:ContractDocumentReference", _leaf("cbc:ID", c("contract_reference"))),
         _ubl_party_xml("cac:AccountingSupplierParty", c("seller"), True, p["creditor_id"]), _ubl_party_xml("cac:AccountingCustomerParty", buyer, False),
         _full("cac:Delivery", _leaf("cbc:ActualDeliveryDate", c("delivery_date")), _full("cac:DeliveryLocation", _ubl_address_xml("cac:Address", c("delivery_address"))), _full("cac:DeliveryParty", _full("cac:PartyName", _leaf("cbc:Name", c("delivery_name"))))),
-        means, _full("cac:PaymentTerms", _leaf("cbc:Note", _terms(p))), _many(c("allowances"), adjustment(False, True)), _many(c("charges"), adjustment(True, True)), _full("cac:TaxTotal", money("TaxAmount", t["vat_total"]), _many(c("vat_breakdown"), group)),
+        means, _full("cac:PaymentTerms", _leaf("cbc:Note", _terms(p), _has_terms(p))), _many(c("allowances"), adjustment(False, True)), _many(c("charges"), adjustment(True, True)), _full("cac:TaxTotal", money("TaxAmount", t["vat_total"]), _many(c("vat_breakdown"), group)),
         _full("cac:LegalMonetaryTotal", *[money(tag, t[n]) for n, tag in (("line_total", "LineExtensionAmount"), ("net_total", "TaxExclusiveAmount"), ("gross_total", "TaxInclusiveAmount"), ("allowances", "AllowanceTotalAmount"), ("charges", "ChargeTotalAmount"), ("prepaid_amount", "PrepaidAmount"), ("rounding_amount", "PayableRoundingAmount"), ("payable_amount", "PayableAmount"))]),
-        F.when(credit, _many(c("lines"), line("CreditNoteLine", "CreditedQuantity"))).otherwise(_many(c("lines"), line("InvoiceLine", "InvoicedQuantity"))),
+        _many(c("lines"), line("CreditNoteLine", "CreditedQuantity")).when(credit), _many(c("lines"), line("InvoiceLine", "InvoicedQuantity")).when(~credit),
     ]
     urn = "urn:oasis:names:specification:ubl:schema:xsd"
-    return invoices.select("doc_id", F.concat(
+    return F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?><ubl:'), name, F.lit(f' xmlns:ubl="{urn}:'), name, F.lit(f'-2" xmlns:cac="{urn}:CommonAggregateComponents-2" xmlns:cbc="{urn}:CommonBasicComponents-2"><cbc:CustomizationID>{URN["UBL"]}</cbc:CustomizationID>'),
-        *[F.coalesce(x, F.lit("")) for x in inside], F.lit("</ubl:"), name, F.lit(">"),
-    ).alias("xml"))
+        *[x.text for x in inside], F.lit("</ubl:"), name, F.lit(">"),
+    )
+
+
+def to_ubl(invoices: DataFrame) -> DataFrame:
+    """doc_id, xml. invoices: doc_id and FIELDS."""
+    return invoices.select("doc_id", ubl().alias("xml"))

@@ -56,3 +56,19 @@ def test_documents_of_others(spark):
     assert (u["invoice_number"], u["seller"]["id"], u["seller"]["name"], u["seller"]["trading_name"], u["seller"]["vat_id"], u["seller"]["tax_number"], u["seller"]["address"]) == ("U1", "first", "Known as", None, "ATU1", "99", NOWHERE)
     assert (u["buyer"], u["payment"]["means_code"], u["payment"]["creditor_id"], u["payment"]["due_date"], u["totals"]["vat_total"], u["lines"]) == (None, "1", "PAYEE", "2026-03-01", "8", [])
     assert all(got[k]["invoice_number"] is None for k in (2, 3, 4, 5, 6)) and got[5]["syntax"] == "CII" and got[5]["lines"] == []
+
+
+def test_texts_are_made_once(spark):
+    """A value stands once in the expression of a document's text, however deep its element lies."""
+    empty = spark.createDataFrame([], schema(spark))
+    for document in (tree.cii(), tree.ubl()):
+        plan = empty.select(document.alias("xml"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("replace(replace(replace(coalesce(seller#") <= 2 * len(WHOLE["seller"]) + len(ADDRESS) + len(CONTACT)
+
+
+def test_document_with_prefixes_in_text(spark):
+    """What looks like an element inside of CDATA is text; instructions and comments are passed over."""
+    ns = 'xmlns:rsm="b" xmlns:ram="a"'
+    xml = f'﻿<?xml version="1.0"?><!-- <b:z> --><rsm:CrossIndustryInvoice {ns}><rsm:ExchangedDocument><?pi in side?><ram:ID><![CDATA[U<b:c>]]></ram:ID></rsm:ExchangedDocument></rsm:CrossIndustryInvoice>'
+    got = tree.parse(spark.createDataFrame([(1, xml)], "doc_id long, xml string")).first()
+    assert (got["syntax"], got["invoice_number"]) == ("CII", "U<b:c>")

@@ -11,6 +11,8 @@ that are not named are not read. Events older than the watermark are dropped by
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -26,9 +28,35 @@ def with_rocks(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _in_order(rows) -> list[Row]:
-    """The rows of a micro-batch and key; its size is bounded by what a trigger reads."""
-    return sorted(rows, key=lambda r: (r["at"], r["event_id"]))
+def _in_order(rows, most: int = 10_000) -> Iterator:
+    """The rows of a micro-batch and key by time and id.
+
+    Up to `most` rows are sorted as they are. More are packed into Arrow columns as they come, and only `most` at a time are objects again.
+    """
+    rows = iter(rows)
+    held = list(islice(rows, most))
+    if len(held) < most:
+        yield from sorted(held, key=lambda r: (r["at"], r["event_id"]))
+        return
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    packed = {n: [] for n in held[0].asDict() if n != "ts"}
+    while held:
+        for n, parts in packed.items():
+            parts.append(pa.array([r[n] for r in held]))
+        held = list(islice(rows, most))
+    columns = {}
+    for n in list(packed):
+        # parts without any value have no type of their own
+        parts = packed.pop(n)
+        kind = next((p.type for p in parts if not pa.types.is_null(p.type)), pa.null())
+        columns[n] = pa.chunked_array([p.cast(kind) for p in parts], kind).combine_chunks()
+    del parts
+    table = pa.table(columns)
+    order = pc.sort_indices(table.select(["at", "event_id"]), [("at", "ascending"), ("event_id", "ascending")])
+    for start in range(0, len(order), most):
+        yield from table.take(order.slice(start, most)).to_pylist()
 
 
 #: times are microseconds since 1970 here: what a worker makes of timestamps depends on its zone
@@ -204,7 +232,7 @@ class Buffer(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         held = [m[0] for m in self.messages.get()] if self.messages.exists() else []
-        lost = self.lost.get()[0] if self.lost.exists() else 0
+        lost = (self.lost.get() or (0,))[0]
         for r in _in_order(rows):
             if r["take"]:
                 taken = held.pop(0) if held else None

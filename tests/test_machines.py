@@ -183,3 +183,21 @@ def test_restart_after_lost_commit(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"file://{folder}/events").collect())) == before and len(before) == 9
     spark.streams.removeListener(heard)
     assert sum(rows for _, _, rows, _ in heard.batches) >= 9 and None in heard.ended.values()
+
+
+def test_rows_of_a_large_key_are_packed():
+    import tracemalloc
+
+    from pyspark.sql import Row
+
+    n = 60_000
+    places = random.Random(5).sample(range(n), n)
+    rows = lambda: (Row(cache="a", event_id=k, ts=START, at=k // 3, op="get", key=str(k % 30), owner=None if k < n - 9 else "o", value=f"v{k}") for k in places)
+    tracemalloc.start()
+    got = 0
+    for k, r in enumerate(machines._in_order(rows(), 1000)):
+        assert (r["event_id"], r["at"], r["value"], r["owner"]) == (k, k // 3, f"v{k}", None if k < n - 9 else "o")
+        got += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == n and peak < 100 * n

@@ -96,7 +96,7 @@ class JobMachine(StatefulProcessor):
         self.state = handle.getValueState("job", "status string, last bigint, opened bigint, told boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        status, last, opened, told = self.state.get() if self.state.exists() else (None, None, None, False)
+        status, last, opened, told = self.state.get() or (None, None, None, False)
         for r in _in_order(rows):
             wanted = r["status"]
             if opened and not told and status not in TERMINAL and r["at"] > opened + self.limit:
@@ -124,9 +124,9 @@ class JobMachine(StatefulProcessor):
         return Row(job_id=key[0], event_id=None, ts=opened + self.limit, status=status, progress=None, verdict="timeout", delivered=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.state.exists():
+        if (state := self.state.get()) is None:
             return
-        status, last, opened, told = self.state.get()
+        status, last, opened, told = state
         if status not in TERMINAL and not told:
             told = True
             yield self._timeout(key, status, opened)
@@ -165,7 +165,7 @@ class Barrier(StatefulProcessor):
         self.state = handle.getValueState("barrier", "bank boolean, ledger boolean, status string, claimed bigint, worker string, told boolean, last bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        bank, ledger, status, claimed, worker, told, last = self.state.get() if self.state.exists() else (False, False, "processing", None, None, False, None)
+        bank, ledger, status, claimed, worker, told, last = self.state.get() or (False, False, "processing", None, None, False, None)
         for r in _in_order(rows):
             kind, ts = r["kind"], r["at"]
             if claimed and not told and status == "processing" and ts > claimed + self.hold:
@@ -197,9 +197,9 @@ class Barrier(StatefulProcessor):
         return Row(rec_id=key[0], event_id=None, ts=claimed + self.hold, kind="claim", worker=worker, verdict="expired")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.state.exists():
+        if (state := self.state.get()) is None:
             return
-        bank, ledger, status, claimed, worker, told, last = self.state.get()
+        bank, ledger, status, claimed, worker, told, last = state
         at = expiredTimerInfo.getExpiryTimeInMs()
         if claimed and not told and status == "processing" and at > _ms(claimed + self.hold):
             yield self._expired(key, claimed, worker)

@@ -232,3 +232,18 @@ def test_rate_limit_like_a_loop(spark, tmp_path):
         if want[i]:
             times[client].append(ts)
     assert got == want
+
+
+def test_files_are_parsed_once(spark, tmp_path):
+    """Whatever is asked of the rows, their file is opened once."""
+    opened = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            opened.add(batch.num_rows)
+            yield batch
+
+    files = spark.createDataFrame([("a.csv", bytearray(BANK_CSV.encode())), ("b.csv", bytearray(b"a,b\nc,d\n"))], "path string, content binary").coalesce(1)
+    rows = spreadsheet.read_rows(files.mapInArrow(counted, files.schema))
+    assert spreadsheet.transactions(rows).count() > 0 and [r["path"] for r in spreadsheet.problems(rows).collect()] == ["b.csv"]
+    assert spreadsheet.edge_balances(rows).count() >= 0 and opened.value <= 4  # a checkpoint may compute its rows twice

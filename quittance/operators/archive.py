@@ -3,7 +3,8 @@
 A manifest names an archive's files with their SHA-256; a ledger line holds the manifest's hash and the hash of the line before, so that
 a changed, deleted, inserted or moved line shows. Hashes are those of canonical JSON: sorted keys, no spaces, text as it is.
 
-Linking is sequential by definition (each hash needs the one before): one task per chain, which holds one hash. Verifying is not: lines are checked
+Linking is sequential by definition (each hash needs the one before): one task per chain, which holds one hash; a chain of over MOST_LINKED lines is
+linked range after range, so that no task sorts all of it. Verifying is not: lines are checked
 in ranges, and the last line of a range is carried to the next, so one chain of any length is checked by many tasks.
 
 Cases: a line that is no JSON object or has no entry_hash is unreadable, and the line after it has no link to hold; null lines are
@@ -19,6 +20,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import folder
 from . import prefix
 
 GENESIS = "0" * 64
@@ -72,20 +74,23 @@ def sealed(archives: DataFrame) -> DataFrame:
     return named.withColumn("core", core).withColumn("manifest_sha256", F.sha2(F.col("core").cast("binary"), 256))
 
 
+#: lines of one chain that a single task sorts
+MOST_LINKED = 1_000_000
 LINES = "chain string, seq bigint, archive_id string, prev_hash string, entry_hash string, line string"
 
 
-def linked(manifests: DataFrame, last: DataFrame | None = None) -> DataFrame:
+def linked(manifests: DataFrame, last: DataFrame | None = None, most: int = MOST_LINKED) -> DataFrame:
     """LINES of ledger entries appended in order of `seq`. manifests: chain, seq, archive_id, archived_at, owner_id, manifest_sha256.
 
-    last: chain, entry_hash of the ledger's last line so far; a chain without one begins anew. One task a chain, in which rows stream.
+    last: chain, entry_hash of the ledger's last line so far; a chain without one begins anew. One task a chain, in which rows stream; chains of
+    more than `most` lines are dealt into ranges, which are linked one after another, each from the last hash of the one before.
     """
     fields = ("archive_id", "archived_at", "owner_id", "manifest_sha256")
     rows = manifests.select(F.col("chain").cast("string").alias("chain"), F.col("seq").cast("bigint").alias("seq"), *fields)
     begun = F.lit(GENESIS) if last is None else F.coalesce("begun", F.lit(GENESIS))
     if last is not None:
         rows = rows.join(last.select("chain", F.col("entry_hash").alias("begun")), "chain", "left")
-    rows = rows.withColumn("begun", begun).repartition("chain").sortWithinPartitions("chain", "seq").select("chain", "seq", *fields, "begun")
+    rows = rows.withColumn("begun", begun).select("chain", "seq", *fields, "begun")
 
     def link(batches):
         chain, before = object(), None
@@ -103,7 +108,29 @@ def linked(manifests: DataFrame, last: DataFrame | None = None) -> DataFrame:
                 kinds = (pa.string(), pa.int64(), *[pa.string()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in LINES.split(", ")])
 
-    return rows.mapInArrow(link, LINES)
+    chained = lambda df: df.repartition("chain").sortWithinPartitions("chain", "seq").mapInArrow(link, LINES)
+    long = rows.groupBy("chain").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    total = long.agg(F.sum("n")).first()[0]
+    if not total:
+        return chained(rows)
+    spark, place = manifests.sparkSession, folder(manifests.sparkSession, "ledger")
+    names = F.broadcast(long.select(F.col("chain").alias("of")))  # at most total / most rows
+    same = F.col("chain").eqNullSafe(F.col("of"))
+    ranges = -(-total // most)
+    dealt = rows.join(names, same, "left_semi").repartitionByRange(ranges, "chain", "seq")
+    dealt.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{place}/dealt")
+    parts = sorted(r["part"] for r in spark.read.parquet(f"{place}/dealt").select("part").distinct().collect())
+    before = None
+    for k in parts:
+        part = spark.read.schema(rows.schema).parquet(f"{place}/dealt/part={k}")
+        if before is not None:
+            # only the chain that goes on from the range before has a hash there
+            ends = before.groupBy(F.col("chain").alias("of")).agg(F.max_by("entry_hash", "seq").alias("carried"))
+            part = part.join(F.broadcast(ends), same, "left").withColumn("begun", F.coalesce("carried", "begun")).select(*rows.columns)
+        chained(part).write.parquet(f"{place}/linked/part={k}")
+        before = spark.read.schema(LINES).parquet(f"{place}/linked/part={k}")
+    done = spark.read.schema(LINES).parquet(*[f"{place}/linked/part={k}" for k in parts])
+    return done.unionByName(chained(rows.join(names, same, "left_anti")))
 
 
 def _numbered(text: str, n: Column) -> Column:

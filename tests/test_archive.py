@@ -102,3 +102,17 @@ def test_verification(spark):
     assert got["ea_0"] == ([], True, 0) and got["ea_1"][0] == [archive.CHANGED] and got["ea_2"][0] == [archive.DIFFERS] and got["ea_3"][0] == [archive.DELETED]
     assert got["ea_4"][0] == ["Hash mismatch (file modified): 00_xml__inv_oice4.xml"] and got["ea_5"][0] == ["File missing: 01_pdf__file"] and got["ea_6"] == ([], True, 0) and got["ea_7"][0] == [archive.NO_ENTRY]
     manifests.unpersist(), ledger.unpersist()
+
+
+def test_long_chains_are_linked_by_ranges(spark):
+    """The same lines whether a chain is one task's or many ranges'; no task is given more than a range of a long chain."""
+    row = lambda c, k: (c, k, f"{c}{k}", "2026-01-01", None if k % 3 else "o", f"m{k}")
+    rows = [row(c, k) for c, n in (("long", 500), ("other", 230), ("short", 40), (None, 3)) for k in range(n)]
+    manifests = spark.createDataFrame(rows[::-1], "chain string, seq long, archive_id string, archived_at string, owner_id string, manifest_sha256 string")
+    last = spark.createDataFrame([("other", "f" * 64)], "chain string, entry_hash string")
+    for of in (None, last):
+        whole, parts = archive.linked(manifests, of), archive.linked(manifests, of, most=100)
+        assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+        from_file = [f for f in parts.inputFiles() if "/linked/" in f]
+        sizes = [spark.read.parquet(f).count() for f in from_file]
+        assert len(sizes) >= 7 and max(sizes) <= 200

@@ -1,8 +1,8 @@
 """Merging the structured extractions of a document's parts into one, field by field.
 
 A schema says what each field takes: the first part that has anything, the first or last that is not null, all rows in
-order, all texts, or of each key the last value. Each rule is an associative aggregate over (part, value), so the
-parts of a document combine before the shuffle, and what crosses it is one partial row for each document and task.
+order, all texts, or of each key the last value. Each rule is an associative aggregate over (part, value). Parts cross the
+shuffle once and as they are: a document's rows come together anyway, and partial rows would name the part for every field.
 
 `merged` keeps a document's rows nested in its one row, as a caller of the reference gets them; `merged_rows` numbers rows
 across parts without bringing a document's rows together, for documents of any size.
@@ -98,7 +98,8 @@ def merged(parts: DataFrame, kind: str) -> DataFrame:
     parts: doc_id, part, extraction (a struct; of the schema's fields those that it lacks are null).
     """
     schema = SCHEMAS[kind]
-    source = parts.where("extraction is not null").select("doc_id", "part", *_fields(parts, schema))
+    # fields and places are made behind the shuffle; parts without extraction have null fields
+    source = parts.select("doc_id", "part", "extraction").repartition("doc_id").select("doc_id", "part", F.col("extraction").isNotNull().alias("known"), *_fields(parts, schema))
     source = source.withColumn("place", _place(schema))
     order = F.struct("part", "place")
     some = lambda c: F.coalesce(c != "", F.lit(False))
@@ -121,14 +122,12 @@ def merged(parts: DataFrame, kind: str) -> DataFrame:
     made[schema.rows] = F.flatten(_in_order(F.col(schema.rows), F.col(schema.rows).isNotNull()))
     # a single part keeps empty texts and missing parties as they are
     raw = [*schema.first, *schema.parties, *schema.joined]
-    one = F.count(F.lit(1)) == 1
+    known = F.count_if("known")
     grouped = source.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("parts"), one.alias("one"), F.first(F.struct(*raw)).alias("raw"), F.struct(*[made[f].alias(f) for f in schema.type.names]).alias("made")
+        known.alias("parts"), (known == 1).alias("one"), F.first(F.when(F.col("known"), F.struct(*raw)), True).alias("raw"), F.struct(*[made[f].alias(f) for f in schema.type.names]).alias("made")
     )
     fields = [(F.when(F.col("one"), F.col("raw")[f]).otherwise(F.col("made")[f]) if f in raw else F.col("made")[f]).alias(f) for f in schema.type.names]
-    grouped = grouped.select("doc_id", "parts", F.struct(*fields).alias("extraction"))
-    none = parts.groupBy("doc_id").agg(F.count("extraction").alias("n")).where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("parts"))
-    return grouped.unionByName(none, allowMissingColumns=True)
+    return grouped.select("doc_id", "parts", F.when(F.col("parts") > 0, F.struct(*fields)).alias("extraction"))
 
 
 def conformed(value: Column, had: DataType, wanted: DataType) -> Column:

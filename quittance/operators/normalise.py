@@ -149,7 +149,8 @@ def misreadings(token: Column, decimal_comma: Column) -> Column:
 def corrections(values: DataFrame, texts: DataFrame) -> DataFrame:
     """Extracted amounts that are printed nowhere but misread exactly one printed amount.
 
-    values: rec_id, source, row_no, field, value (typed); texts: rec_id, source, raw_text. Out: with `corrected`.
+    values: rec_id, source, row_no, field, value (typed); texts: rec_id, source, raw_text (a row a
+    document, or a row a page, so that no task needs the whole text of a large document). Out: with `corrected`.
     """
     numbers = printed_numbers(texts)
     numbers = numbers.join(printed_convention(numbers), DOCUMENT)

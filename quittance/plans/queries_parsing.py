@@ -52,13 +52,20 @@ def currency_detect(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", printed.alias("printed")).select("o_orderkey", currency.currency_in(F.col("printed")).alias("currency"))
 
 
-def misread_amounts(spark: SparkSession, sf: str) -> DataFrame:
-    """Amounts whose group mark was read as the decimal point, mended from the printed text."""
+def _printed_pages(spark, sf):
+    """Rows of 1,000 and more with `printed`, and their documents' printed text, a row for each page (10,000 row numbers of the bank)."""
     b = data.bank(spark, sf).where("amount >= 1000")
     whole, rest = F.floor(F.col("amount") / 1000), F.format_string("%06.2f", (F.col("amount") % 1000).cast("double"))
     printed = F.concat(whole.cast("string"), F.lit("."), F.replace(rest, F.lit("."), F.lit(",")))
-    texts = b.groupBy("rec_id").agg(F.array_join(F.sort_array(F.collect_list(printed)), " und ").alias("raw_text")).withColumn("source", F.lit("bank"))
-    wrong = F.replace(F.replace(printed, F.lit(",")), F.lit(".")).try_cast("decimal(28,3)")
+    b = b.withColumn("printed", printed)
+    pages = b.groupBy("rec_id", F.floor(F.col("row_no") / 10_000).alias("page")).agg(F.array_join(F.sort_array(F.collect_list("printed")), " und ").alias("raw_text"))
+    return b, pages.select("rec_id", F.lit("bank").alias("source"), "raw_text")
+
+
+def misread_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts whose group mark was read as the decimal point, mended from the printed text."""
+    b, texts = _printed_pages(spark, sf)
+    wrong = F.replace(F.replace("printed", F.lit(",")), F.lit(".")).try_cast("decimal(28,3)")
     values = b.select("rec_id", F.lit("bank").alias("source"), "row_no", F.lit("amount").alias("field"), wrong.alias("value"))
     return normalise.corrections(values, texts).select("rec_id", "row_no", F.col("corrected").cast("double").alias("corrected"))
 

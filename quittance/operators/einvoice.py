@@ -109,13 +109,12 @@ def document_totals(lines: DataFrame, adjustments: DataFrame, breakdown: DataFra
 
 def total_issues(totals: DataFrame, declared: DataFrame) -> DataFrame:
     """A row for each declared total that differs from the computed one."""
-    side = lambda df, name: df.select("inv_id", F.explode(F.array(*[F.struct(F.lit(t).alias("total"), F.col(t).cast(AMOUNT).alias(name)) for t in TOTALS])).alias("x")).select("inv_id", "x.*")
-    rule = F.element_at(F.create_map(*[F.lit(x) for kv in TOTALS.items() for x in kv]), F.col("total"))
-    wrong = side(totals, "computed").join(side(declared, "said").where("said is not null"), ["inv_id", "total"]).where("said != computed")
-    return wrong.select(
-        "inv_id", rule.alias("rule_id"), F.concat(F.lit("totals."), "total").alias("field"), F.lit("error").alias("severity"),
-        F.col("computed").cast("string").alias("expected"), F.col("said").cast("string").alias("actual"),
-    )
+    side = lambda df, letter: df.select("inv_id", *[F.col(t).cast(AMOUNT).alias(f"{letter}_{t}") for t in TOTALS])
+    # whole invoices are joined, and what differs is told apart afterwards
+    both = side(totals, "c").join(side(declared, "d"), "inv_id")
+    told = lambda t, rule: F.struct(F.lit(rule).alias("rule_id"), F.lit(f"totals.{t}").alias("field"), F.lit("error").alias("severity"), F.col(f"c_{t}").cast("string").alias("expected"), F.col(f"d_{t}").cast("string").alias("actual"))
+    found = F.array(*[F.when(F.col(f"d_{t}") != F.col(f"c_{t}"), told(t, rule)) for t, rule in TOTALS.items()])
+    return both.select("inv_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("inv_id", "x.*")
 
 
 def _missing(c: str) -> Column:

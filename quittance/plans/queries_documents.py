@@ -102,12 +102,12 @@ def _headers(breakdown, totals):
 
 def invoice_report(spark: SparkSession, sf: str) -> DataFrame:
     lines, breakdown, declared, totals = _computed(spark, sf)
-    headers = cut(_headers(breakdown, totals))
+    headers = _headers(breakdown, totals)  # not kept: nearly all of its columns are constants, and rules on them are settled in the plan
     none = F.lit(None).cast("decimal(19,2)")
     entries = _adjustments(spark, sf).select("inv_id", F.when(F.col("is_charge"), "charges[0]").otherwise("allowances[0]").alias("path"), "amount", none.alias("base_amount"), none.alias("percent"))
     issues = einvoice.line_issues(lines).unionByName(einvoice.vat_issues(breakdown, declared)).unionByName(einvoice.total_issues(totals, _said(spark, sf)))
     issues = issues.unionByName(einvoice.header_issues(headers)).unionByName(einvoice.percent_issues(entries, headers))
-    return einvoice.report(issues, lines)
+    return einvoice.report(issues, totals)
 
 
 # --- jobs from events --------------------------------------------------------------------------

@@ -50,9 +50,9 @@ def normal_reference(reference: Column) -> Column:
 
 def tokens(description: Column) -> Column:
     """Sorted distinct words of two or more characters that are no stopwords and not all digits."""
-    # runs of two or more letters and digits with a letter among them
-    words = F.regexp_extract_all(F.lower(F.coalesce(description, F.lit(""))), F.lit("(?=[0-9]*[a-z])[a-z0-9]{2,}"), F.lit(0))
-    return F.sort_array(F.array_except(words, F.array(*map(F.lit, STOPWORDS))))
+    # runs of letters and digits with a letter among them
+    words = F.regexp_extract_all(F.lower(F.coalesce(description, F.lit(""))), F.lit("[0-9]*+[a-z][a-z0-9]*+"), F.lit(0))
+    return F.sort_array(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))))
 
 
 def similarity(a: Column, b: Column) -> Column:

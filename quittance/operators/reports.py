@@ -69,8 +69,7 @@ def reconciled(bank: DataFrame, ledger: DataFrame, tolerance: int = 2, descripti
     both = matching.exact_matches(bank, ledger, tolerance, descriptions)
     convention = cut(matching.chosen_convention(bank, ledger, both))
     pairs = cut(both.join(convention.select("rec_id", "convention"), ["rec_id", "convention"]).withColumn("confidence", matching.confidence(F.col("score"))))
-    edges = matching.mismatch_edges(matching.unmatched(bank, pairs, "b"), matching.unmatched(ledger, pairs, "l"), convention, tolerance, descriptions)
-    wrong = cut(matching.mismatches(edges))
+    wrong = cut(matching.mismatched(matching.unmatched(bank, pairs, "b"), matching.unmatched(ledger, pairs, "l"), convention, tolerance, descriptions))
     places = ("rec_id", "b_row_no", "l_row_no")
     used = pairs.select(*places).unionByName(wrong.select(*places))
     b = bank.withColumn("flow", matching.flow(F.col("direction")))

@@ -46,20 +46,20 @@ def recon_convention(spark: SparkSession, sf: str) -> DataFrame:
     return matching.chosen_convention(b, l, matching.exact_matches(b, l, TOLERANCE))
 
 
-def _mismatch_edges(spark, sf):
+def _left_over(spark, sf):
+    """Bank and ledger rows in no exact pair, and the conventions."""
     b, l = _sides(spark, sf)
     both = matching.exact_matches(b, l, TOLERANCE)
     pairs = matching.matched(b, l, TOLERANCE, pairs=both)
-    convention = matching.chosen_convention(b, l, both)
-    return matching.mismatch_edges(matching.unmatched(b, pairs, "b"), matching.unmatched(l, pairs, "l"), convention, TOLERANCE)
+    return matching.unmatched(b, pairs, "b"), matching.unmatched(l, pairs, "l"), matching.chosen_convention(b, l, both)
 
 
 def recon_mismatch_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return _money(_mismatch_edges(spark, sf).select("rec_id", "b_id", "l_id", "dd", "score", "kind", "difference"), "difference")
+    return _money(matching.mismatch_edges(*_left_over(spark, sf), TOLERANCE).select("rec_id", "b_id", "l_id", "dd", "score", "kind", "difference"), "difference")
 
 
 def recon_mismatches(spark: SparkSession, sf: str) -> DataFrame:
-    return _money(matching.mismatches(_mismatch_edges(spark, sf)).select("rec_id", "b_id", "l_id", "dd", "score", "kind", "difference"), "difference")
+    return _money(matching.mismatched(*_left_over(spark, sf), TOLERANCE).select("rec_id", "b_id", "l_id", "dd", "score", "kind", "difference"), "difference")
 
 
 def recon_nearest_reason(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,12 +15,14 @@ match nothing; empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
-import json
+import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import folder
+from ..session import cut, folder
 from . import prefix
 
 GENESIS = "0" * 64
@@ -83,54 +85,86 @@ def linked(manifests: DataFrame, last: DataFrame | None = None, most: int = MOST
     """LINES of ledger entries appended in order of `seq`. manifests: chain, seq, archive_id, archived_at, owner_id, manifest_sha256.
 
     last: chain, entry_hash of the ledger's last line so far; a chain without one begins anew. One task a chain, in which rows stream; chains of
-    more than `most` lines are dealt into ranges, which are linked one after another, each from the last hash of the one before.
+    more than `most` lines are dealt into ranges, which are linked one after another, each from the last hash of the one before. The text of a line is
+    made beforehand by all tasks, so that the sequential part only hashes it. Lines lie in files in the shared folder; calling this writes them.
     """
-    fields = ("archive_id", "archived_at", "owner_id", "manifest_sha256")
-    rows = manifests.select(F.col("chain").cast("string").alias("chain"), F.col("seq").cast("bigint").alias("seq"), *fields)
-    begun = F.lit(GENESIS) if last is None else F.coalesce("begun", F.lit(GENESIS))
+    # the texts on both sides of where a line has its entry_hash, in canonical order; only the outer braces go
+    bare = lambda *names: F.regexp_replace(F.to_json(F.struct(*[F.col(n).cast("string").alias(n) for n in names]), {"ignoreNullFields": "false"}), r"^\{|\}$", "")
+    head, tail = F.concat(F.lit("{"), bare("archive_id", "archived_at"), F.lit(",")), F.concat(bare("manifest_sha256", "owner_id"), F.lit(","))
+    keys = [F.col(n).cast(kind).alias(n) for n, kind in (("chain", "string"), ("seq", "bigint"), ("archive_id", "string"))]
+    rows = manifests.select(*keys, head.alias("head"), tail.alias("tail"))
     if last is not None:
         rows = rows.join(last.select("chain", F.col("entry_hash").alias("begun")), "chain", "left")
-    rows = rows.withColumn("begun", begun).select("chain", "seq", *fields, "begun")
+    rows = rows.withColumn("begun", F.lit(GENESIS) if last is None else F.coalesce("begun", F.lit(GENESIS))).select("chain", "seq", "archive_id", "head", "tail", "begun")
+
+    def small(text):
+        """Escapes of control characters as Python writes them, in small letters."""
+        return re.sub(r"\\(?:u00[0-9A-F]{2}|.)", lambda m: m[0].lower() if m[0][1] == "u" else m[0], text)
 
     def link(batches):
         chain, before = object(), None
         for batch in batches:
-            out = []
-            for of, seq, *values, begun in zip(*(c.to_pylist() for c in batch.columns)):
-                if of != chain:
-                    chain, before = of, begun
-                entry = dict(zip(fields, values)) | {"prev_hash": before}
-                written = {"sort_keys": True, "separators": (",", ":"), "ensure_ascii": False}
-                own = hashlib.sha256(json.dumps(entry, **written).encode()).hexdigest()
-                out.append((of, seq, values[0], before, own, json.dumps(entry | {"entry_hash": own}, **written)))
-                before = own
-            if out:
-                kinds = (pa.string(), pa.int64(), *[pa.string()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in LINES.split(", ")])
-
-    chained = lambda df: df.repartition("chain").sortWithinPartitions("chain", "seq").mapInArrow(link, LINES)
-    long = rows.groupBy("chain").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+            n = batch.num_rows
+            if not n:
+                continue
+            of, head, tail = (batch.column(k) for k in (0, 3, 4))
+            if any(pc.any(pc.match_substring(c, "\\u00")).as_py() for c in (head, tail)):
+                head, tail = (pa.array([small(t) for t in c.to_pylist()], pa.string()) for c in (head, tail))
+            # where the chain differs from the row before; nulls are a chain
+            fresh = np.zeros(n, bool)
+            fresh[1:] = ~pc.fill_null(pc.equal(of[1:], of[:-1]), False).to_numpy(zero_copy_only=False) & ~pc.and_(pc.is_null(of[1:]), pc.is_null(of[:-1])).to_numpy(zero_copy_only=False)
+            fresh[0] = of[0].as_py() != chain
+            chain = of[n - 1].as_py()
+            starts = {int(k): batch.column(5)[int(k)].as_py() for k in np.flatnonzero(fresh)}
+            priors, own = [], []
+            for k, text in enumerate(pc.binary_join_element_wise(head, tail, pa.scalar('"prev_hash":"'), "").to_pylist()):
+                before = starts.get(k, before)
+                priors.append(before)
+                before = hashlib.sha256(f'{text}{before}"}}'.encode()).hexdigest()
+                own.append(before)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], head, tail, pa.array(priors, pa.string()), pa.array(own, pa.string())], names=_LINKED_NAMES)
+
+    spark, place = manifests.sparkSession, folder(manifests.sparkSession, "ledger")
+    kept = lambda df, name: df.mapInArrow(link, _LINKED).write.parquet(f"{place}/linked/{name}")
+    read = lambda *names: spark.read.schema(_LINKED).parquet(*[f"{place}/linked/{n}" for n in names])
+    by_chain = lambda df: df.repartition("chain").sortWithinPartitions("chain", "seq")
+    long = manifests.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     total = long.agg(F.sum("n")).first()[0]
     if not total:
-        return chained(rows)
-    spark, place = manifests.sparkSession, folder(manifests.sparkSession, "ledger")
+        kept(by_chain(rows), "short")
+        return _lines(read("short"))
     names = F.broadcast(long.select(F.col("chain").alias("of")))  # at most total / most rows
     same = F.col("chain").eqNullSafe(F.col("of"))
     ranges = -(-total // most)
+    # written before they are dealt, as dealing reads its rows twice
+    rows.write.parquet(f"{place}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{place}/rows")
     dealt = rows.join(names, same, "left_semi").repartitionByRange(ranges, "chain", "seq")
     dealt.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{place}/dealt")
     parts = sorted(r["part"] for r in spark.read.parquet(f"{place}/dealt").select("part").distinct().collect())
-    before = None
+    done = []
     for k in parts:
         part = spark.read.schema(rows.schema).parquet(f"{place}/dealt/part={k}")
-        if before is not None:
+        if done:
             # only the chain that goes on from the range before has a hash there
-            ends = before.groupBy(F.col("chain").alias("of")).agg(F.max_by("entry_hash", "seq").alias("carried"))
+            ends = read(done[-1]).groupBy(F.col("chain").alias("of")).agg(F.max_by("entry_hash", "seq").alias("carried"))
             part = part.join(F.broadcast(ends), same, "left").withColumn("begun", F.coalesce("carried", "begun")).select(*rows.columns)
-        chained(part).write.parquet(f"{place}/linked/part={k}")
-        before = spark.read.schema(LINES).parquet(f"{place}/linked/part={k}")
-    done = spark.read.schema(LINES).parquet(*[f"{place}/linked/part={k}" for k in parts])
-    return done.unionByName(chained(rows.join(names, same, "left_anti")))
+        # a range is one task's anyway: its rows need no shuffle
+        kept(part.coalesce(1).sortWithinPartitions("chain", "seq"), f"part={k}")
+        done.append(f"part={k}")
+    kept(by_chain(rows.join(names, same, "left_anti")), "short")
+    return _lines(read(*done, "short"))
+
+
+#: what linking writes: a line's texts are joined when they are read
+_LINKED = "chain string, seq bigint, archive_id string, head string, tail string, prev_hash string, entry_hash string"
+_LINKED_NAMES = [c.split()[0] for c in _LINKED.split(", ")]
+
+
+def _lines(linked: DataFrame) -> DataFrame:
+    """LINES of what linking wrote."""
+    line = F.concat("head", F.lit('"entry_hash":"'), "entry_hash", F.lit('",'), "tail", F.lit('"prev_hash":"'), "prev_hash", F.lit('"}'))
+    return linked.select("chain", "seq", "archive_id", "prev_hash", "entry_hash", line.alias("line"))
 
 
 def _numbered(text: str, n: Column) -> Column:
@@ -142,24 +176,67 @@ def _told(*cases: tuple[Column, Column]) -> Column:
     return F.filter(F.array(*[F.when(when, said) for when, said in cases]), lambda x: x.isNotNull())
 
 
+def _plain(text: Column, read: Column) -> Column:
+    """Whether a struct read from JSON text is all of it: written again it is the same text, without escapes.
+
+    Such a text, with its keys in canonical order, is canonical as it stands.
+    """
+    return F.coalesce((F.to_json(read, {"ignoreNullFields": "false"}) == text) & ~text.contains("\\"), F.lit(False))
+
+
+_SAID = ("archive_id", "owner_id", "archived_at", "manifest_sha256", "prev_hash")
+_ENTRY = "archive_id string, archived_at string, entry_hash string, manifest_sha256 string, owner_id string, prev_hash string"
+
+
+def _known(lines: DataFrame) -> DataFrame:
+    """What lines say instead of `line`, and whether their hash holds; only lines that are not written as linked() does become variants."""
+    keys, line, entry, document = [c for c in lines.columns if c != "line"], F.col("line"), F.col("entry"), F.col("document")
+    read = lines.select(*keys, "line", F.from_json("line", _ENTRY).alias("entry"))
+    read = read.withColumn("plain", _plain(line, entry) & entry["entry_hash"].isNotNull())
+    read = read.withColumn("document", F.when(~F.col("plain"), _object(line)))
+    said = lambda n: F.when(F.col("plain"), entry[n]).otherwise(_string(document, n))
+    # quotes stand only around keys and texts here, so the key is found once
+    bare = F.replace(line, F.concat(F.lit('"entry_hash":"'), entry["entry_hash"], F.lit('",')), F.lit(""))
+    own = F.sha2(F.when(F.col("plain"), bare).otherwise(canonical(document, without=("entry_hash",))).cast("binary"), 256)
+    return read.select(*keys, said("entry_hash").alias("entry_hash"), (own == said("entry_hash")).alias("held"), *[said(n).alias(n) for n in _SAID])
+
+
 def checked(lines: DataFrame, ranges: int | None = None) -> DataFrame:
     """chain, line_no, archive_id, owner_id, archived_at, manifest_sha256, entry_hash and problems of each ledger line.
 
-    lines: chain, line_no (from 1), line.
+    lines: chain, line_no (from 1), line; without line_no they are numbered by `seq`, in the same ranges.
     """
-    document = F.col("document")
-    read = lines.select("chain", "line_no", _object(F.col("line")).alias("document"))
-    read = read.withColumn("entry_hash", _string(document, "entry_hash"))
-    own = F.sha2(canonical(document, without=("entry_hash",)).cast("binary"), 256)
-    names = ("archive_id", "owner_id", "archived_at", "manifest_sha256", "prev_hash")
-    known = read.select("chain", "line_no", "entry_hash", (own == F.col("entry_hash")).alias("held"), *[_string(document, n).alias(n) for n in names])
-    placed = prefix.previous(known, ["chain"], ["line_no"], {"before": F.struct("entry_hash")}, ranges)
+    order = "line_no" if "line_no" in lines.columns else "seq"
+    known = prefix.spread(lines.select("chain", order, "line"), ["chain"], [order], ranges, _known)
+    if order == "seq":
+        known = prefix.sums(known, ["chain"], [order], {"line_no": F.lit(1)})
+    placed = prefix.done(prefix.before(known, ["chain"], [order], {"before": F.struct("entry_hash")}))
     n, readable = F.col("line_no"), F.col("entry_hash").isNotNull()
     # no line before: the chain begins; an unreadable one: nothing to compare with
     wanted = F.when(F.col("before").isNull(), F.lit(GENESIS)).otherwise(F.col("before.entry_hash"))
     apart = wanted.isNotNull() & ~F.col("prev_hash").eqNullSafe(wanted)
     problems = _told((~readable, _numbered(UNREADABLE, n)), (readable & ~F.coalesce("held", F.lit(False)), _numbered(MODIFIED, n)), (readable & apart, _numbered(BROKEN, n)))
-    return placed.select("chain", "line_no", *names[:-1], "entry_hash", problems.alias("problems"))
+    return placed.select("chain", "line_no", *_SAID[:-1], "entry_hash", problems.alias("problems"))
+
+
+#: a manifest as it is stored: what sealed() writes, its hash and those of its line
+_FILE = "content_type string, filename string, role string, sha256 string, size bigint"
+_CORE = f"archive_id string, archived_at string, files array<struct<{_FILE.replace(' ', ': ').replace(',:', ',')}>>, invoice_number string, operation string, owner_id string"
+_MANIFEST = f"{_CORE}, manifest_sha256 string, prev_hash string, entry_hash string"
+
+
+def _named(manifests: DataFrame) -> DataFrame:
+    """What manifests say, the hash of their core and their files; only texts that are not written as in _MANIFEST become variants."""
+    text, read, m = F.col("manifest"), F.col("read"), F.col("m")
+    d = manifests.select("archive_id", "manifest", F.from_json("manifest", _MANIFEST).alias("read")).withColumn("plain", _plain(text, read))
+    d = d.withColumn("m", F.when(~F.col("plain"), _object(text)))
+    said = lambda n: F.when(F.col("plain"), read[n]).otherwise(_string(m, n))
+    core = F.to_json(F.struct(*[read[n].alias(n) for n in CORE]), {"ignoreNullFields": "false"})
+    own = F.sha2(F.when(F.col("plain"), core).otherwise(canonical(m, only=CORE)).cast("binary"), 256)
+    names = [c.split(":")[0] for c in FILE.removeprefix("array<struct<").split(", ")]
+    files = F.transform(read["files"], lambda f: F.struct(*[f[n].alias(n) for n in names]))
+    listed = F.when(F.col("plain"), files).otherwise(F.try_variant_get(m["files"], "$", FILE))
+    return d.select("archive_id", *[said(n).alias(n) for n in ("owner_id", "manifest_sha256", "entry_hash")], own.alias("own"), listed.alias("listed"))
 
 
 def verified(manifests: DataFrame, files: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -170,8 +247,7 @@ def verified(manifests: DataFrame, files: DataFrame, ledger: DataFrame) -> DataF
     entries = ledger.where("entry_hash is not null and archive_id is not null")
     last = entries.groupBy("archive_id").agg(F.max_by(F.struct("chain", "owner_id", "manifest_sha256", "entry_hash"), F.struct("chain", "line_no")).alias("entry"))
     chains = ledger.groupBy("chain").agg(F.sum(F.size("problems")).cast("bigint").alias("chain_problems"))
-    read = manifests.select("archive_id", _object(F.col("manifest")).alias("m"))
-    named = read.select("archive_id", *[_string(F.col("m"), k).alias(k if k != "archive_id" else "_id") for k in ("owner_id", "manifest_sha256", "entry_hash")], F.sha2(canonical(F.col("m"), only=CORE).cast("binary"), 256).alias("own"), F.try_variant_get(F.col("m")["files"], "$", FILE).alias("listed"))
+    named = cut(_named(manifests))  # read for its files and for what it says
     wanted = named.select("archive_id", F.posexplode("listed").alias("place", "f")).select("archive_id", "place", F.col("f.filename").alias("filename"), F.col("f.sha256").alias("noted"))
     met = wanted.join(files.select("archive_id", "filename", F.col("sha256").alias("found")), ["archive_id", "filename"], "left")
     wrong = F.when(F.col("found").isNull(), _numbered(MISSING, F.col("filename"))).when(F.col("found") != F.col("noted"), _numbered(MISMATCH, F.col("filename")))

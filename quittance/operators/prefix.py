@@ -11,16 +11,21 @@ stand in one range in no set order (give an order without ties); null keys are a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 
 
-def spread(rows: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
-    """rows with `__range`, dealt by ranges of keys and order; `sums` and `before` work on it, `done` takes the column off."""
+def spread(rows: DataFrame, keys: list[str], order: list[str], ranges: int | None = None, made: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """rows with `__range`, dealt by ranges of keys and order; `sums` and `before` work on it, `done` takes the column off.
+
+    made: what becomes of the dealt rows, each by itself. Dealing reads rows twice (for bounds first), so what is dear belongs there.
+    """
     by = [*keys, *order]
     dealt = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
-    return cut(dealt.withColumn("__range", F.spark_partition_id()))
+    return cut(made(dealt.withColumn("__range", F.spark_partition_id())))
 
 
 def done(rows: DataFrame) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import archive, prefix
-from ..session import cut
+from ..operators import archive
 from . import driver_data as data
 
 
@@ -20,31 +19,31 @@ def _sealed(spark, sf):
     ))
 
 
-def _damaged(spark, sf, linked):
-    """The ledger's lines after an accident: some gone, some garbled, some with another owner."""
+def _damaged(linked):
+    """The ledger's lines after an accident, still in order of seq: some gone, some garbled, some with another owner."""
     k = F.col("seq")
     line = F.when(k % 31 == 3, F.concat(F.lit("x"), F.col("line"))).when(k % 23 == 5, F.regexp_replace("line", '"owner_id":', '"owner_id":"other","was":')).otherwise(F.col("line"))
-    kept = linked.where("seq % 37 != 4").select("chain", "seq", line.alias("line"))
-    return prefix.running(kept, ["chain"], ["seq"], {"line_no": F.lit(1)})
+    return linked.where("seq % 37 != 4").select("chain", "seq", line.alias("line"))
 
 
 def archive_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _damaged(spark, sf, cut(archive.linked(_sealed(spark, sf))))
-    return archive.checked(lines).select("line_no", "archive_id", F.array_join("problems", "; ").alias("problems"))
+    checked = archive.checked(_damaged(archive.linked(_sealed(spark, sf))))
+    return checked.select("line_no", "archive_id", F.array_join("problems", "; ").alias("problems"))
 
 
 def archive_verification(spark: SparkSession, sf: str) -> DataFrame:
     """Some manifests are gone or changed, some files are gone or others; the ledger is damaged."""
     manifests = _sealed(spark, sf)
-    linked = cut(archive.linked(manifests))
-    checked = archive.checked(_damaged(spark, sf, linked))
+    linked = archive.linked(manifests)
+    checked = archive.checked(_damaged(linked))
     k = F.regexp_extract("archive_id", r"\d+", 0).cast("bigint")
     hashes = linked.select("archive_id", "prev_hash", "entry_hash")
     pair = lambda n: F.concat(F.lit(f',"{n}":"'), F.col(n), F.lit('"'))
     body = F.when(k % 13 == 2, F.replace("core", F.lit("Nº"), F.lit("No"))).otherwise(F.col("core"))
-    whole = manifests.join(hashes, "archive_id").select("archive_id", "stored", F.concat(F.rtrim(body, F.lit("}")), *map(pair, ("manifest_sha256", "prev_hash", "entry_hash")), F.lit("}")).alias("manifest"))
-    files = whole.select("archive_id", F.explode("stored").alias("f")).select("archive_id", F.col("f.filename").alias("filename"), F.when(k % 19 == 6, "other").otherwise(F.col("f.sha256")).alias("sha256")).where(k % 17 != 9)
-    found = archive.verified(whole.where(k % 11 != 7), files, checked)
+    whole = manifests.where(k % 11 != 7).join(hashes, "archive_id").select("archive_id", F.concat(F.rtrim(body, F.lit("}")), *map(pair, ("manifest_sha256", "prev_hash", "entry_hash")), F.lit("}")).alias("manifest"))
+    # every archive is in the ledger as it was linked
+    files = manifests.select("archive_id", F.explode("stored").alias("f")).select("archive_id", F.col("f.filename").alias("filename"), F.when(k % 19 == 6, "other").otherwise(F.col("f.sha256")).alias("sha256")).where(k % 17 != 9)
+    found = archive.verified(whole, files, checked)
     return found.select("archive_id", F.array_join("problems", "; ").alias("problems"), "chain_problems", "intact")
 
 

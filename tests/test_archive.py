@@ -116,3 +116,22 @@ def test_long_chains_are_linked_by_ranges(spark):
         from_file = [f for f in parts.inputFiles() if "/linked/" in f]
         sizes = [spark.read.parquet(f).count() for f in from_file]
         assert len(sizes) >= 7 and max(sizes) <= 200
+
+
+def test_lines_are_written_once_and_numbered_where_they_are_checked(spark):
+    """Readers of a ledger do not link it again; lines by seq are numbered in the ranges in which they are checked; escapes are Python's."""
+    odd = ["a", "b\u000b\u001f", 'c"\\u001F', "d\\u00AB", "e é\n", None, "\\"]
+    rows = [("main", 3 * k, f"ea_{k}", odd[k % 7], odd[(k + 2) % 7], f"m{k}") for k in range(70)]
+    manifests = spark.createDataFrame(rows, "chain string, seq long, archive_id string, archived_at string, owner_id string, manifest_sha256 string")
+    for most in (1_000, 20):
+        ledger = archive.linked(manifests, most=most)
+        files = ledger.inputFiles()
+        assert files and all("/linked/" in f for f in files)
+        before = "0" * 64
+        for of, r in zip(rows, ledger.orderBy("seq").collect(), strict=True):
+            entry = dict(zip(("archive_id", "archived_at", "owner_id", "manifest_sha256"), of[2:])) | {"prev_hash": before}
+            before = sha(text(entry))
+            assert (r["seq"], r["line"]) == (of[1], text(entry | {"entry_hash": before}))
+        kept = ledger.where("seq % 7 <> 3").select("chain", "seq", "line")
+        numbered = kept.selectExpr("chain", "row_number() OVER (ORDER BY seq) AS line_no", "line")
+        assert sorted(map(str, archive.checked(kept, 4).collect())) == sorted(map(str, archive.checked(numbered, 3).collect()))

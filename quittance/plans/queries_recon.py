@@ -43,7 +43,7 @@ def recon_unmatched_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 def recon_convention(spark: SparkSession, sf: str) -> DataFrame:
     b, l = _sides(spark, sf)
-    return matching.chosen_convention(b, l, matching.exact_matches(b, l, TOLERANCE))
+    return matching.chosen_convention(b, l, matching.exact_matches(b, l, TOLERANCE), alone=True)
 
 
 def _left_over(spark, sf):

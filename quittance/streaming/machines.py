@@ -14,6 +14,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -59,6 +60,22 @@ def _in_order(rows, most: int = 10_000) -> Iterator:
         yield from table.take(order.slice(start, most)).to_pylist()
 
 
+def _columns_in_order(frames, types: dict[str, str], most: int = 50_000) -> Iterator[list[list]]:
+    """What _in_order does, for a key's rows as pandas frames: lists of the named columns' values, `most` rows at a time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    schema = pa.schema([(n, pa.type_for_alias(t)) for n, t in types.items()])
+    packed = [pa.Table.from_pandas(f[list(types)], schema, preserve_index=False) for f in frames]
+    if not packed:
+        return
+    table = pa.concat_tables(packed).combine_chunks()
+    del packed
+    order = pc.sort_indices(table.select(["at", "event_id"]), [("at", "ascending"), ("event_id", "ascending")])
+    for start in range(0, len(order), most):
+        yield [c.to_pylist() for c in table.take(order.slice(start, most)).columns]
+
+
 #: times are microseconds since 1970 here: what a worker makes of timestamps depends on its zone
 SECOND = 1_000_000
 
@@ -68,11 +85,13 @@ def _ms(at: int) -> int:
     return -(-at // 1000)
 
 
-def _keyed(events: DataFrame, key: str, columns: list[str], watermark: str, processor: StatefulProcessor, out: str) -> DataFrame:
+def _keyed(events: DataFrame, key: str, columns: list[str], watermark: str, processor: StatefulProcessor, out: str, frames: bool = False) -> DataFrame:
+    """frames: whether the processor takes and gives pandas frames; rows cost several times as much on their way to Python."""
     with_rocks(events.sparkSession)
     read = events.select(F.col(key).cast("string").alias(key), F.col("event_id").cast("bigint").alias("event_id"), "ts", F.unix_micros("ts").alias("at"), *columns)
     kept = read.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", watermark)
-    made = kept.groupBy(key).transformWithState(processor, out.replace("ts timestamp", "ts bigint"), "Append", "EventTime")
+    grouped = kept.groupBy(key)
+    made = (grouped.transformWithStateInPandas if frames else grouped.transformWithState)(processor, out.replace("ts timestamp", "ts bigint"), "Append", "EventTime")
     return made.withColumn("ts", F.timestamp_micros("ts")) if "ts" in made.columns else made
 
 
@@ -274,27 +293,35 @@ class Cache(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         stored = {k[0]: tuple(v) for k, v in self.entries.iterator()} if self.entries.exists() else {}
         held = OrderedDict(sorted(((k, v[:3]) for k, v in stored.items()), key=lambda e: stored[e[0]][3]))
-        for r in _in_order(rows):
-            op, name, now, found = r["op"], r["key"], r["at"], None
-            until, owner, value = held.get(name, (None, None, None))
-            mine = not owner or not r["owner"] or owner == r["owner"]
-            if op == "set" and name:
-                for k in [k for k, v in held.items() if now > v[0]]:
-                    del held[k]
-                if len(held) >= self.capacity:
-                    held.popitem(last=False)
-                held[name] = (now + self.life, r["owner"], r["value"])
-                held.move_to_end(name)
-            elif until is not None and op == "get":
-                if now > until:
-                    del held[name]
-                elif mine:
+        never = 1 << 62
+        first = min((v[0] for v in held.values()), default=never)  # no entry ends before
+        for columns in _columns_in_order(rows, {"event_id": "int64", "at": "int64", "op": "string", "key": "string", "owner": "string", "value": "string"}):
+            told = []
+            for event_id, now, op, name, asks, given in zip(*columns):
+                until, owner, value = held.get(name, (None, None, None))
+                mine, found = not owner or not asks or owner == asks, None
+                if op == "set" and name:
+                    if now > first:
+                        for k in [k for k, v in held.items() if now > v[0]]:
+                            del held[k]
+                        first = min((v[0] for v in held.values()), default=never)
+                    if len(held) >= self.capacity:
+                        held.popitem(last=False)
+                    held[name] = (now + self.life, asks, given)
                     held.move_to_end(name)
-                    found = value
-            elif until is not None and op == "delete" and mine:
-                del held[name]
-            if op != "set":
-                yield Row(cache=key[0], event_id=r["event_id"], op=op, key=name, found=found, size=len(held))
+                    first = min(first, now + self.life)
+                elif until is not None and op == "get":
+                    if now > until:
+                        del held[name]
+                    elif mine:
+                        held.move_to_end(name)
+                        found = value
+                elif until is not None and op == "delete" and mine:
+                    del held[name]
+                if op != "set":
+                    told.append((key[0], event_id, op, name, found, len(held)))
+            if told:
+                yield pd.DataFrame(told, columns=[c.split()[0] for c in CACHE_ROWS.split(", ")])
         for k in stored.keys() - held.keys():
             self.entries.removeKey((k,))
         for place, (k, v) in enumerate(held.items()):
@@ -307,4 +334,4 @@ class Cache(StatefulProcessor):
 
 def cached_values(operations: DataFrame, seconds: int = 3600, capacity: int = 1000, watermark: str = "10 minutes") -> DataFrame:
     """A row (CACHE_ROWS) for each get and delete. operations: cache, event_id, ts, op (set, get, delete), key, owner, value."""
-    return _keyed(operations, "cache", ["op", "key", "owner", "value"], watermark, Cache(seconds, capacity), CACHE_ROWS)
+    return _keyed(operations, "cache", ["op", "key", "owner", "value"], watermark, Cache(seconds, capacity), CACHE_ROWS, frames=True)

@@ -201,3 +201,24 @@ def test_rows_of_a_large_key_are_packed():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got == n and peak < 100 * n
+
+
+def test_a_cache_reads_and_gives_whole_frames():
+    """A key's rows come as frames in any order and go as frames: no row object a row, and no look at all entries for each set."""
+    import pandas as pd
+
+    class State:
+        kept = {}
+        exists = lambda self: bool(self.kept)
+        iterator = lambda self: iter(self.kept.items())
+        updateValue = lambda self, k, v: self.kept.__setitem__(k, v)
+        removeKey = lambda self, k: self.kept.pop(k)
+
+    n = 30_000
+    places = random.Random(6).sample(range(n), n)
+    ops = pd.DataFrame({"event_id": places, "at": [k * machines.SECOND for k in places], "op": [("set", "get", "get")[k % 3] for k in places], "key": [str(k // 3 % 30) for k in places], "owner": None, "value": [f"v{k}" for k in places]})
+    cache = machines.Cache(3600, 40)
+    cache.entries = State()
+    got = pd.concat(list(cache.handleInputRows(("a",), iter([ops[:7000], ops[7000:]]), None)))
+    assert len(got) == 2 * n // 3 and list(got["event_id"]) == [k for k in range(n) if k % 3]
+    assert list(got["found"]) == [f"v{k - k % 3}" for k in got["event_id"]] and got["size"].max() == 30 == len(State.kept)

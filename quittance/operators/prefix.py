@@ -13,7 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..session import cut
 
@@ -74,6 +78,32 @@ def before(rows: DataFrame, keys: list[str], order: list[str], values: dict[str,
     return out.withColumns({n: F.when(F.col("__first"), F.col("__carry")[n]).otherwise(F.lag(v).over(own)) for n, v in values.items()}).drop("__carry", "__first")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, ranges: int | None = None) -> DataFrame:
+    """Adds a row's number (from 1) within its keys by `order`: ranges are sorted and counted as they stream by, so that rows are shuffled once."""
+    def count(batches):
+        last, counted = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns, fresh = [batch.column(k) for k in keys], np.zeros(n, bool)
+            for c in columns:
+                # nulls are a group
+                both = pc.and_(pc.is_null(c[1:]), pc.is_null(c[:-1])).to_numpy(zero_copy_only=False)
+                fresh[1:] |= ~(pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False) | both)
+            fresh[0] = [c[0].as_py() for c in columns] != last
+            last, at = [c[n - 1].as_py() for c in columns], np.arange(n)
+            # a group that goes on from the batch before began that many rows earlier
+            places = at - np.maximum.accumulate(np.where(fresh, at, -counted)) + 1
+            counted = int(places[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=[*batch.schema.names, name])
+
+    schema = StructType([*rows.schema, StructField("__range", IntegerType()), StructField(name, LongType())])
+    dealt = spread(rows, keys, order, ranges, lambda df: df.sortWithinPartitions(*keys, *order).mapInArrow(count, schema))
+    ends = _ends(dealt, keys, F.max(name), lambda w: F.sum("__last").over(w))
+    return done(_carried(dealt, ends, keys).withColumn(name, F.col(name) + F.coalesce("__carry", F.lit(0))).drop("__carry"))
+
+
 def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], ranges: int | None = None) -> DataFrame:
     return done(sums(spread(rows, keys, order, ranges), keys, order, values))
 

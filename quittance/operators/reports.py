@@ -108,7 +108,7 @@ def _section(rows: DataFrame, title: str, cells: list, number: str | Column, tex
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """Rows of _section numbered in one pass over ranges, so that no section of a large reconciliation is a task of its own."""
-    placed = prefix.running(rows, ["rec_id", "section_no"], list(_ORDER), {"place": F.lit(1)})
+    placed = prefix.numbered(rows, ["rec_id", "section_no"], list(_ORDER), "place")
     return placed.select("rec_id", "section_no", (F.col("after") + F.col("place")).cast("bigint").alias("row_no"), "cells")
 
 

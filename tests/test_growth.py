@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quittance.operators import einvoice, merging
+from quittance.operators import einvoice, merging, prefix
 from quittance.plans import queries_merging, queries_parsing
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -42,3 +42,14 @@ def test_printed_texts_are_pages(spark):
         assert numbers[0] == b.count()
         longest.append(numbers[1])
     assert longest[1] < 10 * longest[0] / 1.2 and longest[1] < 10_000
+
+
+def test_numbering_shuffles_rows_once(spark):
+    """Numbers of a window over the whole group, without a second shuffle of the rows; null keys are a group."""
+    rows = spark.sql("SELECT if(id % 5 = 0, null, if(id < 1500, 1L, id % 3)) AS k, id * 7 % 2003 AS at, array(cast(id AS string)) AS cells FROM range(2000)").repartition(3)
+    made = prefix.numbered(rows, ["k"], ["at"], "place", 7)
+    want = rows.selectExpr("k", "at", "cells", "row_number() OVER (PARTITION BY k ORDER BY at) AS place")
+    assert sorted(map(str, made.select("k", "at", "cells", F.col("place").cast("int")).collect())) == sorted(map(str, want.collect()))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("cells" in line for line in _plan(made).splitlines() if "Exchange hashpartitioning" in line) and "row_number" not in plan
+    assert "Window" not in _plan(made).split("BroadcastExchange")[0]
